@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..config import batch_rows, top_k_rows
 from ..functions import scaling
-from ..functions.utility import UtilityOptions, utility
+from ..functions.utility import UtilityOptions, with_utility
 from ..operators import acquire, prune
 from ..operators.ordered import top_n
 from ..plans.curves import true_top
@@ -33,8 +33,7 @@ BEST_SQL = (
 
 
 def _utility(t, metric: str, options: UtilityOptions = UtilityOptions(), **scalars):
-    value = utility(metric, F.col("id"), F.col("y_mean"), F.col("y_var"), options, **scalars)
-    return preds(t).select("id", r6(value).alias("utility"))
+    return with_utility(preds(t), metric, options, **scalars).select("id", r6("utility").alias("utility"))
 
 
 def _best(t):
@@ -171,7 +170,7 @@ def unlabelled_candidates(t):
 )
 def acquire_batch(t):
     pool = preds(t)
-    scored = pool.withColumn("utility", utility("ucb", F.col("id"), F.col("y_mean"), F.col("y_var"))).select("id", "utility")
+    scored = with_utility(pool, "ucb").select("id", "utility")
     batch = acquire.acquire_batch(scored, explored(t), batch_rows(INIT, pool.count()))
     return batch.select("id", r6("utility").alias("utility"))
 

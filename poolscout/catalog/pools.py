@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
 from ..functions.fingerprint import fingerprint
@@ -406,9 +408,6 @@ def lookup_scores(t):
 @query("U1 U3", "SELECT o_orderkey AS id, CASE WHEN o_orderstatus <> 'P' THEN round(-sqrt(o_totalprice), 6) END AS score FROM orders")
 def computed_scores(t):
     """A formula as objective, evaluated by a pandas UDF; NaN is a failure and the sign is that of a minimised one."""
-    import numpy as np
-    import pandas as pd
-
     @F.pandas_udf("double")
     def root(price: pd.Series, status: pd.Series) -> pd.Series:
         return pd.Series(np.where(status == "P", np.nan, np.sqrt(price)))

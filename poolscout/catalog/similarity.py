@@ -78,7 +78,7 @@ def fingerprint_path(t):
 
 
 # Patterns of the key fingerprint over words.
-KEYS = ("the", "and", "[0-9]", "@", "http", "[A-Z]{2}", "er\\b", "\\bth", "ing", "[.]$", "\\n", "license")
+KEYS = ("the", "and", "[0-9]", "@", "http", "[A-Z]{2}", "er ", " th", "ing", "[.] [A-Z]", "\\n", "license")
 
 
 @query(

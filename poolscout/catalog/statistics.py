@@ -296,10 +296,10 @@ def unscaled_predictions(t):
     return preds(t).select("id", r6(mean).alias("y_mean"), r6(scaling.unstandardise_variance(F.col("y_var"), F.lit(2.5))).alias("y_var"))
 
 
-@query("F15", "SELECT o_orderkey AS id, round(o_totalprice * (8 * 0.0475 + 2.48) / 3600, 6) AS dollars FROM orders")
+@query("F15", "SELECT o_orderkey AS id, round(o_totalprice * (8.0 :: DOUBLE * 0.0475 / 3600 + 1.0 :: DOUBLE * 2.48 / 3600), 8) AS dollars FROM orders")
 def cloud_dollars(t):
     rate = scaling.cloud_dollars_per_second(F.lit(8.0), F.lit(1.0))
-    return t.orders.select(F.col("o_orderkey").alias("id"), r6(F.col("o_totalprice") * rate).alias("dollars"))
+    return t.orders.select(F.col("o_orderkey").alias("id"), F.round(F.col("o_totalprice") * rate, 8).alias("dollars"))
 
 
 @query(

@@ -53,10 +53,14 @@ def _context_windows(h: Column, radius: int) -> list[Column]:
 
 def _pairs(h: Column, radius: int) -> list[Column]:
     """Token pairs 1 ... 1 + ``radius`` apart."""
-    return [
-        F.zip_with(_to(h, d), _from(h, d), lambda a, b, d=d: _mix(_mix(a, b), F.lit(d).cast("long")))
-        for d in range(1, radius + 2)
-    ]
+
+
+    def at(distance: int) -> Column:
+        return F.zip_with(
+            _to(h, distance), _from(h, distance), lambda a, b: _mix(_mix(a, b), F.lit(distance).cast("long"))
+        )
+
+    return [at(d) for d in range(1, radius + 2)]
 
 
 def _paths(h: Column, radius: int) -> list[Column]:

@@ -38,11 +38,9 @@ def phi(z: Column) -> Column:
     near = decay * _horner(TAIL_NUMERATOR, x) / _horner(TAIL_DENOMINATOR, x)
     far = decay / (x + 1 / (x + 2 / (x + 3 / (x + 4 / (x + F.lit(0.65)))))) / F.lit(SQRT_2PI)
     tail = F.when(x > TAIL_END, F.lit(0.0)).when(x < TAIL_SPLIT, near).when(x.isNotNull(), far)
-    return F.when(z > 0, F.lit(1.0) - tail).otherwise(tail)
+    return F.abs(F.when(z > 0, F.lit(1.0)).otherwise(F.lit(0.0)) - tail)
 
 
-def hit_probability(mean: Column, var: Column, threshold: Column | float) -> Column:
-    """Probability that a normal prediction lies above ``threshold``; a certain prediction gives 0 or 1."""
-    t = threshold if isinstance(threshold, Column) else F.lit(float(threshold))
-    certain = (mean >= t).cast("double")
-    return F.when(var == 0, certain).otherwise(phi((mean - t) / F.sqrt(F.when(var != 0, var))))
+def standard_score(difference: Column, var: Column) -> Column:
+    """Difference in standard deviations; NULL for a certain prediction."""
+    return difference / F.sqrt(F.when(var != 0, var))

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .gaussian import pdf, phi
+from .gaussian import pdf, phi, standard_score
 from .random import normal, uniform
 
 #: What each metric reads from the surrogate.
@@ -63,21 +63,16 @@ def thompson(id_col: Column, mean: Column, var: Column, seed: int, stochastic: b
     return mean if stochastic else mean + F.sqrt(var) * normal(id_col, seed)
 
 
-def _improvement(mean: Column, best: Column, xi: float) -> Column:
+def improvement(mean: Column, best: Column, xi: float = 0.01) -> Column:
     return mean - best + F.lit(float(xi))
 
 
-def expected_improvement(mean: Column, var: Column, best: Column, xi: float = 0.01) -> Column:
-    gain = _improvement(mean, best, xi)
-    sd = F.sqrt(F.when(var != 0, var))
-    z = gain / sd
-    return F.when(var == 0, gain).otherwise(gain * phi(z) + sd * pdf(z))
+def expected_improvement(gain: Column, var: Column, z: Column) -> Column:
+    return F.when(var == 0, gain).otherwise(gain * phi(z) + F.sqrt(var) * pdf(z))
 
 
-def probability_of_improvement(mean: Column, var: Column, best: Column, xi: float = 0.01) -> Column:
-    gain = _improvement(mean, best, xi)
-    certain = (gain > 0).cast("double")
-    return F.when(var == 0, certain).otherwise(phi(gain / F.sqrt(F.when(var != 0, var))))
+def probability_of_improvement(gain: Column, var: Column, z: Column) -> Column:
+    return F.when(var == 0, (gain > 0).cast("double")).otherwise(phi(z))
 
 
 def needs(metric: str) -> frozenset[str]:
@@ -93,21 +88,24 @@ def check_supported(metric: str, provides: frozenset[str] | set[str]) -> None:
         raise ValueError(f"metric {metric!r} needs {sorted(missing)}, which the model does not provide")
 
 
-def utility(
+def with_utility(
+    preds: DataFrame,
     metric: str,
-    id_col: Column,
-    mean: Column,
-    var: Column,
     options: UtilityOptions = UtilityOptions(),
     best: Column | None = None,
     mean_sd: Column | None = None,
-) -> Column:
-    """Utility Column for a metric name. ``best`` is read by ei and pi, ``mean_sd`` by noisy."""
+) -> DataFrame:
+    """Add ``utility`` to ``(id, y_mean, y_var)``. ``best`` is read by ei and pi, ``mean_sd`` by noisy.
+
+    The gain and its standard score are columns of their own, because the distribution function mentions its argument
+    many times and an inlined argument would be generated as often.
+    """
     needs(metric)
-    best = F.lit(float("-inf")) if best is None else best
     if metric == "noisy" and mean_sd is None:
         raise ValueError("noisy needs the spread of all means")
-    return {
+    id_col, mean, var = F.col("id"), F.col("y_mean"), F.col("y_var")
+    gain, z = F.col("_gain"), F.col("_z")
+    value = {
         "random": lambda: uniform(id_col, options.seed),
         "threshold": lambda: above_threshold(id_col, mean, options.threshold, options.seed),
         "greedy": lambda: greedy(mean),
@@ -116,6 +114,11 @@ def utility(
         "lcb": lambda: lcb(mean, var, options.beta),
         "thompson": lambda: thompson(id_col, mean, var, options.seed, options.stochastic),
         "ts": lambda: thompson(id_col, mean, var, options.seed, options.stochastic),
-        "ei": lambda: expected_improvement(mean, var, best, options.xi),
-        "pi": lambda: probability_of_improvement(mean, var, best, options.xi),
+        "ei": lambda: expected_improvement(gain, var, z),
+        "pi": lambda: probability_of_improvement(gain, var, z),
     }[metric]()
+    if metric not in ("ei", "pi"):
+        return preds.withColumn("utility", value)
+    best = F.lit(float("-inf")) if best is None else best
+    staged = preds.withColumn("_gain", improvement(mean, best, options.xi)).withColumn("_z", standard_score(gain, var))
+    return staged.withColumn("utility", value).drop("_gain", "_z")

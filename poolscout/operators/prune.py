@@ -5,11 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.gaussian import hit_probability
+from ..functions.gaussian import phi, standard_score
 
 
 def with_hit_probability(preds: DataFrame, threshold: Column | float) -> DataFrame:
-    return preds.withColumn("p_hit", hit_probability(F.col("y_mean"), F.col("y_var"), threshold))
+    """Add ``p_hit``, the probability that a prediction reaches the threshold; a certain prediction gives 0 or 1."""
+    t = threshold if isinstance(threshold, Column) else F.lit(float(threshold))
+    mean, var = F.col("y_mean"), F.col("y_var")
+    staged = preds.withColumn("_above", mean - t).withColumn("_z", standard_score(F.col("_above"), var))
+    chance = F.when(var == 0, (F.col("_above") >= 0).cast("double")).otherwise(phi(F.col("_z")))
+    return staged.withColumn("p_hit", chance).drop("_above", "_z")
 
 
 def retain(preds: DataFrame, threshold: Column | float, p_min: float = 0.025) -> DataFrame:
@@ -23,7 +28,7 @@ def expected_positives_pruned(
     """One row: the number of hits expected among the dropped candidates."""
     dropped = preds.join(retained.select("id"), "id", "left_anti")
     if with_variance:
-        chance = hit_probability(F.col("y_mean"), F.col("y_var"), threshold)
+        dropped, chance = with_hit_probability(dropped, threshold), F.col("p_hit")
     else:
         t = threshold if isinstance(threshold, Column) else F.lit(float(threshold))
         chance = (F.col("y_mean") >= t).cast("double")

@@ -77,12 +77,12 @@ def running_top_k_average(runs: DataFrame, k: int, chunk_rows: int = CHUNK_ROWS)
     chunks = state.agg(F.max("chunk")).first()[0]
     inclusive, reach = state, 1
     while chunks is not None and reach <= chunks:
-        earlier = inclusive.select("run_id", (F.col("chunk") + reach).alias("chunk"), F.col("best").alias("_before"))
+        earlier = inclusive.select(F.col("run_id").alias("run_id"), (F.col("chunk") + reach).alias("chunk"), F.col("best").alias("_before"))
         joined = inclusive.join(earlier, ["run_id", "chunk"], "left")
         merged = F.slice(F.sort_array(F.concat("best", F.coalesce("_before", F.array().cast("array<double>"))), asc=False), 1, k)
         inclusive = cut(joined.select("run_id", "chunk", merged.alias("best")))
         reach *= 2
-    starts = inclusive.select("run_id", (F.col("chunk") + 1).alias("chunk"), "best")
+    starts = inclusive.select(F.col("run_id").alias("run_id"), (F.col("chunk") + 1).alias("chunk"), F.col("best").alias("best"))
 
     def walk(rows: pd.DataFrame, start: pd.DataFrame) -> pd.DataFrame:
         if rows.empty:

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import RunConfig, batch_rows, budget_rows, top_k_rows
-from ..functions.utility import UtilityOptions, check_supported, needs, utility
+from ..functions.utility import UtilityOptions, check_supported, needs, with_utility
 from ..operators.acquire import (
     acquire_batch,
     acquire_batch_by_cluster,
@@ -60,7 +60,7 @@ class Exploration:
         self.budget = budget_rows(config.budget, self.full_rows)
         self.clustered = "cluster_id" in pool.columns
         self.iter, self.adjustment, self.generation = 0, 0, 0
-        self.exhausted = False
+        self.exhausted = self.fitted = False
         self.recent_avgs: list[float] = []
         self.n_scores = 0
         if resume:
@@ -90,7 +90,7 @@ class Exploration:
         while not self.completed:
             self.explore_batch()
         self.log.write_final(self.explored().select("id", "score"))
-        return self.log.read("iterations", self.iter - 1)
+        return self.iterations()
 
     def final_averages(self) -> dict[float, float]:
         """Top-k averages at fixed fractions of the full pool."""
@@ -105,7 +105,7 @@ class Exploration:
             batch = initial_batch(self.pool.select("id"), n, self.config.seed)
         acquired = self._label(batch)
         self.exhausted = acquired == 0
-        self._finish_round()
+        self._finish_round(acquired)
 
     def explore_batch(self) -> None:
         if self.iter == 0:
@@ -115,19 +115,20 @@ class Exploration:
         preds = self._predictions(done)
         if self.config.prune:
             preds = self._prune(preds, done)
-        scored = preds.withColumn("utility", self._utility(preds, done))
+        scored = self._with_utility(preds, done)
         if self.clustered:
             batch = acquire_batch_by_cluster(scored, done, n, self.iter - 1, self.config.temp_i, self.config.temp_f)
         else:
             batch = acquire_batch(scored, done, n, self.config.epsilon, self.config.seed + self.iter)
         acquired = self._label(batch)
         self.exhausted = acquired < n
-        self._finish_round()
+        self._finish_round(acquired)
 
     def _predictions(self, done: DataFrame) -> DataFrame:
         labelled = done.select("id", "score", "iter")
         rows = training_rows(labelled, done.select("id", "features"), self.config.retrain)
         self.surrogate.fit(rows)
+        self.fitted = True
         mean_only = "vars" not in needs(self.config.metric) and not self.config.prune
         columns = ["id", "y_mean", "y_var", *(["cluster_id"] if self.clustered else [])]
         return self.log.write("preds", self.iter, self.surrogate.predict(self.pool, mean_only).select(*columns))
@@ -145,52 +146,50 @@ class Exploration:
         self.pool = self.log.write("pool", self.generation, self.pool.join(ids, "id", "left_semi"))
         return preds.join(ids, "id", "left_semi")
 
-    def _utility(self, preds: DataFrame, done: DataFrame):
+    def _with_utility(self, preds: DataFrame, done: DataFrame) -> DataFrame:
         c = self.config
         options = UtilityOptions(c.beta, c.xi, c.threshold, c.seed + self.iter, "stochastic" in self.surrogate.provides)
         best = F.lit(float(kth_best(done, self.k).first()["best"])) if c.metric in ("ei", "pi") else None
         spread = preds.agg(F.stddev_pop("y_mean").alias("s")).scalar() if c.metric == "noisy" else None
-        return utility(c.metric, F.col("id"), F.col("y_mean"), F.col("y_var"), options, best, spread)
+        return with_utility(preds, c.metric, options, best, spread)
 
     def _label(self, batch: DataFrame) -> int:
         """Label a batch and store it with its features, so that training never scans the pool again."""
         ids = self.log.write("batch", self.iter, batch.select("id"))
         n = ids.count()
-        self.last_batch = n
         rows = self.pool.select("id", "features").join(broadcast_if_small(ids, n), "id", "left_semi")
-        labels = self.log.write("labels", self.iter, self.objective(ids))
-        self.log.write("explored", self.iter, rows.join(labels, "id", "left").select("id", "score", "features"))
+        self.log.write("explored", self.iter, rows.join(self.objective(ids), "id", "left").select("id", "score", "features"))
         self.n_scores += n
         return n
 
-    def _finish_round(self) -> None:
+    def _finish_round(self, acquired: int) -> None:
+        """Averages of the round, then its state: the last thing written, so an interrupted round is simply repeated."""
         done = self.log.read("explored", self.iter)
-        average = top_k_average(done, self.k).first()["top_k_avg"]
-        if self.n_scores >= self.k:
-            self.recent_avgs.append(average)
-        batch_mean = self.log.read("explored").filter(F.col("iter") == self.iter).agg(F.avg("score")).first()[0]
-        row = [(self.n_scores, self.last_batch, batch_mean, average if self.n_scores >= self.k else None)]
-        schema = "n_scores BIGINT, n_new BIGINT, batch_mean DOUBLE, top_k_avg DOUBLE"
-        self.log.write("iterations", self.iter, self.spark.createDataFrame(row, schema).coalesce(1))
+        batch_mean = done.filter(F.col("iter") == self.iter).agg(F.avg("score").alias("m")).scalar()
+        means = top_k_average(done, self.k).select("top_k_avg", batch_mean.alias("batch_mean")).first()
+        enough = self.n_scores >= self.k
+        if enough:
+            self.recent_avgs.append(means["top_k_avg"])
         self.iter += 1
-        every = max(self.config.checkpoint_every, 1)
-        if self.iter % every == 0 or self.completed:
-            self.checkpoint()
-
-    def checkpoint(self) -> None:
-        """Scalars and model; the tables are already in the log."""
         self.log.write_state(
-            {"iter": self.iter, "adjustment": self.adjustment, "exhausted": self.exhausted,
-             "generation": self.generation, "recent_avgs": self.recent_avgs}
+            {
+                "next_iter": self.iter, "adjustment": self.adjustment, "exhausted": self.exhausted,
+                "generation": self.generation, "recent_avgs": self.recent_avgs, "n_scores": self.n_scores,
+                "n_new": acquired, "batch_mean": means["batch_mean"], "top_k_avg": means["top_k_avg"] if enough else None,
+            }
         )
-        if self.iter > 1:
-            self.surrogate.save(f"{self.log.path}/model/iter={self.iter}")
+        if self.fitted and (self.iter % max(self.config.checkpoint_every, 1) == 0 or self.completed):
+            self.surrogate.save(f"{self.log.path}/model/iter={self.iter - 1}")
+
+    def iterations(self) -> DataFrame:
+        """One row per finished round."""
+        return self.log.read("state", self.iter - 1).select("iter", "n_scores", "n_new", "batch_mean", "top_k_avg")
 
     def _restore(self) -> None:
         state = self.log.read_state()
-        self.iter, self.adjustment, self.generation = state["iter"], state["adjustment"], state["generation"]
+        self.iter, self.adjustment, self.generation = state["next_iter"], state["adjustment"], state["generation"]
         self.exhausted, self.recent_avgs = state["exhausted"], list(state["recent_avgs"])
-        self.n_scores = self.explored().count()
+        self.n_scores = state["n_scores"]
         if self.generation:
             self.pool = self.log.read("pool").filter(F.col("iter") == self.generation).drop("iter")
 

@@ -1,6 +1,6 @@
 """Everything a run leaves behind, as Parquet tables below one folder.
 
-``explored``, ``preds``, ``retained`` and ``iterations`` have one partition per iteration. A round overwrites its own
+``explored``, ``preds``, ``retained`` and ``state`` have one partition per iteration. A round overwrites its own
 partition, so a repeated round leaves the same result.
 """
 
@@ -15,12 +15,29 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+#: What a round leaves besides its tables. One row per round; together they are the iteration table.
+STATE = T.StructType(
+    [
+        T.StructField("next_iter", T.IntegerType()),
+        T.StructField("adjustment", T.LongType()),
+        T.StructField("exhausted", T.BooleanType()),
+        T.StructField("generation", T.IntegerType()),
+        T.StructField("recent_avgs", T.ArrayType(T.DoubleType())),
+        T.StructField("n_scores", T.LongType()),
+        T.StructField("n_new", T.LongType()),
+        T.StructField("batch_mean", T.DoubleType()),
+        T.StructField("top_k_avg", T.DoubleType()),
+    ]
+)
+
+
 class RunLog:
     """Tables of one run."""
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark = spark
         self.path = path.rstrip("/")
+        self._schemas: dict[str, T.StructType] = {}
 
     def _part(self, table: str, iteration: int) -> str:
         return f"{self.path}/{table}/iter={iteration}"
@@ -28,11 +45,15 @@ class RunLog:
     def write(self, table: str, iteration: int, rows: DataFrame) -> DataFrame:
         """Write one iteration of a table and read it back, which also cuts its lineage."""
         rows.write.mode("overwrite").parquet(self._part(table, iteration))
+        self._schemas[table] = rows.schema
         return self.spark.read.schema(rows.schema).parquet(self._part(table, iteration))
 
     def read(self, table: str, last: int | None = None) -> DataFrame:
         """All iterations of a table, up to ``last``."""
-        rows = self.spark.read.option("basePath", f"{self.path}/{table}").parquet(f"{self.path}/{table}")
+        reader = self.spark.read.option("basePath", f"{self.path}/{table}")
+        if table in self._schemas:
+            reader = reader.schema(T.StructType([*self._schemas[table], T.StructField("iter", T.IntegerType())]))
+        rows = reader.parquet(f"{self.path}/{table}")
         return rows if last is None else rows.filter(F.col("iter") <= last)
 
     def predictions(self, iteration: int, iterations: int) -> DataFrame:
@@ -56,14 +77,12 @@ class RunLog:
 
     def write_state(self, state: Mapping[str, Any]) -> None:
         """Scalars of a run. A restart reads them together with the tables."""
-        schema = "iter INT, adjustment BIGINT, exhausted BOOLEAN, generation INT, recent_avgs ARRAY<DOUBLE>"
-        row = (state["iter"], state["adjustment"], state["exhausted"], state["generation"], list(state["recent_avgs"]))
-        self.spark.createDataFrame([row], schema).coalesce(1).write.mode("overwrite").parquet(self._part("state", state["iter"]))
+        row = self.spark.createDataFrame([tuple(state[name] for name in STATE.fieldNames())], STATE)
+        self.write("state", state["next_iter"] - 1, row.coalesce(1))
 
     def read_state(self) -> dict[str, Any]:
         """Scalars of the latest completed round."""
-        states = self.spark.read.parquet(*[f"{self.path}/state/iter=*"])
-        return states.orderBy(F.col("iter").desc()).first().asDict()
+        return self.read("state").orderBy(F.col("iter").desc()).first().asDict()
 
     def write_final(self, explored: DataFrame) -> None:
         """All labels, best first, failures last; a range sort, so no task writes everything."""

@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pandas as pd
 from pyspark.ml.regression import GBTRegressionModel, GBTRegressor, LinearRegression, LinearRegressionModel
+from pyspark import inheritable_thread_target
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -81,10 +83,15 @@ class EnsembleSurrogate(Surrogate):
 
     def fit(self, rows: DataFrame) -> "EnsembleSurrogate":
         weight: Callable[[int], Column] = _poisson_weight if self.bootstrap else lambda s: F.lit(1.0)
-        self.models = [
-            MAKERS[self.kind](self.seed + i).fit(_labelled(rows, weight(self.seed + i)).filter("weight > 0"))
-            for i in range(self.members)
-        ]
+        spark = rows.sparkSession
+        kept = rows.select("id", "features", "score").persist()
+
+        def fit_member(i: int):
+            return MAKERS[self.kind](self.seed + i).fit(_labelled(kept, weight(self.seed + i)).filter("weight > 0"))
+
+        with ThreadPoolExecutor(self.members) as threads:
+            self.models = list(threads.map(inheritable_thread_target(spark)(fit_member), range(self.members)))
+        kept.unpersist()
         return self
 
     def predict(self, pool: DataFrame, mean_only: bool = True) -> DataFrame:

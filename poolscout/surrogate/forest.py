@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
+from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import RandomForestRegressionModel, RandomForestRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -49,10 +52,6 @@ class ForestSurrogate(Surrogate):
         scored = self.model.transform(pool.withColumn("vector", vectors(F.col("features"))))
         if mean_only:
             return scored.select(*pool.columns, F.col("prediction").alias("y_mean"), no_variance())
-        import numpy as np
-        import pandas as pd
-        from pyspark.ml.functions import vector_to_array
-
         values = self._leaf_values(pool)
         table = np.full((self.trees, max(len(v) for v in values)), np.nan)
         for t, leaf_values in enumerate(values):

@@ -11,7 +11,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.mllib.linalg.distributed import RowMatrix
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,7 +30,10 @@ def _random_features(kernel: str, dims: int, count: int, scale: float, seed: int
 
 
 class GaussianProcessSurrogate(Surrogate):
-    """Kernels ``dot`` (also ``dotproduct``), ``rbf`` and ``matern``. Targets are standardised."""
+    """Kernels ``dot`` (also ``dotproduct``), ``rbf`` and ``matern``. Targets are standardised.
+
+    Every task adds up the products of its own rows, so each group of ``add_up`` has one row per task.
+    """
 
     provides = frozenset({"means", "vars"})
 
@@ -66,14 +68,23 @@ class GaussianProcessSurrogate(Surrogate):
             raise ValueError(f"at most {MAX_FEATURES} features, got {self.dims}")
         expand, mu, sd = self._expand(), self.mu, self.sd
 
-        def design(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def partial_products(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            total = None
             for frame in frames:
                 x = expand(np.vstack(frame["features"].to_numpy()).astype(float))
                 y = (frame["score"].to_numpy()[:, None] - mu) / sd
-                yield pd.DataFrame({"row": list(np.hstack([x, y]))})
-
-        matrix = rows.select("features", "score").mapInPandas(design, "row array<double>")
-        gram = RowMatrix(matrix.rdd.map(lambda r: r["row"])).computeGramianMatrix().toArray()
+                both = np.hstack([x, y])
+                total = both.T @ both if total is None else total + both.T @ both
+            if total is not None:
+                yield pd.DataFrame({"row": np.arange(len(total)), "products": list(total)})
+
+        def add_up(key: tuple, parts: pd.DataFrame) -> pd.DataFrame:
+            return pd.DataFrame({"row": [key[0]], "products": [np.sum(np.vstack(parts["products"].to_numpy()), axis=0)]})
+
+        schema = "row int, products array<double>"
+        products = rows.select("features", "score").mapInPandas(partial_products, schema)
+        summed = products.groupBy("row").applyInPandas(add_up, schema).orderBy("row").toPandas()
+        gram = np.vstack(summed["products"].to_numpy())
         xx, xy, yy = gram[:-1, :-1], gram[:-1, -1], gram[-1, -1]
         d = len(xx)
         ridge = np.linalg.solve(xx + np.eye(d) * 1e-3, xy)
