@@ -185,7 +185,7 @@ def acquire_large_batch(t):
     """A quarter of the pool through the distributed ranking that large batches take."""
     pool = preds(t)
     open_rows = acquire.exclude_explored(pool.select("id", F.col("y_mean").alias("utility")), explored(t))
-    batch = top_n(open_rows, pool.count() // 4, acquire.best_utility(), gather_rows=0)
+    batch = top_n(open_rows, pool.count() // 4, acquire.best_utility(), "utility", gather_rows=0)
     return batch.select("id", r6("utility").alias("utility"))
 
 

@@ -8,7 +8,7 @@ from ..config import top_k_rows
 from ..functions.scaling import PREDICTION_DOLLARS_PER_ROW, TRAINING_DOLLARS_PER_LABEL
 from ..operators import prune, stats
 from ..operators.acquire import first_with_score
-from ..operators.ordered import rank_within
+from ..operators.ordered import rank_within, top_n_each
 from ..plans import curves, rewards
 from .registry import explored, pool_scores, query, r6, retained_sizes, runs, trials
 
@@ -284,7 +284,7 @@ by_run AS (SELECT f.target, f.arm, f.rep, avg(f.score) / any_value(a) AS f_avg,
 
 
 def _trial_rewards(t):
-    hits = rank_within(trials(t), ["target"], [F.col("score").desc(), F.col("id").desc()], "_r").filter(F.col("_r") <= TRIAL_N)
+    hits = top_n_each(trials(t), ["target"], TRIAL_N, [F.col("score").desc(), F.col("id").desc()])
     return rewards.rewards(trials(t), ["target", "arm", "rep"], hits.select("target", "id", "score"), TRIAL_N, by=["target"])
 
 

@@ -91,8 +91,7 @@ def runs(t: Tables) -> DataFrame:
     from ..operators.ordered import rank_within
 
     rows = run_rows(t)
-    sizes = rows.groupBy("run_id").agg(F.count(F.lit(1)).alias("n"))
-    numbered = rank_within(rows, ["run_id"], [F.col("ts").asc(), F.col("id").asc()], "seq").join(sizes, "run_id")
+    numbered = rank_within(rows, ["run_id"], [F.col("ts").asc(), F.col("id").asc()], "seq", total="n")
     return numbered.select("run_id", "seq", F.expr("cast((seq - 1) * 20 div n as int)").alias("iter"), "id", "score")
 
 

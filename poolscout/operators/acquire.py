@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.random import uniform
 from ..functions.scaling import cluster_decay, temperature
-from ..session import broadcast_if_small
+from ..session import SMALL_ROWS, broadcast_if_small
 from .ordered import rank_within, top_n, top_per_group
 
 
@@ -25,7 +25,7 @@ def exclude_explored(pool: DataFrame, explored: DataFrame) -> DataFrame:
 
 def initial_batch(pool: DataFrame, n: int, seed: int) -> DataFrame:
     """Uniform sample of exactly ``n`` candidates without replacement."""
-    return top_n(pool.withColumn("utility", uniform(F.col("id"), seed)), n, best_utility())
+    return top_n(pool.withColumn("utility", uniform(F.col("id"), seed)), n, best_utility(), "utility")
 
 
 def cluster_quotas(sizes: DataFrame, batch: int, pool_rows: int) -> DataFrame:
@@ -34,18 +34,24 @@ def cluster_quotas(sizes: DataFrame, batch: int, pool_rows: int) -> DataFrame:
     return sizes.select("cluster_id", share.alias("quota"))
 
 
+def _by_quota(rows: DataFrame, quotas: DataFrame, pool_rows: int, batch: int) -> DataFrame:
+    """Each cluster's best rows; a large pool is narrowed down to likely winners first."""
+    worthwhile = pool_rows > SMALL_ROWS and batch < pool_rows // 4
+    return top_per_group(rows, "cluster_id", best_utility(), quotas, "utility" if worthwhile else None)
+
+
 def initial_batch_by_cluster(pool: DataFrame, n: int, seed: int) -> DataFrame:
     """Random sample with a share for every cluster; may exceed ``n`` by the rounding."""
     rows = pool.count()
     quotas = cluster_quotas(pool.groupBy("cluster_id").count(), n, rows)
-    return top_per_group(pool.withColumn("utility", uniform(F.col("id"), seed)), "cluster_id", best_utility(), quotas)
+    return _by_quota(pool.withColumn("utility", uniform(F.col("id"), seed)), quotas, rows, n)
 
 
 def explore_some_at_random(scored: DataFrame, n: int, seed: int) -> DataFrame:
     """Give ``n`` random candidates unbeatable utility."""
     if n == 0:
         return scored
-    drawn = top_n(scored.select("id", uniform(F.col("id"), seed).alias("_u")), n, [F.col("_u").desc(), F.col("id").desc()])
+    drawn = top_n(scored.select("id", uniform(F.col("id"), seed).alias("_u")), n, [F.col("_u").desc(), F.col("id").desc()], "_u")
     flagged = drawn.select("id", F.lit(True).alias("_random"))
     return (
         scored.join(broadcast_if_small(flagged, n), "id", "left")
@@ -57,7 +63,7 @@ def explore_some_at_random(scored: DataFrame, n: int, seed: int) -> DataFrame:
 def acquire_batch(scored: DataFrame, explored: DataFrame, n: int, epsilon: float = 0.0, seed: int = 42) -> DataFrame:
     """The ``n`` unlabelled candidates of highest (utility, id), best first."""
     open_rows = exclude_explored(scored, explored)
-    return top_n(explore_some_at_random(open_rows, math.ceil(n * epsilon), seed), n, best_utility())
+    return top_n(explore_some_at_random(open_rows, math.ceil(n * epsilon), seed), n, best_utility(), "utility")
 
 
 def acquire_batch_by_cluster(
@@ -75,7 +81,7 @@ def acquire_batch_by_cluster(
         quotas = quotas.join(local, "cluster_id").select(
             "cluster_id", F.ceil(keep * F.col("quota")).cast("long").alias("quota")
         )
-    return top_per_group(open_rows, "cluster_id", best_utility(), quotas)
+    return _by_quota(open_rows, quotas, rows, n)
 
 
 def _failures_last() -> list[Column]:
@@ -89,7 +95,7 @@ def top_explored(explored: DataFrame, n: int) -> DataFrame:
 
 def top_predicted(preds: DataFrame, n: int) -> DataFrame:
     """Highest predicted means."""
-    return top_n(preds, n, [F.col("y_mean").desc(), F.col("id").desc()])
+    return top_n(preds, n, [F.col("y_mean").desc(), F.col("id").desc()], "y_mean")
 
 
 def first_with_score(log: DataFrame, n: int) -> DataFrame:
@@ -100,7 +106,7 @@ def first_with_score(log: DataFrame, n: int) -> DataFrame:
 def kth_best(explored: DataFrame, k: int, column: str = "score") -> DataFrame:
     """One row: the k-th largest label, or the largest when there are fewer than ``k``. Failures count as -inf."""
     values = explored.select("id", F.coalesce(F.col(column), F.lit(float("-inf"))).alias("y"))
-    best = top_n(values, k, [F.col("y").desc(), F.col("id").desc()])
+    best = top_n(values, k, [F.col("y").desc(), F.col("id").desc()], "y")
     return best.agg(F.when(F.count(F.lit(1)) >= k, F.min("y")).otherwise(F.max("y")).alias("best"))
 
 

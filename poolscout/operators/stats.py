@@ -23,12 +23,8 @@ def quantiles(df: DataFrame, keys: Sequence[str], value: str, tie: str, at: Sequ
 
     Ranks come from a range sort, so a heavy key needs neither one task nor a buffer of its distinct values.
     """
-    ranked = rank_within(df.filter(F.col(value).isNotNull()).select(*keys, value, tie), keys, [F.col(value).asc(), F.col(tie).asc()], "_rank")
-    sizes = df.filter(F.col(value).isNotNull()).groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    if keys:
-        ranked = ranked.join(sizes, list(keys))
-    else:
-        ranked = ranked.withColumn("_n", F.lit(sizes.first()["_n"]))
+    known = df.filter(F.col(value).isNotNull()).select(*keys, value, tie)
+    ranked = rank_within(known, keys, [F.col(value).asc(), F.col(tie).asc()], "_rank", total="_n")
     outputs = []
     for q in at:
         position = F.lit(float(q)) * (F.col("_n") - 1)

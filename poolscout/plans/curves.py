@@ -22,7 +22,7 @@ from ..session import cut
 def true_top(scores: DataFrame, k: int) -> DataFrame:
     """The true top-k ``(id, score)``."""
     known = scores.filter(F.col("score").isNotNull()).select("id", "score")
-    return top_n(known, k, [F.col("score").desc(), F.col("id").desc()])
+    return top_n(known, k, [F.col("score").desc(), F.col("id").desc()], "score")
 
 
 def recall_by_score(runs: DataFrame, hits: DataFrame, k: int) -> DataFrame:

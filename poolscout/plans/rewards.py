@@ -8,14 +8,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from ..operators.ordered import rank_within
+from ..operators.ordered import top_n_each
 from ..operators.stats import replicate_stats, t_statistic
 
 
 def found_top(runs: DataFrame, keys: Sequence[str], n: int) -> DataFrame:
     """Each run's ``n`` best labels, failures last."""
     order = [F.col("score").desc_nulls_last(), F.col("id").desc()]
-    return rank_within(runs, keys, order, "_rank").filter(F.col("_rank") <= n).drop("_rank")
+    return top_n_each(runs, keys, n, order)
 
 
 def rewards(runs: DataFrame, keys: Sequence[str], hits: DataFrame, n: int, by: Sequence[str] = ()) -> DataFrame:
