@@ -39,6 +39,23 @@ def _slices(frame: pd.DataFrame, rows: int = 2048) -> Iterator[pd.DataFrame]:
         yield frame.iloc[start : start + rows]
 
 
+def _settle(length: int, floor: float):
+    """One-by-one pass over a bounded block, in one task."""
+
+    def settle(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        block = pd.concat(list(frames)).sort_values("id").reset_index(drop=True)
+        matrix = _matrix(block["bits"], length)
+        near = np.zeros(len(block), dtype=bool)
+        chosen = []
+        for i in range(len(block)):
+            if not near[i]:
+                chosen.append(i)
+                near |= _similarity(matrix, matrix[i : i + 1])[:, 0] >= floor
+        yield block.iloc[chosen]
+
+    return settle
+
+
 def pick_leaders(
     items: DataFrame, length: int, max_distance: float = 0.65, max_picks: int | None = None, block: int = BLOCK
 ) -> DataFrame:
@@ -54,32 +71,26 @@ def pick_leaders(
     picked: DataFrame | None = None
     n_picked = 0
     while True:
-        head = open_items.orderBy("id").limit(block).collect()
-        if not head:
+        head = cut(open_items.orderBy("id").limit(block))
+        ends = head.agg(F.count(F.lit(1)).alias("n"), F.max("id").alias("last")).first()
+        if not ends["n"]:
             break
-        matrix = _matrix([r["bits"] for r in head], length)
-        chosen: list[int] = []
-        near = np.zeros(len(head), dtype=bool)
-        for i in range(len(head)):
-            if near[i]:
-                continue
-            chosen.append(i)
-            near |= _similarity(matrix, matrix[i : i + 1])[:, 0] >= floor
+        new = cut(head.coalesce(1).mapInPandas(_settle(length, floor), head.schema).orderBy("id"))
         if max_picks is not None:
-            chosen = chosen[: max_picks - n_picked]
-        n_picked += len(chosen)
-        new = spark.createDataFrame([(head[i]["id"], head[i]["bits"]) for i in chosen], items.select("id", "bits").schema)
+            new = cut(new.limit(max_picks - n_picked))
+        leaders = new.collect()
+        n_picked += len(leaders)
         picked = new if picked is None else cut(picked.unionByName(new))
-        if max_picks is not None and n_picked >= max_picks or len(head) < block:
+        if max_picks is not None and n_picked >= max_picks or ends["n"] < block:
             break
-        shared = spark.sparkContext.broadcast(matrix[chosen])
+        shared = spark.sparkContext.broadcast(_matrix([r["bits"] for r in leaders], length))
 
         def far_from_leaders(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for frame in frames:
                 for part in _slices(frame):
                     yield part[(_similarity(_matrix(part["bits"], length), shared.value) < floor).all(axis=1)]
 
-        later = open_items.filter(F.col("id") > head[-1]["id"])
+        later = open_items.filter(F.col("id") > ends["last"])
         open_items = cut(later.mapInPandas(far_from_leaders, open_items.schema))
     return picked if picked is not None else items.select("id", "bits").limit(0)
 

@@ -1,7 +1,7 @@
 """Bayesian linear regression: the Gaussian process with a dot kernel, and others through random features.
 
-The only thing that leaves the cluster is the matrix of feature products, whose size depends on the number of
-features and not on the number of rows.
+Only the solved weights and their covariance reach the driver; their size depends on the number of features and not
+on the number of rows.
 """
 
 from __future__ import annotations
@@ -11,6 +11,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,10 +31,22 @@ def _random_features(kernel: str, dims: int, count: int, scale: float, seed: int
     return freq, rng.uniform(0.0, 2.0 * np.pi, size=count)
 
 
+def _posterior(gram: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Mean and covariance of the weights under a unit prior; the noise is that of the least-squares residuals."""
+    xx, xy, yy = gram[:-1, :-1], gram[:-1, -1], gram[-1, -1]
+    d = len(xx)
+    ridge = np.linalg.solve(xx + np.eye(d) * 1e-3, xy)
+    residual = max(float(yy - 2 * ridge @ xy + ridge @ xx @ ridge), 0.0)
+    noise = max(residual / max(n - d, 1), 1e-6)
+    covariance = np.linalg.inv(xx / noise + np.eye(d))
+    return covariance @ xy / noise, covariance
+
+
 class GaussianProcessSurrogate(Surrogate):
     """Kernels ``dot`` (also ``dotproduct``), ``rbf`` and ``matern``. Targets are standardised.
 
-    Every task adds up the products of its own rows, so each group of ``add_up`` has one row per task.
+    Every task adds up the products of its own rows, the partial sums are added on the JVM side, and one task solves
+    the system, whose size is the number of features.
     """
 
     provides = frozenset({"means", "vars"})
@@ -78,20 +92,21 @@ class GaussianProcessSurrogate(Surrogate):
             if total is not None:
                 yield pd.DataFrame({"row": np.arange(len(total)), "products": list(total)})
 
-        def add_up(key: tuple, parts: pd.DataFrame) -> pd.DataFrame:
-            return pd.DataFrame({"row": [key[0]], "products": [np.sum(np.vstack(parts["products"].to_numpy()), axis=0)]})
-
         schema = "row int, products array<double>"
         products = rows.select("features", "score").mapInPandas(partial_products, schema)
-        summed = products.groupBy("row").applyInPandas(add_up, schema).orderBy("row").toPandas()
-        gram = np.vstack(summed["products"].to_numpy())
-        xx, xy, yy = gram[:-1, :-1], gram[:-1, -1], gram[-1, -1]
-        d = len(xx)
-        ridge = np.linalg.solve(xx + np.eye(d) * 1e-3, xy)
-        residual = max(float(yy - 2 * ridge @ xy + ridge @ xx @ ridge), 0.0)
-        noise = max(residual / max(stats["n"] - d, 1), 1e-6)
-        self.covariance = np.linalg.inv(xx / noise + np.eye(d))
-        self.weights = self.covariance @ xy / noise
+        total = Summarizer.sum(array_to_vector("products"))
+        n = stats["n"]
+
+        def solve(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            sums = pd.concat(list(frames)).sort_values("row")
+            weights, covariance = _posterior(np.vstack(sums["products"].to_numpy()), n)
+            yield pd.DataFrame({"row": np.arange(len(weights)), "weight": weights, "covariance": list(covariance)})
+
+        summed = products.groupBy("row").agg(vector_to_array(total).alias("products"))
+        solved = summed.coalesce(1).mapInPandas(solve, "row int, weight double, covariance array<double>").collect()
+        solved = sorted(solved, key=lambda r: r["row"])
+        self.weights = np.array([r["weight"] for r in solved])
+        self.covariance = np.array([r["covariance"] for r in solved])
         return self
 
     def predict(self, pool: DataFrame, mean_only: bool = True) -> DataFrame:

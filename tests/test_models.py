@@ -140,7 +140,7 @@ def test_every_metric_runs(spark, pool, labels, metric):
 
 
 def test_pruning_shrinks_the_pool(spark, pool, labels):
-    run = explore(spark, pool, labels, make_surrogate("gp"), config(metric="ucb", prune=True, max_iters=2))
+    run = explore(spark, pool, labels, make_surrogate("gp"), config(metric="ucb", prune=True, max_iters=2, batch_sizes=(3,)))
     run.run()
     sizes = [r["count"] for r in run.log.read("retained").groupBy("iter").count().orderBy("iter").collect()]
     assert N > sizes[0] >= sizes[1] >= 20
