@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import RunConfig
+from ..functions.fingerprint import dense_bits, fingerprint
 from ..operators.clusters import cluster_pool
 from ..operators.objectives import lookup_objective
 from ..plans.explore import Exploration, sweep
-from ..session import scratch_path
+from ..session import scratch_path, spread_few_splits
 from ..surrogate.factory import make_surrogate
 from .registry import Tables, preds, query, r6, uniform_sql
 
@@ -151,6 +152,24 @@ def exploration_by_cluster(t):
     return rows.select("iter", "n_scores", "n_new")
 
 
+@query("L2 L3 X2 X6 U2 M2")
+def exploration_of_documents(t):
+    """Strings to fingerprints to predictions: distinct documents, their whole texts as 256 bits, looked-up quality.
+
+    The fingerprints are written once, as the pool is read again in every round.
+    """
+    texts = spread_few_splits(t.documents.select(F.col("doc_id").alias("id"), "text"))
+    bits = texts.select("id", fingerprint(F.col("text"), "pair", 1, 256).alias("bits"), F.md5(F.col("text").cast("binary")).alias("copy"))
+    distinct = bits.filter("bits IS NOT NULL").groupBy("copy").agg(F.min(F.struct("id", "bits")).alias("first"))
+    path = scratch_path(t.spark, "fingerprints")
+    distinct.select("first.id", "first.bits").write.parquet(path)
+    pool = t.spark.read.parquet(path).select("id", dense_bits(F.col("bits"), 256).alias("features"))
+    labels = t.labels.select(F.col("doc_id").alias("id"), F.col("quality").cast("double").alias("score"))
+    config = RunConfig(init_size=0.3, batch_sizes=(0.1,), k=20, max_iters=1, delta=-1.0)
+    run = Exploration(t.spark, pool, lookup_objective(labels), make_surrogate("gp"), config, scratch_path(t.spark, "run"))
+    return run.run().select("iter", "n_scores", "n_new", r6("batch_mean").alias("batch_mean"), r6("top_k_avg").alias("top_k_avg"))
+
+
 @query("L17 L10")
 def parameter_sweep(t):
     """Confidence-bound widths compared by their final top-k average."""

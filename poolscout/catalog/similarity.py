@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fingerprint as fp
 from ..operators import graph, similarity
+from ..session import spread_few_splits
 from .registry import query, r6
 
 LENGTH = 2048
@@ -53,8 +54,12 @@ def _fingerprint_sql(kind: str) -> str:
     )
 
 
+def _texts(t):
+    return spread_few_splits(t.documents.select(F.col("doc_id").alias("id"), "text"))
+
+
 def _bit_summary(t, kind: str):
-    bits = t.documents.select(F.col("doc_id").alias("id"), fp.fingerprint(F.col("text"), kind, 2, LENGTH).alias("bits"))
+    bits = _texts(t).select("id", fp.fingerprint(F.col("text"), kind, 2, LENGTH).alias("bits"))
     square = F.aggregate("bits", F.lit(0).cast("long"), lambda a, b: a + b.cast("long") * b)
     return bits.filter("bits IS NOT NULL").select("id", F.size("bits").cast("long").alias("n_bits"), square.alias("checksum"))
 
@@ -101,14 +106,14 @@ HASHES = 16
 )
 def minhash_signatures(t):
     signature = fp.minhash(fp.shingles(F.col("text"), "morgan", 2), HASHES)
-    rows = t.documents.select(F.col("doc_id").alias("id"), signature.alias("s")).filter("s IS NOT NULL")
+    rows = _texts(t).select("id", signature.alias("s")).filter("s IS NOT NULL")
     return rows.select("id", F.concat_ws(",", F.col("s").cast("array<string>")).alias("signature"))
 
 
 @query("X5")
 def fingerprint_minhash(t):
     bits = fp.fingerprint(F.col("text"), "map4", 2, 64)
-    return t.documents.select(F.col("doc_id").alias("id"), F.size(bits).alias("n_bits"), F.concat_ws(",", bits.cast("array<string>")).alias("bits"))
+    return _texts(t).select("id", F.size(bits).alias("n_bits"), F.concat_ws(",", bits.cast("array<string>")).alias("bits"))
 
 
 WORDS_SQL = (

@@ -42,6 +42,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def spread_few_splits(df: DataFrame) -> DataFrame:
+    """Spread a scan with fewer splits than cores before heavy work per row. A large table has more splits than that
+    and is not moved. Meant for plain scans, whose split count is known without running anything."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def broadcast_if_small(df: DataFrame, rows: int, bound: int = SMALL_ROWS) -> DataFrame:
     """Broadcast hint when the known row count is within the bound; otherwise leave the join to AQE."""
     return F.broadcast(df) if rows <= bound else df
