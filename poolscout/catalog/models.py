@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import RunConfig
-from ..functions.fingerprint import dense_bits, fingerprint
+from ..functions.fingerprint import dense_bits, fingerprint, has_tokens
 from ..operators.clusters import cluster_pool
 from ..operators.objectives import lookup_objective
 from ..plans.explore import Exploration, sweep
@@ -158,9 +158,9 @@ def exploration_of_documents(t):
 
     The fingerprints are written once, as the pool is read again in every round.
     """
-    texts = spread_few_splits(t.documents.select(F.col("doc_id").alias("id"), "text"))
+    texts = spread_few_splits(t.documents.select(F.col("doc_id").alias("id"), "text")).filter(has_tokens(F.col("text")))
     bits = texts.select("id", fingerprint(F.col("text"), "pair", 1, 256).alias("bits"), F.md5(F.col("text").cast("binary")).alias("copy"))
-    distinct = bits.filter("bits IS NOT NULL").groupBy("copy").agg(F.min(F.struct("id", "bits")).alias("first"))
+    distinct = bits.groupBy("copy").agg(F.min(F.struct("id", "bits")).alias("first"))
     path = scratch_path(t.spark, "fingerprints")
     distinct.select("first.id", "first.bits").write.parquet(path)
     pool = t.spark.read.parquet(path).select("id", dense_bits(F.col("bits"), 256).alias("features"))

@@ -55,13 +55,13 @@ def _fingerprint_sql(kind: str) -> str:
 
 
 def _texts(t):
-    return spread_few_splits(t.documents.select(F.col("doc_id").alias("id"), "text"))
+    return spread_few_splits(t.documents.select(F.col("doc_id").alias("id"), "text")).filter(fp.has_tokens(F.col("text")))
 
 
 def _bit_summary(t, kind: str):
     bits = _texts(t).select("id", fp.fingerprint(F.col("text"), kind, 2, LENGTH).alias("bits"))
     square = F.aggregate("bits", F.lit(0).cast("long"), lambda a, b: a + b.cast("long") * b)
-    return bits.filter("bits IS NOT NULL").select("id", F.size("bits").cast("long").alias("n_bits"), square.alias("checksum"))
+    return bits.select("id", F.size("bits").cast("long").alias("n_bits"), square.alias("checksum"))
 
 
 @query("X1 X6", _fingerprint_sql("morgan"))
@@ -106,7 +106,7 @@ HASHES = 16
 )
 def minhash_signatures(t):
     signature = fp.minhash(fp.shingles(F.col("text"), "morgan", 2), HASHES)
-    rows = _texts(t).select("id", signature.alias("s")).filter("s IS NOT NULL")
+    rows = _texts(t).select("id", signature.alias("s"))
     return rows.select("id", F.concat_ws(",", F.col("s").cast("array<string>")).alias("signature"))
 
 

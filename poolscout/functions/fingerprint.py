@@ -26,6 +26,12 @@ def _mix(a: Column, b: Column) -> Column:
     return (a * HASH_FACTOR + b) % HASH_MODULUS
 
 
+def has_tokens(text: Column) -> Column:
+    """Whether a string gets a fingerprint. Filter by this rather than by the fingerprint: a filter on a computed
+    column moves below it and computes it a second time."""
+    return F.coalesce(text.rlike(TOKEN), F.lit(False))
+
+
 def token_hashes(text: Column) -> Column:
     """28-bit hash of every token, in text order."""
     tokens = F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0))
