@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.gaussian import SQRT_2PI, TAIL_DENOMINATOR, TAIL_END, TAIL_NUMERATOR, TAIL_SPLIT
+from ..session import ship_package
 
 
 class Tables:
@@ -30,6 +31,7 @@ class Query:
     sql: str | None
 
     def __call__(self, spark: SparkSession, folder: str) -> DataFrame:
+        ship_package(spark)
         return self.build(Tables(spark, folder))
 
 

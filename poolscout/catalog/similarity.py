@@ -113,7 +113,8 @@ def minhash_signatures(t):
 @query("X5")
 def fingerprint_minhash(t):
     bits = fp.fingerprint(F.col("text"), "map4", 2, 64)
-    return _texts(t).select("id", F.size(bits).alias("n_bits"), F.concat_ws(",", bits.cast("array<string>")).alias("bits"))
+    rows = _texts(t).select("id", bits.alias("bits"))
+    return rows.select("id", F.size("bits").alias("n_bits"), F.concat_ws(",", F.col("bits").cast("array<string>")).alias("bits"))
 
 
 WORDS_SQL = (

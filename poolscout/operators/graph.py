@@ -37,7 +37,8 @@ def propagate(
     start = edges.join(sources, ["graph_id", "src"]).select(
         "graph_id", "edge_id", "src", "dst", "rev_id", *[(F.col(f"n_{f}") + F.col(f)).alias(f"s_{f}") for f in feats]
     )
-    messages = start.withColumns({f"m_{f}": F.col(f"s_{f}") for f in feats})
+    # Read three times per round: as message, as reverse and in the sums.
+    messages = cut(start.withColumns({f"m_{f}": F.col(f"s_{f}") for f in feats}))
     for _ in range(depth - 1):
         reverse = messages.select("graph_id", F.col("rev_id").alias("edge_id"), *[F.col(f"m_{f}").alias(f"r_{f}") for f in feats])
         paired = messages.join(reverse, ["graph_id", "edge_id"])
@@ -46,7 +47,7 @@ def propagate(
             paired = paired.withColumns({f"m_{f}": half[f] for f in feats}).withColumns(
                 {f"r_{f}": F.col(f"m_{f}") for f in feats}
             )
-        sums = _incoming(paired, feats).withColumnRenamed("node_id", "src")
+        sums = _incoming(paired if undirected else messages, feats).withColumnRenamed("node_id", "src")
         messages = cut(
             paired.join(sums, ["graph_id", "src"], "left").select(
                 "graph_id", "edge_id", "src", "dst", "rev_id", *[f"s_{f}" for f in feats],
