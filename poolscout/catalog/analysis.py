@@ -99,11 +99,11 @@ def _classes(t):
     WITH {CLASSES_SQL}, sizes AS (SELECT count(CASE WHEN class = 'singleton' THEN 1 END) AS s, count(CASE WHEN class = 'mid' THEN 1 END) AS m,
                                          count(CASE WHEN class = 'large' THEN 1 END) AS l FROM classes),
     marked AS (SELECT run_id, seq, class FROM runs JOIN classes USING (id))
-    SELECT run_id, seq, round(count(CASE WHEN class = 'singleton' THEN 1 END) OVER w / CAST(s AS DOUBLE), 6) AS singleton,
-           round(count(CASE WHEN class = 'mid' THEN 1 END) OVER w / CAST(m AS DOUBLE), 6) AS mid,
-           round(count(CASE WHEN class = 'large' THEN 1 END) OVER w / CAST(l AS DOUBLE), 6) AS "large"
+    SELECT run_id, seq, round(count(CASE WHEN class = 'singleton' THEN 1 END) OVER w / CAST(nullif(s, 0) AS DOUBLE), 6) AS singleton,
+           round(count(CASE WHEN class = 'mid' THEN 1 END) OVER w / CAST(nullif(m, 0) AS DOUBLE), 6) AS mid,
+           round(count(CASE WHEN class = 'large' THEN 1 END) OVER w / CAST(nullif(l, 0) AS DOUBLE), 6) AS "large"
     FROM marked, sizes WINDOW w AS (PARTITION BY run_id ORDER BY seq)
-    UNION ALL SELECT DISTINCT run_id, 0, 0.0, 0.0, 0.0 FROM runs
+    UNION ALL SELECT DISTINCT run_id, 0, 0.0 / nullif(s, 0), 0.0 / nullif(m, 0), 0.0 / nullif(l, 0) FROM runs, sizes
     """,
     ("runs",),
 )

@@ -112,7 +112,8 @@ def running_top_k_average(runs: DataFrame, k: int, chunk_rows: int = CHUNK_ROWS)
 
 
 def class_curve(runs: DataFrame, classes: DataFrame) -> DataFrame:
-    """Share of each cluster class found so far; position 0 is a zero row. ``classes`` is ``(id, class)``."""
+    """Share of each cluster class found so far; position 0 is a zero row, an empty class has no share.
+    ``classes`` is ``(id, class)``."""
     kinds = ("singleton", "mid", "large")
     marked = runs.join(classes, "id", "left").withColumns(
         {f"_{c}": F.coalesce((F.col("class") == c).cast("long"), F.lit(0).cast("long")) for c in kinds}
