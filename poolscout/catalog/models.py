@@ -195,7 +195,8 @@ def parameter_sweep(t):
     it AS (SELECT unnest([0, 1, 2]) AS i)
     SELECT CAST(i AS INTEGER) AS iter, (SELECT count(*) FROM e WHERE iter <= i) AS n_scores, (SELECT count(*) FROM e WHERE iter = i) AS n_new,
            round((SELECT avg(y) FROM e WHERE iter = i), 6) AS batch_mean,
-           round((SELECT avg(y) FROM (SELECT y, row_number() OVER (ORDER BY y DESC, id DESC) AS place FROM e WHERE iter <= i) WHERE place <= 50), 6) AS top_k_avg
+           CASE WHEN (SELECT count(*) FROM e WHERE iter <= i) >= 50 THEN
+           round((SELECT avg(y) FROM (SELECT y, row_number() OVER (ORDER BY y DESC, id DESC) AS place FROM e WHERE iter <= i) WHERE place <= 50), 6) END AS top_k_avg
     FROM it
     """,
 )
