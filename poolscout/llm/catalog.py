@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship_package
-from . import compression, quality_rules, url_lists, warc
+from . import compression, language_id, near_dups, quality_rules, url_lists, warc
 from .common import fold
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -37,6 +37,11 @@ def op1_warc_revisits(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query
+def op2_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    return language_id.identify(table(spark, folder, "documents")).select("doc_id", "held_out", "lang_pred", "score", "rejected", "bits")
+
+
 @query
 def op3_host_quality(spark: SparkSession, folder: str) -> DataFrame:
     return quality_rules.judge(table(spark, folder, "documents")).select(
@@ -53,6 +58,11 @@ def op8_compression_quality(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query
+def op10_minhash_near_dups(spark: SparkSession, folder: str) -> DataFrame:
+    return near_dups.near_duplicates(table(spark, folder, "documents"))
+
+
 #: Days that captures and list entries fall on.
 FIRST_DAY, DAYS = "2024-01-01", 360
 
