@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship_package
-from . import compression, language_id, near_dups, quality_rules, substring_dedup, url_lists, warc
+from . import compression, language_id, near_dups, quality_rules, substring_dedup, suffix_dedup, url_lists, warc
 from .common import fold
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -54,6 +54,11 @@ def op5_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return substring_dedup.remove_repeats(table(spark, folder, "documents"))
 
 
+@query
+def op7_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(table(spark, folder, "documents"))
+
+
 @query
 def op8_compression_quality(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
