@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship_package
-from . import compression, language_id, near_dups, quality_rules, substring_dedup, suffix_dedup, url_lists, warc
+from . import compression, language_id, near_dups, quality_rules, sentencepiece_unigram, substring_dedup, suffix_dedup, url_lists, warc
 from .common import fold
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -49,6 +49,13 @@ def op3_host_quality(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query
+def op4_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
+    """Encode and decode every whole text."""
+    found = sentencepiece_unigram.round_trip(table(spark, folder, "documents"), sentencepiece_unigram.load())
+    return found.select("doc_id", "n_tokens", "n_byte_tokens", "ids_hash", F.length("decoded").cast("long").alias("n_chars"), "restored")
+
+
 @query
 def op5_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return substring_dedup.remove_repeats(table(spark, folder, "documents"))

@@ -38,9 +38,13 @@ def equal_stretches(data: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np
     """A number per stretch of ``data``, the same for equal ones. Hashes of 128 bits tell them apart."""
     sums = [tk.running_sums(tk.byte_units(data, seed), seed) for seed in (81, 82)]
     a, b = (tk.run_hashes(s, begin, begin + size, seed) for s, seed in zip(sums, (81, 82)))
-    order = np.lexsort((b, a))
+    order = np.argsort(a)
+    same_a, same_b = a[order][1:] == a[order][:-1], b[order][1:] == b[order][:-1]
+    if (same_a & ~same_b).any():
+        order = np.lexsort((b, a))
+        same_a, same_b = a[order][1:] == a[order][:-1], b[order][1:] == b[order][:-1]
     fresh = np.ones(len(order), dtype=bool)
-    fresh[1:] = (a[order][1:] != a[order][:-1]) | (b[order][1:] != b[order][:-1])
+    fresh[1:] = ~(same_a & same_b)
     out = np.empty(len(order), dtype=np.int64)
     out[order] = np.cumsum(fresh) - 1
     return out
