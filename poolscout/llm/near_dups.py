@@ -52,8 +52,8 @@ def shingle_sets(column: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
     window = window[fits]
     short = np.flatnonzero((counts > 0) & (counts < size))
     if len(short):
-        sums = tk.running_sums(words, 9)
-        whole = tk.mix(tk.run_hashes(sums, first[short], first[short + 1], 9) ^ counts[short].astype(np.uint64), 10)
+        sums = tk.running_sums(tk.mix(words, 9))
+        whole = tk.mix(tk.run_hashes(sums, first[short], first[short + 1]) ^ counts[short].astype(np.uint64), 10)
         window, owner = np.concatenate((window, whole)), np.concatenate((owner, short.astype(np.int32)))
     order = np.argsort(window)
     order = order[np.argsort(owner[order], kind="stable")]
@@ -112,52 +112,46 @@ def _signature_rows(column: pa.Array, values: int) -> np.ndarray:
     return raw.view(np.uint32).reshape(-1, values)
 
 
-def _prune(pairs: DataFrame, signed: DataFrame, options: NearDups) -> DataFrame:
-    """The candidate pairs ``(a, b)`` that pass the sequential test."""
-    values, stops = options.bands * options.rows, stop_counts(options)
-
-    def run(batches):
-        for batch in batches:
-            if batch.num_rows:
-                left, right = (_signature_rows(batch.column(i), values) for i in (2, 3))
-                yield batch.select([0, 1]).take(pa.array(survivors(left, right, stops)))
-
-    left = signed.select(F.col("rep").alias("a"), F.col("sig").alias("sig_a"))
-    right = signed.select(F.col("rep").alias("b"), F.col("sig").alias("sig_b"))
-    both = pairs.join(left, "a").join(right, "b").select("a", "b", "sig_a", "sig_b")
-    return both.mapInArrow(run, "a long, b long")
+def _alike(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """Whether two sorted sets are similar enough."""
+    if len(x) > len(y):
+        x, y = y, x
+    at = np.searchsorted(y, x)
+    at[at == len(y)] = 0
+    both = int((y[at] == x).sum())
+    return 100 * both >= percent * (len(x) + len(y) - both)
 
 
-def _verify(pairs: DataFrame, texts: DataFrame, options: NearDups) -> DataFrame:
-    """The pairs whose full shingle sets are similar enough. Only texts that stand in a pair are read into sets."""
-    need, _ = saved(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "near-needed")
+def _sets(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    raw, offsets = tk.text_bytes(column)
+    return np.frombuffer(raw.tobytes(), dtype=np.uint64), offsets // 8
 
-    def collect(batch: pa.RecordBatch) -> pa.RecordBatch:
-        hashes, bounds = shingle_sets(batch.column(1), options.shingle)
-        return pa.record_batch([batch.column(0), pieces(hashes.view(np.uint8), bounds * 8)], names=["doc_id", "hashes"])
 
-    wanted = texts.join(need, "doc_id", "left_semi").select("doc_id", "text")
-    sets, _ = saved(map_slices(wanted, collect, "doc_id long, hashes binary").dropDuplicates(["doc_id"]), "near-sets")
+def _linked(pairs: DataFrame, held: DataFrame, options: NearDups) -> DataFrame:
+    """The candidate pairs ``(a, b)`` that pass the sequential test and whose full sets are similar enough."""
+    values, stops = options.bands * options.rows, stop_counts(options)
 
     def run(batches):
         for batch in batches:
-            good = np.zeros(batch.num_rows, dtype=bool)
-            for i, (x, y) in enumerate(zip(batch.column(2), batch.column(3))):
-                x, y = (np.frombuffer(v.as_buffer(), dtype=np.uint64) for v in (x, y))
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                good[i] = 100 * both >= options.percent * (len(x) + len(y) - both)
-            yield batch.select([0, 1]).filter(pa.array(good))
-
-    left = sets.select(F.col("doc_id").alias("a"), F.col("hashes").alias("set_a"))
-    right = sets.select(F.col("doc_id").alias("b"), F.col("hashes").alias("set_b"))
-    both = pairs.join(left, "a").join(right, "b").select("a", "b", "set_a", "set_b")
+            if not batch.num_rows:
+                continue
+            left, right = (_signature_rows(batch.column(i), values) for i in (2, 3))
+            (x, x_at), (y, y_at) = (_sets(batch.column(i)) for i in (4, 5))
+            kept = [i for i in survivors(left, right, stops).tolist() if _alike(x[x_at[i] : x_at[i + 1]], y[y_at[i] : y_at[i + 1]], options.percent)]
+            yield batch.select([0, 1]).take(pa.array(kept, pa.int64()))
+
+    sides = [held.select(F.col("rep").alias(k), F.col("sig").alias(f"sig_{k}"), F.col("hashes").alias(f"set_{k}")) for k in ("a", "b")]
+    both = pairs.join(sides[0], "a").join(sides[1], "b").select("a", "b", "sig_a", "sig_b", "set_a", "set_b")
     return both.mapInArrow(run, "a long, b long")
 
 
-def _crossing(members: DataFrame, signed: DataFrame, options: NearDups) -> DataFrame:
-    """Of the buckets ``(band_key, rep, root)`` that still hold several components, all pairs between these that pass the
-    sequential test. A bucket is dealt out in blocks, each pair of blocks to a group of its own, so that no group exceeds twice
-    the block; a group compares signatures and gives out survivors alone."""
+def _crossing(members: DataFrame, held: DataFrame, options: NearDups) -> DataFrame:
+    """Of the buckets ``(band_key, rep, root)`` that still hold several components, the links between these.
+
+    A bucket is dealt out in blocks, each pair of blocks to a group of its own, so that no group exceeds twice the block. A group
+    takes all pairs between components through the sequential test and verifies what passes. It gives out a link only if it joins
+    members that its earlier links do not, so fewer links than members.
+    """
     values, stops = options.bands * options.rows, stop_counts(options)
     open_keys = members.groupBy("band_key").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count("*").alias("m")).where("r0 <> r1")
     blocks = F.ceil(F.col("m") / options.block).cast("int")
@@ -165,15 +159,24 @@ def _crossing(members: DataFrame, signed: DataFrame, options: NearDups) -> DataF
     own = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
     rows = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = rows.select("band_key", "rep", "root", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
-    rows = rows.join(signed, "rep").select("band_key", "i", "j", "own", "rep", "root", "sig")
+    rows = rows.join(held, "rep").select("band_key", "i", "j", "own", "rep", "root", "sig", "hashes")
 
     def run(table: pa.Table) -> pa.Table:
         rep, root, side = (table.column(c).to_numpy() for c in ("rep", "root", "own"))
         sig = _signature_rows(table.column("sig").combine_chunks(), values)
+        sets, bounds = _sets(table.column("hashes").combine_chunks())
         i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
-        left = np.flatnonzero(side == i)
-        right = np.flatnonzero(side == j)
-        found_a, found_b = [], []
+        left, right = np.flatnonzero(side == i), np.flatnonzero(side == j)
+        names, label = np.unique(root, return_inverse=True)
+        parent = list(range(len(names)))
+
+        def find(k: int) -> int:
+            while parent[k] != k:
+                parent[k] = parent[parent[k]]
+                k = parent[k]
+            return k
+
+        links: list[tuple[int, int]] = []
         step = max(1, 200_000 // max(1, len(right)))
         for at in range(0, len(left), step):
             some = left[at : at + step]
@@ -183,10 +186,12 @@ def _crossing(members: DataFrame, signed: DataFrame, options: NearDups) -> DataF
                 cross &= a < b
             a, b = a[cross], b[cross]
             good = survivors(sig[a], sig[b], stops) if len(a) else a
-            found_a.append(rep[a[good]])
-            found_b.append(rep[b[good]])
-        a, b = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (found_a, found_b))
-        return pa.table({"a": pa.array(np.minimum(a, b), pa.int64()), "b": pa.array(np.maximum(a, b), pa.int64())})
+            for x, y in zip(a[good].tolist(), b[good].tolist()):
+                u, v = find(label[x]), find(label[y])
+                if u != v and _alike(sets[bounds[x] : bounds[x + 1]], sets[bounds[y] : bounds[y + 1]], options.percent):
+                    parent[u] = v
+                    links.append((int(rep[x]), int(rep[y])))
+        return pa.table({"a": pa.array([x for x, _ in links], pa.int64()), "b": pa.array([y for _, y in links], pa.int64())})
 
     return rows.groupBy("band_key", "i", "j").applyInArrow(run, "a long, b long").distinct()
 
@@ -194,8 +199,8 @@ def _crossing(members: DataFrame, signed: DataFrame, options: NearDups) -> DataF
 def near_duplicates(docs: DataFrame, options: NearDups = NearDups(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(doc_id, n_shingles, component_id, kept)`` for every row with an id.
 
-    Null and empty texts have no shingles and are alone in their component. Repeated rows are in one component, and each is kept if
-    its id is the component's. Candidates are first the pairs of a bucket's least member with the others; buckets whose members
+    Null and empty texts have no shingles and are alone in their component. Rows of one id are in one component, and each is kept
+    if its id is the component's; if their texts differ, the largest set stands for the id in links. Candidates are first the pairs of a bucket's least member with the others; buckets whose members
     are not in one component after that have all their pairs between components compared, so that no candidate is left out.
     """
     spark = docs.sparkSession
@@ -216,9 +221,17 @@ def near_duplicates(docs: DataFrame, options: NearDups = NearDups(), id_col: str
 
     signed_all, path = saved(map_slices(texts, sign, "doc_id long, n long, s1 long, s2 long, sig binary"), "near-signatures")
     sets = ["n", "s1", "s2"]
-    classes, classes_path = saved(
-        signed_all.where("n > 0").groupBy(*sets).agg(F.min("doc_id").alias("rep"), F.any_value("sig").alias("sig")), "near-classes"
+    # of an id with several sets the largest stands for it; hardly any table has one
+    several = signed_all.groupBy("doc_id").agg(F.min(F.struct(*sets)).alias("low"), F.max(F.struct(*sets)).alias("own")).where("low <> own")
+    several, _ = saved(several.select("doc_id", *[F.col(f"own.{c}").alias(f"own_{c}") for c in sets]), "near-several")
+    standing = [F.coalesce(f"own_{c}", c).alias(c) for c in sets]
+    same = F.col("own_n").isNull() | ((F.col("own_n") == F.col("n")) & (F.col("own_s1") == F.col("s1")) & (F.col("own_s2") == F.col("s2")))
+    named = signed_all.join(several, "doc_id", "left")
+    classes, _ = saved(
+        named.where(same & (F.col("n") > 0)).groupBy(*sets).agg(F.min("doc_id").alias("rep"), F.any_value("sig").alias("sig")), "near-classes"
     )
+    rows, _ = saved(named.select("doc_id", F.col("n").alias("n_shingles"), *standing), "near-rows")
+    discard(spark, path)
     signed = classes.select("rep", "sig")
 
     # a bucket is a band's number and values
@@ -229,20 +242,33 @@ def near_duplicates(docs: DataFrame, options: NearDups = NearDups(), id_col: str
     members, members_path = saved(banded.join(shared.select("band_key", "hub"), "band_key"), "near-buckets")
     free_shuffles(spark)
 
+    # the sets of all that share a bucket; only their texts are read for it
+    need, _ = saved(members.select(F.col("rep").alias("doc_id")).distinct(), "near-needed")
+
+    def collect(batch: pa.RecordBatch) -> pa.RecordBatch:
+        hashes, bounds = shingle_sets(batch.column(1), options.shingle)
+        sig = signatures(hashes, bounds, values)
+        packed = pieces(sig.view(np.uint8).ravel(), np.arange(len(bounds)) * 4 * values)
+        return pa.record_batch([batch.column(0), pieces(hashes.view(np.uint8), bounds * 8), packed], names=["rep", "hashes", "own_sig"])
+
+    wanted = texts.join(need, "doc_id", "left_semi").select("doc_id", "text")
+    # texts that share an id may differ: the one that was classed has the class's signature
+    full = map_slices(wanted, collect, "rep long, hashes binary, own_sig binary")
+    held = full.join(classes.select("rep", "sig"), "rep").where("sig = own_sig").dropDuplicates(["rep"]).select("rep", "sig", "hashes")
+    held, held_path = saved(held, "near-held")
+    free_shuffles(spark)
+
     stars = members.where("rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct()
-    candidates, _ = saved(_prune(stars, signed, options), "near-candidates")
-    links, _ = saved(_verify(candidates, texts, options), "near-links")
+    links, _ = saved(_linked(stars, held, options), "near-links")
     roots, _ = saved(components(links.select(F.col("a").alias("u"), F.col("b").alias("v"))), "near-roots")
 
     placed = members.join(roots, members["rep"] == roots["node"], "left").select("band_key", "rep", F.coalesce("root", "rep").alias("root"))
-    placed, _ = saved(placed, "near-placed")
-    crossing, _ = saved(_crossing(placed, signed, options).join(candidates, ["a", "b"], "left_anti"), "near-crossing")
-    more = _verify(crossing, texts, options)
+    placed, placed_path = saved(placed, "near-placed")
+    more = _crossing(placed, held, options)
     edges = roots.select(F.col("node").alias("u"), F.col("root").alias("v")).union(more.select(F.col("a").alias("u"), F.col("b").alias("v")))
     roots, _ = saved(components(edges), "near-components")
-    discard(spark, members_path)
+    discard(spark, members_path, held_path, placed_path)
 
     placed = classes.select(*sets, "rep").join(roots, F.col("rep") == roots["node"], "left").select(*sets, F.coalesce("root", "rep").alias("component"))
-    out = signed_all.select("doc_id", *sets).join(placed, sets, "left")
     component = F.coalesce("component", "doc_id")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), (F.col("doc_id") == component).alias("kept"))
+    return rows.join(placed, sets, "left").select("doc_id", "n_shingles", component.alias("component_id"), (F.col("doc_id") == component).alias("kept"))
