@@ -25,6 +25,8 @@ MARKER = "▁"
 #: How far an unknown character's score lies below that of the worst piece.
 UNKNOWN_PENALTY = 10.0
 SPACE = 0x20
+#: Bytes of distinct units that are encoded together.
+CHUNK_BYTES = 400_000
 
 
 @dataclass(frozen=True)
@@ -232,12 +234,16 @@ def encode_column(column: pa.Array, vocab: Vocabulary) -> tuple[np.ndarray, np.n
     cut[bounds[:-1][sizes > 0]] = True
     begin = np.flatnonzero(cut)
     size = np.diff(np.append(begin, len(data)))
-    same = equal_stretches(data, begin, size)
-    first = np.empty(int(same.max()) + 1, dtype=np.int64)
-    first[same] = np.arange(len(same))
+    same, first = equal_stretches(data, begin, size)
     own = size[first]
-    units = data[_stretches(begin[first], own)]
-    ids, ends = best_paths(units, np.concatenate(([0], np.cumsum(own)[:-1])), own, vocab)
+    # some distinct units at a time, so that the table of pieces stays small
+    chunk = np.cumsum(own) // CHUNK_BYTES
+    found = []
+    for some in np.split(first, np.flatnonzero(chunk[1:] != chunk[:-1]) + 1):
+        long = size[some]
+        found.append(best_paths(data[_stretches(begin[some], long)], np.concatenate(([0], np.cumsum(long)[:-1])), long, vocab))
+    ids = np.concatenate([x for x, _ in found])
+    ends = np.concatenate(([0], np.cumsum(np.concatenate([np.diff(e) for _, e in found]))))
     counts = np.diff(ends)[same]
     tokens = ids[_stretches(ends[:-1][same], counts)]
     total = np.concatenate(([0], np.cumsum(counts)))
@@ -274,7 +280,7 @@ def encode(docs: DataFrame, vocab: Vocabulary, id_col: str = "doc_id", text_col:
 
     text = F.coalesce(docs[text_col].cast("string"), F.lit(""))
     rows = docs.select(docs[id_col].cast("long").alias("doc_id"), text.alias("text"))
-    return map_slices(rows, step, "doc_id long, text string, ids array<int>", size=4_000_000)
+    return map_slices(rows, step, "doc_id long, text string, ids array<int>", size=3_000_000)
 
 
 def decode(tokens: DataFrame, vocab: Vocabulary, ids_col: str = "ids") -> DataFrame:
