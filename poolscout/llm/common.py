@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import time
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 from ..session import scratch_path
 
 #: Bytes of text that one vectorised step looks at; temporaries are a small multiple of it.
-SLICE_BYTES = 2_000_000
+SLICE_BYTES = 1_500_000
 
 
 def keyed_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -46,18 +47,11 @@ def discard(spark: SparkSession, *paths: str) -> None:
 
 
 def free_shuffles(spark: SparkSession) -> None:
-    """Let Spark drop the shuffle files of plans that nothing refers to any more."""
-    gc.collect()
-    spark._jvm.System.gc()
-
-
-def parts(df: DataFrame, per_split: int = 1) -> int:
-    """A partition count that follows the input's splits, and never less than the cores."""
-    return max(df.sparkSession.sparkContext.defaultParallelism, per_split * df.rdd.getNumPartitions())
-
-
-def shuffle_parts(spark: SparkSession) -> int:
-    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    """Let Spark drop the shuffle files of plans that nothing refers to any more; the first round only lets go of the plans."""
+    for _ in range(3):
+        gc.collect()
+        spark._jvm.System.gc()
+        time.sleep(0.3)
 
 
 def slices(batch: pa.RecordBatch, text_index: int, size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
@@ -99,3 +93,25 @@ def pieces(raw: np.ndarray, offsets: np.ndarray) -> pa.Array:
     wide = offsets[-1] > 2**31 - 1 if len(offsets) else False
     kind, number = (pa.large_binary(), np.int64) if wide else (pa.binary(), np.int32)
     return pa.Array.from_buffers(kind, len(offsets) - 1, [None, pa.py_buffer(offsets.astype(number).tobytes()), pa.py_buffer(raw.tobytes())])
+
+
+def pack(values: np.ndarray) -> bytes:
+    """Integers as their least value, a width, and the differences to it in that many bytes."""
+    if not len(values):
+        return b""
+    low = int(values.min())
+    span = int(values.max()) - low
+    width = next(w for w in (1, 2, 4, 8) if span < 2 ** (8 * w))
+    return low.to_bytes(8, "little", signed=True) + bytes([width]) + (values.astype(np.int64) - low).astype(f"<u{width}").tobytes()
+
+
+def unpack(column: pa.Array) -> np.ndarray:
+    """All integers of a column of packed ones."""
+    out = []
+    for value in column:
+        data = value.as_buffer()
+        if data is not None and data.size:
+            head = memoryview(data)
+            low, width = int.from_bytes(head[:8], "little", signed=True), head[8]
+            out.append(np.frombuffer(data, dtype=f"<u{width}", offset=9).astype(np.int64) + low)
+    return np.concatenate(out) if out else np.empty(0, np.int64)

@@ -68,19 +68,19 @@ def repeated_windows(docs: DataFrame, length: int = 50, id_col: str = "doc_id",
     def extend(batch: pa.RecordBatch) -> pa.RecordBatch | None:
         units, bounds = word_units(batch.column(1))
         least, inside = ws.minima(units, bounds, half, length)
-        owner = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))[: len(least)]
-        first, last = ws.runs_of(least, inside, owner)
-        good = ws.member(least[first], owner[first], batch.column(3))
-        first, last = first[good], last[good]
+        first, last = ws.runs_of(least, inside)
+        owner = ws.owner_of(bounds, first)
+        good = ws.member(ws.short(least[first]), owner, batch.column(3))
+        first, last, owner = first[good], last[good], owner[good]
         sizes = last - first + 1
         if not len(sizes):
             return None
         at = np.repeat(first - np.concatenate(([0], np.cumsum(sizes)[:-1])), sizes) + np.arange(sizes.sum())
         a, b = tk.window_hashes(units, length, 71)[at], tk.window_hashes(units, length, 72)[at]
-        return ws.send(a, b, batch.column(0).to_numpy()[owner[at]], buckets, later=True)
+        return ws.send(a, b, batch.column(0).to_numpy()[np.repeat(owner, sizes)], buckets, later=True)
 
-    sent = map_slices(candidates.select("doc_id", "text", "fp", "hits"), extend, ws.EXCHANGE)
-    removed = ws.settle(sent, later=True, wide=True).withColumnRenamed("hits", "removed")
+    sent = map_slices(candidates.select("doc_id", "text", "fp", "hits"), extend, ws.ASK)
+    removed = ws.settle(sent, buckets, later=True, kind=np.uint64).withColumnRenamed("hits", "removed")
     return texts, candidates, removed
 
 
@@ -116,7 +116,7 @@ def remove_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", te
 
     # texts without a candidate window stay whole; of the others the windows that are hit come along
     whole = texts.join(candidates.select("doc_id").distinct().withColumn("c", F.lit(True)), "doc_id", "left_anti") if with_text else None
-    hit = candidates.select("doc_id", "text").join(removed, "doc_id", "left").withColumn("removed", F.coalesce("removed", F.array().cast("array<binary>")))
+    hit = candidates.select("doc_id", "text").join(removed, "doc_id", "left").withColumn("removed", F.coalesce("removed", F.lit(b"")))
     cut = map_slices(hit.select("doc_id", "text", "removed"), lambda b: finish(b, b.column(2)), schema)
     if with_text:
         rest = map_slices(whole.select("doc_id", "text"), lambda b: finish(b, None), schema)
@@ -134,7 +134,7 @@ def longest_repeats(docs: DataFrame, start: int = 25, id_col: str = "doc_id", te
     texts = keyed_texts(docs, id_col, text_col)
     buckets = ws.bucket_count(texts)
     spark = docs.sparkSession
-    rows, out, length, path = texts.withColumn("hits", F.array().cast("array<binary>")), None, start, None
+    rows, out, length, path = texts.withColumn("hits", F.lit(b"")), None, start, None
     while True:
 
         def level(batch: pa.RecordBatch, length: int = length, first_level: bool = path is None) -> pa.RecordBatch | None:
@@ -150,8 +150,8 @@ def longest_repeats(docs: DataFrame, start: int = 25, id_col: str = "doc_id", te
             docs_ = batch.column(0).to_numpy()[owner]
             return ws.send(tk.window_hashes(units, length, 71)[at], tk.window_hashes(units, length, 72)[at], docs_, buckets, later=False)
 
-        sent = map_slices(rows.select("doc_id", "text", "fp", "hits"), level, ws.EXCHANGE)
-        found = ws.settle(sent, later=False, wide=True)
+        sent = map_slices(rows.select("doc_id", "text", "fp", "hits"), level, ws.ASK)
+        found = ws.settle(sent, buckets, later=False, kind=np.uint64)
         following, new_path = saved(texts.join(found, "doc_id"), "doubling")
         if path:
             discard(spark, path)

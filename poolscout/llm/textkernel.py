@@ -68,40 +68,36 @@ def words_of(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 
 #: Longest run whose powers a worker keeps.
-_KEPT = 1 << 22
-_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-
-
-def _powers_of(seed: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first ``n`` powers of the seed's odd base and of its inverse, modulo 2^64."""
-    kept = _powers.get(seed)
-    if kept is None or len(kept[0]) < n:
-        base = int(odd(seed + 11))
-        size = max(n, min(2 * n, _KEPT))
-        made = []
-        for factor in (base, pow(base, -1, 2**64)):
-            run = np.full(size, factor, dtype=_U)
-            run[0] = 1
-            made.append(np.multiply.accumulate(run))
-        kept = (made[0], made[1])
-        if size <= _KEPT:
-            _powers[seed] = kept
-    return kept[0][:n], kept[1][:n]
-
-
-def running_sums(units: np.ndarray, seed: int = 0) -> np.ndarray:
+_KEPT = 1 << 21
+_powers: list[np.ndarray] = []
+
+
+def _powers_of(n: int) -> list[np.ndarray]:
+    """The first ``n`` powers of a fixed odd base and of its inverse, modulo 2^64."""
+    global _powers
+    if _powers and len(_powers[0]) >= n:
+        return _powers
+    base, size, made = int(odd(11)), max(n, min(2 * n, _KEPT)), []
+    for factor in (base, pow(base, -1, 2**64)):
+        run = np.full(size, factor, dtype=_U)
+        run[0] = 1
+        made.append(np.multiply.accumulate(run, out=run))
+    if size <= _KEPT:
+        _powers = made
+    return made
+
+
+def running_sums(units: np.ndarray) -> np.ndarray:
     """Prefix sums of the units times powers of a base; every run of units has its hash in the difference of two of them."""
-    powers, _ = _powers_of(seed, max(1, len(units)))
     sums = np.zeros(len(units) + 1, _U)
-    np.cumsum(units * powers[: len(units)], out=sums[1:])
+    np.cumsum(units * _powers_of(max(1, len(units)))[0][: len(units)], out=sums[1:])
     return sums
 
 
-def run_hashes(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
+def run_hashes(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """Hashes of the runs ``starts[i] .. ends[i]``; equal runs have equal hashes wherever they stand."""
-    _, inverse = _powers_of(seed, max(1, len(sums) - 1))
-    at = np.minimum(starts, len(inverse) - 1)
-    return mix((sums[ends] - sums[starts]) * inverse[at], seed + 12)
+    inverse = _powers_of(max(1, len(sums) - 1))[1]
+    return mix((sums[ends] - sums[starts]) * inverse[np.minimum(starts, len(inverse) - 1)], 12)
 
 
 def byte_units(raw: np.ndarray, seed: int = 0) -> np.ndarray:
@@ -112,17 +108,43 @@ def word_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int
     """A 64-bit hash of each word's bytes."""
     if len(starts) == 0:
         return np.empty(0, _U)
-    return run_hashes(running_sums(byte_units(raw, seed), seed), starts, ends, seed)
+    return run_hashes(running_sums(byte_units(raw, seed)), starts, ends)
+
+
+def stretch_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0, step: int = 1_000_000) -> np.ndarray:
+    """Hashes of stretches of bytes whose starts ascend, about ``step`` bytes at a time."""
+    out, at = np.empty(len(starts), _U), 0
+    while at < len(starts):
+        low = int(starts[at])
+        upto = max(at + 1, int(np.searchsorted(starts, low + step)))
+        high = int(ends[at:upto].max())
+        sums = running_sums(byte_units(raw[low:high], seed))
+        out[at:upto] = run_hashes(sums, starts[at:upto] - low, ends[at:upto] - low)
+        at = upto
+    return out
 
 
 def window_hashes(units: np.ndarray, length: int, seed: int = 0) -> np.ndarray:
-    """Hash of the ``length`` units from each position on; the last ``length - 1`` positions are left out."""
+    """Hash of the ``length`` units from each position on; the last ``length - 1`` positions are left out. Other seeds give
+    independent hashes."""
     n = len(units) - length + 1
     if n <= 0:
         return np.empty(0, _U)
-    sums = running_sums(units, seed)
-    _, inverse = _powers_of(seed, len(units))
-    return mix((sums[length:] - sums[:-length]) * inverse[:n], seed + 12)
+    sums = running_sums(mix(units, seed + 12) if seed else units)
+    return mix((sums[length:] - sums[:-length]) * _powers_of(len(units))[1][:n], 13)
+
+
+def gram_hashes(units: np.ndarray, length: int) -> np.ndarray:
+    """Like ``window_hashes`` with a lighter mix, for comparing hashes of neighbours."""
+    n = len(units) - length + 1
+    if n <= 0:
+        return np.empty(0, _U)
+    sums = running_sums(units)
+    x = sums[length:] - sums[:-length]
+    x *= _powers_of(len(units))[1][:n]
+    x ^= x >> _U(32)
+    x *= _U(0x9E3779B97F4A7C15)
+    return x
 
 
 def windows_inside(bounds: np.ndarray, length: int, total: int) -> np.ndarray:

@@ -15,12 +15,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkernel as tk
-from .common import map_slices, pieces
+from .common import map_slices, pack, pieces, unpack
 
 #: Bytes of text per bucket of an exchange; a bucket's hashes are a fraction of that in memory.
 BUCKET_BYTES = 16_000_000
 
-EXCHANGE = "bucket int, passed boolean, a binary, b binary, d binary"
+#: Rows of the first exchange, to the buckets of the keys, and of the second, back to the documents.
+ASK = "bucket int, passed boolean, a binary, b binary, d binary"
+ANSWER = "part int, d binary, f binary, many binary, v binary"
 
 
 def bucket_count(texts: DataFrame) -> int:
@@ -31,21 +33,31 @@ def bucket_count(texts: DataFrame) -> int:
 
 def minima(units: np.ndarray, bounds: np.ndarray, gram: int, length: int) -> tuple[np.ndarray, np.ndarray]:
     """The minimum of the window from each position on, and which of these windows lie inside one text."""
-    least = tk.sliding_min(tk.window_hashes(units, gram, 31), length - gram + 1)
-    return least, tk.windows_inside(bounds, length, len(units))[: len(least)]
+    least = tk.sliding_min(tk.gram_hashes(units, gram), length - gram + 1)
+    inside = np.ones(len(least), dtype=bool)
+    for bound in bounds[1:-1].tolist():
+        inside[max(0, bound - length + 1) : bound] = False
+    return least, inside
 
 
-def runs_of(least: np.ndarray, inside: np.ndarray, owner: np.ndarray, most: int = 1 << 40) -> tuple[np.ndarray, np.ndarray]:
-    """First and last position of the runs of neighbouring windows of one text with one minimum, ``most`` long at most."""
-    at = np.flatnonzero(inside)
-    if not len(at):
-        return at, at
-    fresh = np.ones(len(at), dtype=bool)
-    fresh[1:] = (at[1:] != at[:-1] + 1) | (least[at[1:]] != least[at[:-1]]) | (owner[at[1:]] != owner[at[:-1]])
-    begin = np.flatnonzero(fresh)
-    since = np.arange(len(at)) - np.repeat(begin, np.diff(np.append(begin, len(at))))
-    begin = np.flatnonzero(since % most == 0)
-    return at[begin], at[np.append(begin[1:], len(at)) - 1]
+def runs_of(least: np.ndarray, inside: np.ndarray, most: int = 1 << 40) -> tuple[np.ndarray, np.ndarray]:
+    """First and last position of the runs of neighbouring windows with one minimum, ``most`` long at most. Between the windows of
+    two texts there is always one that is in neither."""
+    joined = inside[1:] & inside[:-1]
+    joined &= least[1:] == least[:-1]
+    fresh, final = inside.copy(), inside.copy()
+    fresh[1:] &= ~joined
+    final[:-1] &= ~joined
+    first, last = np.flatnonzero(fresh), np.flatnonzero(final)
+    many = (last - first) // most + 1
+    if len(many) and many.max() > 1:
+        start = np.repeat(first, many) + most * (np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many))
+        return start, np.minimum(np.repeat(last, many), start + most - 1)
+    return first, last
+
+
+def owner_of(bounds: np.ndarray, at: np.ndarray) -> np.ndarray:
+    return np.searchsorted(bounds, at, side="right") - 1
 
 
 def _groups(a: np.ndarray, b: np.ndarray | None, d: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -80,95 +92,130 @@ def hits(a: np.ndarray, b: np.ndarray | None, d: np.ndarray, later: bool) -> tup
     return out, order[begin]
 
 
-def by_document(keys: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, pa.Array]:
-    """Distinct documents and, packed, the keys of each."""
-    order = np.argsort(d, kind="stable")
-    docs, begin = np.unique(d[order], return_index=True)
-    packed = np.ascontiguousarray(keys[order])
-    return docs, pieces(packed.view(np.uint8), np.append(begin, len(packed)) * 8)
+def _dealt(name: np.ndarray) -> tuple[list[int], list[np.ndarray]]:
+    """The distinct names, and the entries of each."""
+    order = np.argsort(name, kind="stable")
+    names, begin = np.unique(name[order], return_index=True)
+    return names.tolist(), np.split(order, begin[1:])
+
+
+def part_of(d: np.ndarray, parts: int) -> np.ndarray:
+    return (tk.mix(d.view(np.uint64), 51) % np.uint64(parts)).astype(np.int32)
 
 
 def send(a: np.ndarray, b: np.ndarray | None, d: np.ndarray, buckets: int, later: bool) -> pa.RecordBatch:
-    """Rows of the exchange for the entries (key ``a`` or ``(a, b)``, document ``d``) of one task's slice.
+    """Rows of the first exchange for the entries (key ``a`` or ``(a, b)``, document ``d``) of one slice.
 
-    What the slice settles on its own goes to a bucket of the document and is passed on there; of each key one entry, that of
-    the least document, goes to the key's bucket. A key that a third of all documents hold is so one entry per slice.
+    What the slice settles on its own is passed on to the document's part; of each key one entry, that of the least document,
+    goes to the key's bucket. A key that a third of all documents hold is so one entry per slice.
     """
     hit, first = hits(a, b, d, later)
     columns: list[list] = [[], [], [], [], []]
-
-    def rows(bucket: np.ndarray, at: np.ndarray, passed: bool) -> None:
-        order = at[np.argsort(bucket, kind="stable")]
-        names, begin = np.unique(np.sort(bucket), return_index=True)
-        stops = np.append(begin[1:], len(order))
-        for name, start, stop in zip(names.tolist(), begin.tolist(), stops.tolist()):
-            some = order[start:stop]
-            columns[0].append(name)
-            columns[1].append(passed)
-            columns[2].append(a[some].tobytes())
-            columns[3].append(b"" if b is None or passed else b[some].tobytes())
-            columns[4].append(d[some].tobytes())
-
     settled = np.flatnonzero(hit)
-    if len(settled):
-        rows((tk.mix(d[settled].view(np.uint64), 51) % np.uint64(buckets)).astype(np.int32), settled, True)
-    if len(first):
-        rows((tk.mix(a[first], 52) % np.uint64(buckets)).astype(np.int32), first, False)
+    for passed, at, bucket in ((True, settled, part_of(d[settled], buckets)), (False, first, (tk.mix(a[first], 52) % np.uint64(buckets)).astype(np.int32))):
+        if len(at):
+            for name, some in zip(*_dealt(bucket)):
+                some = at[some]
+                columns[0].append(name)
+                columns[1].append(passed)
+                columns[2].append(a[some].tobytes())
+                columns[3].append(b"" if b is None or passed else b[some].tobytes())
+                columns[4].append(pack(d[some]))
     kinds = (pa.int32(), pa.bool_(), pa.binary(), pa.binary(), pa.binary())
-    return pa.record_batch([pa.array(c, t) for c, t in zip(columns, kinds)], names=["bucket", "passed", "a", "b", "d"])
+    return pa.record_batch([pa.array(c, t) for c, t in zip(columns, kinds)], names=[x.split()[0] for x in ASK.split(", ")])
+
 
+def numbers(column: pa.ChunkedArray, kind: type) -> np.ndarray:
+    raw, _ = tk.text_bytes(column.combine_chunks())
+    return np.frombuffer(raw.tobytes(), dtype=kind)
 
-def settle(sent: DataFrame, later: bool, wide: bool) -> DataFrame:
-    """``(doc_id, hits)``: per document an array of packed keys that are hit, put together from all buckets."""
+
+def answers(d: np.ndarray, f: np.ndarray | None, v: np.ndarray, parts: int) -> pa.Table:
+    """Rows of the second exchange: values for documents (and their texts), dealt by document. The values of one text stand
+    together, so a row names each text once."""
+    columns: list[list] = [[], [], [], [], []]
+    if len(d):
+        for name, some in zip(*_dealt(part_of(d, parts))):
+            own = np.zeros(len(some), np.int64) if f is None else f[some]
+            order = np.lexsort((own, d[some]))
+            some, own = some[order], own[order]
+            fresh = np.ones(len(some), dtype=bool)
+            fresh[1:] = (d[some][1:] != d[some][:-1]) | (own[1:] != own[:-1])
+            at = np.flatnonzero(fresh)
+            columns[0].append(name)
+            columns[1].append(pack(d[some[at]]))
+            columns[2].append(b"" if f is None else own[at].tobytes())
+            columns[3].append(pack(np.diff(np.append(at, len(some)))))
+            columns[4].append(v[some].tobytes())
+    kinds = (pa.int32(),) + (pa.binary(),) * 4
+    return pa.table([pa.array(c, t) for c, t in zip(columns, kinds)], names=[x.split()[0] for x in ANSWER.split(", ")])
+
+
+def regroup(found: DataFrame, kind: type, with_fp: bool = False) -> DataFrame:
+    """``(doc_id[, fp], hits)``: per document (and text) its distinct values, packed."""
 
     def run(table: pa.Table) -> pa.Table:
-        def numbers(rows: pa.Table, name: str, kind: type) -> np.ndarray:
-            raw, _ = tk.text_bytes(rows.column(name).combine_chunks())
-            return np.frombuffer(raw.tobytes(), dtype=kind)
+        d, many = (unpack(table.column(c).combine_chunks()) for c in ("d", "many"))
+        f = numbers(table.column("f"), np.int64) if with_fp else np.zeros(len(d), np.int64)
+        d, f, v = np.repeat(d, many), np.repeat(f, many), numbers(table.column("v"), kind)
+        order = np.lexsort((v, f, d))
+        d, f, v = d[order], f[order], v[order]
+        text = np.ones(len(d), dtype=bool)
+        text[1:] = (d[1:] != d[:-1]) | (f[1:] != f[:-1])
+        fresh = text.copy()
+        fresh[1:] |= v[1:] != v[:-1]
+        text, d, f, v = np.flatnonzero(text[fresh]), d[fresh], f[fresh], np.ascontiguousarray(v[fresh])
+        packed = pieces(v.view(np.uint8), np.append(text, len(v)) * v.itemsize)
+        out = {"doc_id": pa.array(d[text])} | ({"fp": pa.array(f[text])} if with_fp else {})
+        return pa.table(out | {"hits": packed})
+
+    return found.groupBy("part").applyInArrow(run, "doc_id long, fp long, hits binary" if with_fp else "doc_id long, hits binary")
+
+
+def settle(sent: DataFrame, buckets: int, later: bool, kind: type) -> DataFrame:
+    """``(doc_id, hits)``: per document its keys that are hit, packed."""
 
+    def run(table: pa.Table) -> pa.Table:
         passed = table.filter(table.column("passed"))
         asked = table.filter(pa.compute.invert(table.column("passed")))
-        a, d = numbers(asked, "a", np.uint64), numbers(asked, "d", np.int64)
-        hit, _ = hits(a, numbers(asked, "b", np.uint64) if wide else None, d, later)
-        keys = np.concatenate((numbers(passed, "a", np.uint64), a[hit]))
-        docs, packed = by_document(keys, np.concatenate((numbers(passed, "d", np.int64), d[hit])))
-        return pa.table({"doc_id": pa.array(docs, pa.int64()), "hits": packed})
+        a, b, d = numbers(asked.column("a"), kind), numbers(asked.column("b"), np.uint64), unpack(asked.column("d").combine_chunks())
+        hit, _ = hits(a, b if later else None, d, later)
+        docs = np.concatenate((unpack(passed.column("d").combine_chunks()), d[hit]))
+        return answers(docs, None, np.concatenate((numbers(passed.column("a"), kind), a[hit])), buckets)
+
+    return regroup(sent.groupBy("bucket").applyInArrow(run, ANSWER), kind)
+
 
-    found = sent.groupBy("bucket").applyInArrow(run, "doc_id long, hits binary")
-    return found.groupBy("doc_id").agg(F.collect_list("hits").alias("hits"))
+def short(keys: np.ndarray) -> np.ndarray:
+    """32 bits of a key: enough in a bucket of about a million, as a false hit only costs a look at the next level."""
+    return (tk.mix(keys, 53) >> np.uint64(32)).astype(np.uint32)
 
 
 def shared_minima(texts: DataFrame, units: Callable[[pa.Array], tuple[np.ndarray, np.ndarray]], gram: int, length: int, buckets: int) -> DataFrame:
-    """``(doc_id, hits)`` of the documents that hold a minimum of another document, with those minima."""
+    """``(doc_id, hits)`` of the documents that hold a minimum of another document, with those minima (shortened)."""
 
     def step(batch: pa.RecordBatch) -> pa.RecordBatch | None:
         values, bounds = units(batch.column(1))
         least, inside = minima(values, bounds, gram, length)
-        owner = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))[: len(least)]
-        first, _ = runs_of(least, inside, owner)
+        first, _ = runs_of(least, inside)
         if not len(first):
             return None
-        keys, docs = least[first], batch.column(0).to_numpy()[owner[first]]
+        keys, docs = short(least[first]), batch.column(0).to_numpy()[owner_of(bounds, first)]
         # a document's repeats of its own are one entry
-        order, begin, _ = _groups(keys, docs.view(np.uint64), docs)
-        some = order[begin]
+        _, some = np.unique(tk.mix(keys ^ tk.mix(docs.view(np.uint64), 54), 55), return_index=True)
         return send(keys[some], None, docs[some], buckets, later=False)
 
-    rows = texts.select("doc_id", "text")
-    return settle(map_slices(rows, step, EXCHANGE), later=False, wide=False)
+    return settle(map_slices(texts.select("doc_id", "text"), step, ASK), buckets, later=False, kind=np.uint32)
 
 
 def member(keys: np.ndarray, owner: np.ndarray, packed: pa.Array) -> np.ndarray:
-    """Which ``(key, row)`` stand among the packed keys of their row; ``packed`` is an array of lists of packed keys."""
-    raw, offsets = tk.text_bytes(packed.flatten())
-    lists = packed.offsets.to_numpy().astype(np.int64)
-    lists = lists - lists[0]
-    given = np.frombuffer(raw.tobytes(), dtype=np.uint64)
-    counts = np.diff(offsets[lists] // 8)
-    rows = np.repeat(np.arange(len(counts)), counts)
-    known = np.sort(tk.mix(given ^ tk.mix(rows, 61), 62))
+    """Which ``(key, row)`` stand among the packed keys of their row."""
+    raw, offsets = tk.text_bytes(packed)
+    given = np.frombuffer(raw.tobytes(), dtype=keys.dtype)
+    rows = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets) // keys.itemsize)
+    known = np.sort(tk.mix(given.astype(np.uint64) ^ tk.mix(rows, 61), 62))
     if not len(known):
         return np.zeros(len(keys), dtype=bool)
-    wanted = tk.mix(keys ^ tk.mix(owner, 61), 62)
+    wanted = tk.mix(keys.astype(np.uint64) ^ tk.mix(owner, 61), 62)
     at = np.minimum(np.searchsorted(known, wanted), len(known) - 1)
     return known[at] == wanted
