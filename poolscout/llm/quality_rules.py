@@ -63,8 +63,8 @@ def _measure(batch: pa.RecordBatch) -> pa.RecordBatch:
     breaks = np.flatnonzero(raw == 0x0A)
     begins = np.unique(np.concatenate((offsets[:-1], breaks + 1)))
     begins = begins[begins < len(raw)]
-    stops = np.unique(np.concatenate((offsets[1:], breaks)))
-    stops = stops[np.searchsorted(stops, begins, side="left")] if len(begins) else begins
+    line_end = np.append(breaks, len(raw))[np.searchsorted(breaks, begins)]
+    stops = np.minimum(line_end, offsets[np.searchsorted(offsets, begins, side="right")])
     has_word = np.searchsorted(starts, stops, side="left") > np.searchsorted(starts, begins, side="left")
     begins, stops = begins[has_word], stops[has_word]
     of = np.searchsorted(offsets, begins, side="right") - 1
