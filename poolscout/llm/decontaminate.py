@@ -63,8 +63,8 @@ def shingles(words: np.ndarray, bounds: np.ndarray, size: int) -> tuple[np.ndarr
     counts = np.diff(bounds)
     short = np.flatnonzero((counts > 0) & (counts < size))
     if len(short):
-        sums = tk.running_sums(words, 9)
-        out[bounds[short]] = tk.mix(tk.run_hashes(sums, bounds[short], bounds[short + 1], 9) ^ counts[short].astype(np.uint64), 10)
+        sums = tk.running_sums(tk.mix(words, 9))
+        out[bounds[short]] = tk.mix(tk.run_hashes(sums, bounds[short], bounds[short + 1]) ^ counts[short].astype(np.uint64), 10)
         inside[bounds[short]] = True
     return out, inside
 
@@ -138,7 +138,7 @@ class Index:
             items.append(self.items[_stretches(self.begin[row[at]], many)])
         pairs = np.unique(np.concatenate(windows) * len(self.ids) + np.concatenate(items))
         window, item = pairs // len(self.ids), pairs % len(self.ids)
-        good = np.bitwise_count(prints[window] ^ self.prints[item]) <= self.options.radius
+        good = (np.bitwise_count(prints[window] ^ self.prints[item]) <= self.options.radius) & (sizes[window] == self.words[item])
         return window[good], item[good]
 
     def shared(self, hashes: np.ndarray, start: np.ndarray, size: np.ndarray, item: np.ndarray) -> np.ndarray:
@@ -186,26 +186,42 @@ class Index:
         empty = np.empty(0, np.int64)
         if not len(words) or not len(self.ids):
             return empty, empty, empty, empty, empty.astype(float)
+        found = [self._short(words, bounds)]
         hashes, inside = shingles(words, bounds, options.shingle)
         owner, start, size = self.windows(hashes, inside, bounds)
-        if not len(owner):
-            return empty, empty, empty, empty, empty.astype(float)
-        own = np.minimum(size, np.diff(bounds)[owner])
-        count = np.maximum(own - options.shingle + 1, 1)
-        prints = fingerprints(hashes[_stretches(start, count)], np.concatenate(([0], np.cumsum(count))))
-        window, item = self.near(prints, size)
-        both = self.shared(hashes, start[window], count[window], item)
-        union = count[window] + self.total[item] - both
-        good = 100 * both >= options.percent * union
-        window, item, both, union = window[good], item[good], both[good], union[good]
-        similarity = both / union
-        order = np.lexsort((start[window], -similarity, self.ids[item], owner[window]))
-        window, item, similarity = window[order], item[order], similarity[order]
-        key = np.stack((owner[window], self.ids[item]))
-        fresh = np.ones(len(window), dtype=bool)
+        if len(owner):
+            own = np.minimum(size, np.diff(bounds)[owner])
+            count = np.maximum(own - options.shingle + 1, 1)
+            prints = fingerprints(hashes[_stretches(start, count)], np.concatenate(([0], np.cumsum(count))))
+            window, item = self.near(prints, size)
+            both = self.shared(hashes, start[window], count[window], item)
+            union = count[window] + self.total[item] - both
+            good = 100 * both >= options.percent * union
+            window, item = window[good], item[good]
+            found.append((owner[window], item, start[window], own[window], both[good] / union[good]))
+        owner, item, start, own, similarity = (np.concatenate(x) for x in zip(*found))
+        order = np.lexsort((start, -similarity, self.ids[item], owner))
+        fresh = np.ones(len(order), dtype=bool)
+        key = np.stack((owner[order], self.ids[item[order]]))
         fresh[1:] = (key[:, 1:] != key[:, :-1]).any(axis=0)
-        window, item, similarity = window[fresh], item[fresh], similarity[fresh]
-        return owner[window], self.ids[item], start[window] - bounds[owner[window]], own[window], similarity
+        some = order[fresh]
+        return owner[some], self.ids[item[some]], start[some] - bounds[owner[some]], own[some], similarity[some]
+
+    def _short(self, words: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Windows of as many words as an item that has fewer than a shingle: their one shingle is the item's or not."""
+        found = [(np.empty(0, np.int64),) * 4]
+        sums = None
+        for size in range(1, self.options.shingle):
+            if not (self.words == size).any():
+                continue
+            sums = tk.running_sums(tk.mix(words, 9)) if sums is None else sums
+            start = np.flatnonzero(tk.windows_inside(bounds, size, len(words)))
+            hit, item = self.holders(tk.mix(tk.run_hashes(sums, start, start + size) ^ np.uint64(size), 10))
+            good = self.words[item] == size
+            at, item = start[hit[good]], item[good]
+            found.append((np.searchsorted(bounds, at, side="right") - 1, item, at, np.full(len(at), size)))
+        owner, item, start, own = (np.concatenate(x) for x in zip(*found))
+        return owner, item, start, own, np.ones(len(owner))
 
 
 MATCHES = "array<struct<item_id: bigint, start: bigint, words: bigint, similarity: double>>"
