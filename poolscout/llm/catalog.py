@@ -8,11 +8,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship_package
-from . import compression, language_id, near_dups, quality_rules, sentencepiece_unigram, substring_dedup, suffix_dedup, url_lists, warc
+from . import compression, decontaminate, language_id, near_dups, oracles, quality_rules, sentencepiece_unigram, substring_dedup, suffix_dedup, url_lists, warc
 from .common import fold
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op1_warc_revisits": oracles.OP1,
+    "op3_host_quality": oracles.OP3,
+    "op5_substring_dedup": oracles.OP5,
+    "op7_suffix_dedup": oracles.OP7,
+    "op9_url_lists": oracles.OP9,
+    "op10_minhash_near_dups": oracles.OP10,
+}
 
 
 def query(build: Callable[[SparkSession, str], DataFrame]):
@@ -61,6 +68,11 @@ def op5_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return substring_dedup.remove_repeats(table(spark, folder, "documents"))
 
 
+@query
+def op6_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    return decontaminate.contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
 @query
 def op7_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return suffix_dedup.remove_repeats(table(spark, folder, "documents"))
@@ -92,7 +104,7 @@ def op9_url_lists(spark: SparkSession, folder: str) -> DataFrame:
     day = F.date_add(F.lit(FIRST_DAY).cast("date"), (F.col("page_id") * 7 % DAYS).cast("int"))
     captures = pages.select("page_id", "url", day.alias("fetched"))
     keys = pages.select(F.explode(url_lists.url_keys("url")).alias("key")).distinct()
-    code = F.crc32(F.col("key").cast("binary"))
+    code = F.conv(F.substring(F.md5(F.col("key").cast("binary")), 1, 8), 16, 10).cast("long")
     entries = keys.where(code % 3 == 0).select(
         "key", (code % DAYS).cast("int").alias("on_day"), (code % 97).cast("int").alias("held"), F.concat(F.lit("list"), (code % 4).cast("string")).alias("category")
     )
