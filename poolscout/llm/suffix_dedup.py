@@ -10,16 +10,19 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkernel as tk
 from . import windows as ws
-from .common import keyed_texts, map_slices, pieces
+from .common import free_shuffles, keyed_texts, map_slices, pack, pieces, saved, unpack
 from .substring_dedup import digests, flagged_documents
 
 #: Bytes of the grams that name windows.
-GRAM = 20
+GRAM = 16
+#: Buckets of contexts for each bucket of minima; a bucket's suffix array is held in memory.
+PARTS = 4
 SENT = "bucket int, passed boolean, doc binary, fp binary, pos binary, size binary, data binary"
 
 
@@ -34,20 +37,25 @@ def _stretches(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
     return np.repeat(begin - shift, size) + np.arange(int(size.sum()))
 
 
-def equal_stretches(data: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """A number per stretch of ``data``, the same for equal ones. Hashes of 128 bits tell them apart."""
-    sums = [tk.running_sums(tk.byte_units(data, seed), seed) for seed in (81, 82)]
-    a, b = (tk.run_hashes(s, begin, begin + size, seed) for s, seed in zip(sums, (81, 82)))
+def equal_stretches(data: np.ndarray, begin: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A number per stretch of ``data``, the same for equal ones and in the order in which they first occur, and those first
+    ones. The starts ascend. Hashes of 128 bits tell stretches apart."""
+    a, b = (tk.stretch_hashes(data, begin, begin + size, seed) for seed in (81, 82))
     order = np.argsort(a)
     same_a, same_b = a[order][1:] == a[order][:-1], b[order][1:] == b[order][:-1]
     if (same_a & ~same_b).any():
         order = np.lexsort((b, a))
         same_a, same_b = a[order][1:] == a[order][:-1], b[order][1:] == b[order][:-1]
+    if not len(order):
+        return order, order
     fresh = np.ones(len(order), dtype=bool)
     fresh[1:] = ~(same_a & same_b)
+    earliest = np.minimum.reduceat(order, np.flatnonzero(fresh))
+    rank = np.empty(len(earliest), dtype=np.int64)
+    rank[np.argsort(earliest)] = np.arange(len(earliest))
     out = np.empty(len(order), dtype=np.int64)
-    out[order] = np.cumsum(fresh) - 1
-    return out
+    out[order] = rank[np.cumsum(fresh) - 1]
+    return out, np.sort(earliest)
 
 
 def suffix_array(data: np.ndarray, begin: np.ndarray, end: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
@@ -67,8 +75,7 @@ def suffix_array(data: np.ndarray, begin: np.ndarray, end: np.ndarray, length: i
     longest = int((end - begin).max()) if len(begin) else 0
     whole = range(0, length // 8)
     tail = range(length // 8, -(-longest // 8))
-    sums = tk.running_sums(tk.byte_units(data, 83), 83)
-    head = tk.run_hashes(sums, begin, begin + length, 83)
+    head = tk.stretch_hashes(data, begin, begin + length, 83)
     order = np.lexsort([end - begin] + [column(begin + 8 * k, end) for k in reversed(tail)] + [head])
     start, stop = begin[order], end[order]
     lcp = np.zeros(len(order), dtype=np.int64)
@@ -127,7 +134,7 @@ def repeats_of_contexts(data: np.ndarray, begin: np.ndarray, size: np.ndarray, l
     offset = start - begin[context]
     end = (begin + size)[context]
     # suffixes whose first bytes stand alone are in no interval
-    head = tk.run_hashes(tk.running_sums(tk.byte_units(data, 84), 84), start, start + length, 84)
+    head = tk.stretch_hashes(data, start, start + length, 84)
     _, back, times = np.unique(head, return_inverse=True, return_counts=True)
     some = np.flatnonzero(times[back] > 1)
     if not len(some):
@@ -146,11 +153,11 @@ def _contexts(batch: pa.RecordBatch, length: int):
     """The contexts of a slice: owner, position, bytes."""
     raw, offsets = tk.text_bytes(batch.column(1))
     least, inside = ws.minima(tk.byte_units(raw), offsets, GRAM, length)
-    owner = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))[: len(least)]
-    first, last = ws.runs_of(least, inside, owner, most=length - GRAM + 1)
-    good = ws.member(least[first], owner[first], batch.column(3))
+    first, last = ws.runs_of(least, inside, most=length - GRAM + 1)
+    owner = ws.owner_of(offsets, first)
+    good = ws.member(ws.short(least[first]), owner, batch.column(3))
     first, last = first[good], last[good]
-    return raw, offsets, owner[first], least[first], first, last - first + length
+    return raw, offsets, owner[good], least[first], first, last - first + length
 
 
 def _send(batch: pa.RecordBatch, length: int, buckets: int) -> pa.RecordBatch | None:
@@ -160,54 +167,52 @@ def _send(batch: pa.RecordBatch, length: int, buckets: int) -> pa.RecordBatch |
     doc, fp = batch.column(0).to_numpy()[owner], batch.column(2).to_numpy()[owner]
     pos = begin - offsets[owner]
     # of equal contexts in this slice those of later documents are settled: all of their bytes go
-    same = equal_stretches(raw, begin, size)
+    same, _ = equal_stretches(raw, begin, size)
     order = np.lexsort((doc, same))
     start = np.concatenate(([True], same[order][1:] != same[order][:-1]))
     low = doc[order][np.flatnonzero(start)][np.cumsum(start) - 1]
     settled = np.zeros(len(doc), dtype=bool)
     settled[order] = doc[order] > low
     columns: list[list] = [[], [], [], [], [], [], []]
-    names = tk.mix(least, 85) % np.uint64(buckets)
-    names[settled] = tk.mix(doc[settled].view(np.uint64), 86) % np.uint64(buckets)
-    code = names.astype(np.int64) * 2 + settled
-    order = np.argsort(code, kind="stable")
-    kinds, cuts = np.unique(code[order], return_index=True)
-    for kind, a, b in zip(kinds.tolist(), cuts.tolist(), np.append(cuts[1:], len(order)).tolist()):
-        some = order[a:b]
-        columns[0].append(kind // 2)
-        columns[1].append(bool(kind % 2))
-        for column, values in zip(columns[2:6], (doc, fp, pos, size)):
-            column.append(values[some].astype(np.int64).tobytes())
-        columns[6].append(b"" if kind % 2 else raw[_stretches(begin[some], size[some])].tobytes())
+    press = zstandard.ZstdCompressor(level=1)
+    names = (tk.mix(least, 85) % np.uint64(buckets)).astype(np.int64)
+    names[settled] = ws.part_of(doc[settled], buckets)
+    for code, some in zip(*ws._dealt(names * 2 + settled)):
+        columns[0].append(code // 2)
+        columns[1].append(bool(code % 2))
+        columns[2].append(pack(doc[some]))
+        columns[3].append(fp[some].tobytes())
+        columns[4].append(pack(pos[some]))
+        columns[5].append(pack(size[some]))
+        columns[6].append(b"" if code % 2 else press.compress(raw[_stretches(begin[some], size[some])].tobytes()))
     types = (pa.int32(), pa.bool_()) + (pa.binary(),) * 5
     return pa.record_batch([pa.array(c, t) for c, t in zip(columns, types)], names=[x.split()[0] for x in SENT.split(", ")])
 
 
-def _numbers(rows: pa.Table, name: str) -> np.ndarray:
-    raw, _ = tk.text_bytes(rows.column(name).combine_chunks())
-    return np.frombuffer(raw.tobytes(), dtype=np.int64)
+def _placed(rows: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Document, text, position and size of the contexts in these rows."""
+    doc, pos, size = (unpack(rows.column(c).combine_chunks()) for c in ("doc", "pos", "size"))
+    return doc, ws.numbers(rows.column("fp"), np.int64), pos, size
 
 
 def _received(table: pa.Table):
     asked = table.filter(pa.compute.invert(table.column("passed")))
-    data, _ = tk.text_bytes(asked.column("data").combine_chunks())
-    doc, fp, pos, size = (_numbers(asked, c) for c in ("doc", "fp", "pos", "size"))
+    press = zstandard.ZstdDecompressor()
+    data = np.frombuffer(b"".join(press.decompress(x.as_buffer()) for x in asked.column("data").combine_chunks()), dtype=np.uint8)
+    doc, fp, pos, size = _placed(asked)
     begin = np.concatenate(([0], np.cumsum(size)[:-1])) if len(size) else size
-    same = equal_stretches(data, begin, size)
-    _, first = np.unique(same, return_index=True)
-    return data, doc, fp, pos, size, begin, same, first
+    return data, doc, fp, pos, size, begin, *equal_stretches(data, begin, size)
 
 
-def removed_runs(sent: DataFrame, length: int) -> DataFrame:
-    """``(doc_id, fp, runs)``: per text an array of packed byte runs (first, behind last) that a smaller document holds too."""
+def removed_runs(sent: DataFrame, length: int, buckets: int) -> DataFrame:
+    """``(doc_id, fp, hits)``: per text the byte runs that a smaller document holds too, packed as ``first << 32 | behind last``."""
 
     def run(table: pa.Table) -> pa.Table:
-        passed = table.filter(table.column("passed"))
         data, doc, fp, pos, size, begin, same, first = _received(table)
         low = np.full(len(first), np.iinfo(np.int64).max)
         np.minimum.at(low, same, doc)
-        out = [[x] for x in (_numbers(passed, "doc"), _numbers(passed, "fp"), _numbers(passed, "pos"))]
-        out.append([out[2][0] + _numbers(passed, "size")])
+        far_doc, far_fp, far_pos, far_size = _placed(table.filter(table.column("passed")))
+        out = [[far_doc], [far_fp], [far_pos], [far_pos + far_size]]
 
         def add(at: np.ndarray, start: np.ndarray, stop: np.ndarray) -> None:
             for column, values in zip(out, (doc[at], fp[at], start, stop)):
@@ -230,28 +235,20 @@ def removed_runs(sent: DataFrame, length: int) -> DataFrame:
             shift, long = np.repeat(offset, many), np.repeat(depth, many)
             add(at, pos[at] + shift, pos[at] + shift + long)
         d, f, a, b = (np.concatenate(x) for x in out)
-        order = np.lexsort((b, a, f, d))
-        d, f, a, b = d[order], f[order], a[order], b[order]
-        if not len(d):
-            return pa.table({"doc_id": pa.array([], pa.int64()), "fp": pa.array([], pa.int64()), "runs": pa.array([], pa.binary())})
-        fresh = np.concatenate(([True], (d[1:] != d[:-1]) | (f[1:] != f[:-1]) | (a[1:] != a[:-1]) | (b[1:] != b[:-1])))
-        d, f, a, b = d[fresh], f[fresh], a[fresh], b[fresh]
-        texts = np.flatnonzero(np.concatenate(([True], (d[1:] != d[:-1]) | (f[1:] != f[:-1]))))
-        packed = np.ascontiguousarray(np.column_stack((a, b)))
-        return pa.table(
-            {"doc_id": pa.array(d[texts]), "fp": pa.array(f[texts]), "runs": pieces(packed.view(np.uint8).ravel(), np.append(texts, len(d)) * 16)}
-        )
+        return ws.answers(d, f, (a.astype(np.uint64) << np.uint64(32)) | b.astype(np.uint64), buckets)
 
-    found = sent.groupBy("bucket").applyInArrow(run, "doc_id long, fp long, runs binary")
-    return found.groupBy("doc_id", "fp").agg(F.collect_list("runs").alias("runs"))
+    return ws.regroup(sent.groupBy("bucket").applyInArrow(run, ws.ANSWER), np.uint64, with_fp=True)
 
 
-def _sent(docs: DataFrame, length: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _found(docs: DataFrame, length: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """All texts, the candidates, and the runs to remove from them; the last two are written tables."""
     texts = keyed_texts(docs, id_col, text_col)
     buckets = ws.bucket_count(texts)
     candidates, _ = flagged_documents(texts, byte_units, GRAM, length, buckets, "suffix-candidates")
-    sent = map_slices(candidates.select("doc_id", "text", "fp", "hits"), lambda b: _send(b, length, 2 * buckets), SENT)
-    return texts, candidates, sent
+    sent = map_slices(candidates.select("doc_id", "text", "fp", "hits"), lambda b: _send(b, length, PARTS * buckets), SENT)
+    runs, _ = saved(removed_runs(sent, length, PARTS * buckets), "suffix-runs")
+    free_shuffles(docs.sparkSession)
+    return texts, candidates, runs
 
 
 def maximal_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -265,12 +262,14 @@ def maximal_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", t
     def occurrences(batch: pa.RecordBatch) -> pa.RecordBatch:
         raw, offsets, owner, least, begin, size = _contexts(batch, length)
         arrays = [
-            pa.array((tk.mix(least, 85) % np.uint64(2 * buckets)).astype(np.int32)),
+            pa.array((tk.mix(least, 85) % np.uint64(PARTS * buckets)).astype(np.int32)),
             pa.array(np.zeros(len(begin), dtype=bool)),
         ]
         for values in (batch.column(0).to_numpy()[owner], batch.column(2).to_numpy()[owner], begin - offsets[owner], size):
-            arrays.append(pieces(np.ascontiguousarray(values, dtype=np.int64).view(np.uint8), np.arange(len(begin) + 1) * 8))
-        arrays.append(pieces(raw[_stretches(begin, size)], np.concatenate(([0], np.cumsum(size)))))
+            some = np.split(values, np.arange(1, len(values)))
+            arrays.append(pa.array([pack(v) for v in some] if len(arrays) != 3 else [v.tobytes() for v in some], pa.binary()))
+        press = zstandard.ZstdCompressor(level=1)
+        arrays.append(pa.array([press.compress(raw[a:b].tobytes()) for a, b in zip(begin, begin + size)], pa.binary()))
         return pa.record_batch(arrays, names=[x.split()[0] for x in SENT.split(", ")])
 
     def run(table: pa.Table) -> pa.Table:
@@ -308,6 +307,40 @@ def maximal_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", t
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 
+def _finish(batch: pa.RecordBatch, names: list[str]) -> pa.RecordBatch:
+    raw, offsets = tk.text_bytes(batch.column(1))
+    given, bounds = tk.text_bytes(batch.column(2))
+    runs = np.frombuffer(given.tobytes(), dtype=np.uint64)
+    of = offsets[np.repeat(np.arange(batch.num_rows), np.diff(bounds) // 8)]
+    change = np.zeros(len(raw) + 1, dtype=np.int64)
+    np.add.at(change, of + (runs >> np.uint64(32)).astype(np.int64), 1)
+    np.add.at(change, of + (runs & np.uint64(0xFFFFFFFF)).astype(np.int64), -1)
+    gone = np.cumsum(change[:-1]) > 0
+    opens = gone.copy()
+    opens[1:] &= ~gone[:-1]
+    edge = offsets[:-1][offsets[:-1] < len(raw)]
+    opens[edge] = gone[edge]
+    removed = tk.count_between(gone, offsets)
+    size = np.diff(offsets)
+    kept = raw[~gone]
+    cuts = np.concatenate(([0], np.cumsum(size - removed)))
+    arrays = [batch.column(0), pa.array(size), pa.array(removed), pa.array(tk.count_between(opens, offsets)), pa.array(digests(kept, cuts), pa.string())]
+    if "kept" in names:
+        arrays.append(pieces(kept, cuts))
+    if "fp" in names:
+        arrays.append(batch.column(3))
+    return pa.record_batch(arrays, names=names)
+
+
+def _cut(candidates: DataFrame, runs: DataFrame, more: str = "") -> DataFrame:
+    """The candidates without the runs."""
+    schema = RESULT + more
+    names = [part.split()[0] for part in schema.split(", ")]
+    hit = candidates.select("doc_id", "fp", "text").join(runs, ["doc_id", "fp"], "left")
+    hit = hit.select("doc_id", "text", F.coalesce("hits", F.lit(b"")).alias("runs"), "fp")
+    return map_slices(hit, lambda batch: _finish(batch, names), schema)
+
+
 def remove_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False) -> DataFrame:
     """``(doc_id, n_bytes, n_removed, n_spans, kept_sha256[, kept])`` for every row with an id: each byte covered by a string of ``length``
     bytes that also starts in a document with a smaller id is removed; strings are judged on the input and never cross texts.
@@ -315,41 +348,19 @@ def remove_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", te
     Null and empty texts have no bytes, shorter ones lose nothing. Rows with equal ids do not remove from each other. ``kept`` is
     binary, as a cut may fall inside a character.
     """
-    texts, candidates, sent = _sent(docs, length, id_col, text_col)
-    runs = removed_runs(sent, length)
-    schema = RESULT + ", kept binary" * with_text
-    names = [part.split()[0] for part in schema.split(", ")]
-
-    def finish(batch: pa.RecordBatch) -> pa.RecordBatch:
-        raw, offsets = tk.text_bytes(batch.column(1))
-        lists = batch.column(2)
-        given, bounds = tk.text_bytes(lists.flatten())
-        pairs = np.frombuffer(given.tobytes(), dtype=np.int64).reshape(-1, 2)
-        outer = lists.offsets.to_numpy().astype(np.int64)
-        of = np.repeat(np.arange(len(lists)), np.diff(bounds[outer - outer[0]] // 16))
-        change = np.zeros(len(raw) + 1, dtype=np.int64)
-        np.add.at(change, offsets[of] + pairs[:, 0], 1)
-        np.add.at(change, offsets[of] + pairs[:, 1], -1)
-        gone = np.cumsum(change[:-1]) > 0
-        opens = gone.copy()
-        opens[1:] &= ~gone[:-1]
-        edge = offsets[:-1][offsets[:-1] < len(raw)]
-        opens[edge] = gone[edge]
-        removed = tk.count_between(gone, offsets)
-        size = np.diff(offsets)
-        kept = raw[~gone]
-        cuts = np.concatenate(([0], np.cumsum(size - removed)))
-        arrays = [batch.column(0), pa.array(size), pa.array(removed), pa.array(tk.count_between(opens, offsets)), pa.array(digests(kept, cuts), pa.string())]
-        if with_text:
-            arrays.append(pieces(kept, cuts))
-        return pa.record_batch(arrays, names=names)
-
-    hit = candidates.select("doc_id", "fp", "text").join(runs, ["doc_id", "fp"], "left")
-    hit = hit.select("doc_id", "text", F.coalesce("runs", F.array().cast("array<binary>")).alias("runs"))
-    cut = map_slices(hit, finish, schema)
+    texts, candidates, runs = _found(docs, length, id_col, text_col)
+    cut = _cut(candidates, runs, ", kept binary" * with_text)
     body = F.col("text").cast("binary")
     nothing = F.lit(0).cast("long")
     whole = [F.col("doc_id"), F.octet_length("text").cast("long").alias("n_bytes"), nothing.alias("n_removed"), nothing.alias("n_spans"), F.sha2(body, 256).alias("kept_sha256")]
     rest = texts.select(*whole, *([body.alias("kept")] if with_text else []))
     rest = rest.join(candidates.select("doc_id").distinct(), "doc_id", "left_anti")
     return rest.union(cut)
+
+
+def shortened_texts(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``(doc_id, fp, kept)`` of the texts that lose something, once each: what is left of them. ``fp`` is the hash of the text before,
+    as in ``keyed_texts``."""
+    _, candidates, runs = _found(docs, length, id_col, text_col)
+    cut = _cut(candidates, runs, ", kept binary, fp long").where("n_removed > 0")
+    return cut.select("doc_id", "fp", "kept").dropDuplicates(["doc_id", "fp"])
