@@ -163,7 +163,7 @@ def narrow_top(df: DataFrame, n: int, column: str) -> DataFrame:
 def top_n(
     df: DataFrame, n: int, order: Sequence[Column], largest: str | None = None, gather_rows: int = SMALL_ROWS
 ) -> DataFrame:
-    """The first ``n`` rows by ``order``.
+    """The first ``n`` rows by ``order``, in that order.
 
     A small ``n`` is Spark's own top-k, which merges every task's best ``n`` in one place. A large ``n`` is ranked
     across the cluster instead, so nothing that grows with the pool meets in one task. ``largest`` names the number
@@ -172,7 +172,7 @@ def top_n(
     if n <= gather_rows:
         return df.orderBy(*order).limit(n)
     candidates = df if largest is None else narrow_top(df, n, largest)
-    return rank_within(candidates, [], order, "_rank").filter(F.col("_rank") <= n).drop("_rank")
+    return rank_within(candidates, [], order, "_rank").filter(F.col("_rank") <= n).orderBy("_rank").drop("_rank")
 
 
 def top_n_each(df: DataFrame, keys: Sequence[str], n: int, order: Sequence[Column]) -> DataFrame:

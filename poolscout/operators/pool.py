@@ -9,6 +9,8 @@ from itertools import accumulate
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .ordered import number_range
+
 Index = int | slice
 
 
@@ -34,22 +36,34 @@ def contains(pool: DataFrame, candidate) -> DataFrame:
     return pool.filter(F.col("id") == F.lit(candidate)).limit(1).agg((F.count(F.lit(1)) > 0).alias("found"))
 
 
-def _index_predicate(index: Index, rows: int) -> Column:
-    at = F.col("row_idx")
-    if isinstance(index, slice):
-        start, stop, step = index.indices(rows)
-        if step < 1:
-            raise IndexError("slices must go forward")
-        return (at >= start) & (at < stop) & ((at - start) % step == 0)
-    if not -rows <= index < rows:
-        raise IndexError(f"row {index} is outside a pool of {rows}")
-    return at == (index if index >= 0 else index + rows)
+def _ranges(wanted: Sequence[Index], rows: int) -> list[tuple[int, int, int, int]]:
+    """(place, first, last, step) of every index in the order asked."""
+    out = []
+    for place, index in enumerate(wanted):
+        if isinstance(index, slice):
+            start, stop, step = index.indices(rows)
+            if step < 1:
+                raise IndexError("slices must go forward")
+            if start < stop:
+                out.append((place, start, stop - 1, step))
+        elif not -rows <= index < rows:
+            raise IndexError(f"row {index} is outside a pool of {rows}")
+        else:
+            at = index if index >= 0 else index + rows
+            out.append((place, at, at, 1))
+    return out
 
 
 def fetch_rows(pool: DataFrame, index: Index | Sequence[Index], rows: int) -> DataFrame:
-    """Rows by position, slice or several of either, in position order. Plain predicates, so the scan can skip."""
+    """Rows by position, slice or several of either, in the order asked and as often as asked. ``place`` numbers the request.
+
+    The positions are a small table of ranges, spread to rows by Spark and joined; Spark broadcasts it while it is small.
+    """
     wanted = list(index) if isinstance(index, (list, tuple)) else [index]
-    return pool.filter(reduce(lambda a, b: a | b, [_index_predicate(i, rows) for i in wanted])).orderBy("row_idx")
+    ranges = pool.sparkSession.createDataFrame(_ranges(wanted, rows), "place long, first long, last long, step long")
+    spread = number_range(ranges, F.lit(0), F.floor((F.col("last") - F.col("first")) / F.col("step")), "_k")
+    positions = spread.select("place", (F.col("first") + F.col("_k") * F.col("step")).alias("row_idx"))
+    return pool.join(positions, "row_idx").select("place", *pool.columns).orderBy("place", "row_idx")
 
 
 def number_batches(pool: DataFrame, sizes: int | Sequence[int]) -> DataFrame:

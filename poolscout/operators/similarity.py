@@ -29,8 +29,9 @@ def _matrix(bits, length: int) -> np.ndarray:
 
 
 def _similarity(items: np.ndarray, leaders: np.ndarray) -> np.ndarray:
-    shared = items @ leaders.T
-    union = items.sum(1)[:, None] + leaders.sum(1)[None, :] - shared
+    # counts are exact in single precision, their quotient is not
+    shared = (items @ leaders.T).astype(np.float64)
+    union = items.sum(1, dtype=np.float64)[:, None] + leaders.sum(1, dtype=np.float64)[None, :] - shared
     return np.divide(shared, union, out=np.zeros_like(shared, dtype=np.float64), where=union > 0)
 
 
@@ -77,7 +78,7 @@ def pick_leaders(
             break
         new = cut(head.coalesce(1).mapInPandas(_settle(length, floor), head.schema).orderBy("id"))
         if max_picks is not None:
-            new = cut(new.limit(max_picks - n_picked))
+            new = cut(new.orderBy("id").limit(max_picks - n_picked))
         leaders = new.collect()
         n_picked += len(leaders)
         picked = new if picked is None else cut(picked.unionByName(new))
@@ -112,12 +113,12 @@ def assign_to_leaders(items: DataFrame, leaders: DataFrame, length: int, block:
     """Most similar leader per item (the smaller id on ties); a leader belongs to itself. ``(id, leader, similarity)``."""
     spark = items.sparkSession
     state = items.filter(F.col("bits").isNotNull()).select(
-        "id", "bits", F.lit(None).cast("long").alias("leader"), F.lit(-1.0).alias("similarity")
+        "id", "bits", F.lit(None).cast(items.schema["id"].dataType).alias("leader"), F.lit(-1.0).alias("similarity")
     )
     schema = state.schema
     for i, rows in enumerate(_blocks(leaders, block), start=1):
         shared = spark.sparkContext.broadcast(
-            (np.array([r["id"] for r in rows], dtype=np.int64), _matrix([r["bits"] for r in rows], length))
+            (np.array([r["id"] for r in rows]), _matrix([r["bits"] for r in rows], length))
         )
 
         def best_in_block(frames: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
@@ -128,11 +129,11 @@ def assign_to_leaders(items: DataFrame, leaders: DataFrame, length: int, block:
                     sims = _similarity(_matrix(part["bits"], length), matrix)
                     best = sims.argmax(axis=1)
                     value = sims[np.arange(len(part)), best]
-                    own = np.isin(part["id"].to_numpy(), ids)
+                    own = part["id"].isin(ids).to_numpy()
                     value = np.where(own, 2.0, value)
-                    leader = np.where(own, part["id"].to_numpy(), ids[best])
+                    leader = np.where(own, part["id"].to_numpy(dtype=object), ids[best].astype(object))
                     better = value > part["similarity"].to_numpy()
-                    part["leader"] = np.where(better, leader, part["leader"].fillna(-1)).astype("int64")
+                    part["leader"] = np.where(better, leader, part["leader"].to_numpy(dtype=object))
                     part["similarity"] = np.where(better, value, part["similarity"])
                     yield part
 
@@ -143,13 +144,15 @@ def assign_to_leaders(items: DataFrame, leaders: DataFrame, length: int, block:
 
 
 def within_distance(items: DataFrame, leaders: DataFrame, length: int, max_distance: float, block: int = BLOCK) -> DataFrame:
-    """Every (leader, item) pair within ``max_distance``: ``(leader, id, similarity)``."""
+    """Every (leader, item) pair within ``max_distance``: ``(leader, id, similarity)``. At most leaders x items rows; leaders lie
+    apart from one another, so an item is near few of them."""
     spark = items.sparkSession
+    kind = items.schema["id"].dataType.simpleString()
     floor = 1.0 - max_distance
     found: DataFrame | None = None
     for rows in _blocks(leaders, block):
         shared = spark.sparkContext.broadcast(
-            (np.array([r["id"] for r in rows], dtype=np.int64), _matrix([r["bits"] for r in rows], length))
+            (np.array([r["id"] for r in rows]), _matrix([r["bits"] for r in rows], length))
         )
 
         def near(frames: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
@@ -163,7 +166,7 @@ def within_distance(items: DataFrame, leaders: DataFrame, length: int, max_dista
                     )
 
         pairs = items.filter(F.col("bits").isNotNull()).select("id", "bits").mapInPandas(
-            near, "leader long, id long, similarity double"
+            near, f"leader {kind}, id {kind}, similarity double"
         )
         found = pairs if found is None else found.unionByName(pairs)
     if found is None:

@@ -9,7 +9,7 @@ from __future__ import annotations
 import heapq
 from collections.abc import Sequence
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -84,30 +84,28 @@ def running_top_k_average(runs: DataFrame, k: int, chunk_rows: int = CHUNK_ROWS)
         reach *= 2
     starts = inclusive.select(F.col("run_id").alias("run_id"), (F.col("chunk") + 1).alias("chunk"), F.col("best").alias("best"))
 
-    def walk(rows: pd.DataFrame, start: pd.DataFrame) -> pd.DataFrame:
-        if rows.empty:
-            return pd.DataFrame({"run_id": [], "seq": [], "top_k_avg": []})
-        rows = rows.sort_values("seq")
-        heap = [] if start.empty else list(start["best"].iloc[0])
+    def walk(rows: pa.Table, start: pa.Table) -> pa.Table:
+        rows = rows.sort_by("seq")
+        heap = list(start.column("best")[0].as_py()) if start.num_rows else []
         heapq.heapify(heap)
         total = sum(heap)
         out = []
-        for y in rows["score"]:
-            if y == y and y is not None:
+        for y in rows.column("score").to_pylist():
+            if y is not None and y == y:
                 if len(heap) < k:
                     heapq.heappush(heap, y)
                     total += y
                 else:
                     total += y - heapq.heappushpop(heap, y)
             out.append(total / k)
-        if rows["seq"].iloc[0] == 1:
+        if out and rows.column("seq")[0].as_py() == 1:
             first = min(k, len(out))
             out[:first] = [out[first - 1]] * first
-        return pd.DataFrame({"run_id": rows["run_id"], "seq": rows["seq"], "top_k_avg": out})
+        return pa.table({"run_id": rows.column("run_id"), "seq": rows.column("seq"), "top_k_avg": pa.array(out, pa.float64())})
 
     schema = f"run_id {dict(runs.dtypes)['run_id']}, seq long, top_k_avg double"
     return (
-        scores.groupBy("run_id", "chunk").cogroup(starts.groupBy("run_id", "chunk")).applyInPandas(walk, schema)
+        scores.groupBy("run_id", "chunk").cogroup(starts.groupBy("run_id", "chunk")).applyInArrow(walk, schema)
     )
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from ..session import cut
+from ..session import broadcast_if_small, cut
 
 # Fixed value: the extended suffix starts at a blank followed by a text between two pipes.
 EXTENDED_SUFFIX = r"\s\|.*\|"
@@ -22,8 +22,8 @@ def strip_suffix(id_col: Column) -> Column:
 def read_columns(
     spark: SparkSession, path: str, columns: dict[str, int], header: bool = True, sep: str = ","
 ) -> DataFrame:
-    """Read text columns by position. gzip is recognised by its file suffix."""
-    raw = spark.read.csv(path, header=header, sep=sep)
+    """Read text columns by position; a quoted field doubles its quotes. gzip is recognised by its file suffix."""
+    raw = spark.read.csv(path, header=header, sep=sep, quote='"', escape='"')
     return raw.select(
         *[F.col(f"`{raw.columns[i]}`").alias(name) for name, i in columns.items()],
         F.col("_metadata.file_path").alias("_file"),
@@ -41,14 +41,14 @@ def number_lines(lines: DataFrame) -> DataFrame:
     fixed = cut(lines)
     split = ["_lib", "_file", "_block"]
     before = W.partitionBy(F.lit(0)).orderBy(*split).rowsBetween(W.unboundedPreceding, -1)
-    starts = (
+    starts = cut(
         fixed.groupBy(*split)
         .agg(F.count(F.lit(1)).alias("_n"), F.min("_pos").alias("_start"))
         .withColumn("_offset", F.coalesce(F.sum("_n").over(before), F.lit(0)))
         .drop("_n")
     )
     return (
-        fixed.join(starts, split)
+        fixed.join(broadcast_if_small(starts, starts.count()), split)
         .withColumn("row_idx", F.col("_pos") - F.col("_start") + F.col("_offset"))
         .drop(*split, "_pos", "_start", "_offset")
     )

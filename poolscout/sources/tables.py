@@ -34,12 +34,19 @@ def read_multitask(
     skip_all_missing: bool = False,
     max_rows: int | None = None,
 ) -> DataFrame:
-    """Identifiers and numeric targets of a text table; blanks become NULL."""
-    ids, targets = task_columns(table.columns, id_columns, target_columns, ignore_columns)
+    """Identifiers and numeric targets of a text table; blanks become NULL.
+
+    ``max_rows`` takes the first rows of the file, so it needs their number in ``row_idx``, which is no target.
+    """
+    if max_rows is not None:
+        if "row_idx" not in table.columns:
+            raise ValueError("max_rows needs a column row_idx: a table has no first rows otherwise")
+        table = table.filter(F.col("row_idx") < max_rows)
+    ids, targets = task_columns([c for c in table.columns if c != "row_idx"], id_columns, target_columns, ignore_columns)
     tasks = table.select(*ids, *[F.nullif(F.trim(F.col(t).cast("string")), F.lit("")).cast("double").alias(t) for t in targets])
     if skip_all_missing:
         tasks = tasks.na.drop(how="all", subset=targets)
-    return tasks if max_rows is None else tasks.limit(max_rows)
+    return tasks
 
 
 def unpivot_tasks(tasks: DataFrame, ids: Sequence[str], targets: Sequence[str]) -> DataFrame:

@@ -91,7 +91,11 @@ def test_multitask(spark):
     got = tables.read_multitask(rows, ignore_columns=["note"])
     assert got.columns == ["id", "t1", "t2"] and [tuple(r) for r in got.orderBy("id").collect()][0] == ("a", 1.0, None)
     assert tables.read_multitask(rows, ignore_columns=["note"], skip_all_missing=True).count() == 2
-    assert tables.read_multitask(rows, target_columns=["t2"], max_rows=1).count() == 1
+    with pytest.raises(ValueError, match="row_idx"):
+        tables.read_multitask(rows, target_columns=["t2"], max_rows=1)
+    numbered = rows.withColumn("row_idx", F.when(F.col("id") == "b", 0).when(F.col("id") == "c", 1).otherwise(2)).repartition(3)
+    assert sorted(r["id"] for r in tables.read_multitask(numbered, max_rows=2).collect()) == ["b", "c"]
+    assert tables.read_multitask(numbered, max_rows=2).columns == ["id", "t1", "t2", "note"]
     assert [r["score"] for r in tables.target_scores(rows, "t2").collect()] == [0.5]
 
 
@@ -141,7 +145,7 @@ def test_fetch_rows(spark):
     assert fetch(4) == [4] and fetch(-1) == [29]
     assert fetch(slice(5, 12, 3)) == list(range(30))[5:12:3]
     assert fetch(slice(-4, None)) == [26, 27, 28, 29]
-    assert fetch((7, slice(0, 2), -2)) == [0, 1, 7, 28]
+    assert fetch((7, slice(0, 2), -2, 7)) == [7, 0, 1, 28, 7]  # in the order asked
     with pytest.raises(IndexError):
         fetch(30)
     with pytest.raises(IndexError):
