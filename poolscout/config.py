@@ -54,7 +54,6 @@ class RunConfig:
     delta: float = 0.01
     max_iters: int = 10
     budget: int | float = 1.0
-    minimize: bool = False
     retrain: bool = True
     prune: bool = False
     prune_min_hit_prob: float = 0.025

@@ -5,6 +5,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 
 from pyspark.sql import Column
@@ -20,6 +21,11 @@ def uniform(id_col: Column, seed: int) -> Column:
     return F.conv(F.substring(digest, 1, _HEX_DIGITS), 16, 10).cast("double") / F.lit(_RANGE)
 
 
+def uniform_value(key: int, seed: int) -> float:
+    """The same number for one key, without Spark."""
+    return int(hashlib.md5(f"{key}:{seed}".encode()).hexdigest()[:_HEX_DIGITS], 16) / _RANGE
+
+
 def normal(id_col: Column, seed: int) -> Column:
     """Standard normal number for every identifier (Box-Muller on two uniforms)."""
     radius = F.sqrt(F.lit(-2.0) * F.log(F.lit(1.0) - uniform(id_col, seed)))

@@ -18,14 +18,17 @@ from ..functions.utility import UtilityOptions, check_supported, needs, with_uti
 from ..operators.acquire import (
     acquire_batch,
     acquire_batch_by_cluster,
+    best_utility,
+    exclude_explored,
     initial_batch,
     initial_batch_by_cluster,
     kth_best,
 )
 from ..operators.objectives import Objective
+from ..operators.ordered import rank_within
 from ..operators.prune import expected_positives_pruned, retain
 from ..operators.stats import top_k_average
-from ..session import broadcast_if_small
+from ..session import broadcast_if_small, cut
 from ..sources.runlog import RunLog
 from ..surrogate.base import Surrogate, training_rows
 
@@ -47,13 +50,13 @@ class Exploration:
 
     def __init__(
         self, spark: SparkSession, pool: DataFrame, objective: Objective, surrogate: Surrogate, config: RunConfig,
-        path: str, previous: DataFrame | None = None, resume: bool = False,
+        path: str, previous: DataFrame | None = None, resume: bool = False, run_id: str = "run",
     ):
         check_supported(config.metric, surrogate.provides)
         if config.prune and "vars" not in surrogate.provides:
             raise ValueError("pruning needs a model that predicts variances")
         self.spark, self.objective, self.surrogate, self.config = spark, objective, surrogate, config
-        self.log = RunLog(spark, path)
+        self.log, self.run_id = RunLog(spark, path), run_id
         self.full_pool = self.pool = pool
         self.full_rows = pool.count()
         self.k = top_k_rows(config.k, self.full_rows)
@@ -61,19 +64,25 @@ class Exploration:
         self.clustered = "cluster_id" in pool.columns
         self.iter, self.adjustment, self.generation = 0, 0, 0
         self.exhausted = self.fitted = False
+        self.new_labels, self.predicted_at = True, None
         self.recent_avgs: list[float] = []
         self.n_scores = 0
         if resume:
             self._restore()
         else:
-            self.log.write_config("run", asdict(config))
+            self.log.write_config(run_id, asdict(config))
             if previous is not None:
                 self._warm_start(previous)
 
     def explored(self) -> DataFrame:
-        """All labels so far with their iteration and features."""
+        """All labels so far with their iteration, place and features."""
         return self.log.read("explored", self.iter - 1)
 
+    def acquisitions(self) -> DataFrame:
+        """``(run_id, iter, seq, id, score)`` in the form that curves and rewards read; ``seq`` counts the labels from 1 in the order in
+        which they were acquired, within a batch best first."""
+        return self.explored().select(F.lit(self.run_id).alias("run_id"), "iter", "seq", "id", "score")
+
     @property
     def labels_used(self) -> int:
         return self.n_scores - self.adjustment
@@ -121,16 +130,32 @@ class Exploration:
         else:
             batch = acquire_batch(scored, done, n, self.config.epsilon, self.config.seed + self.iter)
         acquired = self._label(batch)
-        self.exhausted = acquired < n
+        # annealed shares make a batch smaller on purpose: what ends a run is a pool without candidates
+        self.exhausted = acquired == 0 or (acquired < n and self._no_candidates_left())
         self._finish_round(acquired)
 
+    def _no_candidates_left(self) -> bool:
+        done = self.log.read("explored", self.iter)
+        return exclude_explored(self.pool.select("id"), done).isEmpty()
+
     def _predictions(self, done: DataFrame) -> DataFrame:
-        labelled = done.select("id", "score", "iter")
-        rows = training_rows(labelled, done.select("id", "features"), self.config.retrain)
-        self.surrogate.fit(rows)
-        self.fitted = True
-        mean_only = "vars" not in needs(self.config.metric) and not self.config.prune
+        """Predictions for the pool. If all labels of the last round failed, the model and its predictions stay as they are."""
         columns = ["id", "y_mean", "y_var", *(["cluster_id"] if self.clustered else [])]
+        draw = self.config.metric == "thompson" and "stochastic" in self.surrogate.provides
+        if self.fitted and not self.new_labels and not draw and self.predicted_at is not None:
+            last = self.log.read("preds").filter(F.col("iter") == self.predicted_at).select(*columns)
+            if self.generation:
+                last = last.join(self.pool.select("id"), "id", "left_semi").select(*columns)
+            self.predicted_at = self.iter
+            return self.log.write("preds", self.iter, last)
+        if self.new_labels or not self.fitted:
+            labelled = done.select("id", "score", "iter")
+            rows = training_rows(labelled, done.select("id", "features"), self.config.retrain)
+            self.surrogate.fit(rows)
+            self.fitted = True
+        self.surrogate.start_round(self.iter, draw)
+        self.predicted_at = self.iter
+        mean_only = "vars" not in needs(self.config.metric) and not self.config.prune
         return self.log.write("preds", self.iter, self.surrogate.predict(self.pool, mean_only).select(*columns))
 
     def _prune(self, preds: DataFrame, done: DataFrame) -> DataFrame:
@@ -154,19 +179,22 @@ class Exploration:
         return with_utility(preds, c.metric, options, best, spread)
 
     def _label(self, batch: DataFrame) -> int:
-        """Label a batch and store it with its features, so that training never scans the pool again."""
-        ids = self.log.write("batch", self.iter, batch.select("id"))
+        """Label a batch and store it with its places and features, so that training never scans the pool again."""
+        ranked = rank_within(batch.select("id", "utility"), [], best_utility(), "_rank")
+        placed = self.log.write("batch", self.iter, ranked.select("id", (F.col("_rank") + self.n_scores).cast("long").alias("seq")))
+        ids = placed.select("id")
         n = ids.count()
-        rows = self.pool.select("id", "features").join(broadcast_if_small(ids, n), "id", "left_semi")
-        self.log.write("explored", self.iter, rows.join(self.objective(ids), "id", "left").select("id", "score", "features"))
+        rows = self.pool.select("id", "features").join(broadcast_if_small(placed, n), "id")
+        self.log.write("explored", self.iter, rows.join(self.objective(ids), "id", "left").select("id", "score", "features", "seq"))
         self.n_scores += n
         return n
 
     def _finish_round(self, acquired: int) -> None:
         """Averages of the round, then its state: the last thing written, so an interrupted round is simply repeated."""
         done = self.log.read("explored", self.iter)
-        batch_mean = done.filter(F.col("iter") == self.iter).agg(F.avg("score").alias("m")).scalar()
-        means = top_k_average(done, self.k).select("top_k_avg", batch_mean.alias("batch_mean")).first()
+        batch = done.filter(F.col("iter") == self.iter).agg(F.avg("score").alias("m"), F.count("score").alias("n")).first()
+        means = {"top_k_avg": top_k_average(done, self.k).first()["top_k_avg"], "batch_mean": batch["m"]}
+        self.new_labels = batch["n"] > 0
         enough = self.n_scores >= self.k
         if enough:
             self.recent_avgs.append(means["top_k_avg"])
@@ -183,7 +211,7 @@ class Exploration:
 
     def iterations(self) -> DataFrame:
         """One row per finished round."""
-        return self.log.read("state", self.iter - 1).select("iter", "n_scores", "n_new", "batch_mean", "top_k_avg")
+        return self.log.read("state", self.iter - 1).select("iter", "n_scores", "n_new", "batch_mean", "top_k_avg").orderBy("iter")
 
     def _restore(self) -> None:
         state = self.log.read_state()
@@ -194,9 +222,15 @@ class Exploration:
             self.pool = self.log.read("pool").filter(F.col("iter") == self.generation).drop("iter")
 
     def _warm_start(self, previous: DataFrame) -> None:
-        """Earlier labels take the place of the initial batch and do not count against the budget."""
-        rows = previous.select("id", "score").join(self.full_pool.select("id", "features"), "id", "left")
-        stored = self.log.write("explored", WARM_START, rows.select("id", "score", "features"))
+        """Earlier labels take the place of the initial batch and do not count against the budget; they come best first.
+
+        Labels of candidates outside the pool are kept. They train the model if ``previous`` has their ``features``.
+        """
+        known = previous if "features" in previous.columns else previous.withColumn("features", F.lit(None).cast(self.full_pool.schema["features"].dataType))
+        known = known.select("id", "score", F.col("features").alias("_own"))
+        rows = known.join(self.full_pool.select("id", "features"), "id", "left").withColumn("features", F.coalesce("features", "_own"))
+        ranked = rank_within(cut(rows.select("id", "score", "features")), [], [F.col("score").desc_nulls_last(), F.col("id").desc()], "_rank")
+        stored = self.log.write("explored", WARM_START, ranked.select("id", "score", "features", F.col("_rank").cast("long").alias("seq")))
         self.n_scores = self.adjustment = stored.count()
         self.iter = 1
 

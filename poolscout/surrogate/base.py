@@ -25,6 +25,9 @@ class Surrogate(ABC):
     def predict(self, pool: DataFrame, mean_only: bool = True) -> DataFrame:
         """Add ``y_mean`` and ``y_var`` (NULL when skipped or not provided)."""
 
+    def start_round(self, iteration: int, draw: bool) -> None:
+        """Told before the predictions of a round; ``draw`` when a stochastic model's mean is to be one draw."""
+
     @abstractmethod
     def save(self, path: str) -> None: ...
 
@@ -42,7 +45,9 @@ def vectors(features: Column) -> Column:
 
 
 def training_rows(explored: DataFrame, features: DataFrame, retrain: bool = True) -> DataFrame:
-    """Labelled candidates with their features: all of them, or those of the last batch. Failures are left out."""
+    """Labelled candidates with their features: all of them, or those of the last batch. Failures are left out, and so are
+    labels of candidates whose features nobody knows."""
+    features = features.filter(F.col("features").isNotNull())
     known = explored.filter(F.col("score").isNotNull())
     if not retrain:
         known = known.filter(F.col("iter") == explored.agg(F.max("iter").alias("i")).scalar())

@@ -16,13 +16,15 @@ SPARK_MAX_DEPTH = 30
 
 
 class ForestSurrogate(Surrogate):
-    """Spark's forest. ``max_depth=None`` means as deep as Spark allows."""
+    """Spark's forest. ``max_depth=None`` means as deep as Spark allows, which is 30; a greater depth is an error."""
 
     provides = frozenset({"means", "vars"})
 
     def __init__(self, trees: int = 100, max_depth: int | None = 8, min_leaf: int = 1, seed: int = 42):
         self.trees, self.min_leaf, self.seed = trees, min_leaf, seed
-        self.max_depth = SPARK_MAX_DEPTH if max_depth is None else min(max_depth, SPARK_MAX_DEPTH)
+        if max_depth is not None and max_depth > SPARK_MAX_DEPTH:
+            raise ValueError(f"Spark's trees end at depth {SPARK_MAX_DEPTH}, got {max_depth}")
+        self.max_depth = SPARK_MAX_DEPTH if max_depth is None else max_depth
         self.model: RandomForestRegressionModel | None = None
 
     def fit(self, rows: DataFrame) -> "ForestSurrogate":
