@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -9,8 +11,10 @@ from ..config import RunConfig
 from ..functions.fingerprint import dense_bits, fingerprint, has_tokens
 from ..operators.clusters import cluster_pool
 from ..operators.objectives import lookup_objective
+from ..plans import curves
 from ..plans.explore import Exploration, sweep
-from ..session import scratch_path, spread_few_splits
+from ..session import cut, scratch_path, spread_few_splits
+from ..surrogate.ensembles import LOG_CHI_MEAN
 from ..surrogate.factory import make_surrogate
 from .registry import Tables, preds, query, r6, uniform_sql
 
@@ -20,23 +24,22 @@ def vector_pool(t: Tables) -> DataFrame:
 
 
 def vector_labels(t: Tables) -> DataFrame:
-    """A linear score of the vectors plus a little noise; some labels are missing."""
+    """A linear score of the vectors plus a little noise."""
     x = F.col("embedding")
     noise = (F.col("label") - 4.5) * 0.01
     score = (x[0] * 3.0 - x[1] * 2.0 + x[2] + x[3] * x[4]).cast("double") + noise
-    return t.embeddings.filter("label <> 9").select(F.col("vec_id").alias("id"), score.alias("score"))
+    return t.embeddings.select(F.col("vec_id").alias("id"), score.alias("score"))
 
 
 def _predict(t: Tables, model, mean_only: bool = False) -> DataFrame:
-    """Fit on the vectors of the lower half of the labels and predict all."""
-    known = vector_pool(t).join(vector_labels(t), "id").join(t.embeddings.filter("label < 5").select(F.col("vec_id").alias("id")), "id")
-    fitted = model.fit(known)
+    """Fit on all labelled vectors and predict all."""
+    fitted = model.fit(vector_pool(t).join(vector_labels(t), "id"))
     return fitted.predict(vector_pool(t), mean_only).select("id", r6("y_mean").alias("y_mean"), r6("y_var").alias("y_var"))
 
 
 @query("M1 M8")
 def forest_predictions(t):
-    return _predict(t, make_surrogate("rf", trees=20, max_depth=6))
+    return _predict(t, make_surrogate("rf"))
 
 
 @query("M2")
@@ -46,12 +49,12 @@ def process_predictions(t):
 
 @query("M2")
 def process_predictions_rbf(t):
-    return _predict(t, make_surrogate("gp", kernel="rbf", random_features=64))
+    return _predict(t, make_surrogate("gp", kernel="rbf"))
 
 
 @query("M2")
 def process_predictions_matern(t):
-    return _predict(t, make_surrogate("gp", kernel="matern", random_features=64))
+    return _predict(t, make_surrogate("gp", kernel="matern"))
 
 
 @query("M3 M8")
@@ -87,24 +90,90 @@ def random_predictions(t):
     return _predict(t, make_surrogate("random", seed=1))
 
 
-@query(
-    "M2 M3 M8",
-    "WITH train AS (SELECT l_orderkey AS id, sum(l_quantity) AS x, sum(l_extendedprice) AS y FROM lineitem GROUP BY 1), "
-    "line AS (SELECT regr_intercept(y, x) AS a, regr_slope(y, x) AS b FROM train) "
-    "SELECT id, round(a + b * x, 4) AS y_mean FROM train, line",
+# --- one feature: the models have closed forms ----------------------------------------------------------------------
+
+ONE_FEATURE = (
+    "train AS (SELECT l_orderkey AS id, CAST(sum(l_quantity) AS DOUBLE) AS x, CAST(sum(l_extendedprice) AS DOUBLE) / 1000 AS y "
+    "FROM lineitem GROUP BY 1)"
 )
+LINE = "line AS (SELECT regr_intercept(y, x) AS a, regr_slope(y, x) AS b FROM train)"
+
+
+def _one_feature(t: Tables, model, mean_only: bool = False) -> DataFrame:
+    rows = t.lineitem.groupBy(F.col("l_orderkey").alias("id")).agg(
+        F.array(F.sum("l_quantity").cast("double")).alias("features"), (F.sum("l_extendedprice").cast("double") / 1000).alias("score")
+    )
+    return model.fit(rows).predict(rows.select("id", "features"), mean_only).select("id", F.round("y_mean", 4).alias("y_mean"), F.round("y_var", 4).alias("y_var"))
+
+
+@query("M3 M8", f"WITH {ONE_FEATURE}, {LINE} SELECT id, round(a + b * x, 4) AS y_mean FROM train, line")
 def single_feature_regression(t):
-    """With one feature the linear surrogate is ordinary least squares."""
-    rows = t.lineitem.groupBy("l_orderkey").agg(F.sum("l_quantity").alias("q"), F.sum("l_extendedprice").alias("v"))
-    pool = rows.select(F.col("l_orderkey").alias("id"), F.array("q").alias("features"))
-    from pyspark.ml.regression import LinearRegression
+    """Least squares."""
+    return _one_feature(t, make_surrogate("nn", reg=0.0), mean_only=True).drop("y_var")
+
+
+@query(
+    "M2",
+    f"""
+    WITH {ONE_FEATURE}, scale AS (SELECT avg(y) AS mu, stddev_pop(y) AS sd FROM train),
+    s AS (SELECT CAST(count(*) AS DOUBLE) AS n, sum(x) AS sx, sum(x * x) AS sxx, sum((y - mu) / sd) AS sy, sum(x * (y - mu) / sd) AS sxy,
+                 sum(((y - mu) / sd) * ((y - mu) / sd)) AS syy FROM train, scale),
+    r AS (SELECT *, ((sxx + 1e-3) * sy - sx * sxy) / ((n + 1e-3) * (sxx + 1e-3) - sx * sx) AS r0,
+                 ((n + 1e-3) * sxy - sx * sy) / ((n + 1e-3) * (sxx + 1e-3) - sx * sx) AS r1 FROM s),
+    e AS (SELECT *, greatest((syy - 2 * (r0 * sy + r1 * sxy) + n * r0 * r0 + 2 * sx * r0 * r1 + sxx * r1 * r1) / greatest(n - 2, 1), 1e-6) AS v FROM r),
+    b AS (SELECT *, n / v + 1 AS b11, sx / v AS b12, sxx / v + 1 AS b22 FROM e),
+    c AS (SELECT *, b22 / (b11 * b22 - b12 * b12) AS c11, -b12 / (b11 * b22 - b12 * b12) AS c12, b11 / (b11 * b22 - b12 * b12) AS c22 FROM b)
+    SELECT id, round((c11 * sy + c12 * sxy + (c12 * sy + c22 * sxy) * x) / v * sd + mu, 4) AS y_mean,
+           round((c11 + 2 * c12 * x + c22 * x * x) * sd * sd, 4) AS y_var FROM train, scale, c
+    """,
+)
+def single_feature_process(t):
+    """The posterior of a Gaussian process with a dot kernel is that of two weights."""
+    return _one_feature(t, make_surrogate("gp"))
+
+
+def _ensemble_sql(members: int = 5, seed: int = 42) -> str:
+    bounds, mass, total = [], math.exp(-1.0), 0.0
+    for k in range(8):
+        total += mass
+        bounds.append(total)
+        mass /= k + 1
+    weight = "CASE " + " ".join(f"WHEN u < {b!r} THEN {k}.0" for k, b in enumerate(bounds)) + " ELSE 8.0 END"
+    parts = [
+        f"SELECT {i} AS m, (sum(w) * sum(w * x * y) - sum(w * x) * sum(w * y)) / (sum(w) * sum(w * x * x) - sum(w * x) * sum(w * x)) AS b, sum(w * x) / sum(w) AS mx, sum(w * y) / sum(w) AS my "
+        f"FROM (SELECT x, y, {weight} AS w FROM (SELECT x, y, {uniform_sql('id', seed + i)} AS u FROM train))"
+        for i in range(members)
+    ]
+    return (
+        f"WITH {ONE_FEATURE}, fits AS ({' UNION ALL '.join(parts)}), p AS (SELECT id, my + b * (x - mx) AS f FROM train, fits) "
+        "SELECT id, round(avg(f), 4) AS y_mean, round(var_pop(f), 4) AS y_var FROM p GROUP BY id"
+    )
+
+
+@query("M4", _ensemble_sql())
+def single_feature_ensemble(t):
+    """Each member is a weighted least-squares line, its weights drawn from the hash of the id."""
+    return _one_feature(t, make_surrogate("nn", "ensemble", reg=0.0))
+
+
+@query(
+    "M5",
+    f"WITH {ONE_FEATURE}, {LINE}, spread AS (SELECT x, ln(greatest((y - a - b * x) * (y - a - b * x), 1e-5)) AS s FROM train, line), "
+    "l2 AS (SELECT regr_intercept(s, x) AS a2, regr_slope(s, x) AS b2 FROM spread) "
+    f"SELECT id, round(a + b * x, 4) AS y_mean, round(exp(a2 + b2 * x - ({LOG_CHI_MEAN!r})), 4) AS y_var FROM train, line, l2",
+)
+def single_feature_mean_variance(t):
+    return _one_feature(t, make_surrogate("nn", "mve", reg=0.0))
 
-    from ..surrogate.base import vectors
 
-    data = rows.select(F.col("l_orderkey").alias("id"), vectors(F.array("q")).alias("vector"), F.col("v").alias("label"))
-    model = LinearRegression(featuresCol="vector", labelCol="label", solver="normal").fit(data)
-    scored = model.transform(pool.withColumn("vector", vectors(F.col("features"))))
-    return scored.select("id", F.round("prediction", 4).alias("y_mean"))
+@query(
+    "M6",
+    f"WITH {ONE_FEATURE}, {LINE}, passes AS (SELECT CASE WHEN {uniform_sql('p', 42)} >= 0.2 THEN 1.25 ELSE 0.0 END AS k FROM (SELECT unnest(range(10)) AS p)), "
+    "f AS (SELECT id, a + b * x * k AS f FROM train, line, passes) SELECT id, round(avg(f), 4) AS y_mean, round(var_pop(f), 4) AS y_var FROM f GROUP BY id",
+)
+def single_feature_dropout(t):
+    """With one feature a pass keeps it or leaves it out."""
+    return _one_feature(t, make_surrogate("nn", "dropout", reg=0.0))
 
 
 @query("C1 A4")
@@ -154,18 +223,18 @@ def exploration_by_cluster(t):
 
 @query("L2 L3 X2 X6 U2 M2")
 def exploration_of_documents(t):
-    """Strings to fingerprints to predictions: distinct documents, their whole texts as 256 bits, looked-up quality.
+    """Strings to fingerprints to predictions: distinct documents, their whole texts as 2048 bits, looked-up quality.
 
     The fingerprints are written once, as the pool is read again in every round.
     """
     texts = spread_few_splits(t.documents.select(F.col("doc_id").alias("id"), "text")).filter(has_tokens(F.col("text")))
-    bits = texts.select("id", fingerprint(F.col("text"), "pair", 1, 256).alias("bits"), F.md5(F.col("text").cast("binary")).alias("copy"))
+    bits = texts.select("id", fingerprint(F.col("text"), "pair").alias("bits"), F.md5(F.col("text").cast("binary")).alias("copy"))
     distinct = bits.groupBy("copy").agg(F.min(F.struct("id", "bits")).alias("first"))
     path = scratch_path(t.spark, "fingerprints")
     distinct.select("first.id", "first.bits").write.parquet(path)
-    pool = t.spark.read.parquet(path).select("id", dense_bits(F.col("bits"), 256).alias("features"))
+    pool = t.spark.read.parquet(path).select("id", dense_bits(F.col("bits"), 2048).alias("features"))
     labels = t.labels.select(F.col("doc_id").alias("id"), F.col("quality").cast("double").alias("score"))
-    config = RunConfig(init_size=0.3, batch_sizes=(0.1,), k=20, max_iters=1, delta=-1.0)
+    config = RunConfig(init_size=0.3, batch_sizes=(0.1,), k=20, max_iters=2, delta=-1.0)
     run = Exploration(t.spark, pool, lookup_objective(labels), make_surrogate("gp"), config, scratch_path(t.spark, "run"))
     return run.run().select("iter", "n_scores", "n_new", r6("batch_mean").alias("batch_mean"), r6("top_k_avg").alias("top_k_avg"))
 
@@ -175,7 +244,7 @@ def parameter_sweep(t):
     """Confidence-bound widths compared by their final top-k average."""
 
     def run(params, trial):
-        config = RunConfig(metric="ucb", beta=params["beta"], init_size=0.05, batch_sizes=(0.05,), k=20, max_iters=1, delta=-1.0)
+        config = RunConfig(metric="ucb", beta=params["beta"], init_size=0.05, batch_sizes=(0.05,), k=20, max_iters=2, delta=-1.0)
         e = explore_vectors(t, config, make_surrogate("gp"))
         e.run()
         return e.recent_avgs[-1]
@@ -184,14 +253,20 @@ def parameter_sweep(t):
     return table.select("trial", F.element_at("params", "beta").alias("beta"), r6("top_k_avg").alias("top_k_avg"))
 
 
+#: Three batches of random acquisition; ``u`` is the utility by which each was drawn.
+RANDOM_RUN = f"""
+pool AS (SELECT o_orderkey AS id, o_totalprice / 1000 AS y FROM orders), size AS (SELECT count(*) AS n FROM pool),
+    b0 AS (SELECT id, y, {uniform_sql('id', 42)} AS u FROM pool ORDER BY {uniform_sql('id', 42)} DESC, id DESC LIMIT (SELECT CAST(ceil(CAST(0.01 AS DOUBLE) * n) AS BIGINT) FROM size)),
+    b1 AS (SELECT id, y, {uniform_sql('id', 43)} AS u FROM pool WHERE id NOT IN (SELECT id FROM b0) ORDER BY {uniform_sql('id', 43)} DESC, id DESC LIMIT (SELECT CAST(ceil(CAST(0.01 AS DOUBLE) * n) AS BIGINT) FROM size)),
+    b2 AS (SELECT id, y, {uniform_sql('id', 44)} AS u FROM pool WHERE id NOT IN (SELECT id FROM b0) AND id NOT IN (SELECT id FROM b1) ORDER BY {uniform_sql('id', 44)} DESC, id DESC LIMIT (SELECT CAST(ceil(CAST(0.01 AS DOUBLE) * n) AS BIGINT) FROM size)),
+    e AS (SELECT 0 AS iter, * FROM b0 UNION ALL SELECT 1, * FROM b1 UNION ALL SELECT 2, * FROM b2)
+"""
+
+
 @query(
     "L1 L2 L3 L4 U2",
     f"""
-    WITH pool AS (SELECT o_orderkey AS id, o_totalprice / 1000 AS y FROM orders), size AS (SELECT count(*) AS n FROM pool),
-    b0 AS (SELECT id, y FROM pool ORDER BY {uniform_sql('id', 42)} DESC, id DESC LIMIT (SELECT CAST(ceil(CAST(0.01 AS DOUBLE) * n) AS BIGINT) FROM size)),
-    b1 AS (SELECT id, y FROM pool WHERE id NOT IN (SELECT id FROM b0) ORDER BY {uniform_sql('id', 43)} DESC, id DESC LIMIT (SELECT CAST(ceil(CAST(0.01 AS DOUBLE) * n) AS BIGINT) FROM size)),
-    b2 AS (SELECT id, y FROM pool WHERE id NOT IN (SELECT id FROM b0) AND id NOT IN (SELECT id FROM b1) ORDER BY {uniform_sql('id', 44)} DESC, id DESC LIMIT (SELECT CAST(ceil(CAST(0.01 AS DOUBLE) * n) AS BIGINT) FROM size)),
-    e AS (SELECT 0 AS iter, * FROM b0 UNION ALL SELECT 1, * FROM b1 UNION ALL SELECT 2, * FROM b2),
+    WITH {RANDOM_RUN},
     it AS (SELECT unnest([0, 1, 2]) AS i)
     SELECT CAST(i AS INTEGER) AS iter, (SELECT count(*) FROM e WHERE iter <= i) AS n_scores, (SELECT count(*) FROM e WHERE iter = i) AS n_new,
            round((SELECT avg(y) FROM e WHERE iter = i), 6) AS batch_mean,
@@ -202,9 +277,43 @@ def parameter_sweep(t):
 )
 def random_exploration(t):
     """Random acquisition, the baseline every model has to beat; the whole run has a plain SQL equivalent."""
+    rows = _random_run(t).run()
+    return rows.select("iter", "n_scores", "n_new", r6("batch_mean").alias("batch_mean"), r6("top_k_avg").alias("top_k_avg"))
+
+
+def _random_run(t: Tables) -> Exploration:
     pool = preds(t).select("id", F.array("y_mean").alias("features"))
     labels = preds(t).select("id", F.col("y_mean").alias("score"))
     config = RunConfig(metric="random", init_size=0.01, batch_sizes=(0.01,), k=50, max_iters=2, delta=-1.0)
-    run = Exploration(t.spark, pool, lookup_objective(labels), make_surrogate("random"), config, scratch_path(t.spark, "run"))
-    rows = run.run()
-    return rows.select("iter", "n_scores", "n_new", r6("batch_mean").alias("batch_mean"), r6("top_k_avg").alias("top_k_avg"))
+    return Exploration(t.spark, pool, lookup_objective(labels), make_surrogate("random"), config, scratch_path(t.spark, "run"), run_id="random")
+
+
+@query(
+    "S12 L2 L11 W1 W2 W3 W4 T7",
+    f"""
+    WITH {RANDOM_RUN},
+    o AS (SELECT iter, id, y, row_number() OVER (ORDER BY iter, u DESC, id DESC) AS seq FROM e),
+    hits AS (SELECT id, y FROM pool ORDER BY y DESC, id DESC LIMIT 50), low AS (SELECT min(y) AS t FROM hits),
+    ties AS (SELECT count(*) AS n FROM hits, low WHERE y = t),
+    best AS (SELECT s.seq, avg(s.y) AS v FROM (SELECT a.seq, b.y, row_number() OVER (PARTITION BY a.seq ORDER BY b.y DESC, b.id DESC) AS place FROM o a JOIN o b ON b.seq <= a.seq) s WHERE place <= 50 GROUP BY 1)
+    SELECT 'random' AS run_id, CAST(iter AS INTEGER) AS iter, o.seq, o.id,
+           round(avg(o.y) OVER (ORDER BY o.seq), 4) AS running_mean,
+           count(h.id) OVER (ORDER BY o.seq) / 50.0 AS recall,
+           (count(*) FILTER (WHERE o.y > t) OVER (ORDER BY o.seq) + least(count(*) FILTER (WHERE o.y = t) OVER (ORDER BY o.seq), ties.n)) / 50.0 AS score_recall,
+           round(b.v, 6) AS top_k_avg
+    FROM o LEFT JOIN hits h ON h.id = o.id JOIN best b ON b.seq = greatest(o.seq, 50), low, ties
+    """,
+)
+def curves_of_a_run(t):
+    """Recall, running mean and top-k average of a finished run, from its own log."""
+    run = _random_run(t)
+    run.run()
+    log = cut(run.acquisitions())
+    hits = curves.true_top(preds(t).select("id", F.col("y_mean").alias("score")), 50)
+    key = ["run_id", "iter", "seq", "id"]
+    found = curves.recall_by_identity(log, hits, 50).select(*key, "recall")
+    by_score = curves.recall_by_score(log, hits, 50).select(*key, F.col("recall").alias("score_recall"))
+    means = curves.running_mean(log).select(*key, F.round("running_mean", 4).alias("running_mean"))
+    best = curves.running_top_k_average(log, 50)
+    best = best.select("run_id", "seq", r6("top_k_avg").alias("top_k_avg"))
+    return found.join(by_score, key).join(means, key).join(best, ["run_id", "seq"])

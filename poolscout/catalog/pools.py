@@ -352,7 +352,8 @@ def _numbered_parts(t):
 @query(
     "P10",
     "WITH pool AS (SELECT row_number() OVER (ORDER BY p_partkey) - 1 AS row_idx, p_name AS id, count(*) OVER () AS n FROM part) "
-    "SELECT row_idx, id FROM pool WHERE row_idx = 3 OR row_idx = n - 1 OR (row_idx >= n // 2 AND (row_idx - n // 2) % 3 = 0) ORDER BY row_idx",
+    "SELECT CAST(0 AS BIGINT) AS place, row_idx, id FROM pool WHERE row_idx = 3 UNION ALL SELECT 1, row_idx, id FROM pool WHERE row_idx = n - 1 "
+    "UNION ALL SELECT 2, row_idx, id FROM pool WHERE row_idx >= n // 2 AND (row_idx - n // 2) % 3 = 0",
 )
 def rows_by_index(t):
     pool = _numbered_parts(t)

@@ -267,8 +267,11 @@ def graph_read_out(t):
 
 @query(
     "X8",
-    f"WITH {GRAPH_SQL}, s1 AS (SELECT n.g, n.v, n.f + coalesce((SELECT sum(k.f + e.f) FROM edges e JOIN nodes k ON k.g = e.g AND k.v = e.src WHERE e.g = n.g AND e.dst = n.v), 0) AS m FROM nodes n), "
-    "s2 AS (SELECT n.g, n.v, n.f + coalesce((SELECT sum(k.m) FROM edges e JOIN s1 k ON k.g = e.g AND k.v = e.src WHERE e.g = n.g AND e.dst = n.v), 0) AS m FROM nodes n) "
+    f"WITH {GRAPH_SQL}, "
+    "i1 AS (SELECT e.g, e.dst AS v, sum(k.f + e.f) AS t FROM edges e JOIN nodes k ON k.g = e.g AND k.v = e.src GROUP BY 1, 2), "
+    "s1 AS (SELECT n.g, n.v, n.f, n.f + coalesce(t, 0) AS m FROM nodes n LEFT JOIN i1 ON i1.g = n.g AND i1.v = n.v), "
+    "i2 AS (SELECT e.g, e.dst AS v, sum(k.m) AS t FROM edges e JOIN s1 k ON k.g = e.g AND k.v = e.src GROUP BY 1, 2), "
+    "s2 AS (SELECT n.g, n.v, n.f + coalesce(t, 0) AS m FROM nodes n LEFT JOIN i2 ON i2.g = n.g AND i2.v = n.v) "
     "SELECT g AS graph_id, v AS node_id, round(m, 4) AS feat FROM s2",
 )
 def graph_node_messages(t):
