@@ -105,7 +105,7 @@ HASHES = 16
     "SELECT id, string_agg(CAST(v AS VARCHAR), ',' ORDER BY i) AS signature FROM m GROUP BY id",
 )
 def minhash_signatures(t):
-    signature = fp.minhash(fp.shingles(F.col("text"), "morgan", 2), HASHES)
+    signature = fp.minhash_signature(F.col("text"), "morgan", 2, HASHES)
     rows = _texts(t).select("id", signature.alias("s"))
     return rows.select("id", F.concat_ws(",", F.col("s").cast("array<string>")).alias("signature"))
 

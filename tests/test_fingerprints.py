@@ -73,7 +73,7 @@ def test_minhash_estimates_similarity(spark):
     a = " ".join(f"w{i}" for i in range(300))
     b = " ".join(f"w{i}" for i in range(100, 400))
     rows = spark.createDataFrame([(a,), (b,)], "t STRING")
-    s = [r["s"] for r in rows.select(fp.minhash(fp.shingles(F.col("t"), "rdkit", 0), 256).alias("s")).collect()]
+    s = [r["s"] for r in rows.select(fp.minhash_signature(F.col("t"), "rdkit", 0, 256).alias("s")).collect()]
     share = np.mean(np.array(s[0]) == np.array(s[1]))
     assert abs(share - 0.5) < 0.12
     bits = rows.select(fp.fingerprint(F.col("t"), "map4", 1, 64).alias("b")).first()["b"]
