@@ -10,6 +10,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from ..session import cut
 
@@ -22,12 +23,14 @@ def _incoming(messages: DataFrame, feats: Sequence[str]) -> DataFrame:
 
 
 def propagate(
-    nodes: DataFrame, edges: DataFrame, feats: Sequence[str], depth: int = 3, mode: str = "edge", undirected: bool = False
+    nodes: DataFrame, edges: DataFrame, feats: Sequence[str], depth: int = 3, mode: str = "edge", undirected: bool = False,
+    largest_in_task: int = 1_000_000,
 ) -> DataFrame:
     """Node features after ``depth - 1`` rounds of message sums plus the final sum: ``(graph_id, node_id, feats)``.
 
     mode ``edge``: a message is its edge's start value plus all messages into its source except its own reverse.
     mode ``node``: a node's message is its start value plus its neighbours' messages and the connecting edges' features.
+    If no graph has more than ``largest_in_task`` edges, a graph's edges stay together; the rows are the same either way.
     """
     if mode == "node":
         return _propagate_nodes(nodes, edges, feats, depth)
@@ -37,6 +40,45 @@ def propagate(
     start = edges.join(sources, ["graph_id", "src"]).select(
         "graph_id", "edge_id", "src", "dst", "rev_id", *[(F.col(f"n_{f}") + F.col(f)).alias(f"s_{f}") for f in feats]
     )
+    if _largest_graph(edges) <= largest_in_task:
+        messages = _rounds_by_graph(start, feats, depth, undirected)
+    else:
+        messages = _rounds_by_node(start, feats, depth, undirected)
+    return _with_incoming(nodes, _incoming(messages, feats), feats)
+
+
+def _largest_graph(edges: DataFrame) -> int:
+    return edges.groupBy("graph_id").count().agg(F.max("count").alias("n")).first()["n"] or 0
+
+
+def _rounds_by_graph(start: DataFrame, feats: Sequence[str], depth: int, undirected: bool) -> DataFrame:
+    """Rounds for graphs of bounded size: rows are dealt by graph once, and every later step is a window inside a graph.
+
+    A row holds a message and that of its reverse edge, so the sum into its source is the sum of the reverse messages of all rows
+    with that source, and no message is ever looked up.
+    """
+    n = int(start.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    pair = W.partitionBy("graph_id", F.least("edge_id", "rev_id")).orderBy("edge_id")
+    other = {f: F.coalesce(F.lead(f"s_{f}").over(pair), F.lag(f"s_{f}").over(pair)) for f in feats}
+    rows = start.repartition(n, "graph_id").withColumns({f"t_{f}": other[f] for f in feats})
+    rows = rows.withColumns({f"m_{f}": F.col(f"s_{f}") for f in feats} | {f"r_{f}": F.col(f"t_{f}") for f in feats})
+    into_source, into_target = W.partitionBy("graph_id", "src"), W.partitionBy("graph_id", "dst")
+    for _ in range(depth - 1):
+        if undirected:
+            half = {f: (F.col(f"m_{f}") + F.col(f"r_{f}")) / 2 for f in feats}
+            rows = rows.withColumns({f"m_{f}": half[f] for f in feats}).withColumns({f"r_{f}": F.col(f"m_{f}") for f in feats})
+        rows = rows.withColumns(
+            {f"a_{f}": F.sum(f"r_{f}").over(into_source) for f in feats} | {f"b_{f}": F.sum(f"m_{f}").over(into_target) for f in feats}
+        )
+        rows = rows.withColumns(
+            {f"m_{f}": F.col(f"s_{f}") + F.col(f"a_{f}") - F.col(f"r_{f}") for f in feats}
+            | {f"r_{f}": F.col(f"t_{f}") + F.col(f"b_{f}") - F.col(f"m_{f}") for f in feats}
+        )
+    return rows
+
+
+def _rounds_by_node(start: DataFrame, feats: Sequence[str], depth: int, undirected: bool) -> DataFrame:
+    """Rounds for graphs of any size: sums by node that combine before their shuffle, joined back to the edges."""
     # Read three times per round: as message, as reverse and in the sums.
     messages = cut(start.withColumns({f"m_{f}": F.col(f"s_{f}") for f in feats}))
     for _ in range(depth - 1):
@@ -57,7 +99,7 @@ def propagate(
                 ],
             )
         )
-    return _with_incoming(nodes, _incoming(messages, feats), feats)
+    return messages
 
 
 def _propagate_nodes(nodes: DataFrame, edges: DataFrame, feats: Sequence[str], depth: int) -> DataFrame:

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from poolscout.config import RunConfig
-from poolscout.operators import ordered, similarity
+from poolscout.operators import graph, ordered, similarity
 from poolscout.operators.objectives import lookup_objective
 from poolscout.plans import curves
 from poolscout.plans.explore import Exploration
@@ -163,3 +163,16 @@ def test_an_item_at_the_distance_is_no_leader(spark, kind):
     near = {(r["leader"], r["id"]) for r in similarity.within_distance(items, leaders, 64, 0.65).collect()}
     assert near == {(one(1), one(1)), (one(1), one(2)), (one(3), one(3))}
     assert [r["id"] for r in similarity.pick_leaders(items, 64, 0.65, max_picks=1).collect()] == [one(1)]
+
+
+@pytest.mark.parametrize("undirected", [False, True])
+def test_graph_sums_are_the_same_for_large_graphs(spark, undirected):
+    pairs = [(g, f"e{g}-{i}", f"n{i}", f"n{(i * 7 + g) % 9}") for g in range(4) for i in range(8)]
+    edges = [(g, f"{e}f", a, b, f"{e}b", float(len(e) + g)) for g, e, a, b in pairs] + [(g, f"{e}b", b, a, f"{e}f", 0.5) for g, e, a, b in pairs]
+    edge_rows = spark.createDataFrame(edges, "graph_id long, edge_id string, src string, dst string, rev_id string, x double")
+    nodes = spark.createDataFrame([(g, f"n{i}", float(i)) for g in range(4) for i in range(9)], "graph_id long, node_id string, x double")
+    got = [
+        sorted((r["graph_id"], r["node_id"], round(r["x"], 6)) for r in graph.propagate(nodes, edge_rows, ["x"], 4, undirected=undirected, largest_in_task=n).collect())
+        for n in (0, 100)
+    ]
+    assert got[0] == got[1] and len(got[0]) == 36
