@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.random import uniform
 from ..functions.scaling import cluster_decay, temperature
-from ..session import SMALL_ROWS, broadcast_if_small
+from ..session import SMALL_ROWS, broadcast_if_small, cut
 from .ordered import rank_within, top_n, top_per_group
 
 
@@ -42,8 +42,9 @@ def _by_quota(rows: DataFrame, quotas: DataFrame, pool_rows: int, batch: int) ->
 
 def initial_batch_by_cluster(pool: DataFrame, n: int, seed: int) -> DataFrame:
     """Random sample with a share for every cluster; may exceed ``n`` by the rounding."""
-    rows = pool.count()
-    quotas = cluster_quotas(pool.groupBy("cluster_id").count(), n, rows)
+    sizes = cut(pool.groupBy("cluster_id").count())
+    rows = sizes.agg(F.sum("count")).first()[0] or 0
+    quotas = cluster_quotas(sizes, n, rows)
     return _by_quota(pool.withColumn("utility", uniform(F.col("id"), seed)), quotas, rows, n)
 
 
@@ -70,8 +71,9 @@ def acquire_batch_by_cluster(
     scored: DataFrame, explored: DataFrame, n: int, iteration: int, temp_i: float | None, temp_f: float
 ) -> DataFrame:
     """Batch with annealed cluster shares: a cluster whose best falls short of the overall best gets fewer rows."""
-    rows = scored.count()
-    quotas = cluster_quotas(scored.groupBy("cluster_id").count(), n, rows)
+    sizes = cut(scored.groupBy("cluster_id").count())
+    rows = sizes.agg(F.sum("count")).first()[0] or 0
+    quotas = cluster_quotas(sizes, n, rows)
     open_rows = exclude_explored(scored, explored)
     if temp_i is not None:
         best = scored.agg(F.max("y_mean").alias("best")).scalar()

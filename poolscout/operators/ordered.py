@@ -185,15 +185,21 @@ def top_n_each(df: DataFrame, keys: Sequence[str], n: int, order: Sequence[Colum
 
 
 def top_per_group(
-    df: DataFrame, key: str, order: Sequence[Column], quotas: DataFrame, largest: str | None = None
+    df: DataFrame, key: str, order: Sequence[Column], quotas: DataFrame, largest: str | None = None, group_limit: int = GROUP_LIMIT
 ) -> DataFrame:
     """Up to ``quotas.quota`` first rows of each key; ``quotas(key, quota)`` has one row per key.
 
-    With ``largest``, as in ``top_n``, the rows below a key's approximate cut-off are dropped before the rest is moved
+    While the largest quota is small, Spark's group limit keeps that many rows of each key and task and only these move. Beyond
+    it the rows are ranked across the cluster: with ``largest``, as in ``top_n``, the rows below a key's approximate cut-off are dropped before the rest is moved
     and ranked; a key whose cut-off turns out to leave too few rows keeps all of them.
     """
     wanted = cut(quotas.select(F.col(key).alias("_q_key"), F.col("quota").alias("_quota")))
-    n_keys = wanted.count()
+    known = wanted.agg(F.count("_quota").alias("n"), F.max("_quota").alias("most")).first()
+    n_keys, most = known["n"], known["most"] or 0
+    if most <= group_limit:
+        joined = df.join(broadcast_if_small(wanted, n_keys), df[key].eqNullSafe(wanted["_q_key"])).drop("_q_key")
+        ranked = joined.withColumn("_rank", F.row_number().over(W.partitionBy(key).orderBy(*order)))
+        return ranked.filter((F.col("_rank") <= most) & (F.col("_rank") <= F.col("_quota"))).drop("_rank", "_quota")
     if largest is not None:
         wanted = cut(_with_cut_off(df, key, largest, wanted, n_keys))
     joined = df.join(broadcast_if_small(wanted, n_keys), df[key].eqNullSafe(wanted["_q_key"]))

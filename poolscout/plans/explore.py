@@ -168,7 +168,8 @@ class Exploration:
         lost = expected_positives_pruned(preds, ids, threshold)
         self.log.write("lost", self.iter, lost)
         self.generation = self.iter
-        self.pool = self.log.write("pool", self.generation, self.pool.join(ids, "id", "left_semi"))
+        # only ids are kept; features come from the full pool
+        self.pool = self.full_pool.join(ids, "id", "left_semi")
         return preds.join(ids, "id", "left_semi")
 
     def _with_utility(self, preds: DataFrame, done: DataFrame) -> DataFrame:
@@ -219,7 +220,8 @@ class Exploration:
         self.exhausted, self.recent_avgs = state["exhausted"], list(state["recent_avgs"])
         self.n_scores = state["n_scores"]
         if self.generation:
-            self.pool = self.log.read("pool").filter(F.col("iter") == self.generation).drop("iter")
+            ids = self.log.read("retained").filter(F.col("iter") == self.generation).select("id")
+            self.pool = self.full_pool.join(ids, "id", "left_semi")
 
     def _warm_start(self, previous: DataFrame) -> None:
         """Earlier labels take the place of the initial batch and do not count against the budget; they come best first.

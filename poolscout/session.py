@@ -5,6 +5,8 @@ from __future__ import annotations
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -52,6 +54,27 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
+@contextmanager
+def scratch_scope(spark: SparkSession) -> Iterator[str]:
+    """A folder of its own for all scratch tables and checkpoints made inside, deleted at the end::
+
+        with scratch_scope(spark):
+            near_duplicates(docs).write.parquet(out)
+
+    What is to stay must be written elsewhere before the scope ends; a frame that is still to be computed would miss its files.
+    """
+    outer = shared_dir(spark)
+    root = outer.rsplit("/", 1)[0]  # Spark makes a folder of its own below the one it is given
+    own = f"{outer}/scope-{uuid.uuid4().hex}"
+    spark.sparkContext.setCheckpointDir(own)
+    try:
+        yield shared_dir(spark)
+    finally:
+        spark.sparkContext.setCheckpointDir(root)
+        folder = spark._jvm.org.apache.hadoop.fs.Path(own)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Materialise ``df`` reliably and drop its lineage."""
     shared_dir(df.sparkSession)

@@ -176,3 +176,43 @@ def test_graph_sums_are_the_same_for_large_graphs(spark, undirected):
         for n in (0, 100)
     ]
     assert got[0] == got[1] and len(got[0]) == 36
+
+
+def test_a_scope_leaves_nothing_behind(spark, tmp_path):
+    from poolscout.session import cut, scratch_path, scratch_scope, shared_dir
+
+    before = shared_dir(spark)
+    with scratch_scope(spark) as folder:
+        path = scratch_path(spark, "t")
+        spark.range(5).write.parquet(path)
+        assert path.startswith(folder) and cut(spark.range(3)).count() == 3
+        spark.read.parquet(path).write.parquet(str(tmp_path / "out"))
+    with pytest.raises(Exception, match="PATH_NOT_FOUND|does not exist"):
+        spark.read.parquet(path)
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 5
+    with scratch_scope(spark), scratch_scope(spark):
+        assert cut(spark.range(3)).count() == 3
+    assert shared_dir(spark).rsplit("/", 1)[0] == before.rsplit("/", 1)[0]
+
+
+def test_pruned_pools_are_ids(spark, tmp_path):
+    import os
+
+    pool, labels = pool_of(spark, 200), labels_of(spark, 200)
+    config = RunConfig(metric="ei", init_size=40, batch_sizes=(10,), k=5, max_iters=2, delta=-1.0, prune=True)
+    run = Exploration(spark, pool, lookup_objective(labels), make_surrogate("nn", "ensemble"), config, str(tmp_path / "run"))
+    run.run()
+    assert not os.path.exists(tmp_path / "run" / "pool")
+    again = Exploration(spark, pool, lookup_objective(labels), make_surrogate("nn", "ensemble"), config, str(tmp_path / "run"), resume=True)
+    kept = {r["iter"]: r["count"] for r in run.log.read("retained").groupBy("iter").count().collect()}
+    assert again.generation == run.generation == max(kept)
+    assert again.pool.count() == run.pool.count() == kept[run.generation] < 200
+
+
+def test_quotas_are_the_same_on_both_sides_of_the_group_limit(spark):
+    rows = spark.range(3000).select("id", (F.col("id") % 7).alias("k"), F.pmod(F.hash("id"), F.lit(50)).cast("double").alias("y"))
+    rows = rows.withColumn("k", F.when(F.col("k") > 0, F.col("k")))
+    quotas = spark.createDataFrame([(None, 3), (1, 0), (2, 20), (3, 900), (9, 5)], "k long, quota long")
+    order = [F.col("y").desc(), F.col("id").desc()]
+    got = [sorted((str(r["k"]), r["id"]) for r in ordered.top_per_group(rows, "k", order, quotas, how, limit).collect()) for how, limit in ((None, 1000), (None, 10), ("y", 10))]
+    assert got[0] == got[1] == got[2] and len(got[0]) == 3 + 20 + 429
