@@ -1,7 +1,7 @@
 """Bayesian linear regression: the Gaussian process with a dot kernel, and others through random features.
 
-Only the solved weights and their covariance reach the driver; their size depends on the number of features and not
-on the number of rows.
+Only the solved weights and the factor of their covariance reach the driver; their size depends on the number of features and
+not on the number of rows.
 """
 
 from __future__ import annotations
@@ -19,6 +19,9 @@ from pyspark.sql import functions as F
 from .base import Surrogate, no_variance
 
 MAX_FEATURES = 8192
+#: Tasks that add up feature products; each gives one triangle.
+PARTIAL_SUMS = 512
+SOLVED = "row int, weight double, factor array<double>"
 
 
 def _random_features(kernel: str, dims: int, count: int, scale: float, seed: int) -> tuple[np.ndarray, np.ndarray]:
@@ -32,14 +35,15 @@ def _random_features(kernel: str, dims: int, count: int, scale: float, seed: int
 
 
 def _posterior(gram: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Mean and covariance of the weights under a unit prior; the noise is that of the least-squares residuals."""
+    """Mean of the weights under a unit prior, and the inverse Cholesky factor M of their precision, so that M'M is their
+    covariance; the noise is that of the least-squares residuals."""
     xx, xy, yy = gram[:-1, :-1], gram[:-1, -1], gram[-1, -1]
     d = len(xx)
     ridge = np.linalg.solve(xx + np.eye(d) * 1e-3, xy)
     residual = max(float(yy - 2 * ridge @ xy + ridge @ xx @ ridge), 0.0)
     noise = max(residual / max(n - d, 1), 1e-6)
-    covariance = np.linalg.inv(xx / noise + np.eye(d))
-    return covariance @ xy / noise, covariance
+    factor = np.linalg.solve(np.linalg.cholesky(xx / noise + np.eye(d)), np.eye(d))
+    return factor.T @ (factor @ xy) / noise, factor
 
 
 class GaussianProcessSurrogate(Surrogate):
@@ -57,7 +61,7 @@ class GaussianProcessSurrogate(Surrogate):
             raise ValueError(f"unknown kernel {kernel!r}")
         self.kernel, self.count, self.scale, self.seed = kernel, random_features, scale, seed
         self.weights: np.ndarray | None = None
-        self.covariance: np.ndarray | None = None
+        self.factor: np.ndarray | None = None
         self.dims = 0
         self.mu = 0.0
         self.sd = 1.0
@@ -89,29 +93,38 @@ class GaussianProcessSurrogate(Surrogate):
                 y = (frame["score"].to_numpy()[:, None] - mu) / sd
                 both = np.hstack([x, y])
                 total = both.T @ both if total is None else total + both.T @ both
-            if total is not None:
-                yield pd.DataFrame({"row": np.arange(len(total)), "products": list(total)})
+            if total is not None:  # the products are symmetric: each row from its diagonal on
+                yield pd.DataFrame({"row": np.arange(len(total)), "products": [total[i, i:] for i in range(len(total))]})
 
         schema = "row int, products array<double>"
-        products = rows.select("features", "score").mapInPandas(partial_products, schema)
+        # a bounded number of partial sums: beyond it a task adds up several splits before anything moves
+        products = rows.select("features", "score").coalesce(PARTIAL_SUMS).mapInPandas(partial_products, schema)
         total = Summarizer.sum(array_to_vector("products"))
         n = stats["n"]
 
         def solve(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             sums = pd.concat(list(frames)).sort_values("row")
-            weights, covariance = _posterior(np.vstack(sums["products"].to_numpy()), n)
-            yield pd.DataFrame({"row": np.arange(len(weights)), "weight": weights, "covariance": list(covariance)})
+            upper = np.zeros((len(sums), len(sums)))
+            for i, row in enumerate(sums["products"]):
+                upper[i, i:] = row
+            weights, factor = _posterior(upper + np.triu(upper, 1).T, n)
+            yield pd.DataFrame({"row": np.arange(len(weights)), "weight": weights, "factor": [factor[i, : i + 1] for i in range(len(factor))]})
 
         summed = products.groupBy("row").agg(vector_to_array(total).alias("products"))
-        solved = summed.coalesce(1).mapInPandas(solve, "row int, weight double, covariance array<double>").collect()
-        solved = sorted(solved, key=lambda r: r["row"])
-        self.weights = np.array([r["weight"] for r in solved])
-        self.covariance = np.array([r["covariance"] for r in solved])
+        solved = summed.coalesce(1).mapInPandas(solve, SOLVED).collect()
+        self._keep(solved)
         return self
 
+    def _keep(self, rows: list) -> None:
+        rows = sorted(rows, key=lambda r: r["row"])
+        self.weights = np.array([r["weight"] for r in rows])
+        self.factor = np.zeros((len(rows), len(rows)))
+        for i, r in enumerate(rows):
+            self.factor[i, : i + 1] = r["factor"]
+
     def predict(self, pool: DataFrame, mean_only: bool = True) -> DataFrame:
         expand, mu, sd, w = self._expand(), self.mu, self.sd, self.weights
-        shared = pool.sparkSession.sparkContext.broadcast(self.covariance if not mean_only else None)
+        shared = pool.sparkSession.sparkContext.broadcast(self.factor.T if not mean_only else None)
 
         @F.pandas_udf("y_mean double, y_var double")
         def score(features: pd.Series) -> pd.DataFrame:
@@ -119,29 +132,28 @@ class GaussianProcessSurrogate(Surrogate):
             mean = x @ w * sd + mu
             if shared.value is None:
                 return pd.DataFrame({"y_mean": mean, "y_var": np.nan})
-            return pd.DataFrame({"y_mean": mean, "y_var": np.einsum("ij,jk,ik->i", x, shared.value, x, optimize=True) * sd**2})
+            return pd.DataFrame({"y_mean": mean, "y_var": ((x @ shared.value) ** 2).sum(axis=1) * sd**2})
 
         scored = pool.withColumn("_p", score("features"))
         var = no_variance() if mean_only else F.col("_p.y_var").alias("y_var")
         return scored.select(*pool.columns, F.col("_p.y_mean").alias("y_mean"), var)
 
     def save(self, path: str) -> None:
+        """One row per weight, and the scalars apart."""
         from pyspark.sql import SparkSession
 
-        state = json.dumps(
-            {
-                "weights": self.weights.tolist(), "covariance": self.covariance.tolist(), "mu": self.mu, "sd": self.sd,
-                "dims": self.dims, "kernel": self.kernel, "count": self.count, "scale": self.scale, "seed": self.seed,
-            }
-        )
         spark = SparkSession.getActiveSession()
-        spark.createDataFrame([(state,)], "state STRING").coalesce(1).write.mode("overwrite").parquet(path)
+        rows = [(i, float(w), self.factor[i, : i + 1].tolist()) for i, w in enumerate(self.weights)]
+        spark.createDataFrame(rows, SOLVED).write.mode("overwrite").parquet(f"{path}/rows")
+        state = json.dumps({"mu": self.mu, "sd": self.sd, "dims": self.dims, "kernel": self.kernel, "count": self.count, "scale": self.scale, "seed": self.seed})
+        spark.createDataFrame([(state,)], "state STRING").coalesce(1).write.mode("overwrite").parquet(f"{path}/state")
 
     def load(self, path: str) -> "GaussianProcessSurrogate":
         from pyspark.sql import SparkSession
 
-        state = json.loads(SparkSession.getActiveSession().read.parquet(path).first()["state"])
-        self.weights, self.covariance = np.array(state["weights"]), np.array(state["covariance"])
+        spark = SparkSession.getActiveSession()
+        state = json.loads(spark.read.parquet(f"{path}/state").first()["state"])
         self.mu, self.sd, self.dims, self.kernel = state["mu"], state["sd"], state["dims"], state["kernel"]
         self.count, self.scale, self.seed = state["count"], state["scale"], state["seed"]
+        self._keep(spark.read.parquet(f"{path}/rows").collect())
         return self
