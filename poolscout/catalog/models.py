@@ -295,13 +295,13 @@ def _random_run(t: Tables) -> Exploration:
     o AS (SELECT iter, id, y, row_number() OVER (ORDER BY iter, u DESC, id DESC) AS seq FROM e),
     hits AS (SELECT id, y FROM pool ORDER BY y DESC, id DESC LIMIT 50), low AS (SELECT min(y) AS t FROM hits),
     ties AS (SELECT count(*) AS n FROM hits, low WHERE y = t),
-    best AS (SELECT s.seq, avg(s.y) AS v FROM (SELECT a.seq, b.y, row_number() OVER (PARTITION BY a.seq ORDER BY b.y DESC, b.id DESC) AS place FROM o a JOIN o b ON b.seq <= a.seq) s WHERE place <= 50 GROUP BY 1)
+    best AS (SELECT s.seq, sum(s.y) / 50.0 AS v FROM (SELECT a.seq, b.y, row_number() OVER (PARTITION BY a.seq ORDER BY b.y DESC, b.id DESC) AS place FROM o a JOIN o b ON b.seq <= a.seq) s WHERE place <= 50 GROUP BY 1)
     SELECT 'random' AS run_id, CAST(iter AS INTEGER) AS iter, o.seq, o.id,
            round(avg(o.y) OVER (ORDER BY o.seq), 4) AS running_mean,
            count(h.id) OVER (ORDER BY o.seq) / 50.0 AS recall,
            (count(*) FILTER (WHERE o.y > t) OVER (ORDER BY o.seq) + least(count(*) FILTER (WHERE o.y = t) OVER (ORDER BY o.seq), ties.n)) / 50.0 AS score_recall,
            round(b.v, 6) AS top_k_avg
-    FROM o LEFT JOIN hits h ON h.id = o.id JOIN best b ON b.seq = greatest(o.seq, 50), low, ties
+    FROM o LEFT JOIN hits h ON h.id = o.id JOIN best b ON b.seq = greatest(o.seq, least(50, (SELECT count(*) FROM o))), low, ties
     """,
 )
 def curves_of_a_run(t):

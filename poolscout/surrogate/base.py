@@ -47,7 +47,8 @@ def vectors(features: Column) -> Column:
 def training_rows(explored: DataFrame, features: DataFrame, retrain: bool = True) -> DataFrame:
     """Labelled candidates with their features: all of them, or those of the last batch. Failures are left out, and so are
     labels of candidates whose features nobody knows."""
-    features = features.filter(F.col("features").isNotNull())
+    if "features" in features.columns:
+        features = features.filter(F.col("features").isNotNull())
     known = explored.filter(F.col("score").isNotNull())
     if not retrain:
         known = known.filter(F.col("iter") == explored.agg(F.max("iter").alias("i")).scalar())
