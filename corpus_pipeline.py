@@ -13,8 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from poolscout.llm import decontaminate, language_id, near_dups, sentencepiece_unigram, suffix_dedup
-from poolscout.llm.common import saved
-from poolscout.session import ship_package
+from poolscout.llm.common import free_shuffles, saved
+from poolscout.session import scratch_path, scratch_scope, ship_package
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -24,24 +24,39 @@ def _columns(docs: DataFrame) -> DataFrame:
     return docs.select(*COLUMNS).where("doc_id IS NOT NULL")
 
 
+def _settled(spark: SparkSession, label: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """What ``make`` gives as a written table; the scratch tables and shuffles on the way to it are deleted."""
+    path = scratch_path(spark, f"pipeline-{label}")
+    with scratch_scope(spark):
+        frame = make()
+        frame.write.parquet(path)
+    schema = frame.schema
+    del frame
+    free_shuffles(spark)
+    return spark.read.schema(schema).parquet(path)
+
+
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is recognised; texts that are null, have no letter, or are like no learned language go, and of rows
     that share an id all go with one that does. ``lang`` stays as given, a null one becomes the prediction."""
     docs = _columns(docs)
-    found, _ = saved(language_id.identify(docs).select("doc_id", "rejected", "lang_pred"), "pipeline-languages")
-    kept = docs.join(found.where("rejected").select("doc_id").distinct(), "doc_id", "left_anti")
-    # only documents without a language need the prediction
-    unnamed = kept.where("lang IS NULL").drop("lang").join(found.groupBy("doc_id").agg(F.min("lang_pred").alias("lang")), "doc_id")
-    return kept.where("lang IS NOT NULL").select(*COLUMNS).union(unnamed.select(*COLUMNS))
+    found = _settled(spark, "languages", lambda: language_id.identify(docs).select("doc_id", "rejected", "lang_pred"))
+    # tables of ids, so that their sizes are known and texts need not move for a few of them
+    rejected = _settled(spark, "rejected", lambda: found.where("rejected").select("doc_id").distinct())
+    kept = docs.join(rejected, "doc_id", "left_anti")
+    unnamed = docs.where("lang IS NULL").select("doc_id").distinct()
+    named = _settled(spark, "named", lambda: found.join(unnamed, "doc_id").groupBy("doc_id").agg(F.min("lang_pred").alias("lang_pred")))
+    return kept.join(named, "doc_id", "left").withColumn("lang", F.coalesce("lang", "lang_pred")).select(*COLUMNS)
 
 
 def one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates, that of the least id; of rows that share an id one stays."""
     docs = _columns(docs)
-    found, _ = saved(near_dups.near_duplicates(docs).groupBy("doc_id").agg(F.bool_or("kept").alias("kept"), F.count("*").alias("n")), "pipeline-near")
-    rest = docs.join(found.where("NOT kept").select("doc_id"), "doc_id", "left_anti")
-    # texts move only where an id has several rows
-    several = found.where("kept AND n > 1").select("doc_id")
+    found = _settled(spark, "near", lambda: near_dups.near_duplicates(docs).groupBy("doc_id").agg(F.bool_or("kept").alias("kept"), F.count("*").alias("n")))
+    gone = _settled(spark, "gone", lambda: found.where("NOT kept").select("doc_id"))
+    several = _settled(spark, "several", lambda: found.where("kept AND n > 1").select("doc_id"))
+    rest = docs.join(gone, "doc_id", "left_anti")
+    # rows of one id move together; the others stay where they are
     once = rest.join(several, "doc_id", "left_anti")
     return once.union(rest.join(several, "doc_id", "left_semi").dropDuplicates(["doc_id"])).select(*COLUMNS)
 
@@ -56,7 +71,7 @@ def without_repeated_text(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
             yield pa.record_batch([batch.column(0), batch.column(1), pa.array(texts, pa.string())], names=["doc_id", "fp", "kept"])
 
     docs = _columns(docs)
-    shorter, _ = saved(suffix_dedup.shortened_texts(docs).mapInArrow(whole_characters, "doc_id long, fp long, kept string"), "pipeline-shorter")
+    shorter = _settled(spark, "shorter", lambda: suffix_dedup.shortened_texts(docs).mapInArrow(whole_characters, "doc_id long, fp long, kept string"))
     rows = docs.withColumn("fp", F.xxhash64(F.coalesce("text", F.lit("")))).join(shorter, ["doc_id", "fp"], "left")
     rows = rows.withColumn("text", F.coalesce("kept", "text"))
     rows = rows.withColumn("n_chars", F.when(F.col("kept").isNull(), F.col("n_chars")).otherwise(F.length("kept").cast("long")))
@@ -67,24 +82,15 @@ def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     """Documents in which no benchmark item stands, word for word or nearly."""
     docs = _columns(docs)
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    found = decontaminate.contamination(docs, benchmark).where("contaminated").select("doc_id").distinct()
+    found = _settled(spark, "contaminated", lambda: decontaminate.contamination(docs, benchmark).where("contaminated").select("doc_id").distinct())
     return docs.join(found, "doc_id", "left_anti").select(*COLUMNS)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document with its tokens, which decode to its text."""
+    """Every document with its tokens; ``restored`` says that they decode to its text."""
     docs = _columns(docs)
-    vocab = sentencepiece_unigram.load()
-    ids = sentencepiece_unigram.encode(docs, vocab)
-    found = sentencepiece_unigram.decode(ids.select("doc_id", "text", "ids", F.col("ids").alias("kept_ids")), vocab)
-    marker = F.lit(sentencepiece_unigram.MARKER)
-    return found.select(
-        "doc_id",
-        "text",
-        F.col("kept_ids").alias("token_ids"),
-        F.size("kept_ids").cast("long").alias("n_tokens"),
-        (F.col("decoded") == F.replace("text", marker, F.lit(" "))).alias("restored"),
-    )
+    found = sentencepiece_unigram.encode(docs, sentencepiece_unigram.load(), check=True)
+    return found.select("doc_id", "text", F.col("ids").alias("token_ids"), F.size("ids").cast("long").alias("n_tokens"), "restored")
 
 
 def _stage(step: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
