@@ -59,8 +59,11 @@ def op3_host_quality(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op4_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
     """Encode and decode every whole text."""
-    found = sentencepiece_unigram.round_trip(table(spark, folder, "documents"), sentencepiece_unigram.load())
-    return found.select("doc_id", "n_tokens", "n_byte_tokens", "ids_hash", F.length("decoded").cast("long").alias("n_chars"), "restored")
+    vocab = sentencepiece_unigram.load()
+    found = sentencepiece_unigram.encode(table(spark, folder, "documents"), vocab, check=True)
+    return found.select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"), sentencepiece_unigram.byte_tokens(vocab).alias("n_byte_tokens"), F.xxhash64("ids").alias("ids_hash"), "restored"
+    )
 
 
 @query

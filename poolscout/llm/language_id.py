@@ -18,6 +18,8 @@ from .compression import calibrate
 from .textkernel import mix
 
 ORDER = 4
+#: Bytes of text at a time; every byte takes some two hundred in temporaries.
+SLICE_BYTES = 1_000_000
 _U = np.uint64
 _BITS = _U(16)
 #: Letters beyond the basic plane are one symbol to the models.
@@ -203,7 +205,7 @@ def train(texts: DataFrame, options: Options = Options()) -> Model:
 
     rows = texts.select("lang", "text").where("lang IS NOT NULL AND text IS NOT NULL")
     counted, _ = saved(
-        map_slices(rows, count, "lang string, gram long, n long", size=4_000_000).groupBy("lang", "gram").agg(F.sum("n").alias("n")), "grams"
+        map_slices(rows, count, "lang string, gram long, n long", size=SLICE_BYTES).groupBy("lang", "gram").agg(F.sum("n").alias("n")), "grams"
     )
     # the least count per language that keeps the model within its bound; a row per language and count comes to the driver
     least: dict[str, int] = {}
@@ -261,7 +263,7 @@ def score_texts(docs: DataFrame, model: Model) -> DataFrame:
         return pa.record_batch(arrays, names=[x.split()[0] for x in SCORES.split(", ")])
 
     rows = docs.select("doc_id", "lang", "fold", F.coalesce("text", F.lit("")).alias("text"))
-    return map_slices(rows, step, SCORES)
+    return map_slices(rows, step, SCORES, size=SLICE_BYTES)
 
 
 def identify(docs: DataFrame, options: Options = Options(), id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:

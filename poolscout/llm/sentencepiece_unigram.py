@@ -12,7 +12,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textkernel as tk
@@ -269,18 +269,29 @@ def decode_bytes(ids: np.ndarray, bounds: np.ndarray, vocab: Vocabulary) -> tupl
     return np.delete(data, lead), np.concatenate(([0], np.cumsum(np.diff(total) - strip)))
 
 
-def encode(docs: DataFrame, vocab: Vocabulary, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(doc_id, text, ids)`` of every row, in one pass without a shuffle; null texts are empty and have no tokens."""
+def encode(docs: DataFrame, vocab: Vocabulary, id_col: str = "doc_id", text_col: str = "text", check: bool = False) -> DataFrame:
+    """``(doc_id, text, ids[, restored])`` of every row, in one pass without a shuffle; null texts are empty and have no tokens.
+
+    With ``check`` the tokens of every text are decoded in the same pass, and ``restored`` says that this gives the text back,
+    where a literal whitespace marker counts as a space.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(vocab)  # as large as the model file
 
     def step(batch: pa.RecordBatch) -> pa.RecordBatch:
         ids, bounds = encode_column(batch.column(1), shared.value)
         lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids, pa.int32()))
-        return pa.record_batch([batch.column(0), batch.column(1), lists], names=["doc_id", "text", "ids"])
+        columns, names = [batch.column(0), batch.column(1), lists], ["doc_id", "text", "ids"]
+        if check:
+            data, ends = decode_bytes(ids.astype(np.int64), bounds, shared.value)
+            raw, starts = tk.text_bytes(batch.column(1))
+            want, got, space = memoryview(raw.tobytes()), memoryview(data.tobytes()), MARKER.encode()
+            same = [bytes(want[a:b]).replace(space, b" ") == got[c:d] for a, b, c, d in zip(starts[:-1].tolist(), starts[1:].tolist(), ends[:-1].tolist(), ends[1:].tolist())]
+            columns, names = [*columns, pa.array(same, pa.bool_())], [*names, "restored"]
+        return pa.record_batch(columns, names=names)
 
     text = F.coalesce(docs[text_col].cast("string"), F.lit(""))
     rows = docs.select(docs[id_col].cast("long").alias("doc_id"), text.alias("text"))
-    return map_slices(rows, step, "doc_id long, text string, ids array<int>", size=3_000_000)
+    return map_slices(rows, step, "doc_id long, text string, ids array<int>" + ", restored boolean" * check)
 
 
 def decode(tokens: DataFrame, vocab: Vocabulary, ids_col: str = "ids") -> DataFrame:
@@ -308,15 +319,9 @@ def decode(tokens: DataFrame, vocab: Vocabulary, ids_col: str = "ids") -> DataFr
     return rows.mapInArrow(run, f"{fields}, decoded string")
 
 
-def round_trip(docs: DataFrame, vocab: Vocabulary, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(doc_id, text, n_tokens, n_byte_tokens, ids_hash, decoded, restored)``; ``restored`` says that decoding gives the text back,
-    where a literal whitespace marker counts as a space."""
-    tokens = encode(docs, vocab, id_col, text_col)
+def byte_tokens(vocab: Vocabulary) -> Column:
+    """How many of the ``ids`` are byte pieces."""
     low, high = int(vocab.byte_ids.min()), int(vocab.byte_ids.max())
     if high - low != 255:
         raise ValueError("byte pieces do not stand together")
-    n_bytes = F.size(F.filter("ids", lambda i: i.between(low, high)))
-    rows = tokens.select(
-        "doc_id", "text", F.size("ids").cast("long").alias("n_tokens"), n_bytes.cast("long").alias("n_byte_tokens"), F.xxhash64("ids").alias("ids_hash"), "ids"
-    )
-    return decode(rows, vocab).withColumn("restored", F.col("decoded") == F.replace("text", F.lit(MARKER), F.lit(" ")))
+    return F.size(F.filter("ids", lambda i: i.between(low, high))).cast("long")
