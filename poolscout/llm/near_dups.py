@@ -95,11 +95,12 @@ def stop_counts(options: NearDups) -> list[tuple[int, int]]:
     return stops
 
 
-def survivors(left: np.ndarray, right: np.ndarray, stops: list[tuple[int, int]]) -> np.ndarray:
-    """Indices of the pairs (rows of both arrays) that no batch gives up."""
-    alive, equal, done = np.arange(len(left)), np.zeros(len(left), dtype=np.int32), 0
+def survivors(left: np.ndarray, right: np.ndarray, a: np.ndarray, b: np.ndarray, stops: list[tuple[int, int]]) -> np.ndarray:
+    """Indices of the pairs (rows ``a`` of the left, ``b`` of the right signatures) that no batch gives up. Only the values of a
+    batch, and of the pairs still alive, are ever put side by side."""
+    alive, equal, done = np.arange(len(a)), np.zeros(len(a), dtype=np.int32), 0
     for upto, most in stops:
-        equal = equal + (left[alive, done:upto] == right[alive, done:upto]).sum(axis=1, dtype=np.int32)
+        equal = equal + (left[a[alive], done:upto] == right[b[alive], done:upto]).sum(axis=1, dtype=np.int32)
         good = equal > most
         alive, equal, done = alive[good], equal[good], upto
         if not len(alive):
@@ -137,7 +138,8 @@ def _linked(pairs: DataFrame, held: DataFrame, options: NearDups) -> DataFrame:
                 continue
             left, right = (_signature_rows(batch.column(i), values) for i in (2, 3))
             (x, x_at), (y, y_at) = (_sets(batch.column(i)) for i in (4, 5))
-            kept = [i for i in survivors(left, right, stops).tolist() if _alike(x[x_at[i] : x_at[i + 1]], y[y_at[i] : y_at[i + 1]], options.percent)]
+            here = np.arange(batch.num_rows)
+            kept = [i for i in survivors(left, right, here, here, stops).tolist() if _alike(x[x_at[i] : x_at[i + 1]], y[y_at[i] : y_at[i + 1]], options.percent)]
             yield batch.select([0, 1]).take(pa.array(kept, pa.int64()))
 
     sides = [held.select(F.col("rep").alias(k), F.col("sig").alias(f"sig_{k}"), F.col("hashes").alias(f"set_{k}")) for k in ("a", "b")]
@@ -185,7 +187,7 @@ def _crossing(members: DataFrame, held: DataFrame, options: NearDups) -> DataFra
             if i == j:
                 cross &= a < b
             a, b = a[cross], b[cross]
-            good = survivors(sig[a], sig[b], stops) if len(a) else a
+            good = survivors(sig, sig, a, b, stops) if len(a) else a
             for x, y in zip(a[good].tolist(), b[good].tolist()):
                 u, v = find(label[x]), find(label[y])
                 if u != v and _alike(sets[bounds[x] : bounds[x + 1]], sets[bounds[y] : bounds[y + 1]], options.percent):
