@@ -73,9 +73,8 @@ def rates(spark, folder: str, times: dict[str, float]) -> dict[str, float]:
     known = pool.join(vector_labels(tables), "id").cache()
     n = known.count()
     cores = spark.sparkContext.defaultParallelism
-    large = pool.repartition(cores).select((F.col("id") * COPIES).alias("first"), "features").select(
-        (F.col("first") + F.explode(F.sequence(F.lit(0), F.lit(COPIES - 1)))).alias("id"), "features"
-    )
+    first = F.col("id") * COPIES
+    large = pool.repartition(cores).select(F.explode(F.sequence(first, first + (COPIES - 1))).alias("id"), "features")
     for name, (kind, how) in MODELS.items():
         model = make_surrogate(kind, how)
         out[f"{name}_fit_rows_per_sec"] = round(n / timed(lambda: model.fit(known)))
