@@ -2,18 +2,24 @@
 
 A model predicts each letter of a word, and its end, from the three characters before it; what stands before a word is padding, so
 that texts and words do not depend on each other. A text gets the language of the lowest cross-entropy per character.
+
+Every 4-gram of every training row is in the model. A model that fits in a task's memory is broadcast; of a larger one the most
+frequent grams are, and slices of texts get the log probabilities of their other grams by a join. Both estimate the same.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, map_slices, saved
+from .common import fold, map_slices, saved, slices
 from .compression import calibrate
 from .textkernel import mix
 
@@ -28,10 +34,10 @@ ASTRAL = 0xFFFE
 
 @dataclass(frozen=True)
 class Options:
-    """``grams`` bounds the model: of each language's 4-grams, those of the rarest counts are left out until that many remain.
-    Counts themselves cover every training row. ``calibration`` rows at most fit the score."""
+    """``held`` numbers of the model, one per 4-gram and language, are in a task's memory at most; where the others are looked up
+    changes no result. ``calibration`` rows at most fit the score."""
 
-    grams: int = 500_000
+    held: int = 8_000_000
     calibration: int = 20_000
     least_z: float = 8.0
     slack: float = 1.25
@@ -185,8 +191,90 @@ def _lookup(sorted_keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np
     return row, sorted_keys[row] == wanted
 
 
-def train(texts: DataFrame, options: Options = Options()) -> Model:
-    """Models of ``(lang, text)``. Every row is counted; tasks add up their own counts first."""
+@dataclass
+class SpreadModel:
+    """The model of ``build`` as tables. Per order ``seen`` has ``(key, seen)``, the languages of each gram with their adjusted
+    counts, and ``past`` has ``(head, past)``, the languages of each history with their sums of counts and kinds of continuations."""
+
+    languages: list[str]
+    seen: list[DataFrame]
+    past: list[DataFrame]
+    discounts: np.ndarray
+    floor: float
+    frequent: DataFrame
+
+    def probabilities(self, grams: DataFrame) -> DataFrame:
+        """``(key, p)``: the probability of each ``gram`` in every language, as doubles one after another. A gram shares its history
+        and its end with no more others than there are symbols, so that no key of these joins is heavy."""
+        k, lower = len(self.languages), None
+        for order in range(1, ORDER + 1):
+            keys = grams.select(_low(F.col("gram"), order).alias("key")).distinct()
+            rows = keys.join(self.seen[order - 1], "key", "left").withColumn("head", F.shiftrightunsigned("key", 16))
+            past = self.past[order - 1]
+            rows = rows.join(F.broadcast(past) if order == 1 else past, "head", "left")  # order 1 has one history
+            if lower is None:
+                rows = rows.withColumn("p", F.lit(np.full(k, self.floor).tobytes()))
+            else:
+                rows = rows.withColumn("end", _low(F.col("key"), order - 1)).join(lower.withColumnRenamed("key", "end"), "end")
+
+            def step(batches, discount=self.discounts[order - 1]):
+                for batch in batches:
+                    number, = _dense(batch.column(1), ["n"], k)
+                    mass, kinds = _dense(batch.column(2), ["mass", "kinds"], k)
+                    below = _doubles(batch.column(3), k)
+                    known = np.maximum(mass, 1)
+                    direct = np.where(number > 0, (number - discount) / known, 0.0)
+                    p = direct + np.where(mass > 0, discount * kinds / known, 1.0) * below
+                    yield pa.record_batch([batch.column(0), pa.array([r.tobytes() for r in p], pa.binary())], names=["key", "p"])
+
+            lower = rows.select("key", "seen", "past", "p").mapInArrow(step, "key long, p binary")
+        return lower
+
+
+def _low(gram, order: int):
+    """The last ``order`` symbols of a column of grams."""
+    return gram if order == ORDER else gram.bitwiseAND(F.lit(2 ** (16 * order) - 1).cast("long"))
+
+
+def _dense(column: pa.Array, names: list[str], width: int) -> list[np.ndarray]:
+    """The named numbers of lists of structs, in the columns that their ``l`` says."""
+    row = np.repeat(np.arange(len(column)), np.asarray(pc.fill_null(pc.list_value_length(column), 0)))
+    flat = column.flatten()
+    at = np.asarray(pc.struct_field(flat, "l"))
+    out = [np.zeros((len(column), width)) for _ in names]
+    for table, name in zip(out, names):
+        table[row, at] = np.asarray(pc.struct_field(flat, name))
+    return out
+
+
+def _doubles(column: pa.Array, width: int) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), dtype=float).reshape(len(column), width)
+
+
+def spread(counted: DataFrame, languages: list[str], held: int) -> SpreadModel:
+    """What ``build`` does, by aggregates over ``(lang, gram, n)``."""
+    number = F.create_map(*[x for i, lang in enumerate(languages) for x in (F.lit(lang), F.lit(i))])
+    level = counted.select(number[F.col("lang")].alias("l"), F.col("gram").alias("key"), "n")
+    frequent = level.groupBy("key").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "key").limit(held).select(F.col("key").alias("gram"))
+    seen, past, discounts = [], [], np.full((ORDER, len(languages)), 0.5)
+    for order in range(ORDER, 0, -1):
+        if order < ORDER:
+            low = _low(F.col("key"), order)
+            padded = F.shiftrightunsigned("key", 16 * (order - 1)) == 0 if order > 1 else F.lit(False)
+            level = level.select("l", low.alias("key"), "n").groupBy("l", "key").agg(F.sum("n").alias("plain"), F.count("*").alias("types"))
+            level = level.select("l", "key", F.when(padded, F.col("plain")).otherwise(F.col("types")).alias("n"))
+        level, _ = saved(level, f"level-{order}")
+        for r in level.groupBy("l").agg(F.sum((F.col("n") == 1).cast("long")).alias("ones"), F.sum((F.col("n") == 2).cast("long")).alias("twos")).collect():
+            if r["ones"]:
+                discounts[order - 1, r["l"]] = r["ones"] / (r["ones"] + 2 * r["twos"])
+        heads = level.groupBy("l", F.shiftrightunsigned("key", 16).alias("head")).agg(F.sum("n").alias("mass"), F.count("*").alias("kinds"))
+        seen.insert(0, saved(level.groupBy("key").agg(F.collect_list(F.struct("l", "n")).alias("seen")), f"seen-{order}")[0])
+        past.insert(0, saved(heads.groupBy("head").agg(F.collect_list(F.struct("l", "mass", "kinds")).alias("past")), f"past-{order}")[0])
+    return SpreadModel(languages, seen, past, discounts, 1 / (seen[0].count() + 2), saved(frequent, "frequent")[0])
+
+
+def train(texts: DataFrame, options: Options = Options()) -> Model | SpreadModel:
+    """Models of ``(lang, text)``. Every row is counted and every gram kept; tasks add up their own counts first."""
 
     def count(batch: pa.RecordBatch) -> pa.RecordBatch:
         languages = np.array(batch.column(0).to_pylist(), dtype=object)
@@ -207,21 +295,13 @@ def train(texts: DataFrame, options: Options = Options()) -> Model:
     counted, _ = saved(
         map_slices(rows, count, "lang string, gram long, n long", size=SLICE_BYTES).groupBy("lang", "gram").agg(F.sum("n").alias("n")), "grams"
     )
-    # the least count per language that keeps the model within its bound; a row per language and count comes to the driver
-    least: dict[str, int] = {}
-    spread = counted.withColumn("level", F.least("n", F.lit(10_000))).groupBy("lang", "level").count().collect()
-    for lang in sorted({r["lang"] for r in spread}):
-        total, least[lang] = 0, 10_001
-        for level, number in sorted(((r["level"], r["count"]) for r in spread if r["lang"] == lang), reverse=True):
-            total += number
-            if total > options.grams:
-                break
-            least[lang] = level
-    languages = sorted(least)
+    sizes = {r["lang"]: r["count"] for r in counted.groupBy("lang").count().collect()}
+    languages = sorted(sizes)
     if not languages:
         return Model([])
-    keep = F.create_map(*[x for lang in languages for x in (F.lit(lang), F.lit(least[lang]))])
-    model_rows = counted.where(F.col("n") >= keep[F.col("lang")]).toPandas()
+    if sum(sizes.values()) * len(languages) > options.held:
+        return spread(counted, languages, max(1, options.held // len(languages)))
+    model_rows = counted.toPandas()
     counts = []
     for lang in languages:
         own = model_rows[model_rows["lang"] == lang]
@@ -234,38 +314,99 @@ def train(texts: DataFrame, options: Options = Options()) -> Model:
 SCORES = "doc_id long, lang string, fold int, best int, bits double, second double, spread double, n long"
 
 
-def score_texts(docs: DataFrame, model: Model) -> DataFrame:
+def _scores(batch: pa.RecordBatch | pa.Table, k: int, look_up: Callable[[np.ndarray], np.ndarray]) -> pa.RecordBatch:
+    """The rows of ``SCORES`` for ``(doc_id, lang, fold, text)``, given the log probabilities of grams in ``k`` languages."""
+    codes, bounds = code_points([t or "" for t in batch.column(3).to_pylist()])
+    key, at = grams(codes)
+    owner_first = np.searchsorted(at, bounds)
+    n = np.diff(owner_first)
+    rows = len(n)
+    best, bits, second, spread = np.full(rows, -1, np.int32), np.zeros(rows), np.zeros(rows), np.zeros(rows)
+    full = np.flatnonzero(n > 0)
+    if k and len(full):
+        logs = look_up(key) / np.float32(-np.log(2))
+        begin = owner_first[:-1][full]
+        mean = np.add.reduceat(logs.astype(float), begin, axis=0) / n[full][:, None]
+        squares = np.add.reduceat(logs.astype(float) ** 2, begin, axis=0) / n[full][:, None]
+        order = np.argsort(mean, axis=1, kind="stable")
+        here = np.arange(len(full))
+        best[full] = order[:, 0]
+        bits[full] = mean[here, order[:, 0]]
+        second[full] = mean[here, order[:, min(1, k - 1)]]
+        spread[full] = np.maximum(squares[here, order[:, 0]] - bits[full] ** 2, 0)
+    arrays = [batch.column(0), batch.column(1), batch.column(2), pa.array(best), pa.array(bits), pa.array(second), pa.array(spread), pa.array(n, pa.int64())]
+    arrays = [x.combine_chunks() if isinstance(x, pa.ChunkedArray) else x for x in arrays]
+    return pa.record_batch(arrays, names=[x.split()[0] for x in SCORES.split(", ")])
+
+
+def score_texts(docs: DataFrame, model: Model | SpreadModel) -> DataFrame:
     """Per row of ``(doc_id, lang, fold, text)``: the best language, its bits per character, the second best's, the variance of
     the bits of single characters and the number of characters; ``best`` is -1 without letters."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by Options.grams per language
+    rows = docs.select("doc_id", "lang", "fold", F.coalesce("text", F.lit("")).alias("text"))
+    if isinstance(model, SpreadModel):
+        return _score_by_join(rows, model)
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by Options.held
 
     def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-        model = shared.value
-        codes, bounds = code_points([t or "" for t in batch.column(3).to_pylist()])
-        key, at = grams(codes)
-        owner_first = np.searchsorted(at, bounds)
-        n = np.diff(owner_first)
-        rows, k = len(n), len(model.languages)
-        best, bits, second, spread = np.full(rows, -1, np.int32), np.zeros(rows), np.zeros(rows), np.zeros(rows)
-        full = np.flatnonzero(n > 0)
-        if k and len(full):
-            logs = model.log_probability(key) / np.float32(-np.log(2))
-            begin = owner_first[:-1][full]
-            mean = np.add.reduceat(logs.astype(float), begin, axis=0) / n[full][:, None]
-            squares = np.add.reduceat(logs.astype(float) ** 2, begin, axis=0) / n[full][:, None]
-            order = np.argsort(mean, axis=1, kind="stable")
-            here = np.arange(len(full))
-            best[full] = order[:, 0]
-            bits[full] = mean[here, order[:, 0]]
-            second[full] = mean[here, order[:, min(1, k - 1)]]
-            spread[full] = np.maximum(squares[here, order[:, 0]] - bits[full] ** 2, 0)
-        arrays = [batch.column(0), batch.column(1), batch.column(2), pa.array(best), pa.array(bits), pa.array(second), pa.array(spread), pa.array(n, pa.int64())]
-        return pa.record_batch(arrays, names=[x.split()[0] for x in SCORES.split(", ")])
+        return _scores(batch, len(shared.value.languages), shared.value.log_probability)
 
-    rows = docs.select("doc_id", "lang", "fold", F.coalesce("text", F.lit("")).alias("text"))
     return map_slices(rows, step, SCORES, size=SLICE_BYTES)
 
 
+def _score_by_join(rows: DataFrame, model: SpreadModel) -> DataFrame:
+    """``score_texts`` with a model that no task holds. A slice of texts asks once for each gram that is not among the frequent
+    ones, and gets the answers beside its texts."""
+    k = len(model.languages)
+    frequent = model.probabilities(model.frequent).toPandas()  # bounded by Options.held
+    order = np.argsort(frequent["key"].to_numpy(dtype=np.int64))
+    keys = frequent["key"].to_numpy(dtype=np.int64)[order]
+    logs = np.log(_doubles(pa.array(frequent["p"], pa.binary()), k)[order]).astype(np.float32)
+    shared = rows.sparkSession.sparkContext.broadcast((keys, logs))
+
+    def number(batches):
+        task, count = TaskContext.get().partitionId(), 0
+        for batch in batches:
+            for piece in slices(batch, 3, SLICE_BYTES):
+                yield pa.record_batch([*piece.columns, pa.array(np.full(piece.num_rows, (task << 32) + count))], names=[*piece.schema.names, "slice"])
+                count += 1
+
+    def ask(batch: pa.RecordBatch) -> pa.RecordBatch:
+        codes, bounds = code_points(batch.column(3).to_pylist())
+        key, at = grams(codes)
+        key, of = key.view(np.int64), np.asarray(batch.column(4))[np.searchsorted(bounds, at, side="right") - 1]
+        asked, by = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        for name in np.unique(of):
+            own = np.unique(key[of == name])
+            asked.append(own[~_lookup(shared.value[0], own)[1]])
+            by.append(np.full(len(asked[-1]), name))
+        return pa.record_batch([pa.array(np.concatenate(by)), pa.array(np.concatenate(asked))], names=["slice", "gram"])
+
+    def finish(texts: pa.Table, answers: pa.Table) -> pa.Table:
+        own = np.asarray(answers.column("key"), dtype=np.int64)
+        own, first = np.unique(own, return_index=True)
+        own_logs = np.log(_doubles(answers.column("p"), k)[first]).astype(np.float32)
+
+        def look_up(key: np.ndarray) -> np.ndarray:
+            key = key.view(np.int64)
+            row, found = _lookup(shared.value[0], key)
+            out = shared.value[1][row]
+            rest = np.flatnonzero(~found)
+            row, found = _lookup(own, key[rest])
+            if not found.all():
+                raise RuntimeError("grams of a slice without an answer")
+            if len(rest):
+                out[rest] = own_logs[row]
+            return out
+
+        return pa.Table.from_batches([_scores(texts, k, look_up)])
+
+    texts, _ = saved(rows.mapInArrow(number, "doc_id long, lang string, fold int, text string, slice long"), "language-slices")
+    asked, _ = saved(map_slices(texts, ask, "slice long, gram long", size=SLICE_BYTES), "asked-grams")
+    wanted, _ = saved(asked.select("gram").distinct(), "wanted-grams")
+    answers = asked.join(model.probabilities(wanted).withColumnRenamed("key", "gram"), "gram").select("slice", F.col("gram").alias("key"), "p")
+    return texts.groupBy("slice").cogroup(answers.groupBy("slice")).applyInArrow(finish, SCORES)
+
+
 def identify(docs: DataFrame, options: Options = Options(), id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """``(doc_id, held_out, lang_pred, score, rejected, bits)`` for every row.
 

@@ -97,3 +97,46 @@ def test_words_do_not_depend_on_what_stands_before():
     key, at = li.grams(codes)
     first, second = key[(at >= 2) & (at < bounds[1])], key[(at >= bounds[1]) & (at < bounds[2])]
     assert first.tolist() == second.tolist()
+
+
+def reference(rows: list[tuple[str, str]]) -> li.Model:
+    """The model of all grams of ``(lang, text)``, whatever their number."""
+    names = sorted({lang for lang, _ in rows})
+    return li.build(names, [counts_of("\n".join(t for lang, t in rows if lang == name)) for name in names])
+
+
+def bits_of(model: li.Model, text: str) -> float:
+    keys = li.grams(li.code_points([text])[0])[0]
+    return float((model.log_probability(keys).astype(float) / -math.log(2)).mean(axis=0).min())
+
+
+def folds(spark, start: int, n: int) -> list[tuple[int, int]]:
+    ids = spark.range(start, start + n).select("id", (F.crc32(F.col("id").cast("string").cast("binary")) % 5).alias("fold"))
+    return [(r["id"], r["fold"]) for r in ids.collect()]
+
+
+def test_no_gram_is_dropped_from_a_large_alphabet(spark):
+    """A language of more than 500 000 different 4-grams, nearly all seen once."""
+    draw = np.random.default_rng(5)
+    words = draw.integers(0x4E00, 0x4E00 + 5000, size=(260_000, 4))
+    texts = [" ".join("".join(map(chr, w)) for w in part) for part in np.array_split(words, 100)]
+    docs = [(i, t, "zh", f) for (i, f), t in zip(folds(spark, 0, 100), texts)]
+    model = reference([(lang, t) for _, t, lang, f in docs if f > 1])
+    assert len(model.hashes[li.ORDER - 1]) > 500_000
+    got = li.identify(spark.createDataFrame([d[:3] for d in docs], "doc_id long, text string, lang string")).collect()
+    want = {i: bits_of(model, t) for i, t, _, _ in docs[:5]}
+    assert {r["doc_id"]: r["bits"] for r in got if r["doc_id"] in want} == pytest.approx(want, rel=1e-5)
+
+
+def test_a_model_that_no_task_holds_gives_the_same(spark):
+    """Grams that are not held are looked up by a join: nothing is left out and nothing estimated otherwise."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang").limit(300)
+    odd = [(None, "한국어 문장 하나", "ko"), (None, "한국어 문장 하나", "ko"), (10**7, None, "en"), (10**7 + 1, "", "en"), (10**7 + 2, "ωμγδ 漢字", None)]
+    odd += [(i, "한국어 문장 둘 " * 3, "ko") for i in range(10**8, 10**8 + 20)]
+    docs = spark.createDataFrame(docs.collect() + odd, "doc_id long, text string, lang string")
+    key = lambda r: (r["doc_id"] is not None, r["doc_id"])
+    whole, split = (sorted(li.identify(docs, li.Options(held=n)).collect(), key=key) for n in (10**9, 300))
+    assert len(whole) == len(split) == docs.count()
+    for a, b in zip(whole, split):
+        assert (a["doc_id"], a["held_out"], a["lang_pred"], a["rejected"]) == (b["doc_id"], b["held_out"], b["lang_pred"], b["rejected"])
+        assert (b["bits"], b["score"]) == pytest.approx((a["bits"], a["score"]), rel=1e-5, abs=1e-6)
