@@ -35,11 +35,12 @@ ASTRAL = 0xFFFE
 @dataclass(frozen=True)
 class Options:
     """``held`` numbers of the model, one per 4-gram and language, are in a task's memory at most; where the others are looked up
-    changes no result. ``calibration`` rows at most fit the score."""
+    changes no result. ``calibration`` rows at most fit the score. ``least_z`` is the 99.9th percentile of normal scores, for
+    languages of too few calibration rows to show it."""
 
     held: int = 8_000_000
     calibration: int = 20_000
-    least_z: float = 8.0
+    least_z: float = 3.09
     slack: float = 1.25
 
 
@@ -413,7 +414,9 @@ def identify(docs: DataFrame, options: Options = Options(), id_col: str = "doc_i
     Learns from rows outside fold 0 that have a language: folds 2 to 4 give the counts, fold 1 the calibration. A text that is
     null or has no letter is ``und`` with score 0 and rejected. Others get the language of the lowest bits per character, and are
     rejected if these lie further above what is usual for texts of that language and length than any but one in a thousand
-    of the calibration rows (with some slack, and ``least_z`` standard deviations at least). Without any language to learn, all
+    of the calibration rows (with some slack, and ``least_z`` standard deviations at least). A language without a correctly
+    recognised calibration row is held to what is usual for all languages together, and one of fewer than 30 varies as much as
+    they do at least; without any such row in the table nothing with a letter is rejected. Without any language to learn, all
     are ``und``. Repeated rows give repeated results.
     """
     rows = docs.select(
@@ -425,17 +428,22 @@ def identify(docs: DataFrame, options: Options = Options(), id_col: str = "doc_i
     known = scores.where("fold = 1 AND lang IS NOT NULL AND best >= 0").withColumn(
         "right", F.col("lang") == F.element_at(F.array(*[F.lit(x) for x in names] or [F.lit("")]), F.col("best") + 1)
     )
+    # a row per language, and one of all together under None
     usual = {
-        r["best"]: (r["mean"], r["between"] or 0.0, r["within"])
-        for r in known.where("right").groupBy("best").agg(F.avg("bits").alias("mean"), F.var_pop("bits").alias("between"), F.avg("spread").alias("within")).collect()
+        r["best"]: (r["mean"], r["between"] or 0.0, r["within"], r["rows"])
+        for r in known.where("right").rollup("best").agg(F.avg("bits").alias("mean"), F.var_pop("bits").alias("between"), F.avg("spread").alias("within"), F.count("*").alias("rows")).collect()
     }
-    z = F.lit(0.0)
-    for best, (mean, between, within) in usual.items():
-        z = F.when(F.col("best") == best, (F.col("bits") - mean) / F.sqrt(F.lit(between) + F.lit(within + 1e-6) / F.col("n"))).otherwise(z)
-    far = known.where("right").groupBy("best").agg(F.percentile_approx(z, 0.999, 10_000).alias("far")).collect()
-    limit = F.lit(options.least_z)
-    for r in far:
-        limit = F.when(F.col("best") == r["best"], F.lit(max(options.least_z, options.slack * r["far"]))).otherwise(limit)
+    z, pooled = F.lit(0.0), usual.get(None)
+    if pooled:
+        standard = lambda mean, between, within: (F.col("bits") - mean) / F.sqrt(F.lit(between) + F.lit(within + 1e-6) / F.col("n"))
+        z = standard(*pooled[:3])
+        for best, (mean, between, within, rows_of) in usual.items():
+            if best is not None:
+                z = F.when(F.col("best") == best, standard(mean, max(between, pooled[1]) if rows_of < 30 else between, within)).otherwise(z)
+    far = {r["best"]: r["far"] for r in known.where("right").withColumn("z", z).rollup("best").agg(F.percentile_approx("z", 0.999, 10_000).alias("far")).collect()}
+    limit = F.lit(max(options.least_z, options.slack * far.pop(None, 0.0)))
+    for best, value in far.items():
+        limit = F.when(F.col("best") == best, F.lit(max(options.least_z, options.slack * value))).otherwise(limit)
     sample = known.select("doc_id", (F.col("second") - F.col("bits")).alias("margin"), "n", "right").orderBy(F.xxhash64("doc_id"), "margin").limit(options.calibration).collect()
     evidence = lambda margin, n: margin * np.sqrt(n)
     x = np.array([evidence(r["margin"], r["n"]) for r in sample], dtype=float)

@@ -140,3 +140,26 @@ def test_a_model_that_no_task_holds_gives_the_same(spark):
     for a, b in zip(whole, split):
         assert (a["doc_id"], a["held_out"], a["lang_pred"], a["rejected"]) == (b["doc_id"], b["held_out"], b["lang_pred"], b["rejected"])
         assert (b["bits"], b["score"]) == pytest.approx((a["bits"], a["score"]), rel=1e-5, abs=1e-6)
+
+
+def test_short_texts_of_an_unlearned_language_are_rejected(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang")
+    short = ["ωμ", "漢字", "это", "ok", "hyvä", "jog", "ydw", "kyllä", "szép"]
+    held = [i for i, f in folds(spark, 10**7, 200) if f == 0][: len(short)]
+    odd = spark.createDataFrame([(i, t, None) for i, t in zip(held, short)], docs.schema)
+    got = {r["doc_id"]: r["rejected"] for r in li.identify(docs.union(odd)).collect()}
+    assert {t: got[i] for i, t in zip(held, short)} == dict.fromkeys(short, True)
+    assert sum(r for i, r in got.items() if i not in held) < 0.01 * len(got)
+
+
+def test_a_language_without_calibration_rows_rejects(spark):
+    """``el`` is learned from one text and never seen in fold 1."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang")
+    by = {}
+    for i, f in folds(spark, 10**7, 100):
+        by.setdefault(f, []).append(i)
+    learned, usual, odd = by[2][0], *by[0][:2]
+    rows = [(learned, "αβγδ εζηθ ικλμ " * 30, "el"), (usual, "αβγδ εζηθ ικλμ " * 3, None), (odd, "θδμ αηκ λγζε βι " * 10, None)]
+    got = {r["doc_id"]: r for r in li.identify(docs.union(spark.createDataFrame(rows, docs.schema))).collect()}
+    assert [got[i]["lang_pred"] for i in (usual, odd)] == ["el", "el"]
+    assert [got[i]["rejected"] for i in (usual, odd)] == [False, True]
