@@ -3,7 +3,8 @@
 Windows are as many words as an item has. Weights are multiplicities: the similarity of a window and an item is the sum over their
 five-word shingles of the smaller count, over that of the larger. A window that reaches the threshold holds at least that share
 of the item's shingles, which is how windows are found; their fingerprints are looked up in the multi-index, which gives every
-item of that size within the Hamming radius, and these pairs are verified.
+item of that size within the Hamming radius. These pairs are verified, and so are a window and the item that it was found by if
+their fingerprints lie further apart: no pair at the threshold is lost, whatever the radius.
 """
 
 from __future__ import annotations
@@ -152,8 +153,9 @@ class Index:
         less = np.minimum(times, self.count[both % len(self.pair)])
         return np.bincount(both // len(self.pair), weights=less, minlength=len(start)).astype(np.int64)
 
-    def windows(self, hashes: np.ndarray, inside: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Owner, first word and item size of the windows that hold enough shingles of an item of that size."""
+    def windows(self, hashes: np.ndarray, inside: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Owner, first word and item size of the windows that hold enough shingles of an item of that size; and every pair of such a
+        window, by its number, and such an item."""
         options = self.options
         counts = np.diff(bounds)
         at = np.flatnonzero(inside)
@@ -175,8 +177,9 @@ class Index:
         low, high = np.clip(low, floor, top), np.clip(high, floor, top)
         many = high - low + 1
         size = np.repeat(self.words[j], many)
-        found = np.unique(np.stack((np.repeat(o, many), _stretches(low, many), size)), axis=1)
-        return found[0], found[1], found[2]
+        found, number = np.unique(np.stack((np.repeat(o, many), _stretches(low, many), size)), axis=1, return_inverse=True)
+        pairs = np.unique(number.reshape(-1) * len(self.ids) + np.repeat(j, many))
+        return found[0], found[1], found[2], pairs // len(self.ids), pairs % len(self.ids)
 
     def match(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Owner, item id, first word, words and similarity of the best window for each text and item; of equally good ones the
@@ -188,12 +191,14 @@ class Index:
             return empty, empty, empty, empty, empty.astype(float)
         found = [self._short(words, bounds)]
         hashes, inside = shingles(words, bounds, options.shingle)
-        owner, start, size = self.windows(hashes, inside, bounds)
+        owner, start, size, by_window, by_item = self.windows(hashes, inside, bounds)
         if len(owner):
             own = np.minimum(size, np.diff(bounds)[owner])
             count = np.maximum(own - options.shingle + 1, 1)
             prints = fingerprints(hashes[_stretches(start, count)], np.concatenate(([0], np.cumsum(count))))
             window, item = self.near(prints, size)
+            far = np.bitwise_count(prints[by_window] ^ self.prints[by_item]) > options.radius
+            window, item = np.concatenate((window, by_window[far])), np.concatenate((item, by_item[far]))
             both = self.shared(hashes, start[window], count[window], item)
             union = count[window] + self.total[item] - both
             good = 100 * both >= options.percent * union

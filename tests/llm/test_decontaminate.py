@@ -123,3 +123,14 @@ def test_fingerprints_weigh_by_count():
     hashes = np.array([1, 1, 1, 2], dtype=np.uint64)
     several, single = dc.fingerprints(hashes, np.array([0, 4])), dc.fingerprints(hashes[:1], np.array([0, 1]))
     assert several[0] == single[0]
+
+
+def test_no_pair_at_the_threshold_is_lost_by_its_distance(spark):
+    """Items of seven shingles with their first word altered, at the end of a text: one window holds six of eight, 0.75 exactly, and
+    some of these fingerprints differ in more than 20 bits."""
+    items = [(i, prose(10_000 + i, 11)) for i in range(6000)]
+    docs = [(i, " ".join([*prose(50_000 + i, 6).split(" "), *t.split(" ")[1:]])) for i, t in items]
+    benchmark, frame = spark.createDataFrame(items, "item_id long, text string"), spark.createDataFrame(docs, "doc_id long, text string")
+    for radius in (dc.Decontamination().radius, 3):
+        found = {r["doc_id"]: [(m["item_id"], m["similarity"]) for m in r["matches"]] for r in dc.find_matches(frame, benchmark, dc.Decontamination(radius=radius)).collect()}
+        assert [i for i, _ in docs if found[i] != [(i, 0.75)]] == []
