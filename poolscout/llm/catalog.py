@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import ship_package
-from . import compression, decontaminate, language_id, near_dups, oracles, quality_rules, sentencepiece_unigram, substring_dedup, suffix_dedup, url_lists, warc
+from ..session import scratch_path, ship_package
+from . import compression, decontaminate, filter_audit, language_id, near_dups, oracles, quality_rules, sentencepiece_unigram, substring_dedup, suffix_dedup, token_codes, url_lists, warc
 from .common import fold
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -19,6 +19,7 @@ SQL: dict[str, str] = {
     "op7_suffix_dedup": oracles.OP7,
     "op9_url_lists": oracles.OP9,
     "op10_minhash_near_dups": oracles.OP10,
+    "op11_filter_audit": oracles.OP11,
 }
 
 
@@ -120,3 +121,17 @@ def op9_url_lists(spark: SparkSession, folder: str) -> DataFrame:
     return found.select(
         F.col("id").alias("page_id"), F.date_format("day", "yyyy-MM-dd").alias("fetched"), "host", "n_active", "active_key", "category", "listed"
     )
+
+
+@query
+def op11_filter_audit(spark: SparkSession, folder: str) -> DataFrame:
+    """Five filters in all 120 orders over all documents, by language."""
+    return filter_audit.audit(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+@query
+def op12_token_codes(spark: SparkSession, folder: str) -> DataFrame:
+    """All documents as token ids through files of directly addressable codes, read back."""
+    path = scratch_path(spark, "token-codes")
+    token_codes.write_tokens(table(spark, folder, "documents"), path, token_codes.default_model(), end_id=2)
+    return token_codes.read_documents(spark, path)

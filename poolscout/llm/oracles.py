@@ -101,3 +101,29 @@ reach(a, b) AS (SELECT doc_id, doc_id FROM d UNION SELECT reach.a, edge.v FROM r
 low AS (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY 1)
 SELECT doc_id, coalesce(n.n, 0) AS n_shingles, component_id, doc_id = component_id AS kept FROM d JOIN low USING (doc_id) LEFT JOIN n USING (doc_id)
 """
+
+#: Masks by bit: A 1, B 2, C 4, D 8, E 16. Subsets of filters before a step come from the letters that stand before it.
+OP11 = f"""
+WITH d AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '{WORD}') AS w FROM documents),
+s AS (SELECT doc_id, part, len(w) AS n, len(list_distinct(w)) AS u, len(t) AS c, len(t) - len(regexp_replace(t, '[A-Z]', '', 'g')) AS caps,
+             regexp_matches(t, '[#$%&*|]') AS sym, min(doc_id) OVER (PARTITION BY t) AS o FROM d),
+m AS (SELECT part, CASE WHEN n < 100 THEN 1 ELSE 0 END + CASE WHEN 100 * u < 80 * n THEN 2 ELSE 0 END + CASE WHEN 100 * caps > 10 * c THEN 4 ELSE 0 END
+             + CASE WHEN sym THEN 8 ELSE 0 END + CASE WHEN o < doc_id THEN 16 ELSE 0 END AS mask,
+             coalesce(quality = 1, false) AS good, coalesce(toxic = 1, false) AS bad FROM s LEFT JOIN labels USING (doc_id)),
+cell AS (SELECT part, mask, count(*) AS n, count(*) FILTER (WHERE good) AS g, count(*) FILTER (WHERE bad) AS x FROM m GROUP BY 1, 2),
+l(c, b) AS (VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)),
+o AS (SELECT concat(p.c, q.c, r.c, s.c, t.c) AS filter_order FROM l p, l q, l r, l s, l t WHERE p.b + q.b + r.b + s.b + t.b = 31 AND p.b <> q.b AND p.b <> r.b AND p.b <> s.b
+             AND p.b <> t.b AND q.b <> r.b AND q.b <> s.b AND q.b <> t.b AND r.b <> s.b AND r.b <> t.b AND s.b <> t.b),
+st AS (SELECT filter_order, k AS step, (SELECT b FROM l WHERE c = substr(filter_order, k, 1)) AS bit,
+              CAST(coalesce((SELECT sum(b) FROM l WHERE strpos(substr(filter_order, 1, k - 1), c) > 0), 0) AS INTEGER) AS before FROM o, (SELECT CAST(unnest(range(1, 6)) AS INTEGER) AS k)),
+x AS (SELECT part, filter_order, step, bit,
+             CAST(sum(CASE WHEN mask & (before | bit) = 0 THEN n ELSE 0 END) AS BIGINT) AS kept,
+             CAST(sum(CASE WHEN mask & before = 0 AND mask & bit > 0 THEN n ELSE 0 END) AS BIGINT) AS removed,
+             CAST(sum(CASE WHEN mask & before > 0 AND mask & bit > 0 THEN n ELSE 0 END) AS BIGINT) AS redundant,
+             CAST(sum(CASE WHEN mask = bit THEN n ELSE 0 END) AS BIGINT) AS unique_fails,
+             CAST(sum(CASE WHEN mask & before = 0 AND mask & bit > 0 THEN g ELSE 0 END) AS BIGINT) AS good_lost,
+             CAST(sum(CASE WHEN mask & before = 0 AND mask & bit > 0 THEN x ELSE 0 END) AS BIGINT) AS toxic_lost
+      FROM cell, st GROUP BY ALL)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+       CAST(sum(removed) OVER (PARTITION BY part, bit) AS BIGINT) AS shapley FROM x
+"""
