@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch_path, ship_package
-from . import compression, decontaminate, filter_audit, language_id, near_dups, oracles, quality_rules, sentencepiece_unigram, substring_dedup, suffix_dedup, token_codes, url_lists, warc
+from . import compression, decontaminate, filter_audit, language_id, near_dups, oracles, quality_rules, sentencepiece_unigram, substring_dedup, suffix_dedup, token_codes, url_lists, vector_codes, warc
 from .common import fold
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -20,6 +20,7 @@ SQL: dict[str, str] = {
     "op9_url_lists": oracles.OP9,
     "op10_minhash_near_dups": oracles.OP10,
     "op11_filter_audit": oracles.OP11,
+    "op13_vector_codes": oracles.OP13,
 }
 
 
@@ -135,3 +136,9 @@ def op12_token_codes(spark: SparkSession, folder: str) -> DataFrame:
     path = scratch_path(spark, "token-codes")
     token_codes.write_tokens(table(spark, folder, "documents"), path, token_codes.default_model(), end_id=2)
     return token_codes.read_documents(spark, path)
+
+
+@query
+def op13_vector_codes(spark: SparkSession, folder: str) -> DataFrame:
+    """Codes of all embeddings: 8 parts, 16 entries, 6 rounds."""
+    return vector_codes.compress(table(spark, folder, "embeddings"))

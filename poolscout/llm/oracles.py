@@ -127,3 +127,29 @@ x AS (SELECT part, filter_order, step, bit,
 SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
        CAST(sum(removed) OVER (PARTITION BY part, bit) AS BIGINT) AS shapley FROM x
 """
+
+
+def _op13(parts: int = 8, entries: int = 16, rounds: int = 6) -> str:
+    """The rounds one after another; vectors are taken to be equally long, in a multiple of the parts."""
+    text = f"""
+WITH v AS MATERIALIZED (SELECT row_number() OVER (ORDER BY vec_id, embedding) AS r, vec_id, label, list_transform(embedding, lambda x: CAST(floor(4096 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+             FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+x AS MATERIALIZED (SELECT r, p, v[p * len(v) // {parts} + 1 : (p + 1) * len(v) // {parts}] AS s FROM v, (SELECT unnest(range({parts})) AS p)),
+b0 AS MATERIALIZED (SELECT p, r - 1 AS e, s AS c FROM x WHERE r <= {entries})"""
+    for i in range(rounds + 1):
+        text += f""",
+d{i} AS (SELECT r, x.p, e, s, list_sum(list_transform(list_zip(s, c), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS q FROM x JOIN b{i} b ON b.p = x.p),
+a{i} AS MATERIALIZED (SELECT r, p, any_value(s) AS s, arg_min(e, CAST(q AS HUGEINT) * {entries} + e) AS e, min(q) AS q FROM d{i} GROUP BY r, p)"""
+        if i < rounds:
+            text += f""",
+m{i} AS (SELECT p, e, i, sum(y) AS t, count(*) AS n FROM (SELECT p, e, unnest(s) AS y, unnest(range(len(s))) AS i FROM a{i}) GROUP BY ALL),
+n{i} AS (SELECT p, e, list(CAST((t - (t % n + n) % n) // n AS BIGINT) ORDER BY i) AS c FROM m{i} GROUP BY p, e),
+b{i + 1} AS MATERIALIZED (SELECT b.p, b.e, coalesce(n.c, b.c) AS c FROM b{i} b LEFT JOIN n{i} n ON n.p = b.p AND n.e = b.e)"""
+    return text + f""",
+row AS (SELECT r, string_agg(printf('%02x', e), '' ORDER BY p) AS code, CAST(sum(q) AS BIGINT) AS error FROM a{rounds} GROUP BY r),
+book AS (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY p, e)) AS codebooks_sha256 FROM b{rounds})
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM v JOIN row USING (r), book
+"""
+
+
+OP13 = _op13()

@@ -6,7 +6,9 @@ import pytest
 from poolscout.llm import catalog
 
 SF = "/root/testdata/sf0.01"
-TABLE = {name: "pages" if name.startswith(("op1_", "op9_")) else "documents" for name in catalog.QUERIES}
+TABLE = {name: "pages" if name.startswith(("op1_", "op9_")) else "embeddings" if name.startswith("op13_") else "documents" for name in catalog.QUERIES}
+#: Rows per part instead of rows per document.
+BY_PART = {"op11_filter_audit": "SELECT 600 * count(DISTINCT coalesce(lang, '')) FROM documents"}
 
 
 def plain(rows):
@@ -14,17 +16,18 @@ def plain(rows):
 
 
 def test_one_query_for_each_operator():
-    assert sorted(int(n[2:].split("_")[0]) for n in catalog.QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in catalog.QUERIES) == list(range(1, 14))
 
 
 @pytest.mark.parametrize("name", sorted(catalog.QUERIES))
 def test_query(spark, name):
     frame = catalog.QUERIES[name](spark, SF)
     rows = [tuple(r) for r in frame.collect()]
-    assert len(rows) == spark.read.parquet(f"{SF}/{TABLE[name]}.parquet").count()
-    if name in catalog.SQL:
-        with duckdb.connect() as duck:
-            duck.execute(f"CREATE VIEW {TABLE[name]} AS SELECT * FROM '{SF}/{TABLE[name]}.parquet'")
+    with duckdb.connect() as duck:
+        for table in {TABLE[name], "labels"}:
+            duck.execute(f"CREATE VIEW {table} AS SELECT * FROM '{SF}/{table}.parquet'")
+        assert len(rows) == duck.execute(BY_PART.get(name, f"SELECT count(*) FROM {TABLE[name]}")).fetchone()[0]
+        if name in catalog.SQL:
             found = duck.execute(catalog.SQL[name])
             names = [d[0] for d in found.description]
             assert sorted(names) == sorted(frame.columns)
