@@ -3,8 +3,8 @@
 A vector is cut into equal parts, and each part position has a codebook that Lloyd rounds improve. Between rounds every part keeps its
 entry, the ``b`` next closest entries with ordered lower bounds of their distances, and one outer bound for all entries beyond. When entries
 move, the bounds shrink by their movements; each bound also holds for what stands behind it. A part whose exact distance lies below its first bound keeps its
-entry. Otherwise only the entries whose bound it reaches are looked at, in integers, and all of them only if it reaches the outer bound. ``b`` follows
-how many entries the uncertain parts needed.
+entry. Otherwise only the entries whose bound it reaches are looked at, in integers, and all of them only if it reaches the outer bound. ``b`` is
+lowered to what would have cost least in the round before.
 
 A round is one pass over a written table with the rows' integers and bounds. Tasks add up what goes to each entry, Spark adds the tasks' sums, and the driver
 holds nothing but the codebooks.
@@ -37,8 +37,8 @@ class Options:
     #: Entries with bounds of their own: at first, and at least.
     bounds: int = 4
     least_bounds: int = 1
-    #: Share of the uncertain parts that may need a look at all entries when ``b`` is lowered.
-    beyond: float = 0.02
+    #: What it costs to keep a bound of a part for a round, in distances.
+    kept_cost: float = 0.25
 
 
 def _matrix(column, kind) -> np.ndarray:
@@ -98,9 +98,15 @@ def ranked(squares: np.ndarray, b: int) -> tuple[np.ndarray, np.ndarray, np.ndar
     return order[:, 0].astype(np.uint8), near.astype(np.uint8), _down(further)
 
 
-def moved_bounds(near: np.ndarray, low: np.ndarray, moved: np.ndarray) -> np.ndarray:
-    """The bounds after the entries moved by at most ``moved``: ordered, each holds for its entry and all behind it."""
-    shift = np.concatenate((moved[near], np.full((len(near), 1), moved.max(initial=0.0))), axis=1)
+def moved_bounds(code: np.ndarray, near: np.ndarray, low: np.ndarray, moved: np.ndarray) -> np.ndarray:
+    """The bounds after the entries moved by at most ``moved``: ordered, each holds for its entry and all behind it. The outer bound shrinks by the
+    largest movement among the entries beyond."""
+    rest, open_rows = np.zeros(len(near)), np.ones(len(near), dtype=bool)
+    for entry in np.argsort(-moved, kind="stable")[: near.shape[1] + 2]:
+        beyond = open_rows & (code != entry) & (near != entry).all(axis=1)
+        rest[beyond] = moved[entry]
+        open_rows &= ~beyond
+    shift = np.concatenate((moved[near], rest[:, None]), axis=1)
     return _down(np.minimum.accumulate((low.astype(np.float64) - shift)[:, ::-1], axis=1)[:, ::-1])
 
 
@@ -129,14 +135,13 @@ def reassign(rows: np.ndarray, book: np.ndarray, code: np.ndarray, near: np.ndar
     return code, near, low
 
 
-def next_bounds(needed: np.ndarray, options: Options) -> int:
-    """The fewest bounds that settle all but a small share of the uncertain parts."""
+def next_bounds(needed: np.ndarray, entries: int, options: Options) -> int:
+    """The number of bounds that would have cost least: the distances to the entries looked at, all of them for a part that reached beyond the bounds,
+    and the bounds kept."""
     b = len(needed) - 2
-    uncertain = needed[1:].sum()
-    for fewer in range(options.least_bounds, b):
-        if needed[fewer + 1 :].sum() <= options.beyond * uncertain:
-            return fewer
-    return b
+    looked = np.cumsum(np.arange(b + 2) * needed)
+    costs = {n: looked[n] + entries * needed[n + 1 :].sum() + options.kept_cost * n * needed.sum() for n in range(min(options.least_bounds, b), b + 1)}
+    return min(costs, key=costs.get)
 
 
 @dataclass(frozen=True)
@@ -210,7 +215,7 @@ def fit(vectors: DataFrame, options: Options = Options()) -> Model:
                     if moved is None:
                         code[:, p], near[:, p], low[:, p] = ranked(distances(own, book), b)
                     else:
-                        bounds = moved_bounds(old_near[:, p], old_low[:, p], moved[p])
+                        bounds = moved_bounds(old_code[:, p], old_near[:, p], old_low[:, p], moved[p])
                         code[:, p], now_near, now_low = reassign(own, book, old_code[:, p], old_near[:, p], bounds, needed)
                         near[:, p], low[:, p] = now_near[:, :b], now_low[:, : b + 1]
                     error += _to_own(own, book, code[:, p])
@@ -253,7 +258,7 @@ def fit(vectors: DataFrame, options: Options = Options()) -> Model:
         if (following == books).all():
             break  # further rounds would give the same
         moved = np.nextafter(np.sqrt(((following - books).astype(np.float64) ** 2).sum(2)), np.inf)
-        before, b = b, b if turn == 0 else min(b, next_bounds(needed, options))
+        before, b = b, b if turn == 0 else next_bounds(needed, k, options)
         books = following
     return Model(table.select("vec_id", "label", "code", "error"), books, work)
 

@@ -85,13 +85,13 @@ def test_large_components(spark):
 
 
 def test_bounds_spare_work_and_adapt(spark):
-    rows = vectors(4, 3000, 32, kinds=40)
+    rows = vectors(4, 3000, 64, kinds=5)
     model = vector_codes.fit(spark.createDataFrame(rows, SCHEMA), Options())
     later = model.work[1:]
     parts = 8 * len(rows)
     assert all(needed.sum() == parts for _, needed in later)
     looked = [sum(m * c for m, c in enumerate(needed[:-1])) + 15 * needed[-1] for _, needed in later]
-    assert looked[-1] < 0.5 * 15 * parts and looked[-1] < looked[0]
+    assert looked[-1] < 0.3 * 15 * parts and looked[-1] < looked[0]
     widths = [b for b, _ in model.work]
     assert widths == sorted(widths, reverse=True) and widths[-1] < widths[0]
 
@@ -107,7 +107,7 @@ def test_bounds_never_miss_the_nearest(b):
         following = book + rng.integers(-6, 7, book.shape) // (1 + turn // 3)
         moved = np.nextafter(np.sqrt(((following - book) ** 2).sum(1).astype(np.float64)), np.inf)
         book = following
-        code, near, low = vector_codes.reassign(rows, book, code, near, vector_codes.moved_bounds(near, low, moved), needed)
+        code, near, low = vector_codes.reassign(rows, book, code, near, vector_codes.moved_bounds(code, near, low, moved), needed)
         squares = vector_codes.distances(rows, book)
         assert code.tolist() == np.argmin(squares, axis=1).tolist()
         true = np.sqrt(np.take_along_axis(squares, near.astype(np.int64), 1))
