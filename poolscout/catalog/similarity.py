@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from ..functions import fingerprint as fp
 from ..operators import graph, similarity
+from ..operators.density import density_clusters
+from ..operators.neighbours import distinct_sets, neighbour_pairs as pairs_within
 from ..session import spread_few_splits
 from .registry import query, r6
 
@@ -197,6 +199,73 @@ def leader_cluster_classes(t):
     return similarity.cluster_classes(similarity.assign_to_leaders(_parts(t), _leaders(t), LENGTH))
 
 
+# --- neighbours among all items ---------------------------------------------------------------------------------------
+
+NEAR, NEAR_ITEMS = 0.5, 6
+#: Shared bits of all pairs of distinct sets, counted by a join on the bit.
+PAIRS_SQL = """
+sets AS (SELECT min(id) AS id, bits, count(*) AS members FROM items GROUP BY bits),
+posted AS (SELECT id, len(bits) AS n, unnest(bits) AS bit FROM sets),
+pairs AS (SELECT x.id AS a, y.id AS b, count(*) / CAST(any_value(x.n) + any_value(y.n) - count(*) AS DOUBLE) AS similarity
+          FROM posted x JOIN posted y ON x.bit = y.bit AND x.id < y.id GROUP BY x.id, y.id HAVING similarity >= {floor!r} :: DOUBLE)
+"""
+DOCUMENT_SETS_SQL = (
+    "items AS (SELECT doc_id AS id, list_sort(list_distinct(list_transform(regexp_extract_all(text, '[^ \\t\\n\\r]+'), "
+    f"lambda x: CAST(concat('0x', substr(md5(x), 1, 7)) AS BIGINT) % {LENGTH}))) AS bits FROM documents WHERE regexp_matches(text, '[^ \\t\\n\\r]'))"
+)
+
+
+def _document_sets(t):
+    return _texts(t).select("id", fp.fingerprint(F.col("text"), "rdkit", 0, LENGTH).alias("bits"))
+
+
+@query("J9", f"WITH {WORDS_SQL}, {PAIRS_SQL.format(floor=1 - NEAR)} SELECT a, b, round(similarity, 6) AS similarity FROM pairs")
+def neighbour_pairs(t):
+    """All pairs of different word sets of parts within the distance."""
+    found = pairs_within(distinct_sets(_parts(t)), LENGTH, NEAR)
+    return found.select("a", "b", r6("similarity").alias("similarity"))
+
+
+@query("J9", f"WITH {DOCUMENT_SETS_SQL}, {PAIRS_SQL.format(floor=1 - 0.4)} SELECT a, b, round(similarity, 6) AS similarity FROM pairs")
+def document_neighbour_pairs(t):
+    """All pairs of different word sets of whole documents; common words are in a third of them and more."""
+    found = pairs_within(distinct_sets(_document_sets(t)), LENGTH, 0.4)
+    return found.select("a", "b", r6("similarity").alias("similarity"))
+
+
+def _density_sql(items: str, floor: float, least: int) -> str:
+    return f"""
+    WITH RECURSIVE {items}, {PAIRS_SQL.format(floor=floor)},
+    around AS (SELECT a, b FROM pairs UNION ALL SELECT b, a FROM pairs),
+    near AS (SELECT a, sum(members) AS n FROM around JOIN sets ON sets.id = b GROUP BY a),
+    counted AS (SELECT id, len(bits) > 0 AND members + coalesce(n, 0) >= {least} AS core FROM sets LEFT JOIN near ON a = id),
+    links AS (SELECT a, b FROM around JOIN counted x ON x.id = a AND x.core JOIN counted y ON y.id = b AND y.core),
+    reach(id, other) AS (SELECT id, id FROM counted WHERE core UNION SELECT reach.id, links.b FROM reach JOIN links ON links.a = reach.other),
+    named AS (SELECT id, min(other) AS cluster_id FROM reach GROUP BY id),
+    border AS (SELECT a AS id, arg_min(cluster_id, b) AS cluster_id FROM around JOIN named ON named.id = b GROUP BY a)
+    SELECT items.id, coalesce(named.cluster_id, border.cluster_id) AS cluster_id, core FROM items JOIN sets USING (bits) JOIN counted ON counted.id = sets.id
+    LEFT JOIN named ON named.id = sets.id LEFT JOIN border ON border.id = sets.id
+    """
+
+
+@query("C2", _density_sql(WORDS_SQL, 1 - NEAR, NEAR_ITEMS))
+def density_clusters_of_parts(t):
+    return density_clusters(_parts(t), LENGTH, NEAR, NEAR_ITEMS)
+
+
+@query("C2", _density_sql(DOCUMENT_SETS_SQL, 1 - 0.4, 3))
+def density_clusters_of_documents(t):
+    """Near copies gather in clusters; most documents are noise."""
+    return density_clusters(_document_sets(t), LENGTH, 0.4, 3)
+
+
+@query("C3", f"{LEADERS_SQL} SELECT id, len(bits) AS n_bits FROM leaders")
+def leaders_by_rounds(t):
+    """The same leaders as in id order, decided in rounds on the graph of neighbours."""
+    found = similarity.pick_leaders(_parts(t), LENGTH, 0.65, method="rounds")
+    return found.select("id", F.size("bits").cast("long").alias("n_bits"))
+
+
 # --- graphs: one per order, a node for the order and one per part it lists ---------------------------------------------
 
 

@@ -14,11 +14,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut
+from .neighbours import greedy_independent, neighbour_pairs
+from .ordered import top_n
 
 #: Leaders held by one task at a time: a block of 4096 x 2048 floats is 32 MB.
 BLOCK = 4096
 #: Map stages chained before the lineage is cut.
 CHAIN = 16
+#: Blocks of distinct items up to which leaders are settled block by block.
+MOST_BLOCKS = 64
 
 
 def _matrix(bits, length: int) -> np.ndarray:
@@ -58,17 +62,26 @@ def _settle(length: int, floor: float):
 
 
 def pick_leaders(
-    items: DataFrame, length: int, max_distance: float = 0.65, max_picks: int | None = None, block: int = BLOCK
+    items: DataFrame, length: int, max_distance: float = 0.65, max_picks: int | None = None, block: int = BLOCK, method: str = "auto"
 ) -> DataFrame:
     """Sphere exclusion in id order: an item is a leader unless an earlier leader lies within ``max_distance``.
 
-    Each round settles the ``block`` smallest open ids among themselves and then removes, in one map pass, every open
+    ``rounds`` finds all pairs within the distance and lets every item decide once its smaller neighbours have; the number of rounds grows with the logarithm of the
+    items in a random order of ids. ``blocks`` needs no pairs, but a round for each ``block`` leaders. ``auto`` takes blocks up to ``MOST_BLOCKS`` blocks of
+    distinct items, and beyond it, if no number of picks ends it early, rounds. All give the same leaders.
+
+    Each round of blocks settles the ``block`` smallest open ids among themselves and then removes, in one map pass, every open
     item near the new leaders. That equals the one-by-one pass, because all smaller ids are settled before. Returns
     ``(id, bits)`` of the leaders.
     """
     spark = items.sparkSession
     floor = 1.0 - max_distance
+    if method not in ("auto", "rounds", "blocks"):
+        raise ValueError(f"unknown method {method!r}")
     open_items = cut(items.filter(F.col("bits").isNotNull()).groupBy("bits").agg(F.min("id").alias("id")).select("id", "bits"))
+    if method == "rounds" or method == "auto" and max_picks is None and open_items.count() > MOST_BLOCKS * block:
+        chosen = greedy_independent(open_items, neighbour_pairs(open_items, length, max_distance))
+        return top_n(open_items.join(chosen, "id"), max_picks, [F.col("id")]) if max_picks is not None else open_items.join(chosen, "id")
     picked: DataFrame | None = None
     n_picked = 0
     while True:
