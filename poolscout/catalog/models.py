@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..config import RunConfig
 from ..functions.fingerprint import dense_bits, fingerprint, has_tokens
 from ..operators.clusters import cluster_pool
+from ..operators.minibatch import MiniBatch, assign_clusters, fit_minibatch
 from ..operators.objectives import lookup_objective
 from ..plans import curves
 from ..plans.explore import Exploration, sweep
@@ -99,10 +100,14 @@ ONE_FEATURE = (
 LINE = "line AS (SELECT regr_intercept(y, x) AS a, regr_slope(y, x) AS b FROM train)"
 
 
-def _one_feature(t: Tables, model, mean_only: bool = False) -> DataFrame:
-    rows = t.lineitem.groupBy(F.col("l_orderkey").alias("id")).agg(
+def _orders_as_rows(t: Tables) -> DataFrame:
+    return t.lineitem.groupBy(F.col("l_orderkey").alias("id")).agg(
         F.array(F.sum("l_quantity").cast("double")).alias("features"), (F.sum("l_extendedprice").cast("double") / 1000).alias("score")
     )
+
+
+def _one_feature(t: Tables, model, mean_only: bool = False) -> DataFrame:
+    rows = _orders_as_rows(t)
     return model.fit(rows).predict(rows.select("id", "features"), mean_only).select("id", F.round("y_mean", 4).alias("y_mean"), F.round("y_var", 4).alias("y_var"))
 
 
@@ -181,6 +186,32 @@ def feature_clusters(t):
     return cluster_pool(vector_pool(t), 10).groupBy("cluster_id").agg(F.count(F.lit(1)).alias("n"))
 
 
+def _minibatch_sql(rounds: int, size: int, seed: int = 42) -> str:
+    """Two centres in one dimension; a batch is the share of an epoch that the hash of the id gives it."""
+    text = (
+        f"WITH {ONE_FEATURE}, n AS (SELECT count(*) AS n, greatest(1, count(*) // {size}) AS per FROM train), "
+        f"start AS (SELECT row_number() OVER (ORDER BY {uniform_sql('id', seed)}, id) AS i, x FROM train QUALIFY i <= 2), "
+        "c0 AS MATERIALIZED (SELECT max(CASE WHEN i = 1 THEN x END) AS p, max(CASE WHEN i = 2 THEN x END) AS q, 0.0 :: DOUBLE AS np, 0.0 :: DOUBLE AS nq FROM start)"
+    )
+    for t in range(rounds):
+        epoch = " ".join(f"WHEN {t} // per = {e} THEN CAST(floor({uniform_sql('id', seed + 1 + e)} * per) AS BIGINT)" for e in range(t + 1))
+        text += (
+            f", b{t} AS (SELECT x, (x - p) * (x - p) <= (x - q) * (x - q) AS on_p FROM train, n, c{t} WHERE CASE {epoch} END = {t} % per), "
+            f"s{t} AS (SELECT coalesce(sum(x) FILTER (WHERE on_p), 0) AS sp, coalesce(sum(x) FILTER (WHERE NOT on_p), 0) AS sq, "
+            f"CAST(count(*) FILTER (WHERE on_p) AS DOUBLE) AS mp, CAST(count(*) FILTER (WHERE NOT on_p) AS DOUBLE) AS mq FROM b{t}), "
+            f"c{t + 1} AS MATERIALIZED (SELECT p + CASE WHEN mp > 0 THEN (sp - mp * p) / (np + mp) ELSE 0 END AS p, q + CASE WHEN mq > 0 THEN (sq - mq * q) / (nq + mq) ELSE 0 END AS q, "
+            f"np + mp AS np, nq + mq AS nq FROM c{t}, s{t})"
+        )
+    return text + f" SELECT id, CASE WHEN (x - p) * (x - p) <= (x - q) * (x - q) THEN 0 ELSE 1 END AS cluster_id FROM train, c{rounds}"
+
+
+@query("C1", _minibatch_sql(6, 500))
+def single_feature_minibatch(t):
+    """Six batches of about 500 orders, two centres."""
+    rows = _orders_as_rows(t).select("id", "features")
+    return assign_clusters(rows, fit_minibatch(rows, 2, MiniBatch(500, 6, starts=0))).select("id", "cluster_id")
+
+
 @query("C2")
 def feature_clusters_bisecting(t):
     return cluster_pool(vector_pool(t), 10, "bisecting").groupBy("cluster_id").agg(F.count(F.lit(1)).alias("n"))

@@ -7,12 +7,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..surrogate.base import vectors
+from .minibatch import assign_clusters, fit_minibatch
 
-METHODS = {"kmeans": KMeans, "minibatch": KMeans, "bisecting": BisectingKMeans}
+METHODS = {"kmeans": KMeans, "bisecting": BisectingKMeans}
 
 
 def cluster_pool(pool: DataFrame, n_clusters: int = 100, method: str = "minibatch", seed: int = 42) -> DataFrame:
-    """Add ``cluster_id`` from the array column ``features``. Spark's k-means reads all rows, so it needs no batches."""
+    """Add ``cluster_id`` from the array column ``features``. ``kmeans`` and ``bisecting`` read all rows in every round, ``minibatch`` small draws of them."""
+    if method == "minibatch":
+        return assign_clusters(pool, fit_minibatch(pool, n_clusters, seed=seed))
     if method not in METHODS:
         raise ValueError(f"unknown method {method!r}")
     rows = pool.withColumn("_vector", vectors(F.col("features")))
