@@ -83,6 +83,26 @@ def dropout_predictions(t):
     return _predict(t, make_surrogate("nn", "dropout"))
 
 
+@query("M3 M8")
+def network_predictions(t):
+    return _predict(t, make_surrogate("network"), mean_only=True)
+
+
+@query("M4")
+def network_ensemble_predictions(t):
+    return _predict(t, make_surrogate("network", "ensemble"))
+
+
+@query("M5")
+def network_mean_variance_predictions(t):
+    return _predict(t, make_surrogate("network", "mve"))
+
+
+@query("M6")
+def network_dropout_predictions(t):
+    return _predict(t, make_surrogate("network", "dropout"))
+
+
 @query(
     "M7",
     f"SELECT vec_id AS id, round({uniform_sql('vec_id', 1)}, 6) AS y_mean, round({uniform_sql('vec_id', 2)}, 6) AS y_var FROM embeddings",
@@ -117,6 +137,20 @@ def single_feature_regression(t):
     return _one_feature(t, make_surrogate("nn", reg=0.0), mean_only=True).drop("y_var")
 
 
+@query("M3 M8", f"WITH {ONE_FEATURE}, {LINE} SELECT id, round(a + b * x, 4) AS y_mean FROM train, line")
+def single_unit_network(t):
+    """One hidden unit without a bend can give any line, and the solved last layer gives the best."""
+    return _one_feature(t, make_surrogate("network", hidden=(1,), activation="linear", epochs=5), mean_only=True).drop("y_var")
+
+
+@query("M5", f"WITH {ONE_FEATURE} SELECT id, round(mu, 4) AS y_mean, round(v, 4) AS y_var FROM train, (SELECT avg(y) AS mu, var_pop(y) AS v FROM train)")
+def constant_feature_network(t):
+    """Of rows that look alike the two outputs are mean and variance."""
+    rows = _orders_as_rows(t).withColumn("features", F.array(F.lit(1.0)))
+    model = make_surrogate("network", "mve", hidden=(4,), held_out=0.0, epochs=5).fit(rows)
+    return model.predict(rows.select("id", "features"), False).select("id", F.round("y_mean", 4).alias("y_mean"), F.round("y_var", 4).alias("y_var"))
+
+
 @query(
     "M2",
     f"""
