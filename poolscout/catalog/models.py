@@ -17,6 +17,7 @@ from ..plans.explore import Exploration, sweep
 from ..session import cut, scratch_path, spread_few_splits
 from ..surrogate.ensembles import LOG_CHI_MEAN
 from ..surrogate.factory import make_surrogate
+from ..surrogate.linear import NOISES, PRIORS
 from .registry import Tables, preds, query, r6, uniform_sql
 
 
@@ -168,7 +169,29 @@ def constant_feature_network(t):
 )
 def single_feature_process(t):
     """The posterior of a Gaussian process with a dot kernel is that of two weights."""
-    return _one_feature(t, make_surrogate("gp"))
+    return _one_feature(t, make_surrogate("gp", evidence=False))
+
+
+@query(
+    "M2",
+    f"""
+    WITH {ONE_FEATURE}, scale AS (SELECT avg(y) AS mu, stddev_pop(y) AS sd FROM train),
+    s AS (SELECT CAST(count(*) AS DOUBLE) AS n, sum(x) AS sx, sum(x * x) AS sxx, sum((y - mu) / sd) AS sy, sum(x * (y - mu) / sd) AS sxy,
+                 sum(((y - mu) / sd) * ((y - mu) / sd)) AS syy FROM train, scale),
+    g AS (SELECT pow(2.0, i) AS p, pow(2.0, j) AS v FROM (SELECT unnest(range({PRIORS[0]}, {PRIORS[1] + 1})) AS i), (SELECT unnest(range({NOISES[0]}, {NOISES[1] + 1})) AS j)),
+    a AS (SELECT *, n / v + 1 / p AS b11, sx / v AS b12, sxx / v + 1 / p AS b22 FROM s, g),
+    b AS (SELECT *, b11 * b22 - b12 * b12 AS det FROM a),
+    f AS (SELECT *, (b22 * sy - b12 * sxy) / det / v AS w0, (b11 * sxy - b12 * sy) / det / v AS w1 FROM b),
+    e AS (SELECT *, -0.5 * (n * ln(2 * pi() * v) + ln(det * p * p) + greatest(syy - w0 * sy - w1 * sxy, 0) / v) AS evidence FROM f),
+    c AS (SELECT * FROM e ORDER BY evidence DESC LIMIT 1)
+    SELECT id, round((w0 + w1 * x) * sd + mu, 4) AS y_mean, round((b22 - 2 * b12 * x + b11 * x * x) / det * sd * sd, 4) AS y_var, p AS prior, v AS noise FROM train, scale, c
+    """,
+)
+def single_feature_process_by_evidence(t):
+    """Prior variance and noise are the powers of two of most evidence, which SQL finds by trying all of them."""
+    model = make_surrogate("gp", refine=0)
+    found = _one_feature(t, model)
+    return found.withColumns({"prior": F.lit(model.chosen["prior"]), "noise": F.lit(model.chosen["noise"])})
 
 
 def _ensemble_sql(members: int = 5, seed: int = 42) -> str:

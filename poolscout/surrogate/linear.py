@@ -1,13 +1,14 @@
 """Bayesian linear regression: the Gaussian process with a dot kernel, and others through random features.
 
 Only the solved weights and the factor of their covariance reach the driver; their size depends on the number of features and
-not on the number of rows.
+not on the number of rows. Prior variance, noise and length scale are those of most evidence: the summed products are taken apart into eigenvalues once,
+and then the evidence of any prior and noise is a sum over the eigenvalues, without another look at the rows.
 """
 
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -21,7 +22,10 @@ from .base import Surrogate, no_variance
 MAX_FEATURES = 8192
 #: Tasks that add up feature products; each gives one triangle.
 PARTIAL_SUMS = 512
-SOLVED = "row int, weight double, factor array<double>"
+SOLVED = "row int, weight double, factor binary"
+CHOSEN = "prior double, noise double, evidence double, scale double"
+#: Exponents of two between which the prior variance of a weight and the noise (as a share of the variance of the targets) are sought.
+PRIORS, NOISES = (-20, 20), (-20, 2)
 
 
 def _random_features(kernel: str, dims: int, count: int, scale: float, seed: int) -> tuple[np.ndarray, np.ndarray]:
@@ -34,15 +38,44 @@ def _random_features(kernel: str, dims: int, count: int, scale: float, seed: int
     return freq, rng.uniform(0.0, 2.0 * np.pi, size=count)
 
 
-def _posterior(gram: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Mean of the weights under a unit prior, and the inverse Cholesky factor M of their precision, so that M'M is their
-    covariance; the noise is that of the least-squares residuals."""
+def residual_noise(gram: np.ndarray, n: int) -> float:
+    """The noise of the least-squares residuals."""
     xx, xy, yy = gram[:-1, :-1], gram[:-1, -1], gram[-1, -1]
     d = len(xx)
     ridge = np.linalg.solve(xx + np.eye(d) * 1e-3, xy)
     residual = max(float(yy - 2 * ridge @ xy + ridge @ xx @ ridge), 0.0)
-    noise = max(residual / max(n - d, 1), 1e-6)
-    factor = np.linalg.solve(np.linalg.cholesky(xx / noise + np.eye(d)), np.eye(d))
+    return max(residual / max(n - d, 1), 1e-6)
+
+
+def log_evidence(values: np.ndarray, parts: np.ndarray, yy: float, n: int, prior: np.ndarray, noise: np.ndarray) -> np.ndarray:
+    """Log evidence of the targets for each prior variance and noise (arrays of one shape). ``values`` are the eigenvalues of the features' products and
+    ``parts`` the products with the targets along their vectors."""
+    p, v = np.asarray(prior, float)[..., None], np.asarray(noise, float)[..., None]
+    fit = yy - (parts**2 * p / (v + p * values)).sum(-1)
+    return -0.5 * (n * np.log(2 * np.pi * v[..., 0]) + np.log1p(p * values / v).sum(-1) + np.maximum(fit, 0.0) / v[..., 0])
+
+
+def best_evidence(gram: np.ndarray, n: int, refine: int) -> tuple[float, float, float]:
+    """Prior variance, noise and log evidence of the best powers of two, moved by half steps ``refine`` times."""
+    values, vectors = np.linalg.eigh(gram[:-1, :-1])
+    values, parts, yy = np.maximum(values, 0.0), vectors.T @ gram[:-1, -1], float(gram[-1, -1])
+    p, v = (np.arange(lo, hi + 1, dtype=float) for lo, hi in (PRIORS, NOISES))
+    p, v, step = np.repeat(p, len(v)), np.tile(v, len(p)), 1.0
+    for turn in range(refine + 1):
+        found = np.concatenate([log_evidence(values, parts, yy, n, 2.0 ** p[i : i + 64], 2.0 ** v[i : i + 64]) for i in range(0, len(p), 64)])
+        best = int(found.argmax())
+        chosen = (float(2.0 ** p[best]), float(2.0 ** v[best]), float(found[best]))
+        step /= 2
+        around = np.array([-step, 0.0, step])
+        p, v = p[best] + np.repeat(around, 3), v[best] + np.tile(around, 3)
+    return chosen
+
+
+def _posterior(gram: np.ndarray, prior: float, noise: float) -> tuple[np.ndarray, np.ndarray]:
+    """Mean of the weights, and the inverse Cholesky factor M of their precision, so that M'M is their covariance."""
+    xx, xy = gram[:-1, :-1], gram[:-1, -1]
+    d = len(xx)
+    factor = np.linalg.solve(np.linalg.cholesky(xx / noise + np.eye(d) / prior), np.eye(d))
     return factor.T @ (factor @ xy) / noise, factor
 
 
@@ -50,27 +83,33 @@ class GaussianProcessSurrogate(Surrogate):
     """Kernels ``dot`` (also ``dotproduct``), ``rbf`` and ``matern``. Targets are standardised.
 
     Every task adds up the products of its own rows, the partial sums are added on the JVM side, and one task solves
-    the system, whose size is the number of features.
+    the system, whose size is the number of features. With ``evidence`` prior, noise and, of ``scale`` as a sequence, the length scale are those of most
+    evidence, found to ``refine`` halvings of a power of two; all scales are summed in the same pass. Without it the prior variance is 1, the noise is that of
+    the least-squares residuals, and ``scale`` is one number.
     """
 
     provides = frozenset({"means", "vars"})
 
-    def __init__(self, kernel: str = "dot", random_features: int = 256, scale: float = 1.0, seed: int = 42):
+    def __init__(self, kernel: str = "dot", random_features: int = 256, scale: float | Sequence[float] = (0.25, 0.5, 1.0, 2.0, 4.0), seed: int = 42, evidence: bool = True, refine: int = 6):
         kernel = "dot" if kernel == "dotproduct" else kernel
         if kernel not in ("dot", "rbf", "matern"):
             raise ValueError(f"unknown kernel {kernel!r}")
-        self.kernel, self.count, self.scale, self.seed = kernel, random_features, scale, seed
+        scales = [float(scale)] if isinstance(scale, (int, float)) else [float(x) for x in scale]
+        self.scales = scales if kernel != "dot" and evidence else [scales[0] if len(scales) == 1 else 1.0]
+        self.kernel, self.count, self.scale, self.seed, self.evidence, self.refine = kernel, random_features, self.scales[0], seed, evidence, refine
+        #: Prior variance, noise and log evidence of the last fit.
+        self.chosen: dict[str, float] = {}
         self.weights: np.ndarray | None = None
         self.factor: np.ndarray | None = None
         self.dims = 0
         self.mu = 0.0
         self.sd = 1.0
 
-    def _expand(self):
+    def _expand(self, scale: float | None = None):
         """Function from raw feature rows to the rows of the linear model, with a constant in front."""
         if self.kernel == "dot":
             return lambda x: np.hstack([np.ones((len(x), 1)), x])
-        freq, phase = _random_features(self.kernel, self.dims, self.count, self.scale, self.seed)
+        freq, phase = _random_features(self.kernel, self.dims, self.count, self.scale if scale is None else scale, self.seed)
         factor = np.sqrt(2.0 / self.count)
         return lambda x: np.hstack([np.ones((len(x), 1)), factor * np.cos(x @ freq + phase)])
 
@@ -84,34 +123,44 @@ class GaussianProcessSurrogate(Surrogate):
         self.mu, self.sd, self.dims = stats["mu"], stats["sd"] or 1.0, stats["dims"]
         if self.dims > MAX_FEATURES:
             raise ValueError(f"at most {MAX_FEATURES} features, got {self.dims}")
-        expand, mu, sd = self._expand(), self.mu, self.sd
+        expands, mu, sd = [self._expand(x) for x in self.scales], self.mu, self.sd
 
         def partial_products(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            total = None
+            totals = [0.0] * len(expands)
             for frame in frames:
-                x = expand(np.vstack(frame["features"].to_numpy()).astype(float))
+                x = np.vstack(frame["features"].to_numpy()).astype(float)
                 y = (frame["score"].to_numpy()[:, None] - mu) / sd
-                both = np.hstack([x, y])
-                total = both.T @ both if total is None else total + both.T @ both
-            if total is not None:  # the products are symmetric: each row from its diagonal on
-                yield pd.DataFrame({"row": np.arange(len(total)), "products": [total[i, i:] for i in range(len(total))]})
+                for i, expand in enumerate(expands):
+                    both = np.hstack([expand(x), y])
+                    totals[i] = totals[i] + both.T @ both
+            for i, total in enumerate(totals):  # the products are symmetric: each row from its diagonal on
+                if not np.isscalar(total):
+                    yield pd.DataFrame({"scale": i, "row": np.arange(len(total)), "products": [total[j, j:] for j in range(len(total))]})
 
-        schema = "row int, products array<double>"
         # a bounded number of partial sums: beyond it a task adds up several splits before anything moves
-        products = rows.select("features", "score").coalesce(PARTIAL_SUMS).mapInPandas(partial_products, schema)
+        products = rows.select("features", "score").coalesce(PARTIAL_SUMS).mapInPandas(partial_products, "scale int, row int, products array<double>")
         total = Summarizer.sum(array_to_vector("products"))
-        n = stats["n"]
+        n, scales, by_evidence, refine = stats["n"], self.scales, self.evidence, self.refine
 
         def solve(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            sums = pd.concat(list(frames)).sort_values("row")
-            upper = np.zeros((len(sums), len(sums)))
-            for i, row in enumerate(sums["products"]):
-                upper[i, i:] = row
-            weights, factor = _posterior(upper + np.triu(upper, 1).T, n)
-            yield pd.DataFrame({"row": np.arange(len(weights)), "weight": weights, "factor": [factor[i, : i + 1] for i in range(len(factor))]})
-
-        summed = products.groupBy("row").agg(vector_to_array(total).alias("products"))
-        solved = summed.coalesce(1).mapInPandas(solve, SOLVED).collect()
+            best = None
+            for i, sums in pd.concat(list(frames)).sort_values(["scale", "row"]).groupby("scale"):
+                upper = np.zeros((len(sums), len(sums)))
+                for j, row in enumerate(sums["products"]):
+                    upper[j, j:] = row
+                gram = upper + np.triu(upper, 1).T
+                found = best_evidence(gram, n, refine) if by_evidence else (1.0, residual_noise(gram, n), 0.0)
+                if best is None or found[2] > best[0][2]:
+                    best = (found, gram, scales[i])
+            (prior, noise, value), gram, scale = best
+            weights, factor = _posterior(gram, prior, noise)
+            lines = [factor[i, : i + 1].tobytes() for i in range(len(factor))]
+            yield pd.DataFrame({"row": np.arange(len(weights)), "weight": weights, "factor": lines, "prior": prior, "noise": noise, "evidence": value, "scale": scale})
+
+        summed = products.groupBy("scale", "row").agg(vector_to_array(total).alias("products"))
+        solved = summed.coalesce(1).mapInPandas(solve, f"{SOLVED}, {CHOSEN}").collect()
+        self.chosen = {k: solved[0][k] for k in ("prior", "noise", "evidence")}
+        self.scale = solved[0]["scale"]
         self._keep(solved)
         return self
 
@@ -120,7 +169,7 @@ class GaussianProcessSurrogate(Surrogate):
         self.weights = np.array([r["weight"] for r in rows])
         self.factor = np.zeros((len(rows), len(rows)))
         for i, r in enumerate(rows):
-            self.factor[i, : i + 1] = r["factor"]
+            self.factor[i, : i + 1] = np.frombuffer(r["factor"])
 
     def predict(self, pool: DataFrame, mean_only: bool = True) -> DataFrame:
         expand, mu, sd, w = self._expand(), self.mu, self.sd, self.weights
@@ -143,9 +192,9 @@ class GaussianProcessSurrogate(Surrogate):
         from pyspark.sql import SparkSession
 
         spark = SparkSession.getActiveSession()
-        rows = [(i, float(w), self.factor[i, : i + 1].tolist()) for i, w in enumerate(self.weights)]
+        rows = [(i, float(w), self.factor[i, : i + 1].tobytes()) for i, w in enumerate(self.weights)]
         spark.createDataFrame(rows, SOLVED).write.mode("overwrite").parquet(f"{path}/rows")
-        state = json.dumps({"mu": self.mu, "sd": self.sd, "dims": self.dims, "kernel": self.kernel, "count": self.count, "scale": self.scale, "seed": self.seed})
+        state = json.dumps({"mu": self.mu, "sd": self.sd, "dims": self.dims, "kernel": self.kernel, "count": self.count, "scale": self.scale, "seed": self.seed, "chosen": self.chosen})
         spark.createDataFrame([(state,)], "state STRING").coalesce(1).write.mode("overwrite").parquet(f"{path}/state")
 
     def load(self, path: str) -> "GaussianProcessSurrogate":
@@ -154,6 +203,6 @@ class GaussianProcessSurrogate(Surrogate):
         spark = SparkSession.getActiveSession()
         state = json.loads(spark.read.parquet(f"{path}/state").first()["state"])
         self.mu, self.sd, self.dims, self.kernel = state["mu"], state["sd"], state["dims"], state["kernel"]
-        self.count, self.scale, self.seed = state["count"], state["scale"], state["seed"]
+        self.count, self.scale, self.seed, self.chosen = state["count"], state["scale"], state["seed"], state["chosen"]
         self._keep(spark.read.parquet(f"{path}/rows").collect())
         return self
