@@ -352,11 +352,34 @@ def arm_t_statistics(t):
     return table.select("target", r6("t").alias("t"), "freedom")
 
 
-@query("A20")
+_ODD, _COS = "freedom % 2 = 1", "(1.0 / (1.0 + t * t / freedom))"
+_POWERS = (
+    f"list_sum(list_transform(range(0, greatest(CAST((freedom - CASE WHEN {_ODD} THEN 3 ELSE 2 END) // 2 AS BIGINT), 0) + 1), lambda k: coalesce(list_product("
+    f"list_transform(range(1, k + 1), lambda j: {_COS} * CASE WHEN {_ODD} THEN 2.0 * j / (2.0 * j + 1) ELSE (2.0 * j - 1) / (2.0 * j) END)), 1.0)))"
+)
+STUDENT_SQL = (
+    f"(0.5 + 0.5 * CASE WHEN freedom = 1 THEN atan(t) * 2 / pi() WHEN {_ODD} THEN (atan(t / sqrt(freedom)) + t / sqrt(freedom) * {_COS} * {_POWERS}) * 2 / pi() "
+    f"ELSE t / sqrt(freedom) * sqrt({_COS}) * {_POWERS} END)"
+)
+
+
+@query(
+    "A20",
+    f"""
+    WITH {TRIAL_SQL},
+    s AS (SELECT target, avg(f_scores) FILTER (arm = 'full') AS mf, var_samp(f_scores) FILTER (arm = 'full') AS vf, count(*) FILTER (arm = 'full') AS nf,
+                 avg(f_scores) FILTER (arm = 'prune') AS mp, var_samp(f_scores) FILTER (arm = 'prune') AS vp, count(*) FILTER (arm = 'prune') AS np
+          FROM by_run GROUP BY 1),
+    v AS (SELECT target, (mp - mf) / nullif(sqrt((vp * (np - 1) + vf * (nf - 1)) / (np + nf - 2) * (1.0 / np + 1.0 / nf)), 0) AS t, np + nf - 2 AS freedom FROM s),
+    p AS (SELECT target, {STUDENT_SQL} AS p FROM v)
+    SELECT target, round(p, 6) AS p, round(p * (SELECT count(DISTINCT target) FROM trials), 6) AS p_adjusted FROM p
+    """,
+    ("trials",),
+)
 def arm_p_values(t):
     """One-sided p values, multiplied by the number of targets."""
     table = rewards.arm_tests(_trial_rewards(t).withColumnRenamed("f_scores", "value"), "full", "prune")
-    p = table.withColumn("p", stats.one_sided_p(F.col("t"), F.col("freedom").cast("double")))
+    p = table.withColumn("p", stats.one_sided_p(F.col("t"), F.col("freedom")))
     targets = trials(t).agg(F.countDistinct("target").alias("n")).scalar()
     return p.select("target", r6("p").alias("p"), r6(F.col("p") * targets).alias("p_adjusted"))
 

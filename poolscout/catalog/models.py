@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from dataclasses import replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -341,16 +342,85 @@ def parameter_sweep(t):
     return table.select("trial", F.element_at("params", "beta").alias("beta"), r6("top_k_avg").alias("top_k_avg"))
 
 
-#: Three batches of random acquisition; ``u`` is the utility by which each was drawn.
-RANDOM_RUN = f"""
-pool AS (SELECT o_orderkey AS id, o_totalprice / 1000 AS y FROM orders), size AS (SELECT count(*) AS n FROM pool),
-    b0 AS (SELECT id, y, {uniform_sql('id', 42)} AS u FROM pool ORDER BY {uniform_sql('id', 42)} DESC, id DESC LIMIT (SELECT CAST(ceil(CAST(0.01 AS DOUBLE) * n) AS BIGINT) FROM size)),
-    b1 AS (SELECT id, y, {uniform_sql('id', 43)} AS u FROM pool WHERE id NOT IN (SELECT id FROM b0) ORDER BY {uniform_sql('id', 43)} DESC, id DESC LIMIT (SELECT CAST(ceil(CAST(0.01 AS DOUBLE) * n) AS BIGINT) FROM size)),
-    b2 AS (SELECT id, y, {uniform_sql('id', 44)} AS u FROM pool WHERE id NOT IN (SELECT id FROM b0) AND id NOT IN (SELECT id FROM b1) ORDER BY {uniform_sql('id', 44)} DESC, id DESC LIMIT (SELECT CAST(ceil(CAST(0.01 AS DOUBLE) * n) AS BIGINT) FROM size)),
+def _random_run_sql(pool: str, share: float, seed: int = 42) -> str:
+    """Three batches of random acquisition from ``pool(id, y)``; ``u`` is the utility by which each was drawn."""
+    size = f"(SELECT CAST(ceil(CAST({share} AS DOUBLE) * n) AS BIGINT) FROM size)"
+    draw = [uniform_sql("id", seed + i) for i in range(3)]
+    return f"""
+pool AS ({pool}), size AS (SELECT count(*) AS n FROM pool),
+    b0 AS (SELECT id, y, {draw[0]} AS u FROM pool ORDER BY {draw[0]} DESC, id DESC LIMIT {size}),
+    b1 AS (SELECT id, y, {draw[1]} AS u FROM pool WHERE id NOT IN (SELECT id FROM b0) ORDER BY {draw[1]} DESC, id DESC LIMIT {size}),
+    b2 AS (SELECT id, y, {draw[2]} AS u FROM pool WHERE id NOT IN (SELECT id FROM b0) AND id NOT IN (SELECT id FROM b1) ORDER BY {draw[2]} DESC, id DESC LIMIT {size}),
     e AS (SELECT 0 AS iter, * FROM b0 UNION ALL SELECT 1, * FROM b1 UNION ALL SELECT 2, * FROM b2)
 """
 
 
+RANDOM_RUN = _random_run_sql("SELECT o_orderkey AS id, o_totalprice / 1000 AS y FROM orders", 0.01)
+VECTOR_SCORES = (
+    "SELECT vec_id AS id, CAST(embedding[1] AS DOUBLE) * 3.0 - CAST(embedding[2] AS DOUBLE) * 2.0 + embedding[3] + embedding[4] * embedding[5] + (label - 4.5) * 0.01 AS y FROM embeddings"
+)
+VECTOR_RUN = RunConfig(metric="random", init_size=0.05, batch_sizes=(0.05,), k=20, max_iters=2, delta=-1.0)
+
+
+def _random_vector_run(t: Tables, path: str, config: RunConfig = VECTOR_RUN, resume: bool = False) -> Exploration:
+    model = make_surrogate("random", seed=config.seed)
+    return Exploration(t.spark, vector_pool(t).select("id", "features"), lookup_objective(vector_labels(t)), model, config, path, resume=resume, run_id="vectors")
+
+
+@query(
+    "S13 L9 S14",
+    f"""
+    WITH {_random_run_sql(VECTOR_SCORES, 0.05)}, it AS (SELECT unnest([0, 1, 2]) AS i)
+    SELECT CAST(i AS INTEGER) AS iter, (SELECT count(*) FROM e WHERE iter <= i) AS n_scores, round((SELECT avg(y) FROM e WHERE iter = i), 5) AS batch_mean,
+           CASE WHEN (SELECT count(*) FROM e WHERE iter <= i) >= 20 THEN round((SELECT avg(y) FROM (SELECT y FROM e WHERE iter <= i ORDER BY y DESC, id DESC LIMIT 20)), 5) END AS top_k_avg,
+           'vectors' AS run_id, 'random' AS metric, '20' AS k FROM it
+    """,
+)
+def resumed_exploration(t):
+    """A run that stops after a round and is taken up again by another object, from its log; the options come back from the log too. The rows are those of a run in one go."""
+    path = scratch_path(t.spark, "run")
+    first = _random_vector_run(t, path)
+    first.explore_initial()
+    first.explore_batch()
+    again = _random_vector_run(t, path, resume=True)
+    rows = again.run()
+    options = again.log.read_config().where("option IN ('metric', 'k')").groupBy("run_id").pivot("option", ["metric", "k"]).agg(F.first("value"))
+    rows = rows.select("iter", "n_scores", F.round("batch_mean", 5).alias("batch_mean"), F.round("top_k_avg", 5).alias("top_k_avg"))
+    return rows.join(F.broadcast(options))  # one row
+
+
+@query("M14 M3", f"WITH {ONE_FEATURE}, {LINE} SELECT id, round(a + b * x, 4) AS y_mean FROM train, line")
+def reloaded_model_predictions(t):
+    """A saved model, loaded into a new object, predicts the same line."""
+    rows, path = _orders_as_rows(t), scratch_path(t.spark, "model")
+    options = {"hidden": (1,), "activation": "linear", "epochs": 5}
+    make_surrogate("network", **options).fit(rows).save(path)
+    model = make_surrogate("network", **options).load(path)
+    return model.predict(rows.select("id", "features")).select("id", F.round("y_mean", 4).alias("y_mean"))
+
+
+SWEPT = (42, 1234)
+
+
+@query(
+    "L17 L10",
+    " UNION ALL ".join(
+        f"SELECT {i} AS trial, '{seed}' AS seed, round(v, 5) AS top_k_avg FROM (WITH {_random_run_sql(VECTOR_SCORES, 0.05, seed)} SELECT avg(y) AS v FROM (SELECT y FROM e ORDER BY y DESC, id DESC LIMIT 20))"
+        for i, seed in enumerate(SWEPT)
+    ),
+)
+def seed_sweep(t):
+    """Random runs of several seeds, compared by their final top-k average."""
+
+    def run(params, trial):
+        e = _random_vector_run(t, scratch_path(t.spark, "run"), replace(VECTOR_RUN, seed=params["seed"]))
+        e.run()
+        return e.recent_avgs[-1]
+
+    table, _ = sweep(t.spark, [{"seed": seed} for seed in SWEPT], run)
+    return table.select("trial", F.element_at("params", "seed").alias("seed"), F.round("top_k_avg", 5).alias("top_k_avg"))
+
+
 @query(
     "L1 L2 L3 L4 U2",
     f"""

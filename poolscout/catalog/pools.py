@@ -424,6 +424,29 @@ def library_with_variants(t):
     return ops.append_variants(pool, F.array(F.reverse("id"), F.upper("id")))
 
 
+def _turned_words(name: str):
+    """Names of a pattern have variants: one for each word, with that word turned round; those that end in a vowel are left out."""
+    words = name.split(" ")
+    if "e" in name:
+        for i, word in enumerate(words):
+            variant = " ".join([*words[:i], word[::-1], *words[i + 1 :]])
+            if variant[-1:] not in ("a", "e", "i", "o", "u"):
+                yield variant
+
+
+@query(
+    "U7 SO3",
+    """
+    WITH w AS (SELECT string_split(p_name, ' ') AS w FROM part WHERE contains(p_name, 'e')),
+    v AS (SELECT array_to_string(list_transform(range(1, len(w) + 1), lambda j: CASE WHEN j = i THEN reverse(w[j]) ELSE w[j] END), ' ') AS id FROM (SELECT w, unnest(range(1, len(w) + 1)) AS i FROM w))
+    SELECT id FROM (SELECT p_name AS id FROM part UNION ALL SELECT id FROM v WHERE right(id, 1) NOT IN ('a', 'e', 'i', 'o', 'u')) GROUP BY id
+    """,
+)
+def library_with_generated_variants(t):
+    """Variants from a Python generator, which may yield any number for a name."""
+    return ops.append_generated(t.part.select(F.col("p_name").alias("id")), _turned_words)
+
+
 @query("J5", "SELECT doc_id AS id, n_chars, quality AS score FROM documents JOIN labels USING (doc_id)")
 def features_with_scores(t):
     features = t.documents.select(F.col("doc_id").alias("id"), "n_chars")

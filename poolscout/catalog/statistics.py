@@ -10,6 +10,7 @@ from ..operators import metrics, stats
 from ..operators.clusters import cluster_sizes, size_histogram
 from ..operators.ordered import rank_within
 from ..plans.explore import FINAL_FRACTIONS
+from ..session import broadcast_if_small, cut, scratch_path
 from ..sources.tables import unpivot_tasks
 from ..surrogate.ensembles import member_stats
 from .registry import explored, pool_scores, preds, query, r6, trials
@@ -81,6 +82,35 @@ def error_quantiles(t):
     return rows.select("iter", *[r6(f"q{round(q * 100)}").alias(f"q{round(q * 100)}") for q in QUANTILES])
 
 
+#: Rank error that a sketch of the default size stays far below.
+SKETCH_ERROR = 0.02
+
+
+@query(
+    "A9",
+    f"WITH {ERRORS_SQL}, k AS (SELECT unnest({list(QUANTILES)}) AS q), c AS (SELECT iter, count(*) AS n FROM errors GROUP BY iter UNION ALL SELECT -1, count(*) FROM errors) "
+    "SELECT CAST(iter AS INTEGER) AS iter, CAST(q AS DOUBLE) AS q, n, true AS close FROM c, k",
+    ("preds", "explored"),
+)
+def error_quantile_sketches(t):
+    """Quantiles of the errors of every iteration and, as iteration -1, of all: the sketches of the iterations are stored and then merged, without another look at the errors.
+    ``close`` says that the exact share of errors below the estimate is off by less than ``SKETCH_ERROR``."""
+    path = scratch_path(t.spark, "sketches")
+    errors = cut(_errors(t).select("iter", "error"))
+    stats.quantile_sketches(errors, ["iter"], "error").write.parquet(path)
+    stored = t.spark.read.parquet(path)
+    merged = stats.merged_sketches(stored, []).select(F.lit(-1).alias("iter"), "sketch")
+    found = cut(stats.sketch_quantiles(stored.unionByName(merged), QUANTILES))
+    estimates = found.groupBy("iter", "n").agg(F.array_sort(F.collect_list(F.struct("q", "estimate"))).alias("at"))  # the shares asked for
+    shares = [F.struct(F.lit(q).alias("q"), F.avg((F.col("error") < F.col("at")[i]["estimate"]).cast("int")).alias("low"),
+                       F.avg((F.col("error") <= F.col("at")[i]["estimate"]).cast("int")).alias("high")) for i, q in enumerate(QUANTILES)]
+    both = errors.unionByName(errors.withColumn("iter", F.lit(-1)))
+    counted = both.join(broadcast_if_small(estimates, estimates.count()), "iter").groupBy("iter", "n").agg(F.count(F.lit(1)).alias("rows"), F.array(*shares).alias("s"))
+    rows = counted.select("iter", "n", "rows", F.inline("s"))
+    close = (F.col("rows") == F.col("n")) & (F.col("low") <= F.col("q") + SKETCH_ERROR) & (F.col("high") >= F.col("q") - SKETCH_ERROR)
+    return rows.select("iter", "q", "n", close.alias("close"))
+
+
 @query(
     "A19 A15",
     f"WITH {ERRORS_SQL} SELECT iter, round(avg(error * error), 6) AS mse, round(sqrt(avg(error * error)), 6) AS rmse, "

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 from functools import reduce
 from itertools import accumulate
 
@@ -92,6 +92,27 @@ def append_variants(pool: DataFrame, variants: Column) -> DataFrame:
     return pool.select("id").union(pool.select(F.explode(variants).alias("id"))).distinct()
 
 
+def generated_variants(pool: DataFrame, generate: Callable[[str], Iterable[str]], id_col: str = "id") -> DataFrame:
+    """``(id, variant)`` for every variant that ``generate`` yields for an identifier; an identifier may have none, and a NULL one is not asked.
+
+    The generator is a table function in a lateral join: its rows stream out as it yields them, so the variants of one identifier never are one array.
+    """
+
+    class Variants:
+        def eval(self, name: str) -> Iterator[tuple[str]]:
+            if name is not None:
+                for variant in generate(name):
+                    yield (variant,)
+
+    variants = F.udtf(Variants, returnType="variant string")
+    return pool.select(F.col(id_col).alias("id")).lateralJoin(variants(F.col("id").outer())).select("id", "variant")
+
+
+def append_generated(pool: DataFrame, generate: Callable[[str], Iterable[str]]) -> DataFrame:
+    """The pool followed by the generated variants of its identifiers, without repeats."""
+    return pool.select("id").union(generated_variants(pool, generate).select(F.col("variant").alias("id"))).distinct()
+
+
 def multiset_difference(left: DataFrame, right: DataFrame) -> DataFrame:
     """Rows of ``left`` minus rows of ``right``, counting repeats.
 
