@@ -144,7 +144,7 @@ def student_column(t: Column, freedom: Column) -> Column:
     y = a * F.log1p(tangent * tangent)
     z = F.sqrt(y) * (1.0 + (y + 3.0 + ((((-0.4 * y - 3.3) * y - 24.0) * y - 85.5) / (0.8 * y * y + 100.0 + b))) / b)
     far = phi(F.when(t < 0, -z).otherwise(z))
-    exact = F.when(share.isNotNull(), F.greatest(F.lit(0.0), 0.5 + 0.5 * share))  # a tail of nothing may come out a rounding error below it
+    exact = F.when(share.isNotNull(), F.least(F.lit(1.0), F.greatest(F.lit(0.0), 0.5 + 0.5 * share)))  # rounding may leave the bounds
     return F.when(n >= 1, F.when(n <= MOST_TERMS, exact).otherwise(far))
 
 
