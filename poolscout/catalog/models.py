@@ -195,6 +195,26 @@ def single_feature_process_by_evidence(t):
     return found.withColumns({"prior": F.lit(model.chosen["prior"]), "noise": F.lit(model.chosen["noise"])})
 
 
+@query(
+    "M1 M8",
+    """
+    WITH train AS (SELECT l_orderkey AS id, CAST(count(*) AS DOUBLE) AS x, CAST(sum(l_extendedprice) AS DOUBLE) / 1000 AS y FROM lineitem GROUP BY 1),
+    cuts AS (SELECT (x + lead(x) OVER (ORDER BY x)) / 2 AS c FROM (SELECT DISTINCT x FROM train) QUALIFY c IS NOT NULL),
+    sides AS (SELECT c, count(*) FILTER (WHERE x <= c) * var_pop(y) FILTER (WHERE x <= c) + count(*) FILTER (WHERE x > c) * var_pop(y) FILTER (WHERE x > c) AS left_over,
+              avg(y) FILTER (WHERE x <= c) AS low, avg(y) FILTER (WHERE x > c) AS high FROM train, cuts GROUP BY c),
+    best AS (SELECT * FROM sides ORDER BY left_over, c LIMIT 1)
+    SELECT id, round(CASE WHEN x <= c THEN low ELSE high END, 4) AS y_mean, 0.0 :: DOUBLE AS y_var FROM train, best
+    """,
+)
+def single_feature_forest(t):
+    """One tree of one split over the number of lines: the split that leaves least variance."""
+    rows = t.lineitem.groupBy(F.col("l_orderkey").alias("id")).agg(
+        F.array(F.count(F.lit(1)).cast("double")).alias("features"), (F.sum("l_extendedprice").cast("double") / 1000).alias("score")
+    )
+    model = make_surrogate("rf", trees=1, max_depth=1, bootstrap=False).fit(rows)
+    return model.predict(rows.select("id", "features"), False).select("id", F.round("y_mean", 4).alias("y_mean"), F.round("y_var", 4).alias("y_var"))
+
+
 def _ensemble_sql(members: int = 5, seed: int = 42) -> str:
     bounds, mass, total = [], math.exp(-1.0), 0.0
     for k in range(8):

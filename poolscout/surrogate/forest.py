@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
+import json
+
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import RandomForestRegressionModel, RandomForestRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import scratch_path
+from ..session import SMALL_ROWS, scratch_path
 from .base import Surrogate, no_variance, vectors
 
 SPARK_MAX_DEPTH = 30
+#: Training rows for one task, while they are few.
+TASK_ROWS = 250
+#: Bins of a feature. A level costs a histogram of every feature for each open node of all trees, however few rows a node has, so the time goes with the bins.
+BINS = 16
 
 
 class ForestSurrogate(Surrogate):
@@ -20,18 +24,23 @@ class ForestSurrogate(Surrogate):
 
     provides = frozenset({"means", "vars"})
 
-    def __init__(self, trees: int = 100, max_depth: int | None = 8, min_leaf: int = 1, seed: int = 42):
-        self.trees, self.min_leaf, self.seed = trees, min_leaf, seed
+    def __init__(self, trees: int = 100, max_depth: int | None = 8, min_leaf: int = 1, seed: int = 42, bootstrap: bool = True, max_bins: int = BINS):
+        self.max_bins = max_bins
+        self.trees, self.min_leaf, self.seed, self.bootstrap = trees, min_leaf, seed, bootstrap
         if max_depth is not None and max_depth > SPARK_MAX_DEPTH:
             raise ValueError(f"Spark's trees end at depth {SPARK_MAX_DEPTH}, got {max_depth}")
         self.max_depth = SPARK_MAX_DEPTH if max_depth is None else max_depth
         self.model: RandomForestRegressionModel | None = None
 
     def fit(self, rows: DataFrame) -> "ForestSurrogate":
+        n = rows.count()
+        if n <= SMALL_ROWS:  # a bootstrap goes by place, so places follow the ids
+            tasks = max(1, min(rows.sparkSession.sparkContext.defaultParallelism, -(-n // TASK_ROWS)))
+            rows = rows.repartition(tasks, "id").sortWithinPartitions("id")
         data = rows.select(vectors(F.col("features")).alias("vector"), F.col("score").alias("label"))
         forest = RandomForestRegressor(
             featuresCol="vector", labelCol="label", numTrees=self.trees, maxDepth=self.max_depth,
-            minInstancesPerNode=self.min_leaf, featureSubsetStrategy="all", seed=self.seed, leafCol="leaves",
+            minInstancesPerNode=self.min_leaf, featureSubsetStrategy="all", seed=self.seed, leafCol="leaves", bootstrap=self.bootstrap, maxBins=self.max_bins,
         )
         self.model = forest.fit(data)
         return self
@@ -54,22 +63,15 @@ class ForestSurrogate(Surrogate):
         scored = self.model.transform(pool.withColumn("vector", vectors(F.col("features"))))
         if mean_only:
             return scored.select(*pool.columns, F.col("prediction").alias("y_mean"), no_variance())
-        values = self._leaf_values(pool)
-        table = np.full((self.trees, max(len(v) for v in values)), np.nan)
-        for t, leaf_values in enumerate(values):
-            table[t, : len(leaf_values)] = leaf_values
-        shared = pool.sparkSession.sparkContext.broadcast(table)
-
-        @F.pandas_udf("y_mean double, y_var double")
-        def spread(leaves: pd.Series) -> pd.DataFrame:
-            if not len(leaves):
-                return pd.DataFrame({"y_mean": [], "y_var": []}, dtype="float64")
-            index = np.vstack(leaves.to_numpy()).astype(np.int64)
-            members = shared.value[np.arange(index.shape[1])[None, :], index]
-            return pd.DataFrame({"y_mean": members.mean(axis=1), "y_var": members.var(axis=1)})
-
-        stats = scored.withColumn("_p", spread(vector_to_array("leaves")))
-        return stats.select(*pool.columns, F.col("_p.y_mean").alias("y_mean"), F.col("_p.y_var").alias("y_var"))
+        # a constant of the plan: its size is fixed by trees and depth
+        table = F.from_json(F.lit(json.dumps(self._leaf_values(pool))), "array<array<double>>")
+        members = F.zip_with(vector_to_array("leaves"), table, lambda leaf, values: values[leaf.cast("int")])
+        scored = scored.withColumn("_members", members)
+        total = F.aggregate("_members", F.lit(0.0), lambda acc, x: acc + x)
+        scored = scored.withColumn("_mean", total / float(self.trees))
+        # deviations, as the difference of large squares would be noise
+        var = F.aggregate("_members", F.lit(0.0), lambda acc, x: acc + (x - F.col("_mean")) * (x - F.col("_mean"))) / float(self.trees)
+        return scored.select(*pool.columns, F.col("_mean").alias("y_mean"), var.alias("y_var"))
 
     def save(self, path: str) -> None:
         self.model.write().overwrite().save(path)
