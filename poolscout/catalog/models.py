@@ -60,6 +60,12 @@ def process_predictions_matern(t):
     return _predict(t, make_surrogate("gp", kernel="matern"))
 
 
+@query("M2")
+def process_predictions_by_evidence(t):
+    """Length scale, prior and noise of most evidence."""
+    return _predict(t, make_surrogate("gp", kernel="rbf", evidence=True))
+
+
 @query("M3 M8")
 def regressor_predictions(t):
     return _predict(t, make_surrogate("nn"), mean_only=True)
@@ -170,7 +176,7 @@ def constant_feature_network(t):
 )
 def single_feature_process(t):
     """The posterior of a Gaussian process with a dot kernel is that of two weights."""
-    return _one_feature(t, make_surrogate("gp", evidence=False))
+    return _one_feature(t, make_surrogate("gp"))
 
 
 @query(
@@ -190,7 +196,7 @@ def single_feature_process(t):
 )
 def single_feature_process_by_evidence(t):
     """Prior variance and noise are the powers of two of most evidence, which SQL finds by trying all of them."""
-    model = make_surrogate("gp", refine=0)
+    model = make_surrogate("gp", evidence=True, refine=0)
     found = _one_feature(t, model)
     return found.withColumns({"prior": F.lit(model.chosen["prior"]), "noise": F.lit(model.chosen["noise"])})
 

@@ -26,6 +26,8 @@ SOLVED = "row int, weight double, factor binary"
 CHOSEN = "prior double, noise double, evidence double, scale double"
 #: Exponents of two between which the prior variance of a weight and the noise (as a share of the variance of the targets) are sought.
 PRIORS, NOISES = (-20, 20), (-20, 2)
+#: Length scales that are tried if none are given.
+SCALES = (0.25, 0.5, 1.0, 2.0, 4.0)
 
 
 def _random_features(kernel: str, dims: int, count: int, scale: float, seed: int) -> tuple[np.ndarray, np.ndarray]:
@@ -84,16 +86,18 @@ class GaussianProcessSurrogate(Surrogate):
 
     Every task adds up the products of its own rows, the partial sums are added on the JVM side, and one task solves
     the system, whose size is the number of features. With ``evidence`` prior, noise and, of ``scale`` as a sequence, the length scale are those of most
-    evidence, found to ``refine`` halvings of a power of two; all scales are summed in the same pass. Without it the prior variance is 1, the noise is that of
+    evidence, found to ``refine`` halvings of a power of two; all scales (``SCALES``, if none are given) are summed in the same pass. Without it the prior variance is 1, the noise is that of
     the least-squares residuals, and ``scale`` is one number.
     """
 
     provides = frozenset({"means", "vars"})
 
-    def __init__(self, kernel: str = "dot", random_features: int = 256, scale: float | Sequence[float] = (0.25, 0.5, 1.0, 2.0, 4.0), seed: int = 42, evidence: bool = True, refine: int = 6):
+    def __init__(self, kernel: str = "dot", random_features: int = 256, scale: float | Sequence[float] | None = None, seed: int = 42, evidence: bool = False, refine: int = 6):
         kernel = "dot" if kernel == "dotproduct" else kernel
         if kernel not in ("dot", "rbf", "matern"):
             raise ValueError(f"unknown kernel {kernel!r}")
+        if scale is None:
+            scale = SCALES if evidence else 1.0
         scales = [float(scale)] if isinstance(scale, (int, float)) else [float(x) for x in scale]
         self.scales = scales if kernel != "dot" and evidence else [scales[0] if len(scales) == 1 else 1.0]
         self.kernel, self.count, self.scale, self.seed, self.evidence, self.refine = kernel, random_features, self.scales[0], seed, evidence, refine

@@ -44,7 +44,7 @@ def test_the_length_scale_follows_the_data(spark):
         y = np.sin(speed * x) + 0.05 * rng.standard_normal(600)
         rows = spark.createDataFrame([(i, [float(a)], float(b)) for i, (a, b) in enumerate(zip(x, y))], SCHEMA)
         train, rest = rows.where("id % 4 <> 0"), rows.where("id % 4 = 0")
-        model = make_surrogate("gp", kernel="rbf").fit(train)
+        model = make_surrogate("gp", kernel="rbf", evidence=True).fit(train)
         fixed = make_surrogate("gp", kernel="rbf", scale=1.0, evidence=False).fit(train)
         chosen[name] = model.scale
         got = [np.array([(r["y_mean"] - r["score"]) ** 2 for r in m.predict(rest).collect()]).mean() for m in (model, fixed)]
@@ -55,8 +55,8 @@ def test_the_length_scale_follows_the_data(spark):
 
 def test_a_saved_process_knows_what_was_chosen(spark, tmp_path):
     rows = spark.createDataFrame([(i, [float(i % 7), float(i % 3)], float(i % 7)) for i in range(60)], SCHEMA)
-    model = make_surrogate("gp", kernel="matern").fit(rows)
+    model = make_surrogate("gp", kernel="matern", evidence=True).fit(rows)
     model.save(str(tmp_path / "gp"))
-    again = make_surrogate("gp", kernel="matern").load(str(tmp_path / "gp"))
+    again = make_surrogate("gp", kernel="matern", evidence=True).load(str(tmp_path / "gp"))
     assert again.chosen == model.chosen and again.scale == model.scale
     assert [tuple(r) for r in again.predict(rows, False).collect()] == [tuple(r) for r in model.predict(rows, False).collect()]
