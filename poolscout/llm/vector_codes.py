@@ -258,7 +258,7 @@ def fit(vectors: DataFrame, options: Options = Options()) -> Model:
         if (following == books).all():
             break  # further rounds would give the same
         moved = np.nextafter(np.sqrt(((following - books).astype(np.float64) ** 2).sum(2)), np.inf)
-        before, b = b, b if turn == 0 else next_bounds(needed, k, options)
+        before, b = b, b if turn == 0 else min(b, next_bounds(needed, k, options))  # a bound that was dropped is not known any more
         books = following
     return Model(table.select("vec_id", "label", "code", "error"), books, work)
 

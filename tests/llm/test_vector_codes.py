@@ -96,6 +96,13 @@ def test_bounds_spare_work_and_adapt(spark):
     assert widths == sorted(widths, reverse=True) and widths[-1] < widths[0]
 
 
+def test_fewer_bounds_in_one_round_than_the_next_would_like(spark, monkeypatch):
+    wishes = iter([3, 2, 4, 1, 3, 2])
+    monkeypatch.setattr(vector_codes, "next_bounds", lambda *_: next(wishes))
+    rows = vectors(6, 400, 16, kinds=30)
+    assert rows_of(vector_codes.compress(spark.createDataFrame(rows, SCHEMA))) == by_hand(rows)
+
+
 @pytest.mark.parametrize("b", [1, 3, 7, 15])
 def test_bounds_never_miss_the_nearest(b):
     rng = np.random.default_rng(b)
