@@ -103,11 +103,12 @@ def part_of(d: np.ndarray, parts: int) -> np.ndarray:
     return (tk.mix(d.view(np.uint64), 51) % np.uint64(parts)).astype(np.int32)
 
 
-def send(a: np.ndarray, b: np.ndarray | None, d: np.ndarray, buckets: int, later: bool) -> pa.RecordBatch:
+def send(a: np.ndarray, b: np.ndarray | None, d: np.ndarray, buckets: int, later: bool, wire: Callable[[np.ndarray], np.ndarray] = lambda a: a) -> pa.RecordBatch:
     """Rows of the first exchange for the entries (key ``a`` or ``(a, b)``, document ``d``) of one slice.
 
     What the slice settles on its own is passed on to the document's part; of each key one entry, that of the least document,
-    goes to the key's bucket. A key that a third of all documents hold is so one entry per slice.
+    goes to the key's bucket. A key that a third of all documents hold is so one entry per slice. Keys travel as ``wire`` makes
+    them; what the slice settles and the bucket follow the whole key.
     """
     hit, first = hits(a, b, d, later)
     columns: list[list] = [[], [], [], [], []]
@@ -118,7 +119,7 @@ def send(a: np.ndarray, b: np.ndarray | None, d: np.ndarray, buckets: int, later
                 some = at[some]
                 columns[0].append(name)
                 columns[1].append(passed)
-                columns[2].append(a[some].tobytes())
+                columns[2].append(wire(a[some]).tobytes())
                 columns[3].append(b"" if b is None or passed else b[some].tobytes())
                 columns[4].append(pack(d[some]))
     kinds = (pa.int32(), pa.bool_(), pa.binary(), pa.binary(), pa.binary())
@@ -187,7 +188,8 @@ def settle(sent: DataFrame, buckets: int, later: bool, kind: type) -> DataFrame:
 
 
 def short(keys: np.ndarray) -> np.ndarray:
-    """32 bits of a key: enough in a bucket of about a million, as a false hit only costs a look at the next level."""
+    """32 bits of a key, independent of its bucket. A bucket holds about a million keys however much text there is, so two
+    different ones agree in one of some 5000 cases, and a false hit only costs a look at the next level."""
     return (tk.mix(keys, 53) >> np.uint64(32)).astype(np.uint32)
 
 
@@ -200,10 +202,10 @@ def shared_minima(texts: DataFrame, units: Callable[[pa.Array], tuple[np.ndarray
         first, _ = runs_of(least, inside)
         if not len(first):
             return None
-        keys, docs = short(least[first]), batch.column(0).to_numpy()[owner_of(bounds, first)]
+        keys, docs = least[first], batch.column(0).to_numpy()[owner_of(bounds, first)]
         # a document's repeats of its own are one entry
         _, some = np.unique(tk.mix(keys ^ tk.mix(docs.view(np.uint64), 54), 55), return_index=True)
-        return send(keys[some], None, docs[some], buckets, later=False)
+        return send(keys[some], None, docs[some], buckets, later=False, wire=short)
 
     return settle(map_slices(texts.select("doc_id", "text"), step, ASK), buckets, later=False, kind=np.uint32)
 
