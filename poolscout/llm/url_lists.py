@@ -44,35 +44,48 @@ def path_of(url: str | Column) -> Column:
     return F.regexp_extract(F.lower(column), r"^[a-z][a-z0-9+.-]*://[^/?#]*(/[^?#]*)", 1)
 
 
-def url_keys(url: str | Column) -> Column:
-    """Every key that can list the URL: its host, the domains above it of two labels or more, and the host with each leading path."""
+def url_keys(url: str | Column, labels: int | None = None, steps: int | None = None) -> Column:
+    """Every key that can list the URL: its host, the domains above it of two labels or more, and the host with each leading path.
+
+    With ``labels`` and ``steps`` only the domains of at most so many labels and the paths of at most so many steps: a list without
+    longer ones can't be met by others, and the keys of a very long URL stay few.
+    """
     host = host_of(url)
-    labels = F.split(host, r"\.")
-    count = F.size(labels)
-    above = F.when(count > 2, F.transform(F.sequence(F.lit(2), count - 1), lambda k: F.array_join(F.slice(labels, k, count), ".")))
-    steps = F.filter(F.split(path_of(url), "/"), lambda s: s != "")
+    parts = F.split(host, r"\.")
+    count = F.size(parts)
+    low = F.lit(2) if labels is None else F.greatest(F.lit(2), count + F.lit(1 - labels))
+    above = F.when(low < count, F.transform(F.sequence(low, count - 1), lambda k: F.array_join(F.slice(parts, k, count), ".")))
+    path = F.filter(F.split(path_of(url), "/"), lambda s: s != "")
+    path = path if steps is None else F.slice(path, 1, max(1, steps))
     paths = F.when(
-        F.size(steps) > 0,
-        F.transform(F.sequence(F.lit(1), F.size(steps)), lambda k: F.concat(host, F.lit("/"), F.array_join(F.slice(steps, F.lit(1), k), "/"))),
+        F.size(path) > 0,
+        F.transform(F.sequence(F.lit(1), F.size(path)), lambda k: F.concat(host, F.lit("/"), F.array_join(F.slice(path, F.lit(1), k), "/"))),
     )
     empty = F.array().cast("array<string>")
     return F.when(host.isNotNull(), F.array_distinct(F.concat(F.array(host), F.coalesce(above, empty), F.coalesce(paths, empty))))
 
 
 def judge(captures: DataFrame, valid: DataFrame, id_col: str, url_col: str, day_col: str, salts: int = 16) -> DataFrame:
-    """One row per capture: ``(id, host, n_active, active_key, category, listed)``.
+    """One row per row of ``captures``: ``(id, day, host, n_active, active_key, category, listed)``.
 
     ``n_active`` counts the entries that are active for any key on the capture's day; the reported entry is the most specific one
-    (longest key, then the smaller key and category). A capture without URL, host or day has no active entry.
+    (longest key, then the smaller key and category). A capture without URL, host or day has no active entry. Repeated rows, and
+    rows without an id, are captures like any other.
 
-    Rows with the same id, URL and day are one capture. Captures of a host that holds a third of the table are spread over
-    ``salts`` parts, to which the list rows are copied; the list is never broadcast by hand.
+    Each URL and day is judged once and the verdict joined back, so a capture that is repeated in a third of the table is one row
+    per task in the aggregate and meets a single row in the join. Captures of a host that holds a third of the table are spread
+    over ``salts`` parts, to which the list rows are copied; the list is never broadcast by hand. Two numbers of the list, its
+    deepest domain and path, come to the driver and bound the keys of a URL.
     """
     rows = captures.select(
         captures[id_col].alias("id"), captures[url_col].cast("string").alias("url"), captures[day_col].cast("date").alias("day")
-    )
-    keyed = rows.select("*", host_of("url").alias("host"), F.explode_outer(url_keys("url")).alias("key"))
-    keyed = keyed.withColumn("salt", F.pmod(F.xxhash64("id", "day"), F.lit(salts)).cast("int"))
+    ).withColumn("host", host_of("url"))
+    depth = valid.select(
+        F.size(F.split(F.element_at(F.split("key", "/"), 1), r"\.")).alias("labels"), (F.size(F.split("key", "/")) - 1).alias("steps")
+    ).agg(F.max("labels").alias("labels"), F.max("steps").alias("steps")).first()
+    asked = rows.where("host IS NOT NULL AND day IS NOT NULL").select("url", "day").distinct()
+    keyed = asked.select("*", F.explode(url_keys("url", depth["labels"] or 0, depth["steps"] or 0)).alias("key"))
+    keyed = keyed.withColumn("salt", F.pmod(F.xxhash64("url", "day"), F.lit(salts)).cast("int"))
     copies = valid.select(
         F.col("key").alias("active"), "category", "valid_from", "valid_to", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("part")
     )
@@ -82,19 +95,14 @@ def judge(captures: DataFrame, valid: DataFrame, id_col: str, url_col: str, day_
         & (copies["valid_from"] <= keyed["day"])
         & (keyed["day"] < copies["valid_to"])
     )
-    hits = keyed.join(copies, on, "left").select("id", "url", "day", "host", "active", "category")
-    entry = F.when(F.col("active").isNotNull(), F.struct((-F.length("active")).alias("l"), "active", "category"))
+    entry = F.struct((-F.length("active")).alias("l"), "active", "category")
     # a capture has few keys, so its set of active entries is short
-    return (
-        hits.groupBy("id", "url", "day", "host")
-        .agg(F.size(F.collect_set(entry)).cast("long").alias("n_active"), F.min(entry).alias("best"))
-        .select(
-            "id",
-            "day",
-            "host",
-            "n_active",
-            F.col("best.active").alias("active_key"),
-            F.col("best.category").alias("category"),
-            (F.col("n_active") > 0).alias("listed"),
-        )
+    verdicts = (
+        keyed.join(copies, on)
+        .groupBy("url", "day")
+        .agg(F.size(F.collect_set(entry)).cast("long").alias("n"), F.min(entry).alias("best"))
+    )
+    n = F.coalesce("n", F.lit(0).cast("long"))
+    return rows.join(verdicts, ["url", "day"], "left").select(
+        "id", "day", "host", n.alias("n_active"), F.col("best.active").alias("active_key"), F.col("best.category").alias("category"), (n > 0).alias("listed")
     )
