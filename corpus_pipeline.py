@@ -50,7 +50,8 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates, that of the least id; of rows that share an id one stays."""
+    """One document of each group of near duplicates, that of the least id; of rows that share an id and are one group the text
+    that is least stays."""
     docs = _columns(docs)
     found = _settled(spark, "near", lambda: near_dups.near_duplicates(docs).groupBy("doc_id").agg(F.bool_or("kept").alias("kept"), F.count("*").alias("n")))
     gone = _settled(spark, "gone", lambda: found.where("NOT kept").select("doc_id"))
@@ -58,7 +59,8 @@ def one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     rest = docs.join(gone, "doc_id", "left_anti")
     # rows of one id move together; the others stay where they are
     once = rest.join(several, "doc_id", "left_anti")
-    return once.union(rest.join(several, "doc_id", "left_semi").dropDuplicates(["doc_id"])).select(*COLUMNS)
+    least = rest.join(several, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct(F.col("text").isNull().alias("no_text"), *COLUMNS[1:])).alias("row"))
+    return once.union(least.select("doc_id", "row.*")).select(*COLUMNS)
 
 
 def without_repeated_text(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -129,7 +129,7 @@ def _sets(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _linked(pairs: DataFrame, held: DataFrame, options: NearDups) -> DataFrame:
-    """The candidate pairs ``(a, b)`` that pass the sequential test and whose full sets are similar enough."""
+    """The candidate pairs ``(a, tag_a, b, tag_b)`` that pass the sequential test and whose full sets are similar enough."""
     values, stops = options.bands * options.rows, stop_counts(options)
 
     def run(batches):
@@ -142,13 +142,13 @@ def _linked(pairs: DataFrame, held: DataFrame, options: NearDups) -> DataFrame:
             kept = [i for i in survivors(left, right, here, here, stops).tolist() if _alike(x[x_at[i] : x_at[i + 1]], y[y_at[i] : y_at[i + 1]], options.percent)]
             yield batch.select([0, 1]).take(pa.array(kept, pa.int64()))
 
-    sides = [held.select(F.col("rep").alias(k), F.col("sig").alias(f"sig_{k}"), F.col("hashes").alias(f"set_{k}")) for k in ("a", "b")]
-    both = pairs.join(sides[0], "a").join(sides[1], "b").select("a", "b", "sig_a", "sig_b", "set_a", "set_b")
+    sides = [held.select(F.col("rep").alias(k), F.col("tag").alias(f"tag_{k}"), F.col("sig").alias(f"sig_{k}"), F.col("hashes").alias(f"set_{k}")) for k in ("a", "b")]
+    both = pairs.join(sides[0], ["a", "tag_a"]).join(sides[1], ["b", "tag_b"]).select("a", "b", "sig_a", "sig_b", "set_a", "set_b")
     return both.mapInArrow(run, "a long, b long")
 
 
 def _crossing(members: DataFrame, held: DataFrame, options: NearDups) -> DataFrame:
-    """Of the buckets ``(band_key, rep, root)`` that still hold several components, the links between these.
+    """Of the buckets ``(band_key, rep, tag, root)`` that still hold several components, the links between these.
 
     A bucket is dealt out in blocks, each pair of blocks to a group of its own, so that no group exceeds twice the block. A group
     takes all pairs between components through the sequential test and verifies what passes. It gives out a link only if it joins
@@ -158,10 +158,10 @@ def _crossing(members: DataFrame, held: DataFrame, options: NearDups) -> DataFra
     open_keys = members.groupBy("band_key").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count("*").alias("m")).where("r0 <> r1")
     blocks = F.ceil(F.col("m") / options.block).cast("int")
     rows = members.join(open_keys.select("band_key", blocks.alias("blocks")), "band_key")
-    own = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
+    own = F.pmod(F.xxhash64("rep", "tag"), F.col("blocks")).cast("int")
     rows = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("band_key", "rep", "root", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
-    rows = rows.join(held, "rep").select("band_key", "i", "j", "own", "rep", "root", "sig", "hashes")
+    rows = rows.select("band_key", "rep", "tag", "root", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    rows = rows.join(held, ["rep", "tag"]).select("band_key", "i", "j", "own", "rep", "root", "sig", "hashes")
 
     def run(table: pa.Table) -> pa.Table:
         rep, root, side = (table.column(c).to_numpy() for c in ("rep", "root", "own"))
@@ -201,9 +201,13 @@ def _crossing(members: DataFrame, held: DataFrame, options: NearDups) -> DataFra
 def near_duplicates(docs: DataFrame, options: NearDups = NearDups(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(doc_id, n_shingles, component_id, kept)`` for every row with an id.
 
-    Null and empty texts have no shingles and are alone in their component. Rows of one id are in one component, and each is kept
-    if its id is the component's; if their texts differ, the largest set stands for the id in links. Candidates are first the pairs of a bucket's least member with the others; buckets whose members
-    are not in one component after that have all their pairs between components compared, so that no candidate is left out.
+    Null and empty texts have no shingles and link with nothing. Rows of one id are in one component, whatever their texts, and each
+    is kept if its id is the component's; every one of their texts links with others. Candidates are first the pairs of a bucket's
+    least member with the others; buckets whose members are not in one component after that have all their pairs between components
+    compared, so that no candidate is left out.
+
+    A class is named by its least id, ``rep``. Of an id with several sets the classes may share that name, which is right for
+    components; ``tag`` tells them apart where sets are compared, and is 0 for all other ids.
     """
     spark = docs.sparkSession
     texts = keyed_texts(docs, id_col, text_col).select("doc_id", "text")
@@ -223,25 +227,28 @@ def near_duplicates(docs: DataFrame, options: NearDups = NearDups(), id_col: str
 
     signed_all, path = saved(map_slices(texts, sign, "doc_id long, n long, s1 long, s2 long, sig binary"), "near-signatures")
     sets = ["n", "s1", "s2"]
-    # of an id with several sets the largest stands for it; hardly any table has one
-    several = signed_all.groupBy("doc_id").agg(F.min(F.struct(*sets)).alias("low"), F.max(F.struct(*sets)).alias("own")).where("low <> own")
-    several, _ = saved(several.select("doc_id", *[F.col(f"own.{c}").alias(f"own_{c}") for c in sets]), "near-several")
-    standing = [F.coalesce(f"own_{c}", c).alias(c) for c in sets]
-    same = F.col("own_n").isNull() | ((F.col("own_n") == F.col("n")) & (F.col("own_s1") == F.col("s1")) & (F.col("own_s2") == F.col("s2")))
-    named = signed_all.join(several, "doc_id", "left")
-    classes, _ = saved(
-        named.where(same & (F.col("n") > 0)).groupBy(*sets).agg(F.min("doc_id").alias("rep"), F.any_value("sig").alias("sig")), "near-classes"
-    )
-    rows, _ = saved(named.select("doc_id", F.col("n").alias("n_shingles"), *standing), "near-rows")
+    # ids with several sets; hardly any table has one
+    several = signed_all.groupBy("doc_id").agg(F.min(F.struct(*sets)).alias("low"), F.max(F.struct(*sets)).alias("top")).where("low <> top")
+    several, _ = saved(several.select("doc_id"), "near-several")
+
+    def tagged(frame: DataFrame) -> DataFrame:
+        known = several.select(F.col("doc_id").alias("rep"), F.lit(True).alias("many"))
+        return frame.join(known, "rep", "left").withColumn("tag", F.when(F.col("many"), F.col("s1")).otherwise(F.lit(0).cast("long"))).drop("many")
+
+    grouped = signed_all.where("n > 0").groupBy(*sets).agg(F.min("doc_id").alias("rep"), F.any_value("sig").alias("sig"))
+    classes, _ = saved(tagged(grouped).select(*sets, "rep", "tag", "sig"), "near-classes")
+    rows, _ = saved(signed_all.select("doc_id", *sets), "near-rows")
     discard(spark, path)
-    signed = classes.select("rep", "sig")
+    signed = classes.select("rep", "tag", "sig")
+    own = rows.join(several, "doc_id", "left_semi").join(classes.select(*sets, "rep"), sets)
+    ties, _ = saved(own.where("doc_id <> rep").select(F.col("doc_id").alias("u"), F.col("rep").alias("v")).distinct(), "near-ties")
 
     # a bucket is a band's number and values
     width = 4 * options.rows
     band = F.explode(F.transform(F.sequence(F.lit(0), F.lit(options.bands - 1)), lambda k: F.xxhash64(k, F.substring(F.col("sig"), k * width + 1, F.lit(width)))))
-    banded = signed.select("rep", band.alias("band_key"))
-    shared = banded.groupBy("band_key").agg(F.min("rep").alias("hub"), F.max("rep").alias("top")).where("hub < top")
-    members, members_path = saved(banded.join(shared.select("band_key", "hub"), "band_key"), "near-buckets")
+    banded = signed.select("rep", "tag", band.alias("band_key"))
+    shared = banded.groupBy("band_key").agg(F.min("rep").alias("hub"), F.min_by("tag", "rep").alias("hub_tag"), F.max("rep").alias("top")).where("hub < top")
+    members, members_path = saved(banded.join(shared.select("band_key", "hub", "hub_tag"), "band_key"), "near-buckets")
     free_shuffles(spark)
 
     # the sets of all that share a bucket; only their texts are read for it
@@ -251,20 +258,22 @@ def near_duplicates(docs: DataFrame, options: NearDups = NearDups(), id_col: str
         hashes, bounds = shingle_sets(batch.column(1), options.shingle)
         sig = signatures(hashes, bounds, values)
         packed = pieces(sig.view(np.uint8).ravel(), np.arange(len(bounds)) * 4 * values)
-        return pa.record_batch([batch.column(0), pieces(hashes.view(np.uint8), bounds * 8), packed], names=["rep", "hashes", "own_sig"])
+        total = np.zeros(len(hashes) + 1, dtype=np.uint64)
+        np.cumsum(tk.mix(hashes, 21), out=total[1:])
+        s1 = pa.array((total[bounds[1:]] - total[bounds[:-1]]).view(np.int64))
+        return pa.record_batch([batch.column(0), s1, pieces(hashes.view(np.uint8), bounds * 8), packed], names=["rep", "s1", "hashes", "own_sig"])
 
     wanted = texts.join(need, "doc_id", "left_semi").select("doc_id", "text")
-    # texts that share an id may differ: the one that was classed has the class's signature
-    full = map_slices(wanted, collect, "rep long, hashes binary, own_sig binary")
-    held = full.join(classes.select("rep", "sig"), "rep").where("sig = own_sig").dropDuplicates(["rep"]).select("rep", "sig", "hashes")
+    full = tagged(map_slices(wanted, collect, "rep long, s1 long, hashes binary, own_sig binary"))
+    held = full.join(signed, ["rep", "tag"]).where("sig = own_sig").dropDuplicates(["rep", "tag"]).select("rep", "tag", "sig", "hashes")
     held, held_path = saved(held, "near-held")
     free_shuffles(spark)
 
-    stars = members.where("rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct()
+    stars = members.where("rep <> hub").select(F.col("hub").alias("a"), F.col("hub_tag").alias("tag_a"), F.col("rep").alias("b"), F.col("tag").alias("tag_b")).distinct()
     links, _ = saved(_linked(stars, held, options), "near-links")
-    roots, _ = saved(components(links.select(F.col("a").alias("u"), F.col("b").alias("v"))), "near-roots")
+    roots, _ = saved(components(links.select(F.col("a").alias("u"), F.col("b").alias("v")).union(ties)), "near-roots")
 
-    placed = members.join(roots, members["rep"] == roots["node"], "left").select("band_key", "rep", F.coalesce("root", "rep").alias("root"))
+    placed = members.join(roots, members["rep"] == roots["node"], "left").select("band_key", "rep", "tag", F.coalesce("root", "rep").alias("root"))
     placed, placed_path = saved(placed, "near-placed")
     more = _crossing(placed, held, options)
     edges = roots.select(F.col("node").alias("u"), F.col("root").alias("v")).union(more.select(F.col("a").alias("u"), F.col("b").alias("v")))
@@ -272,5 +281,8 @@ def near_duplicates(docs: DataFrame, options: NearDups = NearDups(), id_col: str
     discard(spark, members_path, held_path, placed_path)
 
     placed = classes.select(*sets, "rep").join(roots, F.col("rep") == roots["node"], "left").select(*sets, F.coalesce("root", "rep").alias("component"))
-    component = F.coalesce("component", "doc_id")
-    return rows.join(placed, sets, "left").select("doc_id", "n_shingles", component.alias("component_id"), (F.col("doc_id") == component).alias("kept"))
+    # rows of an id with several sets, one of which may be empty, follow their id
+    ids = several.join(roots, F.col("doc_id") == roots["node"], "left").select("doc_id", F.coalesce("root", "doc_id").alias("id_root"))
+    component = F.coalesce("id_root", "component", "doc_id")
+    found = rows.join(placed, sets, "left").join(ids, "doc_id", "left")
+    return found.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), (F.col("doc_id") == component).alias("kept"))

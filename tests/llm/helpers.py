@@ -129,10 +129,10 @@ def shingle_set(text: str | None, size: int = 5) -> frozenset:
 
 
 def near_components(rows: list[tuple], percent: int = 75) -> dict[int, int]:
-    """The least id that each id reaches; the largest set of an id's rows stands for it."""
-    sets: dict[int, list] = {}
+    """The least id that each id reaches, by links of any of its rows."""
+    sets: dict[int, set] = {}
     for i, text in rows:
-        sets[i] = [max([*sets.get(i, []), shingle_set(text)], key=len)]
+        sets.setdefault(i, set()).add(shingle_set(text))
     parent = {i: i for i in sets}
 
     def find(i):

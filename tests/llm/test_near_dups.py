@@ -51,6 +51,16 @@ def test_links_that_do_not_touch_a_hub_are_found(spark, block):
     check(near_dups.near_duplicates(docs, near_dups.NearDups(block=block)), rows)
 
 
+@pytest.mark.parametrize("block", [2000, 3])
+def test_every_text_of_a_repeated_id_links(spark, block):
+    a, b, c, d = (prose(s, 80) for s in (21, 22, 23, 24))
+    near = lambda text, k: " ".join(f"n{k}" if i == 7 * k else w for i, w in enumerate(text.split(" ")))
+    rows = [(7, a), (7, b), (9, near(b, 1)), (5, near(a, 1)), (20, c), (20, None), (20, d), (21, near(d, 2)), (22, near(c, 1)), (30, None), (30, ""), (31, ""), (40, a + " " + b), (40, near(c, 3))]
+    rows += [(50, prose(30, 60)), (50, prose(31, 60)), (51, prose(32, 60)), (52, near(prose(31, 60), 1)), (60, b), (3, d), (3, "")]
+    rows += [(100 + i, t) for i, t in variants(41, 12, 9)] + [(101, t) for _, t in variants(43, 6, 9)] + [(120 + i, t) for i, t in variants(43, 9, 9)]
+    check(near_dups.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), near_dups.NearDups(block=block)), rows)
+
+
 def test_exactly_the_threshold_is_a_link(spark):
     # 12 shared shingles of 16 together: 0.75; 11 of 15 is below
     text = prose(1, 16).split(" ")
