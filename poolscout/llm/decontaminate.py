@@ -1,10 +1,12 @@
 """Benchmark decontamination: SimHash of item-sized windows, a multi-index over Hamming blocks, exact weighted similarity.
 
 Windows are as many words as an item has. Weights are multiplicities: the similarity of a window and an item is the sum over their
-five-word shingles of the smaller count, over that of the larger. A window that reaches the threshold holds at least that share
-of the item's shingles, which is how windows are found; their fingerprints are looked up in the multi-index, which gives every
-item of that size within the Hamming radius. These pairs are verified, and so are a window and the item that it was found by if
-their fingerprints lie further apart: no pair at the threshold is lost, whatever the radius.
+five-word shingles of the smaller count, over that of the larger. A window that reaches the threshold with an item holds at least
+that share of shingles that stand in items of its size; other windows are passed over. The fingerprints of the rest are looked up
+in the multi-index, which gives every item of that size within the Hamming radius, and these pairs alone are verified.
+
+At a similarity of exactly 0.75 a fingerprint's 128 bits differ in 22 on average; some 0.7 in 100 such pairs lie beyond the radius
+of 32 and are not found, far fewer above that similarity. Windows of fewer words than a shingle are compared as one hash.
 """
 
 from __future__ import annotations
@@ -18,38 +20,74 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkernel as tk
-from .common import map_slices
+from .common import map_slices, saved
 from .near_dups import _lower
 from .suffix_dedup import _stretches
 
 
 @dataclass(frozen=True)
 class Decontamination:
-    """``radius`` of 64 bits in ``radius + 1`` blocks: fingerprints within the radius agree in a block. Items come to the tasks
-    ``items`` at a time, and all texts are matched with each such block of items."""
+    """``radius`` of 128 bits, in ``blocks``. Items come to the tasks ``items`` at a time, and all texts are matched with each such
+    group of items; after ``chain`` groups the rows are written, so that no task holds more of them at once."""
 
     shingle: int = 5
     percent: int = 75
-    radius: int = 20
+    radius: int = 32
+    blocks: int = 7
     items: int = 20_000
+    chain: int = 4
 
 
-def fingerprints(hashes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """SimHash of each (non-empty) run of shingle hashes; a shingle counts as often as it stands."""
-    out = np.zeros(len(bounds) - 1, dtype=np.uint64)
-    if not len(out):
+#: Bits of a fingerprint, as two 64-bit words.
+BITS = 128
+
+
+def run_prints(hashes: np.ndarray, start: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """SimHash of each (non-empty) run of shingle hashes, two words a row; a shingle counts as often as it stands. Runs may overlap:
+    the ones among a run's bits are a difference of two running sums."""
+    out = np.zeros((len(start), BITS // 64), dtype=np.uint64)
+    if not len(start):
         return out
-    bits, size = tk.mix(hashes, 91), np.diff(bounds)
-    for bit in range(64):
-        ones = np.add.reduceat((bits >> np.uint64(bit)) & np.uint64(1), bounds[:-1]).astype(np.int64)
-        out |= (2 * ones > size).astype(np.uint64) << np.uint64(bit)
+    change = np.zeros(len(hashes) + 1, dtype=np.int64)
+    np.add.at(change, start, 1)
+    np.add.at(change, start + count, -1)
+    used = np.cumsum(change[:-1]) > 0
+    low = (np.cumsum(used) - 1)[start]
+    used = hashes[used]
+    sums = np.zeros(len(used) + 1, dtype=np.int32)
+    for word in range(out.shape[1]):
+        bits = tk.mix(used, 91 + word)
+        for bit in range(64):
+            np.cumsum((bits >> np.uint64(bit)) & np.uint64(1), out=sums[1:])
+            out[:, word] |= (2 * (sums[low + count] - sums[low]) > count).astype(np.uint64) << np.uint64(bit)
     return out
 
 
-def blocks_of(radius: int) -> list[tuple[int, int]]:
-    """First bit and width of ``radius + 1`` blocks of 64 bits."""
-    edges = [64 * k // (radius + 1) for k in range(radius + 2)]
-    return [(a, b - a) for a, b in zip(edges[:-1], edges[1:])]
+def fingerprints(hashes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    return run_prints(hashes, bounds[:-1], np.diff(bounds))
+
+
+def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(a ^ b).sum(axis=-1, dtype=np.int64)
+
+
+def blocks_of(radius: int, blocks: int) -> list[tuple[int, int, int]]:
+    """First bit and width of each block, and the radius in it, less than 0 for blocks that are not looked at.
+
+    Where every block differs by more than its radius, the whole differs by the sum of ``radius of the block + 1`` at least, which
+    is ``radius + 1``.
+    """
+    edges = [BITS * k // blocks for k in range(blocks + 1)]
+    base, extra = divmod(radius + 1 - blocks, blocks)
+    return [(a, b - a, min(base + (k < extra), b - a)) for k, (a, b) in enumerate(zip(edges[:-1], edges[1:]))]
+
+
+def block_values(prints: np.ndarray, low: int, width: int) -> np.ndarray:
+    word, shift = divmod(low, 64)
+    value = prints[:, word] >> np.uint64(shift)
+    if shift + width > 64:
+        value |= prints[:, word + 1] << np.uint64(64 - shift)
+    return value & np.uint64(2**width - 1)
 
 
 def shingles(words: np.ndarray, bounds: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -105,8 +143,12 @@ class Index:
         self.maybe[self.shingle >> np.uint64(44)] = True
         # multi-index: size, block number and block value lead to items
         keys, items = [], []
-        for number, (low, width) in enumerate(blocks_of(options.radius)):
-            keys.append(self._key(sizes, number, (self.prints >> np.uint64(low)) & np.uint64(2**width - 1)))
+        self.present: list[np.ndarray] = []
+        for number, (low, width, _) in enumerate(blocks_of(options.radius, options.blocks)):
+            values = block_values(self.prints, low, width)
+            self.present.append(np.zeros(1 << width, dtype=bool))
+            self.present[-1][values] = True
+            keys.append(self._key(sizes, number, values))
             items.append(np.arange(len(ids)))
         keys, items = np.concatenate(keys), np.concatenate(items)
         order = np.argsort(keys, kind="stable")
@@ -127,19 +169,33 @@ class Index:
         many = self.first[row + 1] - self.first[row]
         return np.repeat(at, many), self.holder[_stretches(self.first[row], many)]
 
+    def looked_up(self, prints: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """``(window, item)`` of equal size that come within a block's radius in some block."""
+        found = [np.empty(0, np.int64)]
+        for number, (low, width, radius) in enumerate(blocks_of(self.options.radius, self.options.blocks)):
+            if radius < 0:
+                continue
+            values = block_values(prints, low, width)
+            flips = np.arange(1 << width, dtype=np.uint64)
+            flips = flips[np.bitwise_count(flips) <= radius]
+            step = max(1, 2_000_000 // len(flips))
+            for first in range(0, len(values), step):
+                probe = values[first : first + step, None] ^ flips
+                window, flip = np.nonzero(self.present[number][probe])
+                key = self._key(sizes[first + window], number, probe[window, flip])
+                row = np.minimum(np.searchsorted(self.block, key), len(self.block) - 1)
+                at = np.flatnonzero(self.block[row] == key)
+                many = self.begin[row[at] + 1] - self.begin[row[at]]
+                found.append(np.repeat(first + window[at], many) * len(self.ids) + self.items[_stretches(self.begin[row[at]], many)])
+        pairs = np.unique(np.concatenate(found))
+        window, item = pairs // len(self.ids), pairs % len(self.ids)
+        good = sizes[window] == self.words[item]
+        return window[good], item[good]
+
     def near(self, prints: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ``(window, item)`` of equal size whose fingerprints differ in at most ``radius`` bits."""
-        windows, items = [], []
-        for number, (low, width) in enumerate(blocks_of(self.options.radius)):
-            key = self._key(sizes, number, (prints >> np.uint64(low)) & np.uint64(2**width - 1))
-            row = np.minimum(np.searchsorted(self.block, key), len(self.block) - 1)
-            at = np.flatnonzero(self.block[row] == key)
-            many = self.begin[row[at] + 1] - self.begin[row[at]]
-            windows.append(np.repeat(at, many))
-            items.append(self.items[_stretches(self.begin[row[at]], many)])
-        pairs = np.unique(np.concatenate(windows) * len(self.ids) + np.concatenate(items))
-        window, item = pairs // len(self.ids), pairs % len(self.ids)
-        good = (np.bitwise_count(prints[window] ^ self.prints[item]) <= self.options.radius) & (sizes[window] == self.words[item])
+        window, item = self.looked_up(prints, sizes)
+        good = distances(prints[window], self.prints[item]) <= self.options.radius
         return window[good], item[good]
 
     def shared(self, hashes: np.ndarray, start: np.ndarray, size: np.ndarray, item: np.ndarray) -> np.ndarray:
@@ -153,33 +209,25 @@ class Index:
         less = np.minimum(times, self.count[both % len(self.pair)])
         return np.bincount(both // len(self.pair), weights=less, minlength=len(start)).astype(np.int64)
 
-    def windows(self, hashes: np.ndarray, inside: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Owner, first word and item size of the windows that hold enough shingles of an item of that size; and every pair of such a
-        window, by its number, and such an item."""
-        options = self.options
-        counts = np.diff(bounds)
+    def windows(self, hashes: np.ndarray, inside: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Owner, first word and item size of the windows that hold enough shingles of items of that size."""
+        options, n = self.options, len(hashes)
         at = np.flatnonzero(inside)
         hit, item = self.holders(hashes[at])
-        where = at[hit]
+        size, where = np.divmod(np.unique(self.words[item] * n + at[hit]), n)
         owner = np.searchsorted(bounds, where, side="right") - 1
-        order = np.lexsort((where, item, owner))
-        where, item, owner = where[order], item[order], owner[order]
-        need = -(-options.percent * self.total[item] // 100)
-        last = np.arange(len(where)) + need - 1
+        reach = np.maximum(size - options.shingle + 1, 1)
+        last = np.arange(len(where)) + -(-options.percent * reach // 100) - 1
         there = np.minimum(last, len(where) - 1)
-        reach = np.maximum(self.words[item] - options.shingle + 1, 1)
-        good = (last < len(where)) & (owner[there] == owner) & (item[there] == item)
-        good &= where[there] - where <= reach - 1
+        good = (last < len(where)) & (owner[there] == owner) & (size[there] == size) & (where[there] - where <= reach - 1)
         some = np.flatnonzero(good)
-        low, high, j, o = where[there[some]] - reach[some] + 1, where[some], item[some], owner[some]
-        floor = bounds[o]
-        top = np.maximum(floor, floor + counts[o] - self.words[j])
+        low, high, size, owner = where[there[some]] - reach[some] + 1, where[some], size[some], owner[some]
+        floor = bounds[owner]
+        top = np.maximum(floor, bounds[owner + 1] - size)
         low, high = np.clip(low, floor, top), np.clip(high, floor, top)
         many = high - low + 1
-        size = np.repeat(self.words[j], many)
-        found, number = np.unique(np.stack((np.repeat(o, many), _stretches(low, many), size)), axis=1, return_inverse=True)
-        pairs = np.unique(number.reshape(-1) * len(self.ids) + np.repeat(j, many))
-        return found[0], found[1], found[2], pairs // len(self.ids), pairs % len(self.ids)
+        size, start = np.divmod(np.unique(np.repeat(size, many) * n + _stretches(low, many)), n)
+        return np.searchsorted(bounds, start, side="right") - 1, start, size
 
     def match(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Owner, item id, first word, words and similarity of the best window for each text and item; of equally good ones the
@@ -191,14 +239,11 @@ class Index:
             return empty, empty, empty, empty, empty.astype(float)
         found = [self._short(words, bounds)]
         hashes, inside = shingles(words, bounds, options.shingle)
-        owner, start, size, by_window, by_item = self.windows(hashes, inside, bounds)
+        owner, start, size = self.windows(hashes, inside, bounds)
         if len(owner):
             own = np.minimum(size, np.diff(bounds)[owner])
             count = np.maximum(own - options.shingle + 1, 1)
-            prints = fingerprints(hashes[_stretches(start, count)], np.concatenate(([0], np.cumsum(count))))
-            window, item = self.near(prints, size)
-            far = np.bitwise_count(prints[by_window] ^ self.prints[by_item]) > options.radius
-            window, item = np.concatenate((window, by_window[far])), np.concatenate((item, by_item[far]))
+            window, item = self.near(run_prints(hashes, start, count), size)
             both = self.shared(hashes, start[window], count[window], item)
             union = count[window] + self.total[item] - both
             good = 100 * both >= options.percent * union
@@ -250,13 +295,15 @@ def find_matches(docs: DataFrame, benchmark: DataFrame, options: Decontamination
     """``(doc_id, text, matches)`` for every row of ``docs``: the items found in the text, each with its best window and similarity.
 
     Null and empty texts match nothing, nor do items without a word; without items nothing matches. A text shorter than an item
-    is one window. Whole texts are searched, in one pass for each block of items and without a shuffle.
+    is one window. Whole texts are searched, in one pass for each ``items`` items and without a shuffle.
     """
     text = F.coalesce(docs[text_col].cast("string"), F.lit(""))
     rows = docs.select(docs[id_col].cast("long").alias("doc_id"), text.alias("text"), F.array().cast(MATCHES).alias("matches"))
     schema = f"doc_id long, text string, matches {MATCHES}"
     fields = [pa.field("item_id", pa.int64()), pa.field("start", pa.int64()), pa.field("words", pa.int64()), pa.field("similarity", pa.float64())]
-    for index in _blocks(benchmark, options):
+    for number, index in enumerate(_blocks(benchmark, options)):
+        if number and number % options.chain == 0:
+            rows, _ = saved(rows, "matches")
         shared = docs.sparkSession.sparkContext.broadcast(index)  # bounded by Decontamination.items
 
         def step(batch: pa.RecordBatch, shared=shared) -> pa.RecordBatch:
