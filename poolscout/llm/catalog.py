@@ -48,13 +48,15 @@ def op1_warc_revisits(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def op2_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    """The language of every whole text."""
     return language_id.identify(table(spark, folder, "documents")).select("doc_id", "held_out", "lang_pred", "score", "rejected", "bits")
 
 
 @query
 def op3_host_quality(spark: SparkSession, folder: str) -> DataFrame:
+    """Counts of every document, its host's failures and shrunk rate, and the verdict of both."""
     return quality_rules.judge(table(spark, folder, "documents")).select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "n_host", "n_host_failed", F.round("host_rate", 9).alias("host_rate"), "kept"
     )
 
 
@@ -70,21 +72,25 @@ def op4_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def op5_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Windows of 50 words that an earlier document has are removed."""
     return substring_dedup.remove_repeats(table(spark, folder, "documents"))
 
 
 @query
 def op6_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    """The benchmark items that stand in each document."""
     return decontaminate.contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
 
 @query
 def op7_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Strings of 50 bytes that an earlier document has are removed."""
     return suffix_dedup.remove_repeats(table(spark, folder, "documents"))
 
 
 @query
 def op8_compression_quality(spark: SparkSession, folder: str) -> DataFrame:
+    """The quality of every text by two dictionaries fitted on labelled rows."""
     docs = table(spark, folder, "documents")
     model = compression.fit(docs, table(spark, folder, "labels"))
     return model.score(docs).select(
@@ -94,6 +100,7 @@ def op8_compression_quality(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def op10_minhash_near_dups(spark: SparkSession, folder: str) -> DataFrame:
+    """Components of near duplicates among all documents."""
     return near_dups.near_duplicates(table(spark, folder, "documents"))
 
 

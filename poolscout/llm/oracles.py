@@ -37,8 +37,8 @@ q AS (SELECT *, f / n AS mean, f / n * (1 - f / n) AS spread FROM a),
 rho AS (SELECT mean, CASE WHEN k < 2 OR spread = 0 THEN 1.0 / 11
                WHEN n - nn / n > k - 1 THEN least(greatest((ff - n * mean * mean - (k - 1) * spread) / ((n - nn / n - (k - 1)) * spread), 1e-4), 0.999)
                ELSE 1e-4 END AS r FROM q)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-       NOT base_failed AND (h.f + mean * (1 / r - 1)) / (h.n + (1 / r - 1)) <= 0.5 AS kept
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, CAST(h.n AS BIGINT) AS n_host, CAST(h.f AS BIGINT) AS n_host_failed,
+       round((h.f + mean * (1 / r - 1)) / (h.n + (1 / r - 1)), 9) AS host_rate, NOT base_failed AND (h.f + mean * (1 / r - 1)) / (h.n + (1 / r - 1)) <= 0.5 AS kept
 FROM x JOIN h ON h.source IS NOT DISTINCT FROM x.source, rho
 """
 

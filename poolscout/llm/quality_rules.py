@@ -131,14 +131,14 @@ def prior(k: int, n: int, f: int, nn: float, ff: float) -> tuple[float, float]:
 
 
 def judge(docs: DataFrame, rules: Rules = Rules(), id_col: str = "doc_id", host_col: str = "source", text_col: str = "text") -> DataFrame:
-    """The counts of every document, ``base_failed``, its host's shrunk rate and ``kept``.
+    """The counts of every document, ``base_failed``, ``kept``, and of its host the number of documents, of failures, and the shrunk rate.
 
     A document that fails a base rule goes; others go with their host. Null texts fail, documents without a host are judged as
     one host, repeated rows count as often as they stand. Only counts move: a host with a third of all documents is one row per
     task in the aggregate, and in the join back its rows stand against a single row, so Spark may split them.
     """
     measures, _ = saved(measure(docs, id_col, host_col, text_col), "rule-counts")
-    rates = host_rates(measures, rules).select(F.col("host").alias("r_host"), "rate")
+    rates = host_rates(measures, rules).select(F.col("host").alias("r_host"), "n", "n_failed", "rate")
     verdicts = measures.join(rates, measures["host"].eqNullSafe(rates["r_host"]), "left")
     bad = base_failed(rules)
     return verdicts.select(
@@ -149,6 +149,8 @@ def judge(docs: DataFrame, rules: Rules = Rules(), id_col: str = "doc_id", host_
         "n_dup_lines",
         "n_repeat_words",
         bad.alias("base_failed"),
+        F.col("n").alias("n_host"),
+        F.col("n_failed").alias("n_host_failed"),
         F.col("rate").alias("host_rate"),
         (~bad & (F.col("rate") <= rules.host_limit)).alias("kept"),
     )

@@ -46,6 +46,10 @@ def test_a_bad_host_takes_its_documents_along(spark):
     got = {r["doc_id"]: r for r in qr.judge(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
     assert got[0]["kept"] and not got[5001]["kept"]
     assert not got[1000]["base_failed"] and not got[1000]["kept"]
+    assert (got[1000]["n_host"], got[1000]["n_host_failed"]) == (200, 180) and (got[0]["n_host"], got[0]["n_host_failed"]) == (201, 1)
+    # every rate lies between the host's own and the common one
+    common = 181 / 403
+    assert 0 < got[0]["host_rate"] < common < got[1000]["host_rate"] < 0.9
     # a host with one document is judged mostly by the prior
     assert 0 < got[5000]["host_rate"] < 0.9
 
