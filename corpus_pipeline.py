@@ -60,7 +60,7 @@ def one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     # rows of one id move together; the others stay where they are
     once = rest.join(several, "doc_id", "left_anti")
     least = rest.join(several, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct(F.col("text").isNull().alias("no_text"), *COLUMNS[1:])).alias("row"))
-    return once.union(least.select("doc_id", "row.*")).select(*COLUMNS)
+    return once.union(least.select("doc_id", "row.*").select(*COLUMNS))
 
 
 def without_repeated_text(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
