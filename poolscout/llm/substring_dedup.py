@@ -1,8 +1,9 @@
 """Substring dedup by level-wise doubling: windows that repeat at one length are extended to twice that length.
 
-The first level has windows of half the final length, named by their minima; only windows of the final length over a window that
-another document repeats are looked at on the second level, by 128-bit hashes. ``longest_repeats`` goes on doubling until no
-candidate survives.
+The lengths are the final one and its halves (13, 25, 50 words). On a level below the last a window of the final length is named by
+its minimum, the least hash of the level's grams in it, and survives if another document holds that minimum too; only survivors are
+named by grams twice as long on the next level. What is left at the final length is compared by 128-bit hashes. It ends early where
+no candidate survives. ``longest_repeats`` has no final length and goes on doubling until then.
 """
 
 from __future__ import annotations
@@ -57,27 +58,39 @@ def flagged_documents(texts: DataFrame, units, gram: int, length: int, buckets:
     return found
 
 
+def doubling(length: int, least: int = 13) -> list[int]:
+    """The lengths of the levels: ``length``, its half, the half of that, while a half is of ``least`` units or more, and one half at
+    least."""
+    levels = [length, (length + 1) // 2]
+    while (levels[-1] + 1) // 2 >= least:
+        levels.append((levels[-1] + 1) // 2)
+    return levels[::-1]
+
+
 def repeated_windows(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame, DataFrame]:
     """All texts; the candidates ``(doc_id, text, fp, hits)``; and ``(doc_id, removed)`` with the packed hashes of the windows that
     also start in a document with a smaller id."""
     texts = keyed_texts(docs, id_col, text_col)
     buckets = ws.bucket_count(texts)
-    half = (length + 1) // 2
-    candidates, _ = flagged_documents(texts, word_units, half, length, buckets, "substring-candidates")
+    rows, path, before = texts, None, None
+    for gram in doubling(length)[:-1]:
+        shared = ws.shared_minima(rows, word_units, gram, length, buckets, before)
+        found, found_path = saved(rows.select("doc_id", "text", "fp").join(shared, "doc_id"), f"substring-level-{gram}")
+        free_shuffles(docs.sparkSession)
+        if path:
+            discard(docs.sparkSession, path)
+        rows, path, before = found, found_path, gram
+        if rows.isEmpty():
+            break
+    candidates = rows
 
     def extend(batch: pa.RecordBatch) -> pa.RecordBatch | None:
         units, bounds = word_units(batch.column(1))
-        least, inside = ws.minima(units, bounds, half, length)
-        first, last = ws.runs_of(least, inside)
-        owner = ws.owner_of(bounds, first)
-        good = ws.member(ws.short(least[first]), owner, batch.column(3))
-        first, last, owner = first[good], last[good], owner[good]
-        sizes = last - first + 1
-        if not len(sizes):
+        at = np.flatnonzero(ws.surviving(*ws.minima(units, bounds, before, length), bounds, batch.column(3)))
+        if not len(at):
             return None
-        at = np.repeat(first - np.concatenate(([0], np.cumsum(sizes)[:-1])), sizes) + np.arange(sizes.sum())
         a, b = tk.window_hashes(units, length, 71)[at], tk.window_hashes(units, length, 72)[at]
-        return ws.send(a, b, batch.column(0).to_numpy()[np.repeat(owner, sizes)], buckets, later=True)
+        return ws.send(a, b, batch.column(0).to_numpy()[ws.owner_of(bounds, at)], buckets, later=True)
 
     sent = map_slices(candidates.select("doc_id", "text", "fp", "hits"), extend, ws.ASK)
     removed = ws.settle(sent, buckets, later=True, kind=np.uint64).withColumnRenamed("hits", "removed")

@@ -193,12 +193,27 @@ def short(keys: np.ndarray) -> np.ndarray:
     return (tk.mix(keys, 53) >> np.uint64(32)).astype(np.uint32)
 
 
-def shared_minima(texts: DataFrame, units: Callable[[pa.Array], tuple[np.ndarray, np.ndarray]], gram: int, length: int, buckets: int) -> DataFrame:
-    """``(doc_id, hits)`` of the documents that hold a minimum of another document, with those minima (shortened)."""
+def surviving(least: np.ndarray, inside: np.ndarray, bounds: np.ndarray, packed: pa.Array) -> np.ndarray:
+    """Which of the windows have a minimum among the packed ones (shortened) of their text."""
+    first, last = runs_of(least, inside)
+    good = member(short(least[first]), owner_of(bounds, first), packed)
+    step = np.zeros(len(inside) + 1, dtype=np.int32)
+    step[first[good]] += 1
+    step[last[good] + 1] -= 1
+    return np.cumsum(step[:-1]) > 0
+
+
+def shared_minima(
+    texts: DataFrame, units: Callable[[pa.Array], tuple[np.ndarray, np.ndarray]], gram: int, length: int, buckets: int, before: int | None = None
+) -> DataFrame:
+    """``(doc_id, hits)`` of the documents that hold a minimum of another document, with those minima (shortened). Given the gram
+    ``before``, only windows count whose minimum of such grams stands in the column ``hits`` of ``texts``."""
 
     def step(batch: pa.RecordBatch) -> pa.RecordBatch | None:
         values, bounds = units(batch.column(1))
         least, inside = minima(values, bounds, gram, length)
+        if before is not None:
+            inside = surviving(*minima(values, bounds, before, length), bounds, batch.column(2))
         first, _ = runs_of(least, inside)
         if not len(first):
             return None
@@ -207,7 +222,8 @@ def shared_minima(texts: DataFrame, units: Callable[[pa.Array], tuple[np.ndarray
         _, some = np.unique(tk.mix(keys ^ tk.mix(docs.view(np.uint64), 54), 55), return_index=True)
         return send(keys[some], None, docs[some], buckets, later=False, wire=short)
 
-    return settle(map_slices(texts.select("doc_id", "text"), step, ASK), buckets, later=False, kind=np.uint32)
+    columns = ["doc_id", "text"] + ["hits"] * (before is not None)
+    return settle(map_slices(texts.select(*columns), step, ASK), buckets, later=False, kind=np.uint32)
 
 
 def member(keys: np.ndarray, owner: np.ndarray, packed: pa.Array) -> np.ndarray:

@@ -42,6 +42,30 @@ def test_doubling_ends_with_the_longest_repeat(spark):
     assert got == {(n, i) for n in (8, 16, 32, 64, 128) for i in (1, 2)}
 
 
+def test_levels_are_halves_of_the_final_length():
+    assert substring_dedup.doubling(50) == [13, 25, 50]
+    assert substring_dedup.doubling(7) == [4, 7]
+    assert substring_dedup.doubling(50, 2) == [2, 4, 7, 13, 25, 50]
+
+
+def test_each_level_leaves_out_what_its_length_tells(spark):
+    """Passages shorter than the window survive some levels and not the last; candidates are those of the level before it."""
+    rows = []
+    for i, n in enumerate((10, 20, 40, 49, 50, 51, 130)):
+        rows += [(2 * i, f"{prose(100 + i, 40)} {prose(i, n)} {prose(200 + i, 40)}"), (2 * i + 1, f"{prose(300 + i, 60)} {prose(i, n)} {prose(400 + i, 5)}")]
+    rows += [(50, f"{prose(500, 60)} {prose(6, 130)}"), (51, prose(501, 500)), (52, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert rows_of(substring_dedup.remove_repeats(docs)) == word_removal(rows, 50)
+    _, candidates, removed = substring_dedup.repeated_windows(docs)
+    assert {8, 9, 10, 11, 12, 13, 50} <= {r["doc_id"] for r in candidates.collect()} <= {*range(4, 14), 50}
+    assert {r["doc_id"] for r in removed.collect()} == {9, 11, 13, 50}
+
+
+def test_no_candidate_survives(spark):
+    rows = [(i, prose(i, 80)) for i in range(5)]
+    assert rows_of(substring_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"))) == word_removal(rows, 50)
+
+
 def test_words_are_maximal_runs_of_each_text():
     texts = ["", " a", "b\x0bc ", None, "\t\n", "dé\x85f", "g"]
     raw, offsets = tk.text_bytes(pa.array(texts))
