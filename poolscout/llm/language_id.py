@@ -312,11 +312,11 @@ def train(texts: DataFrame, options: Options = Options()) -> Model | SpreadModel
     return build(languages, counts)
 
 
-SCORES = "doc_id long, lang string, fold int, best int, bits double, second double, spread double, n long"
+SCORES = "doc_id long, lang string, fold int, fp long, best int, bits double, second double, spread double, n long"
 
 
 def _scores(batch: pa.RecordBatch | pa.Table, k: int, look_up: Callable[[np.ndarray], np.ndarray]) -> pa.RecordBatch:
-    """The rows of ``SCORES`` for ``(doc_id, lang, fold, text)``, given the log probabilities of grams in ``k`` languages."""
+    """The rows of ``SCORES`` for ``(doc_id, lang, fold, text, fp)``, given the log probabilities of grams in ``k`` languages."""
     codes, bounds = code_points([t or "" for t in batch.column(3).to_pylist()])
     key, at = grams(codes)
     owner_first = np.searchsorted(at, bounds)
@@ -335,15 +335,16 @@ def _scores(batch: pa.RecordBatch | pa.Table, k: int, look_up: Callable[[np.ndar
         bits[full] = mean[here, order[:, 0]]
         second[full] = mean[here, order[:, min(1, k - 1)]]
         spread[full] = np.maximum(squares[here, order[:, 0]] - bits[full] ** 2, 0)
-    arrays = [batch.column(0), batch.column(1), batch.column(2), pa.array(best), pa.array(bits), pa.array(second), pa.array(spread), pa.array(n, pa.int64())]
+    arrays = [batch.column(0), batch.column(1), batch.column(2), batch.column(4), pa.array(best), pa.array(bits), pa.array(second), pa.array(spread), pa.array(n, pa.int64())]
     arrays = [x.combine_chunks() if isinstance(x, pa.ChunkedArray) else x for x in arrays]
     return pa.record_batch(arrays, names=[x.split()[0] for x in SCORES.split(", ")])
 
 
 def score_texts(docs: DataFrame, model: Model | SpreadModel) -> DataFrame:
     """Per row of ``(doc_id, lang, fold, text)``: the best language, its bits per character, the second best's, the variance of
-    the bits of single characters and the number of characters; ``best`` is -1 without letters."""
-    rows = docs.select("doc_id", "lang", "fold", F.coalesce("text", F.lit("")).alias("text"))
+    the bits of single characters and the number of characters; ``best`` is -1 without letters. ``fp`` tells texts of one id apart."""
+    text = F.coalesce("text", F.lit(""))
+    rows = docs.select("doc_id", "lang", "fold", text.alias("text"), F.xxhash64(text).alias("fp"))
     if isinstance(model, SpreadModel):
         return _score_by_join(rows, model)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by Options.held
@@ -374,7 +375,7 @@ def _score_by_join(rows: DataFrame, model: SpreadModel) -> DataFrame:
     def ask(batch: pa.RecordBatch) -> pa.RecordBatch:
         codes, bounds = code_points(batch.column(3).to_pylist())
         key, at = grams(codes)
-        key, of = key.view(np.int64), np.asarray(batch.column(4))[np.searchsorted(bounds, at, side="right") - 1]
+        key, of = key.view(np.int64), np.asarray(batch.column(5))[np.searchsorted(bounds, at, side="right") - 1]
         asked, by = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
         for name in np.unique(of):
             own = np.unique(key[of == name])
@@ -401,7 +402,7 @@ def _score_by_join(rows: DataFrame, model: SpreadModel) -> DataFrame:
 
         return pa.Table.from_batches([_scores(texts, k, look_up)])
 
-    texts, _ = saved(rows.mapInArrow(number, "doc_id long, lang string, fold int, text string, slice long"), "language-slices")
+    texts, _ = saved(rows.mapInArrow(number, "doc_id long, lang string, fold int, text string, fp long, slice long"), "language-slices")
     asked, _ = saved(map_slices(texts, ask, "slice long, gram long", size=SLICE_BYTES), "asked-grams")
     wanted, _ = saved(asked.select("gram").distinct(), "wanted-grams")
     answers = asked.join(model.probabilities(wanted).withColumnRenamed("key", "gram"), "gram").select("slice", F.col("gram").alias("key"), "p")
@@ -409,7 +410,7 @@ def _score_by_join(rows: DataFrame, model: SpreadModel) -> DataFrame:
 
 
 def identify(docs: DataFrame, options: Options = Options(), id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """``(doc_id, held_out, lang_pred, score, rejected, bits)`` for every row.
+    """``(doc_id, held_out, lang_pred, score, rejected, bits, fp)`` for every row; ``fp`` is the hash of the text, a null one as empty.
 
     Learns from rows outside fold 0 that have a language: folds 2 to 4 give the counts, fold 1 the calibration. A text that is
     null or has no letter is ``und`` with score 0 and rejected. Others get the language of the lowest bits per character, and are
@@ -460,4 +461,5 @@ def identify(docs: DataFrame, options: Options = Options(), id_col: str = "doc_i
         F.when(lettered, sure).otherwise(F.lit(0.0)).alias("score"),
         (~lettered | (z > limit)).alias("rejected"),
         "bits",
+        "fp",
     )
