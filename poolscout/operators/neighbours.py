@@ -4,6 +4,9 @@ Two sets of similarity ``s`` share ``s`` of either one's bits, so with bits in o
 in the prefix of ``n - ceil(s n) + 1`` bits of both, and the second one a place further at most. Sets meet under the first bit of their prefix that they
 share. A bit that is in too many prefixes is split by the second shared bit, and whatever is still too large by blocks. Each pair is compared under every key that
 both have, but reported only under the one of its own first bits, so there is nothing to de-duplicate. Copies are one set with a weight.
+
+Sets of many bits out of few meet under so many bits that this compares a pair more than once and sends a set thousands of times. Where the bits of the prefixes say
+so, all sets are compared once instead, packed as bitmaps into blocks of like size; blocks whose sizes rule out the similarity never meet.
 """
 
 from __future__ import annotations
@@ -13,6 +16,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,6 +27,12 @@ BLOCK = 2048
 BLOCK_CELLS = 1 << 22
 #: Prefixes that may hold a bit before it is split by a second one.
 HOT = 1000
+#: Blocks that all sets are packed into, if each then holds no fewer and no more sets than this.
+PACKS, LEAST_PACKED, MOST_PACKED = 32, 1024, 16384
+#: Sets of a packed block that are unpacked at once, and numbers that these may be.
+PART, PART_CELLS = 1024, 1 << 22
+#: Longest fingerprint that is sent as a bitmap in a block.
+PACKED_LENGTH = 1 << 16
 #: Guards the ceiling of a product of a fraction against rounding; too long a prefix is harmless.
 SLACK = 1e-9
 
@@ -122,28 +132,119 @@ def _compare(floor: float, hot: np.ndarray, length: int, dense: bool):
                 own &= follow == second
             mine[at : at + 4096] = own
         x, y = ids.take(pa.array(row[mine])), ids.take(pa.array(col[mine]))
-        swap = pc.greater(x, y)
-        return pa.table([pc.if_else(swap, y, x), pc.if_else(swap, x, y), pa.array(value[mine])], names=["a", "b", "similarity"])
+        return pa.table(_in_order(x, y, value[mine]), names=["a", "b", "similarity"])
+
+    return compare
+
+
+def _in_order(a: pa.Array, b: pa.Array, value: np.ndarray) -> list[pa.Array]:
+    swap = pc.greater(a, b)
+    return [pc.if_else(swap, b, a), pc.if_else(swap, a, b), pa.array(value)]
+
+
+def _packer(length: int, per: int):
+    """Packs a partition's sets, which come by size, into rows of up to ``per`` sets."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        base, number = TaskContext.get().partitionId() << 32, 0
+
+        def block(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+            maps, least, most = [], length, 0
+            for part in parts:
+                for at in range(0, part.num_rows, PART):
+                    ranks = part.column("ranks").slice(at, PART)
+                    sizes = pc.list_value_length(ranks).to_numpy()
+                    maps += _as_bytes(ranks.flatten().to_numpy(), sizes, length, True).to_pylist()
+                    least, most = min(least, int(sizes.min())), max(most, int(sizes.max()))
+            ids = pa.concat_arrays([p.column("id") for p in parts])
+            columns = [pa.array([base + number]), pa.array([least], pa.int32()), pa.array([most], pa.int32()), pa.ListArray.from_arrays([0, len(ids)], ids), pa.array([b"".join(maps)], pa.binary())]
+            return pa.record_batch(columns, names=["block", "least", "most", "ids", "sets"])
+
+        held, rows = [], 0
+        for batch in batches:
+            at = 0
+            while at < batch.num_rows:
+                held.append(batch.slice(at, per - rows))
+                at, rows = at + held[-1].num_rows, rows + held[-1].num_rows
+                if rows == per:
+                    yield block(held)
+                    held, rows, number = [], 0, number + 1
+        if rows:
+            yield block(held)
+
+    return pack
+
+
+def _compare_packed(floor: float, length: int):
+    part = max(64, min(PART, PART_CELLS // length))
+
+    def matrix(maps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        has = np.unpackbits(maps, axis=1, count=length)
+        return has.astype(np.float32), has.sum(1, dtype=np.int64)
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        packs = {}
+        for batch in batches:
+            for block, ids, sets in zip(batch.column("block"), batch.column("ids"), batch.column("sets")):
+                packs[block.as_py()] = ids.values, np.frombuffer(sets.as_buffer(), dtype=np.uint8).reshape(len(ids), -1)
+        same = len(packs) == 1
+        (left_ids, left), (right_ids, right) = packs[min(packs)], packs[max(packs)]
+        for i in range(0, len(left), part):
+            x, n = matrix(left[i : i + part])
+            for j in range(i if same else 0, len(right), part):
+                y, m = matrix(right[j : j + part])
+                if n.max() < floor * m.min() - SLACK or m.max() < floor * n.min() - SLACK:
+                    continue
+                shared = x @ y.T
+                # half a bit below the floor, in single precision, before the exact comparison of the few that are left
+                row, col = np.nonzero(shared * np.float32(1 + floor) >= (floor * n - 0.5).astype(np.float32)[:, None] + (floor * m).astype(np.float32)[None, :])
+                both = shared[row, col].astype(np.float64)
+                value = both / np.maximum(n[row] + m[col] - both, 1.0)
+                near = value >= floor
+                if same and i == j:
+                    near &= row < col
+                if near.any():
+                    a, b = left_ids.take(pa.array(i + row[near])), right_ids.take(pa.array(j + col[near]))
+                    yield pa.record_batch(_in_order(a, b, value[near]), names=["a", "b", "similarity"])
 
     return compare
 
 
-def neighbour_pairs(sets: DataFrame, length: int, max_distance: float, hot_sets: int = HOT, block: int | None = None) -> DataFrame:
+def _all_pairs(rows: DataFrame, length: int, floor: float, n: int, kind: str, per: int | None) -> DataFrame:
+    """Every two sets of ``rows(id, ranks)`` are compared once. A set is sent once for each block that its own may have neighbours in, and a task holds two blocks."""
+    per = per or min(MOST_PACKED, max(LEAST_PACKED, -(-n // PACKS)))
+    size = F.size("ranks")
+    dealt = rows.where(size > 0).repartitionByRange(max(1, -(-n // per)), size, F.xxhash64("id")).sortWithinPartitions(size)
+    packed = cut(dealt.mapInArrow(_packer(length, per), f"block long, least int, most int, ids array<{kind}>, sets binary"))
+    sizes = packed.select("block", "least", "most")
+    other = sizes.toDF("high", "high_least", "high_most")
+    may = (F.col("block") <= F.col("high")) & (F.col("most") >= F.col("high_least") * floor - SLACK) & (F.col("high_most") >= F.col("least") * floor - SLACK)
+    meet = cut(sizes.join(F.broadcast(other), may).select(F.col("block").alias("low"), "high"))  # sizes of blocks, not blocks
+    sent = meet.withColumn("block", F.explode(F.array_distinct(F.array("low", "high"))))
+    posts = packed.join(broadcast_if_small(sent, 2 * meet.count()), "block").select("low", "high", "block", "ids", "sets")
+    return posts.groupBy("low", "high").applyInArrow(_compare_packed(floor, length), f"a {kind}, b {kind}, similarity double")
+
+
+def neighbour_pairs(
+    sets: DataFrame, length: int, max_distance: float, hot_sets: int = HOT, block: int | None = None, method: str | None = None
+) -> DataFrame:
     """All pairs ``(a, b, similarity)``, ``a < b``, of rows of ``sets(id, bits)`` with a Tanimoto distance of at most ``max_distance`` (below 1). Bits are distinct
     positions below ``length``; ``sets`` are distinct, as from ``distinct_sets``, and empty ones have no neighbours.
 
-    What a set sends grows with its own bits, a task holds two blocks, and the driver sees two counts per bit. A key with many blocks copies its sets once per block,
-    which the split by second bits leaves to bits that nearly always come together.
+    method ``prefix``: what a set sends grows with its own bits, a task holds two blocks, and the driver sees two counts per bit. A key with many blocks copies its sets
+    once per block, which the split by second bits leaves to bits that nearly always come together.
+    method ``all``: every two sets of like size are compared once, and a task holds two blocks. Without a method it is taken where the prefixes would compare more pairs than that.
     """
     floor = 1.0 - max_distance
     if floor <= 0:
         raise ValueError("the distance must be below 1")
-    block = block or max(64, min(BLOCK, BLOCK_CELLS // length))
+    if method not in (None, "prefix", "all"):
+        raise ValueError(f"unknown method {method!r}")
     kind = sets.schema["id"].dataType.simpleString()
     sets = cut(sets.select("id", "bits"))
     order = _ranks(sets, length)
-    size = sets.agg(F.avg(F.size("bits")).alias("bits")).first()["bits"] or 0.0
-    dense = 4 * size >= length / 8
+    size = sets.agg(F.avg(F.size("bits")).alias("bits"), F.count(F.lit(1)).alias("n")).first()
+    dense = 4 * (size["bits"] or 0.0) >= length / 8
 
     def ranked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -154,8 +255,11 @@ def neighbour_pairs(sets: DataFrame, length: int, max_distance: float, hot_sets:
     n = F.size("ranks")
     head = F.slice("ranks", 1, F.when(n > 0, n - F.ceil(n * F.lit(floor) - F.lit(SLACK)).cast("int") + 1).otherwise(0))
     hot = np.zeros(length, dtype=bool)
-    for r in rows.select(F.explode(head).alias("bit")).groupBy("bit").count().where(F.col("count") > hot_sets).collect():
-        hot[r["bit"]] = True
+    held = {r["bit"]: r["count"] for r in rows.select(F.explode(head).alias("bit")).groupBy("bit").count().collect()}
+    if method == "all" or method is None and length <= PACKED_LENGTH and sum(c * c for c in held.values()) > size["n"] ** 2:
+        return _all_pairs(rows, length, floor, size["n"], kind, block)
+    block = block or max(64, min(BLOCK, BLOCK_CELLS // length))
+    hot[[bit for bit, c in held.items() if c > hot_sets]] = True
 
     def posted(whole: bool):
         def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -135,3 +135,31 @@ def test_leaders_by_rounds_are_those_by_blocks(spark):
         assert found(pick_leaders(items, 64, 0.6, picks, method="rounds").select("id")) == by_blocks
     with pytest.raises(ValueError):
         pick_leaders(items, 64, method="other")
+
+
+@pytest.mark.parametrize("distance", [0.2, 0.5, 0.8])
+@pytest.mark.parametrize("options", [{"method": "all"}, {"method": "all", "block": 40}, {"method": "prefix"}, {"method": "prefix", "hot_sets": 5, "block": 4}])
+def test_pairs_of_either_method(spark, distance, options):
+    rows = random_sets(3, 220, 64, 14, common=(60, 61, 62)) + [(-1, []), (-2, [5]), (-3, [5, 6]), (-4, [6]), (-5, None), (-6, [5])]
+    sets = distinct_sets(spark.createDataFrame(rows, SCHEMA))
+    assert found(neighbour_pairs(sets, 64, distance, **options)) == by_hand(rows, 1 - distance)
+    with pytest.raises(ValueError):
+        neighbour_pairs(sets, 64, distance, method="other")
+
+
+def test_long_sets_are_sent_once_per_block(spark, monkeypatch):
+    """Sets of 300 bits out of 1024: under the bits of their prefixes, which nearly all are split, each would be sent some ten thousand times."""
+    from poolscout.operators import neighbours
+
+    monkeypatch.setattr(neighbours, "LEAST_PACKED", 50)
+    monkeypatch.setattr(neighbours, "PART", 16)
+    pick = random.Random(6)
+    rows = [(i, sorted(pick.sample(range(1024), pick.randint(200, 400)))) for i in range(150)]
+    rows += [(1000 + i, sorted(set(b) ^ set(pick.sample(range(1024), 60)))) for i, b in rows[:60]]
+    sets = distinct_sets(spark.createDataFrame(rows, SCHEMA))
+
+    def sent(*a, **k):
+        raise AssertionError("sets were posted under their bits")
+
+    monkeypatch.setattr(neighbours, "_keys", sent)
+    assert found(neighbour_pairs(sets, 1024, 0.4, hot_sets=20)) == by_hand(rows, 0.6) != []
