@@ -163,3 +163,20 @@ def test_long_sets_are_sent_once_per_block(spark, monkeypatch):
 
     monkeypatch.setattr(neighbours, "_keys", sent)
     assert found(neighbour_pairs(sets, 1024, 0.4, hot_sets=20)) == by_hand(rows, 0.6) != []
+
+
+@pytest.mark.parametrize("least", [2, 4])
+def test_density_clusters_of_long_sets(spark, monkeypatch, least):
+    from poolscout.operators import neighbours
+
+    monkeypatch.setattr(neighbours, "LEAST_PACKED", 40)
+    pick = random.Random(7)
+    rows = [(i, sorted(pick.sample(range(512), pick.randint(120, 200)))) for i in range(60)]
+    rows += [(100 + i, sorted(set(rows[i % 25][1]) ^ set(pick.sample(range(512), 20)))) for i in range(80)] + [(300, rows[3][1])]
+
+    def sent(*a, **k):
+        raise AssertionError("sets were posted under their bits")
+
+    monkeypatch.setattr(neighbours, "_keys", sent)
+    got = sorted((tuple(r) for r in density_clusters(spark.createDataFrame(rows, SCHEMA), 512, 0.4, least).collect()), key=str)
+    assert got == sorted(density_by_hand(rows, 0.6, least), key=str)
