@@ -1,8 +1,8 @@
 """Feed-forward networks of a fixed, small size, trained by data-parallel gradient descent.
 
 A step is one batch: tasks add up the gradients of their rows, the JVM adds the tasks' sums, and the driver moves the weights, which is all that it holds. Batches are
-dealt by a hash of the id and grow with the rows, so an epoch has a bounded number of steps. While all training rows are small enough for one task, the same steps run
-there without a job each. Draws (first weights, batches, held-out rows, units left out) are hashes or seeded, so a fit does not depend on how rows are dealt out.
+dealt by a hash of the id and grow with the rows, so an epoch has a bounded number of steps. Rows are written once as matrices, by batch, so that a step reads the rows of its
+batch only. While all training rows are small enough for one task, the same steps run there without a job each. Draws (first weights, batches, held-out rows, units left out) are hashes or seeded, so a fit does not depend on how rows are dealt out.
 """
 
 from __future__ import annotations
@@ -14,6 +14,8 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import inheritable_thread_target
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.stat import Summarizer
@@ -21,12 +23,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.random import uniform, uniform_value
-from ..session import cut
+from ..session import cut, scratch_path
 from .base import Surrogate, no_variance, vectors
 
 LEAST_VARIANCE = 1e-6
 #: Batches of an epoch at most, and rows of a batch at least.
 MOST_BATCHES, BATCH_ROWS = 64, 128
+#: Rows, and numbers in them, that a network sees at once: what the way through its layers holds grows with them.
+CHUNK_ROWS, CHUNK_CELLS = 4096, 1 << 19
+#: Batch numbers of the held-out rows and of rows without an id, which no step sees.
+HELD, NO_BATCH = -1, -2
 
 
 @dataclass(frozen=True)
@@ -162,15 +168,27 @@ def train(flat: np.ndarray, net: Network, batches: int, seed: int, step: Callabl
     return best
 
 
-def _finish_sums(flat: np.ndarray, x: np.ndarray, y: np.ndarray, is_held: np.ndarray, net: Network) -> np.ndarray:
+def chunk_rows(dims: int) -> int:
+    return max(1, min(CHUNK_ROWS, CHUNK_CELLS // max(dims, 1)))
+
+
+def in_chunks(of: Callable[[np.ndarray, np.ndarray], np.ndarray], x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Sums that ``of`` makes of rows and targets, a chunk of rows at a time."""
+    per = chunk_rows(x.shape[1])
+    total = of(x[:per], y[:per])
+    for at in range(per, len(x), per):
+        total = total + of(x[at : at + per], y[at : at + per])
+    return total
+
+
+def _finish_sums(flat: np.ndarray, x: np.ndarray, y: np.ndarray, net: Network) -> np.ndarray:
     """Sums from which the output layer is finished: products of the last hidden layer and the target, or residuals by their variance."""
     out, kept = forward(flat, x, net)
     if not net.variance:
         h = np.hstack([kept[-1][0], np.ones((len(x), 1)), y[:, None]])
         return (h.T @ h).ravel()
     v, gap = spread(out[:, 1]), y - out[:, 0]
-    of = is_held if is_held.any() else ~is_held
-    return np.array([(gap / v).sum(), (1.0 / v).sum(), (gap * gap / v).sum(), len(y), *(s[of].sum() for s in (gap / v, 1.0 / v, gap * gap / v)), of.sum()])
+    return np.array([(gap / v).sum(), (1.0 / v).sum(), (gap * gap / v).sum(), len(y)])
 
 
 def _solved(sums: np.ndarray, flat: np.ndarray, net: Network) -> np.ndarray:
@@ -202,7 +220,7 @@ class NetworkSurrogate(Surrogate):
             raise ValueError("there are no labelled rows to fit on")
         stats = data.agg(
             F.avg("score").alias("mu"), F.stddev_pop("score").alias("sd"), F.count("score").alias("n"), F.sum(F.col("held").cast("long")).alias("h"),
-            Summarizer.metrics("mean", "std").summary(vectors(F.col("features"))).alias("x"),
+            F.count(F.lit(1)).alias("rows"), Summarizer.metrics("mean", "std").summary(vectors(F.col("features"))).alias("x"),
         ).first()
         n = stats["n"]
         self.mu, self.sd = stats["mu"], stats["sd"] or 1.0
@@ -213,9 +231,10 @@ class NetworkSurrogate(Surrogate):
         use_held = 0 < stats["h"] < n
         batches = min(MOST_BATCHES, max(1, (n - stats["h"] if use_held else n) // BATCH_ROWS))
         batch = F.floor(uniform(F.col("id"), seed + 3) * batches).cast("int")
-        data = data.withColumn("batch", F.when(F.col("held"), -1).otherwise(batch) if use_held else batch)
-        local = n * dims <= net.local_cells
-        summed = self._in_one_task(data, batches, use_held) if local else self._in_jobs(data, batches, use_held)
+        batch = F.when(F.col("held"), HELD).otherwise(batch) if use_held else batch
+        data = data.select("id", "features", "score", F.coalesce(batch, F.lit(NO_BATCH)).alias("batch"))
+        local = stats["rows"] * dims <= net.local_cells
+        summed = self._in_one_task(data, stats["rows"], batches, use_held) if local else self._in_jobs(data, batches, use_held)
         if net.variance:
             gap, weight, square, count = summed[4:] if use_held else summed[:4]
             self.shift = summed[0] / summed[1]
@@ -224,56 +243,92 @@ class NetworkSurrogate(Surrogate):
             self.flat = _solved(summed, self.flat, net)
         return self
 
-    def _read(self, frame: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
-        x = (np.vstack(frame["features"].to_numpy()).astype(float) - self.x_mean) / self.x_sd
-        return x, (frame["score"].to_numpy() - self.mu) / self.sd
-
-    def _in_one_task(self, data: DataFrame, batches: int, use_held: bool) -> np.ndarray:
-        net, seed, start, read = self.net, self.seed, self.flat, self._read
-
-        def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            frame = pd.concat(list(frames)).sort_values("id")
-            x, y = read(frame)
-            of = frame["batch"].to_numpy()
-            parts = {b: (x[of == b], y[of == b]) for b in range(-1, batches)}
+    def _reader(self) -> Callable[[pa.RecordBatch], tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        x_mean, x_sd, mu, sd = self.x_mean, self.x_sd, self.mu, self.sd
+
+        def read(rows: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            """Scaled rows and targets, and the batch of each."""
+            sizes = pc.list_value_length(rows.column("features"))
+            if sizes.null_count or (sizes.to_numpy() != len(x_mean)).any():
+                raise ValueError(f"every row must have {len(x_mean)} features")
+            x = rows.column("features").flatten().to_numpy(zero_copy_only=False).reshape(-1, len(x_mean))
+            return (x - x_mean) / x_sd, (rows.column("score").to_numpy(zero_copy_only=False) - mu) / sd, rows.column("batch").to_numpy()
+
+        return read
+
+    def _in_one_task(self, data: DataFrame, n: int, batches: int, use_held: bool) -> np.ndarray:
+        net, seed, start, read, dims = self.net, self.seed, self.flat, self._reader(), len(self.x_mean)
+
+        def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            x, y, of, at = np.empty((n, dims)), np.empty(n), np.empty(n, np.int64), 0
+            for frame in frames:
+                to = at + frame.num_rows
+                x[at:to], y[at:to], of[at:to] = read(frame)
+                at = to
+            ends = np.searchsorted(of, np.arange(HELD, batches + 1))  # rows come by batch
+            parts = {b: (x[i:j], y[i:j]) for b, i, j in zip(range(HELD, batches), ends, ends[1:])}
             flat = train(
-                start, net, batches, seed, lambda b, w, masks: loss_and_gradient(w, *parts[b], net, masks),
-                (lambda w: loss_and_gradient(w, *parts[-1], net)[-2:]) if use_held else None,
+                start, net, batches, seed, lambda b, w, masks: in_chunks(lambda p, q: loss_and_gradient(w, p, q, net, masks), *parts[b]),
+                (lambda w: in_chunks(lambda p, q: loss_and_gradient(w, p, q, net), *parts[HELD])[-2:]) if use_held else None,
             )
-            yield pd.DataFrame({"flat": [flat], "sums": [_finish_sums(flat, x, y, of == -1, net)]})
+            kinds = [(x, y), parts[HELD]] if net.variance and use_held else [(x, y)]
+            sums = np.concatenate([in_chunks(lambda p, q: _finish_sums(flat, p, q, net), *kind) for kind in kinds])
+            yield pa.record_batch([pa.array([flat.tolist()]), pa.array([sums.tolist()])], names=["flat", "sums"])
 
-        out = data.coalesce(1).mapInPandas(run, "flat array<double>, sums array<double>").first()
+        out = data.coalesce(1).sortWithinPartitions("batch", "id").mapInArrow(run, "flat array<double>, sums array<double>").first()
         self.flat = np.array(out["flat"])
         return np.array(out["sums"])
 
     def _in_jobs(self, data: DataFrame, batches: int, use_held: bool) -> np.ndarray:
-        net, read = self.net, self._read
-        data = cut(data.repartitionByRange("batch", F.xxhash64("id")).sortWithinPartitions("batch", "id"))
-
-        def total(rows: DataFrame, of: Callable[[pd.DataFrame], np.ndarray]) -> np.ndarray:
-            size = len(of(pd.DataFrame({"features": [self.x_mean], "score": [0.0]})))
-
-            def add_up(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-                yield pd.DataFrame({"s": [sum((of(f) for f in frames if len(f)), np.zeros(size))]})
-
-            return rows.mapInPandas(add_up, "s array<double>").agg(Summarizer.sum(array_to_vector("s")).alias("s")).first()["s"].toArray()
+        net, read, dims, spark = self.net, self._reader(), len(self.x_mean), data.sparkSession
+        per, schema = chunk_rows(len(self.x_mean)), "x binary, y binary"
+
+        def pack(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            """Rows, which come by batch, as matrices of rows of one batch."""
+            for frame in frames:
+                x, y, of = read(frame)
+                ends = [0, *(np.flatnonzero(np.diff(of)) + 1).tolist(), len(of)]
+                for a, b in zip(ends, ends[1:]):
+                    for at in range(a, b, per):
+                        to = min(at + per, b)
+                        columns = [pa.array([x[at:to].tobytes()], pa.binary()), pa.array([y[at:to].tobytes()], pa.binary()), pa.array(of[at : at + 1], pa.int32())]
+                        yield pa.record_batch(columns, names=["x", "y", "batch"])
+
+        path = scratch_path(spark, "batches")
+        dealt = data.repartitionByRange("batch", F.xxhash64("id")).sortWithinPartitions("batch", "id")
+        dealt.mapInArrow(pack, f"{schema}, batch int").write.partitionBy("batch").parquet(path)
+        found = [r["batch"] for r in spark.read.parquet(path).select("batch").distinct().collect()]
+        packs = {b: spark.read.schema(schema).parquet(f"{path}/batch={b}") for b in found}
+
+        def total(rows: DataFrame | None, of: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> np.ndarray:
+            size = len(of(np.zeros((1, dims)), np.zeros(1)))
+            if rows is None:
+                return np.zeros(size)
+
+            def add_up(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                sums = np.zeros(size)
+                for frame in frames:
+                    for x, y in zip(frame.column("x"), frame.column("y")):
+                        sums += of(np.frombuffer(x.as_buffer()).reshape(-1, dims), np.frombuffer(y.as_buffer()))
+                yield pa.record_batch([pa.array([sums.tolist()])], names=["s"])
+
+            return rows.mapInArrow(add_up, "s array<double>").agg(Summarizer.sum(array_to_vector("s")).alias("s")).first()["s"].toArray()
 
         def step(b: int, flat: np.ndarray, masks: list | None) -> np.ndarray:
-            return total(data.where(F.col("batch") == b), lambda f: loss_and_gradient(flat, *read(f), net, masks))
+            return total(packs.get(b), lambda x, y: loss_and_gradient(flat, x, y, net, masks))
 
         def held(flat: np.ndarray) -> np.ndarray:
-            return total(data.where("batch = -1"), lambda f: loss_and_gradient(flat, *read(f), net))[-2:]
+            return total(packs.get(HELD), lambda x, y: loss_and_gradient(flat, x, y, net))[-2:]
 
         self.flat = flat = train(self.flat, net, batches, self.seed, step, held if use_held else None)
-        if net.variance and use_held:  # a task may hold rows of one kind only, so the kinds are summed apart
-            kind = lambda where: total(data.where(where), lambda f: _finish_sums(flat, *read(f), np.zeros(len(f), bool), net)[:4])
-            rest, out = kind("batch >= 0"), kind("batch = -1")
-            return np.concatenate([rest + out, out])
-        return total(data, lambda f: _finish_sums(flat, *read(f), np.zeros(len(f), bool), net))
+        finish = lambda rows: total(rows, lambda x, y: _finish_sums(flat, x, y, net))
+        every = finish(spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(path))
+        return np.concatenate([every, finish(packs.get(HELD))]) if net.variance and use_held else every
 
     def outputs(self, x: np.ndarray, masks: list | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Mean and variance of rows of raw features."""
-        out, _ = forward(self.flat, (x - self.x_mean) / self.x_sd, self.net, masks)
+        per = chunk_rows(x.shape[1])
+        out = np.concatenate([forward(self.flat, (x[at : at + per] - self.x_mean) / self.x_sd, self.net, masks)[0] for at in range(0, max(len(x), 1), per)])
         mean = (out[:, 0] + self.shift) * self.sd + self.mu
         return mean, spread(out[:, 1]) * self.scale * self.sd**2 if self.net.variance else np.full(len(x), np.nan)
 

@@ -95,3 +95,35 @@ def test_draws_differ_by_round(bent):
 def test_no_rows(bent):
     with pytest.raises(ValueError):
         make_surrogate("network").fit(bent.where("id < 0"))
+
+
+def test_a_step_reads_the_rows_of_its_batch_only(spark, monkeypatch):
+    rows = spark.range(1000).select("id", F.array(F.col("id") % 17 * 1.0).alias("features"), (F.col("id") % 17 * 2.0 + F.col("id") % 3).alias("score"))
+    seen, frame = [], type(rows)
+    inner = frame.mapInArrow
+
+    def recorded(self, *args, **kwargs):
+        if self.columns == ["x", "y"]:
+            seen.append(self.agg(F.sum(F.length("y")) / 8).first()[0])
+        return inner(self, *args, **kwargs)
+
+    monkeypatch.setattr(frame, "mapInArrow", recorded)
+    model = make_surrogate("network", hidden=(1,), activation="linear", epochs=2, held_out=0.0, local_cells=0).fit(rows)
+    assert len(seen) == 2 * 7 + 1 and max(seen[:-1]) < 250 and sum(seen) == 3 * 1000
+    line = rows.selectExpr("regr_slope(score, features[0]) AS b", "regr_intercept(score, features[0]) AS a").first()
+    got = model.predict(rows.where("id < 17"), True).orderBy("id").collect()
+    assert np.allclose([r["y_mean"] for r in got], [line["a"] + line["b"] * i for i in range(17)])
+
+
+@pytest.mark.parametrize("conf", [None, "mve"])
+def test_few_rows_at_once_train_as_all_do(bent, monkeypatch, conf):
+    rows, options = bent.where("id < 600"), {"hidden": (8,), "epochs": 3}
+    one = make_surrogate("network", conf, **options).fit(rows)
+    chunk = network.chunk_rows
+    assert chunk(64) == 4096 and chunk(8192) == 64 and chunk(1 << 30) == 1
+    x = np.array([r["features"] for r in rows.collect()])
+    want = one.outputs(x)
+    monkeypatch.setattr(network, "CHUNK_ROWS", 50)
+    assert np.allclose(one.outputs(x), want, equal_nan=True)
+    summed = network.in_chunks(lambda p, q: network.loss_and_gradient(one.flat, p, q, one.net), x, x[:, 0])
+    assert np.allclose(summed, network.loss_and_gradient(one.flat, x, x[:, 0], one.net))
