@@ -127,3 +127,11 @@ def test_few_rows_at_once_train_as_all_do(bent, monkeypatch, conf):
     assert np.allclose(one.outputs(x), want, equal_nan=True)
     summed = network.in_chunks(lambda p, q: network.loss_and_gradient(one.flat, p, q, one.net), x, x[:, 0])
     assert np.allclose(summed, network.loss_and_gradient(one.flat, x, x[:, 0], one.net))
+
+
+def test_jobs_give_mean_and_variance_of_rows_that_look_alike(spark):
+    rows = spark.range(700).select("id", F.array(F.lit(1.0)).alias("features"), (F.col("id") % 13 * 1.5).alias("score"))
+    model = make_surrogate("network", "mve", hidden=(4,), held_out=0.0, epochs=2, local_cells=0).fit(rows)
+    got = model.predict(rows.limit(1), False).first()
+    want = rows.agg(F.avg("score"), F.var_pop("score")).first()
+    assert (got["y_mean"], got["y_var"]) == (pytest.approx(want[0]), pytest.approx(want[1]))
