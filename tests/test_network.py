@@ -135,3 +135,11 @@ def test_jobs_give_mean_and_variance_of_rows_that_look_alike(spark):
     got = model.predict(rows.limit(1), False).first()
     want = rows.agg(F.avg("score"), F.var_pop("score")).first()
     assert (got["y_mean"], got["y_var"]) == (pytest.approx(want[0]), pytest.approx(want[1]))
+
+
+def test_a_model_trained_in_jobs_is_the_same_after_loading(spark):
+    rows = spark.range(500).select("id", F.array(F.col("id") * 1.0).alias("features"), (F.col("id") * 0.5 - 3.0).alias("score"))
+    options, path = {"hidden": (1,), "activation": "linear", "epochs": 1, "local_cells": 0}, scratch_path(spark, "network")
+    make_surrogate("network", **options).fit(rows).save(path)
+    got = make_surrogate("network", **options).load(path).predict(rows).orderBy("id").collect()
+    assert np.allclose([r["y_mean"] for r in got], [i * 0.5 - 3.0 for i in range(500)])
