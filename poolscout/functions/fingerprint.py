@@ -14,6 +14,8 @@ from itertools import chain
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -21,7 +23,7 @@ TOKEN = r"[^ \t\n\r]+"
 HASH_MODULUS = 2_147_483_647
 HASH_FACTOR = 131_071
 #: Characters of text that are looked at together.
-CHUNK_CHARS = 2_000_000
+CHUNK_CHARS = 500_000
 
 _token = re.compile(TOKEN)
 
@@ -83,16 +85,13 @@ def _features(h: np.ndarray, bounds: np.ndarray, kind: str, radius: int) -> tupl
     return np.concatenate(values), np.concatenate(owners)
 
 
-def _chunks(texts: pd.Series) -> Iterator[list[str | None]]:
-    some, size = [], 0
-    for text in texts:
-        some.append(text if isinstance(text, str) else None)
-        size += len(some[-1] or "")
-        if size >= CHUNK_CHARS:
-            yield some
-            some, size = [], 0
-    if some:
-        yield some
+def _chunks(texts: pa.Array) -> Iterator[list[str | None]]:
+    """The texts of a batch; only those of one chunk are Python strings at a time."""
+    ends, start = np.cumsum(pc.fill_null(pc.utf8_length(texts), 0).to_numpy().astype(np.int64)), 0
+    while start < len(texts):
+        stop = min(len(texts), int(np.searchsorted(ends, (ends[start - 1] if start else 0) + CHUNK_CHARS)) + 1)
+        yield texts.slice(start, stop - start).to_pylist()
+        start = stop
 
 
 def _distinct_by_text(values: np.ndarray, owners: np.ndarray, texts: int, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -101,8 +100,12 @@ def _distinct_by_text(values: np.ndarray, owners: np.ndarray, texts: int, size:
     return found % size, np.searchsorted(found, np.arange(texts + 1) * size)
 
 
-def _rows(values: np.ndarray, bounds: np.ndarray, present: np.ndarray) -> list:
-    return [values[a:b] if there else None for a, b, there in zip(bounds[:-1], bounds[1:], present)]
+def _rows(values: np.ndarray, bounds: np.ndarray, present: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(values), mask=pa.array(~present))
+
+
+def _joined(parts: list[pa.Array], kind: pa.DataType) -> pa.Array:
+    return pa.concat_arrays(parts) if parts else pa.array([], pa.list_(kind))
 
 
 def _signatures(texts: list[str | None], kind: str, radius: int, length: int) -> tuple[np.ndarray, np.ndarray]:
@@ -120,13 +123,13 @@ def _signatures(texts: list[str | None], kind: str, radius: int, length: int) ->
 def minhash_signature(text: Column, kind: str = "morgan", radius: int = 2, length: int = 128) -> Column:
     """``length`` minima under different affine hashes; NULL without features."""
 
-    @F.pandas_udf("array<bigint>")
-    def sign(texts: pd.Series) -> pd.Series:
-        out: list = []
+    @F.arrow_udf("array<bigint>")
+    def sign(texts: pa.Array) -> pa.Array:
+        out = []
         for some in _chunks(texts):
             minima, full = _signatures(some, kind, radius, length)
-            out += [row if there else None for row, there in zip(minima, full)]
-        return pd.Series(out, dtype=object)
+            out.append(_rows(minima.ravel(), np.arange(len(some) + 1) * length, full))
+        return _joined(out, pa.int64())
 
     return sign(text)
 
@@ -148,9 +151,9 @@ def fingerprint(
     if kind not in ("pair", "morgan", "rdkit", "map4"):
         raise ValueError(f"unknown fingerprint {kind!r}")
 
-    @F.pandas_udf("array<int>")
-    def bits(texts: pd.Series) -> pd.Series:
-        out: list = []
+    @F.arrow_udf("array<int>")
+    def bits(texts: pa.Array) -> pa.Array:
+        out = []
         for some in _chunks(texts):
             if kind == "map4":
                 minima, full = _signatures(some, "morgan", radius, length)
@@ -160,8 +163,8 @@ def fingerprint(
                 values, owners = _features(h, bounds, kind, radius)
                 full = np.diff(bounds) > 0
             found, at = _distinct_by_text(values % length, owners, len(some), length)
-            out += _rows(found.astype(np.int32), at, full)
-        return pd.Series(out, dtype=object)
+            out.append(_rows(found.astype(np.int32), at, full))
+        return _joined(out, pa.int32())
 
     return bits(text)
 
@@ -174,12 +177,11 @@ def tanimoto(a: Column, b: Column) -> Column:
 def dense_bits(bits: Column, length: int) -> Column:
     """0/1 array of a fixed length, for models that want vectors."""
 
-    @F.pandas_udf("array<float>")
-    def scatter(positions: pd.Series) -> pd.Series:
+    @F.arrow_udf("array<float>")
+    def scatter(positions: pa.Array) -> pa.Array:
         out = np.zeros((len(positions), length), dtype=np.float32)
-        for i, p in enumerate(positions):
-            if p is not None:
-                out[i, p] = 1.0
-        return pd.Series(list(out))
+        sizes = pc.fill_null(pc.list_value_length(positions), 0).to_numpy()
+        out[np.repeat(np.arange(len(positions)), sizes), positions.flatten().to_numpy()] = 1.0
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(positions) + 1) * length, pa.int32()), pa.array(out.ravel()))
 
     return scatter(bits)

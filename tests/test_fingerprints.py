@@ -4,6 +4,7 @@ import hashlib
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -139,3 +140,12 @@ def test_classes(spark):
     rows = spark.createDataFrame([(1, 1), (2, 2), (3, 2), (4, 4), (5, 4), (6, 4)], "id INT, leader INT")
     got = {r["id"]: r["class"] for r in similarity.cluster_classes(rows).collect()}
     assert got == {1: "singleton", 2: "mid", 3: "mid", 4: "large", 5: "large", 6: "large"}
+
+
+def test_a_batch_is_read_in_chunks_of_bounded_text(monkeypatch):
+    texts = ["a b " * 50, None, "", "c d e " * 100, "x", None, "y z " * 70, "w"]
+    monkeypatch.setattr(fp, "CHUNK_CHARS", 250)
+    some = list(fp._chunks(pa.array(["left out", *texts]).slice(1)))
+    assert sum(some, []) == texts and len(some) > 1
+    assert all(sum(len(t or "") for t in part[:-1]) < 250 for part in some)
+    assert list(fp._chunks(pa.array([], pa.string()))) == []
