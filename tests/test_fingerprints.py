@@ -149,3 +149,23 @@ def test_a_batch_is_read_in_chunks_of_bounded_text(monkeypatch):
     assert sum(some, []) == texts and len(some) > 1
     assert all(sum(len(t or "") for t in part[:-1]) < 250 for part in some)
     assert list(fp._chunks(pa.array([], pa.string()))) == []
+
+
+@pytest.mark.parametrize("kind", ["morgan", "pair", "rdkit", "map4"])
+def test_chunks_of_a_batch_make_no_difference(kind):
+    texts = [" ".join(f"w{(i * j) % 40}" for j in range(i % 60)) or None for i in range(200)]
+    length = 64
+    rows = []
+    for part in ([texts], [[t] for t in texts]):
+        out = []
+        for some in part:
+            if kind == "map4":
+                minima, full = fp._signatures(some, "morgan", 2, length)
+                values, owners = minima[full].ravel() % length, np.repeat(np.flatnonzero(full), length)
+            else:
+                h, bounds = fp._token_hashes(some)
+                values, owners = fp._features(h, bounds, kind, 2)
+                values, full = values % length, np.diff(bounds) > 0
+            out.append(fp._rows(*fp._distinct_by_text(values, owners, len(some), length), full))
+        rows.append(fp._joined(out, pa.int64()).to_pylist())
+    assert rows[0] == rows[1] and [r is None for r in rows[0]] == [t is None for t in texts]
