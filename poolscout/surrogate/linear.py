@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 from .base import Surrogate, no_variance
 
 MAX_FEATURES = 8192
+#: Numbers in the rows that are expanded and multiplied at once.
+CHUNK_CELLS = 1 << 20
 #: Tasks that add up feature products; each gives one triangle.
 PARTIAL_SUMS = 512
 SOLVED = "row int, weight double, factor binary"
@@ -40,6 +42,14 @@ def _random_features(kernel: str, dims: int, count: int, scale: float, seed: int
     return freq, rng.uniform(0.0, 2.0 * np.pi, size=count)
 
 
+def chunks_of(features: pd.Series, width: int) -> Iterator[tuple[slice, np.ndarray]]:
+    """Rows of a bounded number of cells, and where they are; ``width`` is that of the rows they are expanded to."""
+    per = max(1, CHUNK_CELLS // max(width, 1))
+    for at in range(0, len(features), per):
+        part = slice(at, at + per)
+        yield part, np.vstack(features.iloc[part].to_numpy()).astype(float)
+
+
 def residual_noise(gram: np.ndarray, n: int) -> float:
     """The noise of the least-squares residuals."""
     xx, xy, yy = gram[:-1, :-1], gram[:-1, -1], gram[-1, -1]
@@ -117,6 +127,10 @@ class GaussianProcessSurrogate(Surrogate):
         factor = np.sqrt(2.0 / self.count)
         return lambda x: np.hstack([np.ones((len(x), 1)), factor * np.cos(x @ freq + phase)])
 
+    def _width(self) -> int:
+        """Numbers in a row, before or after it is expanded, whichever are more."""
+        return 1 + max(self.dims, 0 if self.kernel == "dot" else self.count)
+
     def fit(self, rows: DataFrame) -> "GaussianProcessSurrogate":
         stats = rows.agg(
             F.avg("score").alias("mu"), F.stddev_pop("score").alias("sd"), F.count("score").alias("n"),
@@ -127,16 +141,16 @@ class GaussianProcessSurrogate(Surrogate):
         self.mu, self.sd, self.dims = stats["mu"], stats["sd"] or 1.0, stats["dims"]
         if self.dims > MAX_FEATURES:
             raise ValueError(f"at most {MAX_FEATURES} features, got {self.dims}")
-        expands, mu, sd = [self._expand(x) for x in self.scales], self.mu, self.sd
+        expands, mu, sd, width = [self._expand(x) for x in self.scales], self.mu, self.sd, self._width()
 
         def partial_products(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             totals = [0.0] * len(expands)
             for frame in frames:
-                x = np.vstack(frame["features"].to_numpy()).astype(float)
-                y = (frame["score"].to_numpy()[:, None] - mu) / sd
-                for i, expand in enumerate(expands):
-                    both = np.hstack([expand(x), y])
-                    totals[i] = totals[i] + both.T @ both
+                targets = (frame["score"].to_numpy()[:, None] - mu) / sd
+                for part, x in chunks_of(frame["features"], width):
+                    for i, expand in enumerate(expands):
+                        both = np.hstack([expand(x), targets[part]])
+                        totals[i] = totals[i] + both.T @ both
             for i, total in enumerate(totals):  # the products are symmetric: each row from its diagonal on
                 if not np.isscalar(total):
                     yield pd.DataFrame({"scale": i, "row": np.arange(len(total)), "products": [total[j, j:] for j in range(len(total))]})
@@ -176,16 +190,18 @@ class GaussianProcessSurrogate(Surrogate):
             self.factor[i, : i + 1] = np.frombuffer(r["factor"])
 
     def predict(self, pool: DataFrame, mean_only: bool = True) -> DataFrame:
-        expand, mu, sd, w = self._expand(), self.mu, self.sd, self.weights
+        expand, mu, sd, w, width = self._expand(), self.mu, self.sd, self.weights, self._width()
         shared = pool.sparkSession.sparkContext.broadcast(self.factor.T if not mean_only else None)
 
         @F.pandas_udf("y_mean double, y_var double")
         def score(features: pd.Series) -> pd.DataFrame:
-            x = expand(np.vstack(features.to_numpy()).astype(float)) if len(features) else np.zeros((0, len(w)))
-            mean = x @ w * sd + mu
-            if shared.value is None:
-                return pd.DataFrame({"y_mean": mean, "y_var": np.nan})
-            return pd.DataFrame({"y_mean": mean, "y_var": ((x @ shared.value) ** 2).sum(axis=1) * sd**2})
+            mean, var = np.empty(len(features)), np.full(len(features), np.nan)
+            for part, x in chunks_of(features, width):
+                x = expand(x)
+                mean[part] = x @ w * sd + mu
+                if shared.value is not None:
+                    var[part] = ((x @ shared.value) ** 2).sum(axis=1) * sd**2
+            return pd.DataFrame({"y_mean": mean, "y_var": var})
 
         scored = pool.withColumn("_p", score("features"))
         var = no_variance() if mean_only else F.col("_p.y_var").alias("y_var")

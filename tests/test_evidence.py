@@ -1,6 +1,7 @@
 """Evidence of prior, noise and scale of the Gaussian process."""
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from poolscout.surrogate import linear
@@ -60,3 +61,16 @@ def test_a_saved_process_knows_what_was_chosen(spark, tmp_path):
     again = make_surrogate("gp", kernel="matern", evidence=True).load(str(tmp_path / "gp"))
     assert again.chosen == model.chosen and again.scale == model.scale
     assert [tuple(r) for r in again.predict(rows, False).collect()] == [tuple(r) for r in model.predict(rows, False).collect()]
+
+
+@pytest.mark.parametrize("kernel", ["dot", "rbf"])
+def test_few_rows_at_once_fit_and_predict_the_same(spark, kernel):
+    parts = list(linear.chunks_of(pd.Series([np.ones(2048, np.float32)] * 1200), 2049))
+    assert max(len(x) for _, x in parts) == linear.CHUNK_CELLS // 2049 and sum(len(x) for _, x in parts) == 1200
+    rows = spark.range(300).selectExpr("id", "array(cast(id % 7 as double), cast(id % 11 as double)) AS features", "cast(id % 7 * 2 - id % 11 as double) AS score")
+    model = linear.GaussianProcessSurrogate(kernel, 16)
+    x = np.array([r["features"] for r in rows.orderBy("id").collect()])
+    got = np.array([tuple(r) for r in model.fit(rows).predict(rows, False).orderBy("id").select("y_mean", "y_var").collect()])
+    wide = model._expand()(x)
+    assert np.allclose(got[:, 0], wide @ model.weights * model.sd + model.mu)
+    assert np.allclose(got[:, 1], ((wide @ model.factor.T) ** 2).sum(1) * model.sd**2)
