@@ -22,6 +22,11 @@ def _incoming(messages: DataFrame, feats: Sequence[str]) -> DataFrame:
     return messages.groupBy("graph_id", F.col("dst").alias("node_id")).agg(*[F.sum(f"m_{f}").alias(f"a_{f}") for f in feats])
 
 
+def by_graph(rows: DataFrame, graph_id: str = "graph_id") -> DataFrame:
+    """Rows dealt by graph."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), graph_id)
+
+
 def propagate(
     nodes: DataFrame, edges: DataFrame, feats: Sequence[str], depth: int = 3, mode: str = "edge", undirected: bool = False,
     largest_in_task: int = 1_000_000,
@@ -57,10 +62,9 @@ def _rounds_by_graph(start: DataFrame, feats: Sequence[str], depth: int, undirec
     A row holds a message and that of its reverse edge, so the sum into its source is the sum of the reverse messages of all rows
     with that source, and no message is ever looked up.
     """
-    n = int(start.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     pair = W.partitionBy("graph_id", F.least("edge_id", "rev_id")).orderBy("edge_id")
     other = {f: F.coalesce(F.lead(f"s_{f}").over(pair), F.lag(f"s_{f}").over(pair)) for f in feats}
-    rows = start.repartition(n, "graph_id").withColumns({f"t_{f}": other[f] for f in feats})
+    rows = by_graph(start).withColumns({f"t_{f}": other[f] for f in feats})
     rows = rows.withColumns({f"m_{f}": F.col(f"s_{f}") for f in feats} | {f"r_{f}": F.col(f"t_{f}") for f in feats})
     into_source, into_target = W.partitionBy("graph_id", "src"), W.partitionBy("graph_id", "dst")
     for _ in range(depth - 1):
@@ -122,12 +126,14 @@ def _with_incoming(nodes: DataFrame, sums: DataFrame, feats: Sequence[str]) -> D
     )
 
 
-def read_out(graphs: DataFrame, nodes: DataFrame, feats: Sequence[str], how: str = "mean") -> DataFrame:
-    """One row per graph: mean, sum or sum over a fixed norm of its nodes; zeros for a graph without nodes."""
+def read_out(graphs: DataFrame, nodes: DataFrame, feats: Sequence[str], how: str | Sequence[str] = "mean") -> DataFrame:
+    """One row per graph: mean, sum or sum over a fixed norm of its nodes; zeros for a graph without nodes. With several ways the nodes
+    are read once, and a column is named ``feat_way``."""
     value = {
         "mean": lambda f: F.avg(f),
         "sum": lambda f: F.sum(f),
         "norm": lambda f: F.sum(f) / F.lit(GRAPH_NORM),
-    }[how]
-    per_graph = nodes.groupBy("graph_id").agg(*[value(f).alias(f) for f in feats])
-    return graphs.select("graph_id").join(per_graph, "graph_id", "left").na.fill(0.0, list(feats))
+    }
+    ways = {f: value[how](f) for f in feats} if isinstance(how, str) else {f"{f}_{h}": value[h](f) for h in how for f in feats}
+    per_graph = nodes.groupBy("graph_id").agg(*[v.alias(name) for name, v in ways.items()])
+    return graphs.select("graph_id").join(per_graph, "graph_id", "left").na.fill(0.0, list(ways))

@@ -216,3 +216,13 @@ def test_quotas_are_the_same_on_both_sides_of_the_group_limit(spark):
     order = [F.col("y").desc(), F.col("id").desc()]
     got = [sorted((str(r["k"]), r["id"]) for r in ordered.top_per_group(rows, "k", order, quotas, how, limit).collect()) for how, limit in ((None, 1000), (None, 10), ("y", 10))]
     assert got[0] == got[1] == got[2] and len(got[0]) == 3 + 20 + 429
+
+
+def test_one_read_out_of_several_ways(spark):
+    nodes = spark.createDataFrame([(1, "a", 2.0), (1, "b", 4.0), (2, "a", 5.0)], "graph_id long, node_id string, x double")
+    graphs = spark.createDataFrame([(1,), (2,), (3,)], "graph_id long")
+    got = graph.read_out(graphs, nodes, ["x"], ("mean", "sum", "norm")).orderBy("graph_id").select("x_mean", "x_sum", "x_norm").collect()
+    assert [tuple(r) for r in got] == [(3.0, 6.0, 0.06), (5.0, 5.0, 0.05), (0.0, 0.0, 0.0)]
+    for how in ("mean", "sum", "norm"):
+        one = graph.read_out(graphs, nodes, ["x"], how).orderBy("graph_id").collect()
+        assert [r["x"] for r in one] == [r[("mean", "sum", "norm").index(how)] for r in got]
