@@ -1,6 +1,7 @@
 """The feed-forward surrogate: gradients, both ways of training, and what it learns."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -143,3 +144,13 @@ def test_a_model_trained_in_jobs_is_the_same_after_loading(spark):
     make_surrogate("network", **options).fit(rows).save(path)
     got = make_surrogate("network", **options).load(path).predict(rows).orderBy("id").collect()
     assert np.allclose([r["y_mean"] for r in got], [i * 0.5 - 3.0 for i in range(500)])
+
+
+@pytest.mark.parametrize("local_cells", [0, 1 << 20])
+def test_rows_of_other_lengths_are_an_error(spark, local_cells):
+    rows = spark.createDataFrame([(i, [1.0, 2.0, 3.0 * i], 1.0 * i) for i in range(20)], "id long, features array<double>, score double")
+    model = make_surrogate("network", hidden=(2,), epochs=1, local_cells=local_cells).fit(rows)
+    reader = model._reader()
+    batch = pa.record_batch([pa.array([[1.0, 2.0], [1.0, 2.0, 3.0, 4.0]]), pa.array([1.0, 2.0]), pa.array([0, 0], pa.int32())], names=["features", "score", "batch"])
+    with pytest.raises(ValueError, match="3 features"):
+        reader(batch)
