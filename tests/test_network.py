@@ -154,3 +154,9 @@ def test_rows_of_other_lengths_are_an_error(spark, local_cells):
     batch = pa.record_batch([pa.array([[1.0, 2.0], [1.0, 2.0, 3.0, 4.0]]), pa.array([1.0, 2.0]), pa.array([0, 0], pa.int32())], names=["features", "score", "batch"])
     with pytest.raises(ValueError, match="3 features"):
         reader(batch)
+
+
+def test_members_trained_in_jobs_are_those_of_one_task(bent):
+    rows, options = bent.where("id < 300"), {"members": 2, "hidden": (4,), "epochs": 2}
+    one, jobs = (make_surrogate("network", "ensemble", local_cells=cells, **options).fit(rows) for cells in (1 << 20, 0))
+    assert all(np.allclose(a.flat, b.flat, atol=1e-8) for a, b in zip(one.models, jobs.models))
