@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut
-from .neighbours import distinct_sets, neighbour_pairs, set_members
+from .neighbours import distinct_sets, near_links, set_members
 
 
 def connected_components(pairs: DataFrame, most_rounds: int = 200) -> DataFrame:
@@ -37,18 +37,18 @@ def density_clusters(items: DataFrame, length: int, max_distance: float, min_ite
     is noise, with no cluster. Copies of an item share its neighbours and so are in the same place. Items without a bit
     are noise, and those whose bits are NULL are left out.
 
-    Copies are one set with a weight, so pairs exist between different sets only. Neighbour counts are sums that are combined before they move.
+    Copies are one set with a weight, so links exist between different sets only. Where long sets are compared in blocks, a block gives out counts, all links of sets that are
+    not seen to be core, and of the others those that join, so a large group of near copies is not written out as pairs.
     """
     items = cut(items.select("id", "bits"))
     sets = cut(distinct_sets(items))
-    pairs = cut(neighbour_pairs(sets, length, max_distance).select("a", "b"))
-    both = pairs.union(pairs.select("b", "a"))
-    weight = sets.select(F.col("id").alias("b"), "members")
-    around = both.join(weight, "b").groupBy(F.col("a").alias("id")).agg(F.sum("members").alias("near"))
+    weighted = sets.join(sets.groupBy("id").agg(F.sum("members").alias("weight")), "id")
+    links, around = near_links(weighted, length, max_distance, min_items)
+    both = links.union(links.select("b", "a"))
     enough = (F.size("bits") > 0) & (F.col("members") + F.coalesce("near", F.lit(0)) >= min_items)
     counted = cut(sets.join(around, "id", "left").select("id", enough.alias("core")))
     cores = counted.where("core").select("id")
-    linked = pairs.join(cores.select(F.col("id").alias("a")), "a", "left_semi").join(cores.select(F.col("id").alias("b")), "b", "left_semi")
+    linked = links.join(cores.select(F.col("id").alias("a")), "a", "left_semi").join(cores.select(F.col("id").alias("b")), "b", "left_semi")
     found = connected_components(linked.select("a", "b"))
     named = cut(cores.join(found, "id", "left").select("id", F.coalesce("component", "id").alias("cluster_id")))
     near_core = both.join(named.select(F.col("id").alias("b"), "cluster_id"), "b").groupBy(F.col("a").alias("id"))

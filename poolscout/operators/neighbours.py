@@ -11,14 +11,15 @@ so, all sets are compared once instead, packed as bitmaps into blocks of like si
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from ..session import broadcast_if_small, cut
 
@@ -27,7 +28,7 @@ BLOCK = 2048
 BLOCK_CELLS = 1 << 22
 #: Prefixes that may hold a bit before it is split by a second one.
 HOT = 1000
-#: Blocks that all sets are packed into, if each then holds no fewer and no more sets than this.
+#: Blocks that all sets are packed into, whatever the number of partitions, if each then holds about no fewer and no more sets than this.
 PACKS, LEAST_PACKED, MOST_PACKED = 32, 1024, 16384
 #: Sets of a packed block that are unpacked at once, and numbers that these may be.
 PART, PART_CELLS = 1024, 1 << 22
@@ -142,124 +143,218 @@ def _in_order(a: pa.Array, b: pa.Array, value: np.ndarray) -> list[pa.Array]:
     return [pc.if_else(swap, b, a), pc.if_else(swap, a, b), pa.array(value)]
 
 
-def _packer(length: int, per: int):
-    """Packs a partition's sets, which come by size, into rows of up to ``per`` sets."""
+def _pack(length: int):
+    """Packs the sets of a block into one row."""
 
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        base, number = TaskContext.get().partitionId() << 32, 0
-
-        def block(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
-            maps, least, most = [], length, 0
-            for part in parts:
-                for at in range(0, part.num_rows, PART):
-                    ranks = part.column("ranks").slice(at, PART)
-                    sizes = pc.list_value_length(ranks).to_numpy()
-                    maps += _as_bytes(ranks.flatten().to_numpy(), sizes, length, True).to_pylist()
-                    least, most = min(least, int(sizes.min())), max(most, int(sizes.max()))
-            ids = pa.concat_arrays([p.column("id") for p in parts])
-            columns = [pa.array([base + number]), pa.array([least], pa.int32()), pa.array([most], pa.int32()), pa.ListArray.from_arrays([0, len(ids)], ids), pa.array([b"".join(maps)], pa.binary())]
-            return pa.record_batch(columns, names=["block", "least", "most", "ids", "sets"])
-
-        held, rows = [], 0
+    def pack(key: tuple[pa.Scalar], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        maps, ids, weights, least, most = [], [], [], length, 0
         for batch in batches:
-            at = 0
-            while at < batch.num_rows:
-                held.append(batch.slice(at, per - rows))
-                at, rows = at + held[-1].num_rows, rows + held[-1].num_rows
-                if rows == per:
-                    yield block(held)
-                    held, rows, number = [], 0, number + 1
-        if rows:
-            yield block(held)
+            ids.append(batch.column("id"))
+            weights.append(batch.column("weight"))
+            for at in range(0, batch.num_rows, PART):
+                ranks = batch.column("ranks").slice(at, PART)
+                sizes = pc.list_value_length(ranks).to_numpy()
+                maps += _as_bytes(ranks.flatten().to_numpy(), sizes, length, True).to_pylist()
+                least, most = min(least, int(sizes.min())), max(most, int(sizes.max()))
+        lists = [pa.ListArray.from_arrays([0, len(maps)], pa.concat_arrays(c)) for c in (ids, weights)]
+        columns = [pa.array([key[0].as_py()]), pa.array([least], pa.int32()), pa.array([most], pa.int32()), *lists, pa.array([b"".join(maps)], pa.binary())]
+        yield pa.record_batch(columns, names=["block", "least", "most", "ids", "weights", "sets"])
 
     return pack
 
 
-def _compare_packed(floor: float, length: int):
+def _two_blocks(batches: Iterator[pa.RecordBatch]) -> list[tuple[pa.Array, np.ndarray, np.ndarray]]:
+    """Ids, weights and bitmaps of the two blocks of a task, or of the only one."""
+    packs = {}
+    for batch in batches:
+        for block, ids, weights, sets in zip(*(batch.column(c) for c in ("block", "ids", "weights", "sets"))):
+            packs[block.as_py()] = ids.values, weights.values.to_numpy(), np.frombuffer(sets.as_buffer(), dtype=np.uint8).reshape(len(ids), -1)
+    return [packs[k] for k in sorted(packs)]
+
+
+def _near_in_parts(left: np.ndarray, right: np.ndarray, same: bool, floor: float, length: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Places and similarity of the near pairs of two blocks, a part of either at a time; of one block with itself once."""
     part = max(64, min(PART, PART_CELLS // length))
 
     def matrix(maps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         has = np.unpackbits(maps, axis=1, count=length)
         return has.astype(np.float32), has.sum(1, dtype=np.int64)
 
+    for i in range(0, len(left), part):
+        x, n = matrix(left[i : i + part])
+        for j in range(i if same else 0, len(right), part):
+            y, m = matrix(right[j : j + part])
+            if n.max() < floor * m.min() - SLACK or m.max() < floor * n.min() - SLACK:
+                continue
+            shared = x @ y.T
+            # half a bit below the floor, in single precision, before the exact comparison of the few that are left
+            row, col = np.nonzero(shared * np.float32(1 + floor) >= (floor * n - 0.5).astype(np.float32)[:, None] + (floor * m).astype(np.float32)[None, :])
+            both = shared[row, col].astype(np.float64)
+            value = both / np.maximum(n[row] + m[col] - both, 1.0)
+            near = value >= floor
+            if same and i == j:
+                near &= row < col
+            if near.any():
+                yield i + row[near], j + col[near], value[near]
+
+
+def _compare_packed(floor: float, length: int):
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        packs = {}
-        for batch in batches:
-            for block, ids, sets in zip(batch.column("block"), batch.column("ids"), batch.column("sets")):
-                packs[block.as_py()] = ids.values, np.frombuffer(sets.as_buffer(), dtype=np.uint8).reshape(len(ids), -1)
-        same = len(packs) == 1
-        (left_ids, left), (right_ids, right) = packs[min(packs)], packs[max(packs)]
-        for i in range(0, len(left), part):
-            x, n = matrix(left[i : i + part])
-            for j in range(i if same else 0, len(right), part):
-                y, m = matrix(right[j : j + part])
-                if n.max() < floor * m.min() - SLACK or m.max() < floor * n.min() - SLACK:
-                    continue
-                shared = x @ y.T
-                # half a bit below the floor, in single precision, before the exact comparison of the few that are left
-                row, col = np.nonzero(shared * np.float32(1 + floor) >= (floor * n - 0.5).astype(np.float32)[:, None] + (floor * m).astype(np.float32)[None, :])
-                both = shared[row, col].astype(np.float64)
-                value = both / np.maximum(n[row] + m[col] - both, 1.0)
-                near = value >= floor
-                if same and i == j:
-                    near &= row < col
-                if near.any():
-                    a, b = left_ids.take(pa.array(i + row[near])), right_ids.take(pa.array(j + col[near]))
-                    yield pa.record_batch(_in_order(a, b, value[near]), names=["a", "b", "similarity"])
+        blocks = _two_blocks(batches)
+        (left_ids, _, left), (right_ids, _, right) = blocks[0], blocks[-1]
+        for row, col, value in _near_in_parts(left, right, len(blocks) == 1, floor, length):
+            yield pa.record_batch(_in_order(left_ids.take(pa.array(row)), right_ids.take(pa.array(col)), value), names=["a", "b", "similarity"])
 
     return compare
 
 
-def _all_pairs(rows: DataFrame, length: int, floor: float, n: int, kind: str, per: int | None) -> DataFrame:
-    """Every two sets of ``rows(id, ranks)`` are compared once. A set is sent once for each block that its own may have neighbours in, and a task holds two blocks."""
+def _joining(x: np.ndarray, y: np.ndarray, group: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Those of the links ``x``, ``y`` that join what the others do not, fewer than there are nodes; ``group``, by node, names what has been joined.
+
+    In each round a group takes one link to a group that a fresh order puts before it, so links make no ring, and at least half of the groups are expected to.
+    """
+    order = np.random.default_rng(0)
+    while True:
+        a, b = group[x], group[y]
+        apart = a != b
+        if not apart.any():
+            return
+        x, y, a, b = x[apart], y[apart], a[apart], b[apart]
+        place = order.permutation(len(group))
+        later = place[a] > place[b]
+        moved, at = np.unique(np.where(later, a, b), return_index=True)
+        yield x[at], y[at]
+        to = np.arange(len(group))
+        to[moved] = np.where(later, b, a)[at]
+        while (to[to] != to).any():
+            to = to[to]
+        group[:] = to[group]
+
+
+def _link_packed(floor: float, length: int, least: int):
+    """What two blocks add to ``near_links``: a row ``(a, b)`` per link, and one with ``near`` per set that has neighbours."""
+
+    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        blocks = _two_blocks(batches)
+        same = len(blocks) == 1
+        ids, weights = pa.concat_arrays([b[0] for b in blocks]), np.concatenate([b[1] for b in blocks])
+        near, group, names = np.zeros(len(ids)), np.arange(len(ids)), ["a", "b", "near"]  # sums below 2**53 are exact
+        for row, col, _ in _near_in_parts(blocks[0][2], blocks[-1][2], same, floor, length):
+            col = col if same else col + len(blocks[0][0])
+            for one, other in ((row, col), (col, row)):
+                near += np.bincount(one, weights[other], len(ids))
+            core = near + 1 >= least
+            sure = core[row] & core[col]
+            for x, y in ((row[~sure], col[~sure]), *_joining(row[sure], col[sure], group)):
+                if len(x):
+                    yield pa.record_batch([*_in_order(ids.take(pa.array(x)), ids.take(pa.array(y)), np.zeros(len(x)))[:2], pa.nulls(len(x), pa.int64())], names=names)
+        has = np.flatnonzero(near)
+        yield pa.record_batch([ids.take(pa.array(has)), pa.nulls(len(has), ids.type), pa.array(near[has].astype(np.int64))], names=names)
+
+    return link
+
+
+def _all_pairs(rows: DataFrame, length: int, floor: float, n: int, kind: str, per: int | None, of: Callable, schema: str) -> DataFrame:
+    """What ``of`` makes of every two blocks of ``rows(id, ranks, weight)`` that may hold neighbours. A set is sent once for each such block, and a task holds two blocks."""
     per = per or min(MOST_PACKED, max(LEAST_PACKED, -(-n // PACKS)))
-    size = F.size("ranks")
-    dealt = rows.where(size > 0).repartitionByRange(max(1, -(-n // per)), size, F.xxhash64("id")).sortWithinPartitions(size)
-    packed = cut(dealt.mapInArrow(_packer(length, per), f"block long, least int, most int, ids array<{kind}>, sets binary"))
+    rows = rows.withColumn("size", F.size("ranks")).where("size > 0")
+    counts = rows.groupBy("size").count().withColumn("before", F.sum("count").over(W.orderBy("size")) - F.col("count"))  # a row per number of bits
+    place = F.col("before") + F.pmod(F.xxhash64("ranks"), F.col("count"))
+    dealt = rows.join(F.broadcast(counts), "size").select(F.floor(place / per).alias("block"), "id", "ranks", "weight")
+    packed = cut(dealt.groupBy("block").applyInArrow(_pack(length), f"block long, least int, most int, ids array<{kind}>, weights array<long>, sets binary"))
     sizes = packed.select("block", "least", "most")
     other = sizes.toDF("high", "high_least", "high_most")
     may = (F.col("block") <= F.col("high")) & (F.col("most") >= F.col("high_least") * floor - SLACK) & (F.col("high_most") >= F.col("least") * floor - SLACK)
     meet = cut(sizes.join(F.broadcast(other), may).select(F.col("block").alias("low"), "high"))  # sizes of blocks, not blocks
     sent = meet.withColumn("block", F.explode(F.array_distinct(F.array("low", "high"))))
-    posts = packed.join(broadcast_if_small(sent, 2 * meet.count()), "block").select("low", "high", "block", "ids", "sets")
-    return posts.groupBy("low", "high").applyInArrow(_compare_packed(floor, length), f"a {kind}, b {kind}, similarity double")
+    posts = packed.join(broadcast_if_small(sent, 2 * meet.count()), "block").select("low", "high", "block", "ids", "weights", "sets")
+    return posts.groupBy("low", "high").applyInArrow(of, schema)
 
 
-def neighbour_pairs(
-    sets: DataFrame, length: int, max_distance: float, hot_sets: int = HOT, block: int | None = None, method: str | None = None
-) -> DataFrame:
-    """All pairs ``(a, b, similarity)``, ``a < b``, of rows of ``sets(id, bits)`` with a Tanimoto distance of at most ``max_distance`` (below 1). Bits are distinct
-    positions below ``length``; ``sets`` are distinct, as from ``distinct_sets``, and empty ones have no neighbours.
+@dataclass(frozen=True)
+class _Ranked:
+    """Sets ``rows(id, ranks, weight)`` whose bits are their places in the order by rarity."""
 
-    method ``prefix``: what a set sends grows with its own bits, a task holds two blocks, and the driver sees two counts per bit. A key with many blocks copies its sets
-    once per block, which the split by second bits leaves to bits that nearly always come together.
-    method ``all``: every two sets of like size are compared once, and a task holds two blocks. Without a method it is taken where the prefixes would compare more pairs than that.
-    """
+    rows: DataFrame
+    #: Prefixes that hold a bit.
+    held: dict[int, int]
+    n: int
+    dense: bool
+    length: int
+    floor: float
+    kind: str
+
+    @property
+    def meet_often(self) -> bool:
+        """Whether the prefixes would compare more pairs than there are."""
+        return self.length <= PACKED_LENGTH and sum(c * c for c in self.held.values()) > self.n**2
+
+
+def _ranked(sets: DataFrame, length: int, max_distance: float) -> _Ranked:
+    """``sets(id, bits, weight)`` with their bits in order."""
     floor = 1.0 - max_distance
     if floor <= 0:
         raise ValueError("the distance must be below 1")
-    if method not in (None, "prefix", "all"):
-        raise ValueError(f"unknown method {method!r}")
     kind = sets.schema["id"].dataType.simpleString()
-    sets = cut(sets.select("id", "bits"))
+    sets = cut(sets)
     order = _ranks(sets, length)
     size = sets.agg(F.avg(F.size("bits")).alias("bits"), F.count(F.lit(1)).alias("n")).first()
-    dense = 4 * (size["bits"] or 0.0) >= length / 8
 
     def ranked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ranks = [np.sort(order[np.asarray(b.values, dtype=np.int64)]).astype(np.int32) for b in batch.column("bits")]
-            yield pa.record_batch([batch.column("id"), pa.array(ranks, pa.list_(pa.int32()))], names=["id", "ranks"])
+            yield pa.record_batch([batch.column("id"), pa.array(ranks, pa.list_(pa.int32())), batch.column("weight")], names=["id", "ranks", "weight"])
 
-    rows = cut(sets.mapInArrow(ranked, f"id {kind}, ranks array<int>"))
+    rows = cut(sets.mapInArrow(ranked, f"id {kind}, ranks array<int>, weight long"))
     n = F.size("ranks")
     head = F.slice("ranks", 1, F.when(n > 0, n - F.ceil(n * F.lit(floor) - F.lit(SLACK)).cast("int") + 1).otherwise(0))
-    hot = np.zeros(length, dtype=bool)
     held = {r["bit"]: r["count"] for r in rows.select(F.explode(head).alias("bit")).groupBy("bit").count().collect()}
-    if method == "all" or method is None and length <= PACKED_LENGTH and sum(c * c for c in held.values()) > size["n"] ** 2:
-        return _all_pairs(rows, length, floor, size["n"], kind, block)
+    return _Ranked(rows, held, size["n"], 4 * (size["bits"] or 0.0) >= length / 8, length, floor, kind)
+
+
+def neighbour_pairs(
+    sets: DataFrame, length: int, max_distance: float, hot_sets: int = HOT, block: int | None = None, method: str | None = None
+) -> DataFrame:
+    """All pairs ``(a, b, similarity)``, ``a < b``, of rows of ``sets(id, bits)`` with a Tanimoto distance of at most ``max_distance`` (below 1). Bits are distinct
+    positions below ``length``; ``sets`` are distinct, as from ``distinct_sets``, and empty ones have no neighbours.
+
+    method ``prefix``: what a set sends grows with its own bits, a task holds two blocks, and the driver sees two counts per bit. A key with many blocks copies its sets
+    once per block, which the split by second bits leaves to bits that nearly always come together.
+    method ``all``: every two sets of like size are compared once, and a task holds two blocks. Without a method it is taken where the prefixes would compare more pairs than that.
+    """
+    if method not in (None, "prefix", "all"):
+        raise ValueError(f"unknown method {method!r}")
+    ranked = _ranked(sets.select("id", "bits", F.lit(1).cast("long").alias("weight")), length, max_distance)
+    if method == "all" or method is None and ranked.meet_often:
+        compare = _compare_packed(ranked.floor, length)
+        return _all_pairs(ranked.rows, length, ranked.floor, ranked.n, ranked.kind, block, compare, f"a {ranked.kind}, b {ranked.kind}, similarity double")
+    return _pairs_by_prefix(ranked, hot_sets, block)
+
+
+def near_links(sets: DataFrame, length: int, max_distance: float, least: int) -> tuple[DataFrame, DataFrame]:
+    """``near(id, near)``, the added up weights of the neighbours of each row of ``sets(id, bits, weight)``, and ``links(a, b)``: all pairs of neighbours but for those of
+    two sets with ``least`` neighbours (themselves and weights included), of which it has enough to keep what they join joined.
+
+    Long sets: two blocks give out no pair of which both have been seen to have that many, unless it joins what earlier ones did not, so a set is in a bounded number of
+    rows of each task, however many neighbours it has.
+    """
+    ranked = _ranked(sets.select("id", "bits", "weight"), length, max_distance)
+    if ranked.meet_often:
+        link = _link_packed(ranked.floor, length, least)
+        found = cut(_all_pairs(ranked.rows, length, ranked.floor, ranked.n, ranked.kind, None, link, f"a {ranked.kind}, b {ranked.kind}, near long"))
+        near = found.where("near IS NOT NULL").groupBy(F.col("a").alias("id")).agg(F.sum("near").alias("near"))
+        return found.where("near IS NULL").select("a", "b"), near
+    pairs = cut(_pairs_by_prefix(ranked).select("a", "b"))
+    both = pairs.union(pairs.select("b", "a"))
+    weight = sets.select(F.col("id").alias("b"), "weight").distinct()
+    return pairs, both.join(weight, "b").groupBy(F.col("a").alias("id")).agg(F.sum("weight").alias("near"))
+
+
+def _pairs_by_prefix(ranked: _Ranked, hot_sets: int = HOT, block: int | None = None) -> DataFrame:
+    rows, length, floor, dense, kind = ranked.rows, ranked.length, ranked.floor, ranked.dense, ranked.kind
+    hot = np.zeros(length, dtype=bool)
+    hot[[bit for bit, c in ranked.held.items() if c > hot_sets]] = True
     block = block or max(64, min(BLOCK, BLOCK_CELLS // length))
-    hot[[bit for bit, c in held.items() if c > hot_sets]] = True
 
     def posted(whole: bool):
         def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

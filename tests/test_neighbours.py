@@ -1,7 +1,9 @@
 """Exact neighbour pairs, density clusters, components and leaders by rounds against brute force."""
 
 import random
+from collections.abc import Iterator
 
+import pyarrow as pa
 import pytest
 
 from poolscout.operators.density import connected_components, density_clusters
@@ -180,3 +182,44 @@ def test_density_clusters_of_long_sets(spark, monkeypatch, least):
     monkeypatch.setattr(neighbours, "_keys", sent)
     got = sorted((tuple(r) for r in density_clusters(spark.createDataFrame(rows, SCHEMA), 512, 0.4, least).collect()), key=str)
     assert got == sorted(density_by_hand(rows, 0.6, least), key=str)
+
+
+@pytest.mark.parametrize("least", [2, 5, 200])
+def test_a_group_of_near_copies_is_not_written_out_as_pairs(spark, monkeypatch, least):
+    """All but some sets are near each other: a block gives out a few rows per set, and counts and clusters are those of all pairs."""
+    from poolscout.operators import neighbours
+
+    monkeypatch.setattr(neighbours, "LEAST_PACKED", 50)
+    monkeypatch.setattr(neighbours, "PART", 16)
+    pick = random.Random(11)
+    base = sorted(pick.sample(range(512), 150))
+    rows = [(i, sorted(set(base) ^ set(pick.sample(range(512), 16)))) for i in range(150)]
+    rows += [(200 + i, sorted(set(pick.sample(range(512), 150)))) for i in range(20)]
+    rows += [(300 + i, sorted(set(rows[155 + i][1]) ^ set(pick.sample(range(512), 20)))) for i in range(6)] + [(400, rows[3][1]), (401, rows[3][1])]
+    items = spark.createDataFrame(rows, SCHEMA)
+    got = sorted((tuple(r) for r in density_clusters(items, 512, 0.4, least).collect()), key=str)
+    assert got == sorted(density_by_hand(rows, 0.6, least), key=str)
+    if least < 200:
+        links, near = neighbours.near_links(distinct_sets(items).withColumnRenamed("members", "weight"), 512, 0.4, least)
+        pairs = by_hand(rows, 0.6)
+        assert links.count() < len(pairs) / 4
+        weight = {i: 3 if i == 3 else 1 for i, _ in rows}
+        want = {i: sum(weight[b if i == a else a] for a, b, _ in pairs if i in (a, b)) for i, _ in rows}
+        assert {r["id"]: r["near"] for r in near.collect()} == {i: n for i, n in want.items() if n}
+
+
+def test_blocks_do_not_grow_in_number_with_the_partitions(spark):
+    """Sets are sent once per block, so more blocks than their number asks for are more to send."""
+    from poolscout.operators import neighbours
+
+    pick = random.Random(12)
+    rows = [(7, sorted(pick.sample(range(256), pick.randint(60, 64)))) for _ in range(300)]
+    ranked = neighbours._ranked(spark.createDataFrame(rows, SCHEMA).selectExpr("*", "1L AS weight").repartition(20), 256, 0.4)
+
+    def seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.select(["block", "ids"])
+
+    blocks = neighbours._all_pairs(ranked.rows, 256, 0.6, 300, "long", 100, seen, "block long, ids array<long>")
+    sizes = {r["block"]: len(r["ids"]) for r in blocks.collect()}
+    assert len(sizes) <= 4 and sum(sizes.values()) == 300 and max(sizes.values()) < 150
