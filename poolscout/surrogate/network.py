@@ -1,6 +1,6 @@
 """Feed-forward networks of a fixed, small size, trained by data-parallel gradient descent.
 
-A step is one batch: tasks add up the gradients of their rows, the JVM adds the tasks' sums, and the driver moves the weights, which is all that it holds. Batches are
+A step is one batch: tasks add up the gradients of their rows, the JVM adds the tasks' sums (the driver those of a few tasks), and the driver moves the weights, which is all that it holds. Batches are
 dealt by a hash of the id and grow with the rows, so an epoch has a bounded number of steps. Rows are written once as matrices, by batch, so that a step reads the rows of its
 batch only. While all training rows are small enough for one task, the same steps run there without a job each. Draws (first weights, batches, held-out rows, units left out) are hashes or seeded, so a fit does not depend on how rows are dealt out.
 """
@@ -31,6 +31,8 @@ LEAST_VARIANCE = 1e-6
 MOST_BATCHES, BATCH_ROWS = 64, 128
 #: Rows, and numbers in them, that a network sees at once: what the way through its layers holds grows with them.
 CHUNK_ROWS, CHUNK_CELLS = 4096, 1 << 19
+#: Tasks of a step up to which the driver adds up their sums itself, which are as long as the weights; sums of more tasks meet in the JVM first.
+FEW_TASKS = 16
 #: Batch numbers of the held-out rows and of rows without an id, which no step sees.
 HELD, NO_BATCH = -1, -2
 
@@ -299,6 +301,7 @@ class NetworkSurrogate(Surrogate):
         dealt.mapInArrow(pack, f"{schema}, batch int").write.partitionBy("batch").parquet(path)
         found = [r["batch"] for r in spark.read.parquet(path).select("batch").distinct().collect()]
         packs = {b: spark.read.schema(schema).parquet(f"{path}/batch={b}") for b in found}
+        few = {id(rows) for rows in packs.values() if rows.rdd.getNumPartitions() <= FEW_TASKS}
 
         def total(rows: DataFrame | None, of: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> np.ndarray:
             size = len(of(np.zeros((1, dims)), np.zeros(1)))
@@ -312,7 +315,10 @@ class NetworkSurrogate(Surrogate):
                         sums += of(np.frombuffer(x.as_buffer()).reshape(-1, dims), np.frombuffer(y.as_buffer()))
                 yield pa.record_batch([pa.array([sums.tolist()])], names=["s"])
 
-            return rows.mapInArrow(add_up, "s array<double>").agg(Summarizer.sum(array_to_vector("s")).alias("s")).first()["s"].toArray()
+            sums = rows.mapInArrow(add_up, "s array<double>")
+            if id(rows) in few:
+                return np.sum([np.array(r["s"]) for r in sums.collect()], axis=0)  # no shuffle, whose planning takes longer than a small step
+            return sums.agg(Summarizer.sum(array_to_vector("s")).alias("s")).first()["s"].toArray()
 
         def step(b: int, flat: np.ndarray, masks: list | None) -> np.ndarray:
             return total(packs.get(b), lambda x, y: loss_and_gradient(flat, x, y, net, masks))

@@ -160,3 +160,18 @@ def test_members_trained_in_jobs_are_those_of_one_task(bent):
     rows, options = bent.where("id < 300"), {"members": 2, "hidden": (4,), "epochs": 2}
     one, jobs = (make_surrogate("network", "ensemble", local_cells=cells, **options).fit(rows) for cells in (1 << 20, 0))
     assert all(np.allclose(a.flat, b.flat, atol=1e-8) for a, b in zip(one.models, jobs.models))
+
+
+@pytest.mark.parametrize("few", [0, 16])
+def test_sums_of_few_tasks_need_no_shuffle(spark, monkeypatch, few):
+    """Steps of few tasks are added up by the driver, of more tasks in the JVM, to the same weights."""
+    rows = spark.range(600).select("id", F.array(F.col("id") % 7 * 1.0).alias("features"), (F.col("id") % 5 * 1.5).alias("score"))
+    monkeypatch.setattr(network, "FEW_TASKS", few, raising=False)
+    shuffled, frame = [], type(rows)
+    inner = frame.agg
+    monkeypatch.setattr(frame, "agg", lambda self, *a, **k: shuffled.append(self.columns) or inner(self, *a, **k))
+    options = {"hidden": (3,), "epochs": 2, "held_out": 0.0, "variance": True}
+    jobs = make_surrogate("network", local_cells=0, **options).fit(rows)
+    steps = shuffled.count(["s"])
+    assert steps == (1 if few else 2 * 4 + 1)  # the sums at the end are of all batches
+    assert np.allclose(jobs.flat, make_surrogate("network", **options).fit(rows).flat, atol=1e-8)
