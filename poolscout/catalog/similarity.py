@@ -340,5 +340,7 @@ def graph_read_out(t):
 )
 def graph_node_messages(t):
     nodes, edges = _graph(t)
-    rows = graph.propagate(nodes, edges, ["feat"], depth=2, mode="node")
+    # two edges for each part of an order, so at most two for each of its lines
+    lines = t.lineitem.groupBy("l_orderkey").count().agg(F.max("count").alias("n")).first()["n"] or 0
+    rows = graph.propagate(nodes, edges, ["feat"], depth=2, mode="node", dealt=True, largest=2 * lines)
     return rows.select("graph_id", "node_id", F.round("feat", 4).alias("feat"))

@@ -29,15 +29,21 @@ def by_graph(rows: DataFrame, graph_id: str = "graph_id") -> DataFrame:
 
 def propagate(
     nodes: DataFrame, edges: DataFrame, feats: Sequence[str], depth: int = 3, mode: str = "edge", undirected: bool = False,
-    largest_in_task: int = 1_000_000,
+    largest_in_task: int = 1_000_000, dealt: bool = False, largest: int | None = None,
 ) -> DataFrame:
     """Node features after ``depth - 1`` rounds of message sums plus the final sum: ``(graph_id, node_id, feats)``.
 
     mode ``edge``: a message is its edge's start value plus all messages into its source except its own reverse.
     mode ``node``: a node's message is its start value plus its neighbours' messages and the connecting edges' features.
     If no graph has more than ``largest_in_task`` edges, a graph's edges stay together; the rows are the same either way.
+    ``dealt``: nodes and edges were dealt by graph before, so that mode ``node`` need not move them again. ``largest``: no graph has more edges, if the caller
+    knows; else they are counted.
     """
     if mode == "node":
+        if depth < 1:
+            raise ValueError("depth must be at least 1")
+        if (_largest_graph(edges) if largest is None else largest) <= largest_in_task:
+            return _nodes_by_graph(nodes, edges, feats, depth, dealt)
         return _propagate_nodes(nodes, edges, feats, depth)
     if mode != "edge":
         raise ValueError(f"unknown mode {mode!r}")
@@ -45,7 +51,7 @@ def propagate(
     start = edges.join(sources, ["graph_id", "src"]).select(
         "graph_id", "edge_id", "src", "dst", "rev_id", *[(F.col(f"n_{f}") + F.col(f)).alias(f"s_{f}") for f in feats]
     )
-    if _largest_graph(edges) <= largest_in_task:
+    if (_largest_graph(edges) if largest is None else largest) <= largest_in_task:
         messages = _rounds_by_graph(start, feats, depth, undirected)
     else:
         messages = _rounds_by_node(start, feats, depth, undirected)
@@ -106,6 +112,43 @@ def _rounds_by_node(start: DataFrame, feats: Sequence[str], depth: int, undirect
     return messages
 
 
+#: Rows of ``_nodes_by_graph``: a node, an edge at its source, a message at its target.
+NODE, EDGE, MESSAGE = 0, 1, 2
+
+
+def _nodes_by_graph(nodes: DataFrame, edges: DataFrame, feats: Sequence[str], depth: int, dealt: bool) -> DataFrame:
+    """Rounds of mode ``node`` for graphs of bounded size: nodes, edges and messages are rows of one table dealt by graph, and a round is a window over the rows
+    that meet at a node. A node that is there several times sends once for each, as a join does; a null key meets nothing."""
+    found = nodes.select("graph_id", F.col("node_id").alias("at"), F.lit(NODE).alias("kind"), *[F.col(f).alias(f"n_{f}") for f in feats])
+    leaving = edges.select("graph_id", F.col("src").alias("at"), F.lit(EDGE).alias("kind"), "dst", *[F.col(f).alias(f"e_{f}") for f in feats])
+    rows = found.unionByName(leaving, allowMissingColumns=True)
+    rows = rows if dealt else by_graph(rows)
+    here = W.partitionBy("graph_id", "at")
+    keys = F.col("graph_id").isNotNull() & F.col("at").isNotNull() & F.col("dst").isNotNull()
+    arrived = None
+    for last in [False] * (depth - 1) + [True]:
+        sent = {}
+        for f in feats:
+            copies, value = F.count(f"n_{f}").over(here), F.sum(f"n_{f}").over(here)
+            if arrived:
+                value = value + copies * arrived[f]
+            sent[f"s_{f}"] = F.when(keys, value if last else value + copies * F.col(f"e_{f}"))
+        rows = rows.withColumns(sent).filter(F.col("kind") != MESSAGE)
+        if last:
+            rows = rows.withColumn("as", F.when(F.col("kind") == EDGE, MESSAGE).otherwise(NODE))
+        else:
+            ways = F.when(F.col("kind") == EDGE, F.array(F.lit(EDGE), F.lit(MESSAGE))).otherwise(F.array(F.lit(NODE)))
+            rows = rows.withColumn("as", F.explode(ways))
+        message = F.col("as") == MESSAGE
+        rows = rows.select(
+            "graph_id", F.when(message, F.col("dst")).otherwise(F.col("at")).alias("at"), F.col("as").alias("kind"), "dst",
+            *[F.col(f"{kind}_{f}") for kind in "ne" for f in feats], *[F.when(message, F.col(f"s_{f}")).alias(f"a_{f}") for f in feats],
+        )
+        arrived = {f: F.coalesce(F.sum(f"a_{f}").over(here), F.lit(0.0)) for f in feats}
+    final = rows.withColumns({f"t_{f}": arrived[f] for f in feats}).filter(F.col("kind") == NODE)
+    return final.select("graph_id", F.col("at").alias("node_id"), *[(F.col(f"n_{f}") + F.col(f"t_{f}")).alias(f) for f in feats])
+
+
 def _propagate_nodes(nodes: DataFrame, edges: DataFrame, feats: Sequence[str], depth: int) -> DataFrame:
     state = nodes.select("graph_id", "node_id", *[F.col(f).alias(f"m_{f}") for f in feats])
     for last in [False] * (depth - 1) + [True]:

@@ -178,6 +178,42 @@ def test_graph_sums_are_the_same_for_large_graphs(spark, undirected):
     assert got[0] == got[1] and len(got[0]) == 36
 
 
+def node_sums(nodes, edges, depth):
+    """Mode ``node`` row by row, as joins give it: a node that is there twice sends twice."""
+    state = [(g, v, x) for g, v, x in nodes]
+    for i in range(depth):
+        sums = {}
+        for g, _, a, b, _, x in edges:
+            for h, v, m in state:
+                if None not in (g, a, b, h, v, m, 0.0 if i == depth - 1 else x) and (g, a) == (h, v):
+                    sums[g, b] = sums.get((g, b), 0.0) + m + (0.0 if i == depth - 1 else x)
+        state = [(g, v, None if x is None else x + sums.get((g, v), 0.0)) for g, v, x in nodes]
+    return sorted(((str(g), str(v), None if m is None else round(m, 6)) for g, v, m in state), key=str)
+
+
+@pytest.mark.parametrize("depth", [1, 2, 3])
+def test_node_messages_inside_a_graph_are_those_of_joins(spark, depth):
+    nodes = [(g, f"n{i}", float(i + g)) for g in range(3) for i in range(6)]
+    nodes += [(0, "n1", 7.0), (0, "n2", None), (None, "n0", 3.0), (1, None, 4.0)]
+    pairs = [(g, f"e{g}-{i}", f"n{i}", f"n{(i * 5 + g) % 8}") for g in range(3) for i in range(6)]
+    edges = [(g, f"{e}f", a, b, f"{e}b", float(i)) for i, (g, e, a, b) in enumerate(pairs)] + [(g, f"{e}b", b, a, f"{e}f", 0.5) for g, e, a, b in pairs]
+    edges += [(0, "x", "n0", "n3", "y", None), (None, "x", "n0", "n0", "y", 1.0), (1, "x", None, "n1", "y", 1.0), (1, "y", "n1", None, "x", 1.0)]
+    node_rows = spark.createDataFrame(nodes, "graph_id long, node_id string, x double")
+    edge_rows = spark.createDataFrame(edges, "graph_id long, edge_id string, src string, dst string, rev_id string, x double")
+    for options in ({}, {"largest_in_task": 0}, {"largest": 16}):
+        got = graph.propagate(node_rows, edge_rows, ["x"], depth, "node", **options).collect()
+        found = [(str(r["graph_id"]), str(r["node_id"]), None if r["x"] is None else round(r["x"], 6)) for r in got]
+        assert sorted(found, key=str) == node_sums(nodes, edges, depth)
+
+
+def test_node_messages_of_dealt_graphs_move_no_rows(spark):
+    nodes = graph.by_graph(spark.range(20).selectExpr("id % 2 AS graph_id", "id AS node_id", "1D AS x"))
+    edges = graph.by_graph(spark.range(20).selectExpr("id % 2 AS graph_id", "id AS edge_id", "id AS src", "(id + 2) % 20 AS dst", "-id AS rev_id", "0.5D AS x"))
+    got = graph.propagate(nodes, edges, ["x"], 2, "node", dealt=True, largest=20)
+    assert got._jdf.queryExecution().executedPlan().toString().count("Exchange") == 2
+    assert [r["x"] for r in got.collect()] == [3.5] * 20
+
+
 def test_a_scope_leaves_nothing_behind(spark, tmp_path):
     from poolscout.session import cut, scratch_path, scratch_scope, shared_dir
 
