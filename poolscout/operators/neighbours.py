@@ -6,7 +6,8 @@ share. A bit that is in too many prefixes is split by the second shared bit, and
 both have, but reported only under the one of its own first bits, so there is nothing to de-duplicate. Copies are one set with a weight.
 
 Sets of many bits out of few meet under so many bits that this compares a pair more than once and sends a set thousands of times. Where the bits of the prefixes say
-so, all sets are compared once instead, packed as bitmaps into blocks of like size; blocks whose sizes rule out the similarity never meet.
+so, all sets are compared once instead, packed as bitmaps into blocks of like size; blocks whose sizes rule out the similarity never meet. Two sets are compared by a few
+words first: of bits that share a place of these words the parity is kept, and as many parities differ as bits do at most. What that does not rule out is counted in whole.
 """
 
 from __future__ import annotations
@@ -29,9 +30,17 @@ BLOCK_CELLS = 1 << 22
 #: Prefixes that may hold a bit before it is split by a second one.
 HOT = 1000
 #: Blocks that all sets are packed into, whatever the number of partitions, if each then holds about no fewer and no more sets than this.
-PACKS, LEAST_PACKED, MOST_PACKED = 32, 1024, 16384
-#: Sets of a packed block that are unpacked at once, and numbers that these may be.
-PART, PART_CELLS = 1024, 1 << 22
+PACKS, LEAST_PACKED, MOST_PACKED = 32, 1024, 65536
+#: Sets in a block of those that are so long that any two are likely near.
+MOST_NEAR = 4096
+#: Sets that are made bitmaps at once.
+PART = 1024
+#: Sets of a packed block that are compared with as many of another by the same number of words, words that these may be, and sets in a step of that.
+TILE, TILE_WORDS, STEP = 8192, 1 << 20, 8
+#: Near pairs that are gathered before they are given out.
+MOST_FOUND = 1 << 17
+#: What it takes to count the bits of a pair, by that of a word of its parities.
+WHOLE = 200
 #: Longest fingerprint that is sent as a bitmap in a block.
 PACKED_LENGTH = 1 << 16
 #: Guards the ceiling of a product of a fraction against rounding; too long a prefix is harmless.
@@ -172,30 +181,100 @@ def _two_blocks(batches: Iterator[pa.RecordBatch]) -> list[tuple[pa.Array, np.nd
     return [packs[k] for k in sorted(packs)]
 
 
+def _folded(words: np.ndarray, n: int) -> np.ndarray:
+    """``n`` words of each set, of the parities of the bits that fall into the same place."""
+    out = words[:, :n].copy()
+    for at in range(n, words.shape[1], n):
+        part = words[:, at : at + n]
+        out[:, : part.shape[1]] ^= part
+    return out
+
+
+def _apart(x: np.ndarray, y: np.ndarray, space: np.ndarray, exact: bool) -> np.ndarray:
+    """In how many bits each of ``x`` differs from each of ``y``, both given word by word; unless ``exact``, 256 may be given as 0."""
+    shape = x.shape[1], y.shape[1]
+    differ = space[: shape[0] * shape[1]].reshape(shape)
+    out = np.zeros(shape, dtype=np.uint16 if exact or len(x) > 4 else np.uint8)
+    for a, b in zip(x, y):
+        out += np.bitwise_count(np.bitwise_xor(a[:, None], b, out=differ))
+    return out
+
+
+def _words_to_compare(x: np.ndarray, y: np.ndarray, same: bool, most: np.ndarray) -> int:
+    """The number of words that takes least, going by some sets of two tiles; ``most`` bits of two may differ."""
+    space, whole = np.empty(most.size, dtype=np.uint64), x.shape[1]
+    best, least = whole, whole
+    for n in sorted({k * 2**i // 4 for k in (4, 5, 6, 7) for i in range(whole.bit_length())}):
+        if n >= least:
+            break
+        held = (_apart(_folded(x, n).T, _folded(y, n).T, space, False) <= most).sum() - same * len(x)
+        takes = n + WHOLE * held / most.size
+        if takes < least:
+            best, least = n, takes
+    return best
+
+
 def _near_in_parts(left: np.ndarray, right: np.ndarray, same: bool, floor: float, length: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Places and similarity of the near pairs of two blocks, a part of either at a time; of one block with itself once."""
-    part = max(64, min(PART, PART_CELLS // length))
-
-    def matrix(maps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        has = np.unpackbits(maps, axis=1, count=length)
-        return has.astype(np.float32), has.sum(1, dtype=np.int64)
-
-    for i in range(0, len(left), part):
-        x, n = matrix(left[i : i + part])
-        for j in range(i if same else 0, len(right), part):
-            y, m = matrix(right[j : j + part])
-            if n.max() < floor * m.min() - SLACK or m.max() < floor * n.min() - SLACK:
-                continue
-            shared = x @ y.T
-            # half a bit below the floor, in single precision, before the exact comparison of the few that are left
-            row, col = np.nonzero(shared * np.float32(1 + floor) >= (floor * n - 0.5).astype(np.float32)[:, None] + (floor * m).astype(np.float32)[None, :])
-            both = shared[row, col].astype(np.float64)
-            value = both / np.maximum(n[row] + m[col] - both, 1.0)
-            near = value >= floor
-            if same and i == j:
-                near &= row < col
-            if near.any():
-                yield i + row[near], j + col[near], value[near]
+    """Places and similarity of the near pairs of two blocks, a bounded number at a time; of one block with itself once."""
+
+    def by_size(maps: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        sizes = np.bitwise_count(maps).sum(1, dtype=np.int64)
+        order = np.argsort(sizes, kind="stable")
+        words = np.zeros((len(maps), -(-length // 64) * 8), dtype=np.uint8)
+        words[:, : maps.shape[1]] = maps[order]
+        return order, sizes[order], words.view(np.uint64)
+
+    x_order, n, x = by_size(left)
+    y_order, m, y = (x_order, n, x) if same else by_size(right)
+    whole = x.shape[1]
+    tile, some = max(64, min(TILE, TILE_WORDS // whole)), max(1, TILE_WORDS // whole)
+    may_differ = (1.0 - floor) / (1.0 + floor)  # of the sizes of two near sets
+    space = np.empty(STEP * tile, dtype=np.uint64)
+
+    def shared(row: np.ndarray, col: np.ndarray) -> np.ndarray:
+        both = [np.bitwise_count(x[row[at : at + some]] & y[col[at : at + some]]).sum(1, dtype=np.int64) for at in range(0, len(row), some)]
+        return np.concatenate(both)
+
+    def of_tiles(i: int, end: int, j: int, stop: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        some_x, some_y = (np.unique(np.linspace(a, b - 1, 48).astype(np.int64)) for a, b in ((i, end), (j, stop)))
+        few = _words_to_compare(x[some_x], y[some_y], same and (i, end) == (j, stop), may_differ * (n[some_x][:, None] + m[some_y]) + SLACK)
+        left_words, right_words = (np.ascontiguousarray(_folded(z, few).T) for z in (x[i:end], y[j:stop]))
+        step, may, held = max(1, min(8 * STEP, len(space) // (stop - j))), [], 0
+        for at in range(i, end, step):
+            to = min(at + step, end)
+            after = max(at + 1 - j, 0) if same else 0  # the first of a step meets sets after it only
+            differ = _apart(left_words[:, at - i : to - i], right_words[:, after:], space, few == whole)
+            most = np.floor(may_differ * (n[to - 1] + m[j + after : stop]) + SLACK)
+            pairs = np.flatnonzero(differ <= np.minimum(most, np.iinfo(differ.dtype).max).astype(differ.dtype))
+            if len(pairs):
+                row, col = np.divmod(pairs, differ.shape[1])
+                may.append((row + at, col + j + after, differ.ravel()[pairs]))
+                held += len(pairs)
+            if may and (held >= MOST_FOUND or to == end):
+                row, col, differ = (np.concatenate(z) for z in zip(*may))
+                both = (n[row] + m[col] - differ) / 2 if few == whole else shared(row, col).astype(np.float64)
+                value = both / np.maximum(n[row] + m[col] - both, 1.0)
+                near = value >= floor
+                if same:
+                    near &= row < col
+                if near.any():
+                    yield x_order[row[near]], y_order[col[near]], value[near]
+                may, held = [], 0
+
+    found, held = [], 0
+    for i in range(0, len(x), tile):
+        end = min(i + tile, len(x))
+        first = max(i if same else 0, int(np.searchsorted(m, floor * n[i] - SLACK)))
+        last = int(np.searchsorted(m, n[end - 1] / floor + SLACK, "right"))
+        for j in range(first, last, tile):
+            for near in of_tiles(i, end, j, min(j + tile, last)):
+                found.append(near)
+                held += len(near[0])
+                if held >= MOST_FOUND:
+                    yield tuple(np.concatenate(z) for z in zip(*found))
+                    found, held = [], 0
+    if held:
+        yield tuple(np.concatenate(z) for z in zip(*found))
 
 
 def _compare_packed(floor: float, length: int):
@@ -258,8 +337,11 @@ def _all_pairs(rows: DataFrame, length: int, floor: float, n: int, kind: str, pe
     """What ``of`` makes of every two blocks of ``rows(id, ranks, weight)`` that may hold neighbours. A set is sent once for each such block, and a task holds two blocks."""
     per = per or min(MOST_PACKED, max(LEAST_PACKED, -(-n // PACKS)))
     rows = rows.withColumn("size", F.size("ranks")).where("size > 0")
-    counts = rows.groupBy("size").count().withColumn("before", F.sum("count").over(W.orderBy("size")) - F.col("count"))  # a row per number of bits
-    place = F.col("before") + F.pmod(F.xxhash64("ranks"), F.col("count"))
+    # sets of so many bits are likely near whatever they hold, and a task gives out what two blocks have of such pairs
+    room = F.when(F.col("size") * (1 + floor) >= 1.6 * floor * length, max(1, per // MOST_NEAR)).otherwise(1)
+    counts = rows.groupBy("size").count().withColumn("room", room)  # a row per number of bits
+    counts = counts.withColumn("before", F.sum(F.col("count") * F.col("room")).over(W.orderBy("size")) - F.col("count") * F.col("room"))
+    place = F.col("before") + F.pmod(F.xxhash64("ranks"), F.col("count")) * F.col("room")
     dealt = rows.join(F.broadcast(counts), "size").select(F.floor(place / per).alias("block"), "id", "ranks", "weight")
     packed = cut(dealt.groupBy("block").applyInArrow(_pack(length), f"block long, least int, most int, ids array<{kind}>, weights array<long>, sets binary"))
     sizes = packed.select("block", "least", "most")

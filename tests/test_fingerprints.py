@@ -1,6 +1,7 @@
 """Fingerprints against a plain Python reading of their definition, and similarity against brute force."""
 
 import hashlib
+import re
 
 import numpy as np
 import pandas as pd
@@ -169,3 +170,10 @@ def test_chunks_of_a_batch_make_no_difference(kind):
             out.append(fp._rows(*fp._distinct_by_text(values, owners, len(some), length), full))
         rows.append(fp._joined(out, pa.int64()).to_pylist())
     assert rows[0] == rows[1] and [r is None for r in rows[0]] == [t is None for t in texts]
+
+
+def test_tokens_end_at_four_characters_only():
+    texts = ["a\x0bb c", "x\x0cy\tz", "  a b\x85c \x1c d\u2003e\xa0f", "", None, " \r\n ", "\u00e9\0 q\rq"]
+    got, bounds = fp._token_hashes(texts)
+    want = [[int(hashlib.md5(t.encode()).hexdigest()[:7], 16) for t in re.findall(fp.TOKEN, x or "")] for x in texts]
+    assert [got[a:b].tolist() for a, b in zip(bounds, bounds[1:])] == want

@@ -3,6 +3,7 @@
 import random
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import pytest
 
@@ -223,3 +224,73 @@ def test_blocks_do_not_grow_in_number_with_the_partitions(spark):
     blocks = neighbours._all_pairs(ranked.rows, 256, 0.6, 300, "long", 100, seen, "block long, ids array<long>")
     sizes = {r["block"]: len(r["ids"]) for r in blocks.collect()}
     assert len(sizes) <= 4 and sum(sizes.values()) == 300 and max(sizes.values()) < 150
+
+
+def maps_of(rows, length):
+    has = np.zeros((len(rows), length), dtype=np.uint8)
+    for i, b in enumerate(rows):
+        has[i, list(b)] = 1
+    return np.packbits(has, axis=1)
+
+
+@pytest.mark.parametrize("length, most", [(60, 50), (500, 60), (500, 400), (2048, 300), (2048, 2000)])
+@pytest.mark.parametrize("floor", [0.35, 0.6, 1.0])
+def test_what_a_few_words_rule_out_is_not_near(monkeypatch, length, most, floor):
+    """Sets of all sizes in parts of a few, the number of words chosen or held at any; the pairs are those of all bits."""
+    from poolscout.operators import neighbours
+
+    pick = random.Random(length + most)
+    rows = [set(pick.sample(range(length), pick.randint(1, most))) for _ in range(60)]
+    rows += [r ^ set(pick.sample(range(length), min(len(r) // 3, 40))) or r for r in rows[:40]] + [set(range(length))]
+    left, right = maps_of(rows[:70], length), maps_of(rows[30:], length)
+    near = lambda x, y: similarity(x, y) >= floor
+    two = {(i, j) for i, x in enumerate(rows[:70]) for j, y in enumerate(rows[30:]) if near(x, y)}
+    one = {(i, j) for i, x in enumerate(rows[:70]) for j, y in enumerate(rows[:70]) if i < j and near(x, y)}
+    chosen = neighbours._words_to_compare
+    monkeypatch.setattr(neighbours, "TILE", 64)
+    monkeypatch.setattr(neighbours, "MOST_FOUND", 20)
+    for words in (None, 1, 3, 4, 5, -(-length // 64)):
+        monkeypatch.setattr(neighbours, "_words_to_compare", lambda x, *a: min(words, x.shape[1]) if words else chosen(x, *a))
+        parts = [*neighbours._near_in_parts(left, right, False, floor, length)]
+        found = [(i, j) for row, col, _ in parts for i, j in zip(row.tolist(), col.tolist())]
+        assert len(found) == len(two) and set(found) == two
+        assert all(s == similarity(rows[i], rows[30 + j]) for row, col, value in parts for i, j, s in zip(row.tolist(), col.tolist(), value.tolist()))
+        found = [tuple(sorted(p)) for row, col, _ in neighbours._near_in_parts(left, left, True, floor, length) for p in zip(row.tolist(), col.tolist())]
+        assert len(found) == len(one) and set(found) == one
+
+
+def test_unlike_sets_are_not_counted_in_whole(monkeypatch):
+    """Sets of 200 bits out of 2048 differ in so many that an eighth to a quarter of their words tells; where all are near, these are not tried first."""
+    from poolscout.operators import neighbours
+
+    pick = random.Random(13)
+    rows = [set(pick.sample(range(2048), 200)) for _ in range(300)]
+    words = []
+    folded = neighbours._folded
+    monkeypatch.setattr(neighbours, "_folded", lambda z, n: words.append((len(z), n)) or folded(z, n))
+    assert not [*neighbours._near_in_parts(maps_of(rows, 2048), maps_of(rows, 2048), True, 0.6, 2048)]
+    assert max(words)[0] == 300 and max(words)[1] <= 8
+    words.clear()
+    near = maps_of([rows[0] ^ {i} for i in range(300)], 2048)
+    assert sum(len(row) for row, _, _ in neighbours._near_in_parts(near, near, True, 0.6, 2048)) == 300 * 299 // 2
+    assert max(words) == (300, 32)
+
+
+def test_blocks_of_sets_that_are_likely_near_are_smaller(spark, monkeypatch):
+    """All of the sets hold most of the bits, so all pairs are near, and two blocks give out as many as their sizes multiplied."""
+    from poolscout.operators import neighbours
+
+    monkeypatch.setattr(neighbours, "MOST_NEAR", 50)
+    pick = random.Random(14)
+    rows = [(i, sorted(pick.sample(range(256), pick.randint(230, 240)))) for i in range(300)] + [(1000 + i, sorted(pick.sample(range(256), 60))) for i in range(300)]
+    ranked = neighbours._ranked(spark.createDataFrame(rows, SCHEMA).selectExpr("*", "1L AS weight"), 256, 0.4)
+
+    def seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.select(["block", "ids"])
+
+    blocks = neighbours._all_pairs(ranked.rows, 256, 0.6, 600, "long", 400, seen, "block long, ids array<long>").collect()
+    sizes = {r["block"]: len(r["ids"]) for r in blocks}
+    assert sum(sizes.values()) == 600
+    assert max(sum(i < 300 for i in r["ids"]) for r in blocks) < 100
+    assert found(neighbour_pairs(distinct_sets(spark.createDataFrame(rows, SCHEMA)), 256, 0.4, method="all")) == by_hand(rows, 0.6)
