@@ -2,24 +2,44 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut
-from .neighbours import distinct_sets, near_links, set_members
+from ..session import SMALL_ROWS, cut
+from .neighbours import _joining, distinct_sets, near_links, set_members
+
+
+def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``(a, to)``: every node of the edges of a task and one that stands for all that are joined with it."""
+    parts = [*batches]
+    if parts:
+        nodes = pa.concat_arrays([b.column(c) for c in ("a", "b") for b in parts]).dictionary_encode()
+        place, group = nodes.indices.to_numpy().astype(np.int64), np.arange(len(nodes.dictionary))
+        for _ in _joining(place[: len(place) // 2], place[len(place) // 2 :], group):
+            pass
+        yield pa.record_batch([nodes.dictionary, nodes.dictionary.take(pa.array(group))], names=["a", "to"])
 
 
-def connected_components(pairs: DataFrame, most_rounds: int = 200) -> DataFrame:
+def connected_components(pairs: DataFrame, most_rounds: int = 200, small: int = SMALL_ROWS) -> DataFrame:
     """``(id, component)`` for every node of the undirected ``pairs(a, b)``; a component is named by its least node.
 
     In each round every node hands itself to the neighbour, or itself, that a hash puts first; the nodes that met become one, and edges inside them
-    vanish. The hash changes with the round, so no order of ids makes rounds many: each leaves a share of the nodes only.
+    vanish. The hash changes with the round, so no order of ids makes rounds many: each leaves a share of the nodes only. Up to ``small`` edges are left to one task.
     """
     edges = cut(pairs.where("a <> b").select("a", "b").distinct())
     names = edges.select(F.col("a").alias("id")).union(edges.select(F.col("b").alias("id"))).distinct()
     names = cut(names.withColumn("node", F.col("id")))
     for turn in range(most_rounds):
-        if edges.isEmpty():
+        n = edges.count()
+        if n <= small:
+            if n:
+                kind = edges.schema["a"].dataType.simpleString()
+                to = edges.repartition(1).mapInArrow(_settle, f"a {kind}, to {kind}")
+                names = cut(names.join(to.withColumnRenamed("a", "node"), "node", "left").select("id", F.coalesce("to", "node").alias("node")))
             return cut(names.join(names.groupBy("node").agg(F.min("id").alias("component")), "node").select("id", "component"))
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         draw = lambda c: F.struct(F.xxhash64(F.col(c), F.lit(turn)).alias("h"), F.col(c).alias("n"))

@@ -294,3 +294,40 @@ def test_blocks_of_sets_that_are_likely_near_are_smaller(spark, monkeypatch):
     assert sum(sizes.values()) == 600
     assert max(sum(i < 300 for i in r["ids"]) for r in blocks) < 100
     assert found(neighbour_pairs(distinct_sets(spark.createDataFrame(rows, SCHEMA)), 256, 0.4, method="all")) == by_hand(rows, 0.6)
+
+
+def test_few_edges_are_settled_in_one_task(spark, monkeypatch):
+    """Rounds go on while edges are many, and what is left is one task's; a round takes several jobs, and the driver keeps what it knows of each."""
+    from poolscout.operators import density
+
+    pick = random.Random(15)
+    pairs = sorted({tuple(sorted(pick.sample(range(260), 2))) for _ in range(180)}) + [(i, i + 1) for i in range(300, 500)] + [(900, 900)]
+    near = {}
+    for a, b in pairs:
+        if a != b:
+            near.setdefault(a, set()).add(b)
+            near.setdefault(b, set()).add(a)
+    want = []
+    for i in near:
+        seen, open_ = {i}, [i]
+        while open_:
+            new = near[open_.pop()] - seen
+            seen |= new
+            open_ += new
+        want.append((i, min(seen)))
+    cuts = []
+    cut = density.cut
+    monkeypatch.setattr(density, "cut", lambda df: cuts.append(df) or cut(df))
+    edges = spark.createDataFrame(pairs, "a long, b long").repartition(5)
+    assert found(connected_components(edges)) == sorted(want)
+    few = len(cuts)
+    assert few <= 4
+    for small in (0, 60):
+        cuts.clear()
+        assert found(connected_components(edges, small=small)) == sorted(want)
+        assert len(cuts) > few
+    names = edges.selectExpr("concat('n', a) AS a", "concat('n', b) AS b")
+    first = {}
+    for i, c in want:
+        first[c] = min(first.get(c, f"n{i}"), f"n{i}")
+    assert found(connected_components(names)) == sorted((f"n{i}", first[c]) for i, c in want)
