@@ -49,7 +49,9 @@ SLACK = 1e-9
 
 def distinct_sets(items: DataFrame) -> DataFrame:
     """``(id, bits, members)``: one row per distinct bit set, under the least id that has it. Items without bits are left out."""
-    return items.where("bits IS NOT NULL").groupBy("bits").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("members")).select("id", "bits", "members")
+    # a filter on the bits would move below what computes them, and have them computed twice
+    sets = items.groupBy("bits").agg(F.min("id").alias("id"), F.count("bits").alias("members"))
+    return sets.where("members > 0").select("id", "bits", "members")
 
 
 def set_members(items: DataFrame) -> DataFrame:

@@ -331,3 +331,14 @@ def test_few_edges_are_settled_in_one_task(spark, monkeypatch):
     for i, c in want:
         first[c] = min(first.get(c, f"n{i}"), f"n{i}")
     assert found(connected_components(names)) == sorted((f"n{i}", first[c]) for i, c in want)
+
+
+def test_bits_of_distinct_sets_are_computed_once(spark):
+    from pyspark.sql import functions as F
+
+    from poolscout.functions.fingerprint import fingerprint
+
+    texts = spark.createDataFrame([(5, "a b c"), (3, "c b a"), (4, "d"), (1, "  "), (2, None)], "id long, text string")
+    sets = distinct_sets(texts.select("id", fingerprint(F.col("text"), "rdkit", 0, 2048).alias("bits")))
+    assert sets._jdf.queryExecution().optimizedPlan().toString().count("ArrowEvalPython") == 1
+    assert sorted((r["id"], len(r["bits"]), r["members"]) for r in sets.collect()) == [(3, 3, 2), (4, 1, 1)]
